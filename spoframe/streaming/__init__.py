@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The system this package re-implements is batch-only: it loads triples,
+writes layouts and answers one query per action.  It has no streams,
+watermarks or state, so nothing is built here; the folder exists so the
+package layout matches the other packages built the same way.
+"""
