@@ -377,9 +377,11 @@ _PT_SQL = (
 )
 
 _STATS_SQL = (
-    "SELECT p, CAST(sum(k) AS BIGINT) AS size, count(*) AS distinct_subjects, "
+    "SELECT p, size, distinct_subjects, distinct_objects, max_multiplicity, is_complex FROM "
+    "(SELECT p, CAST(sum(k) AS BIGINT) AS size, count(*) AS distinct_subjects, "
     "max(k) AS max_multiplicity, sum(k) > count(*) AS is_complex "
-    "FROM (SELECT p, s, count(*) AS k FROM triples GROUP BY p, s) GROUP BY p"
+    "FROM (SELECT p, s, count(*) AS k FROM triples GROUP BY p, s) GROUP BY p) "
+    "JOIN (SELECT p, count(DISTINCT o) AS distinct_objects FROM triples GROUP BY p) USING (p)"
 )
 _MULTI_SQL = "SELECT DISTINCT p FROM (SELECT s, p FROM triples GROUP BY s, p HAVING count(*) > 1)"
 

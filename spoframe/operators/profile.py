@@ -1,11 +1,11 @@
 """Predicate profile: distinct predicates, multiplicity, statistics, catalogue.
 
-Everything per predicate comes out of one two-level aggregate: first count
-rows per ``(p, s)`` (map-side combined, so a hot subject or a block of
-duplicate triples shrinks to one row per task before the shuffle), then
-fold those counts per ``p``.  The shuffle is keyed on ``(p, s)``, so one
-predicate that holds a large share of all rows still spreads over every
-reducer.
+Statistics come from two-level aggregates: first count rows per ``(p, s)``
+(map-side combined, so a hot subject or a block of duplicate triples
+shrinks to one row per task before the shuffle), then fold those counts per
+``p``; the same for distinct ``(p, o)`` pairs.  The shuffles are keyed on
+the pair, so one predicate that holds a large share of all rows still
+spreads over every reducer.
 """
 
 from __future__ import annotations
@@ -45,17 +45,30 @@ def predicate_catalogue(triples: DataFrame) -> DataFrame:
 
 
 def predicate_stats(triples: DataFrame) -> DataFrame:
-    """``(p, size, distinct_subjects, max_multiplicity, is_complex)``.
+    """``(p, size, distinct_subjects, distinct_objects, max_multiplicity, is_complex)``.
 
-    ``size`` counts rows (duplicates included), ``distinct_subjects`` is exact,
-    ``is_complex`` is ``size > distinct_subjects``.
+    ``size`` counts rows (duplicates included), the distinct counts are exact,
+    ``is_complex`` is ``size > distinct_subjects``.  Two two-level aggregates,
+    keyed on ``(p, s)`` and ``(p, o)``; both end hash-partitioned by ``p``, so
+    joining their one-row-per-predicate outputs needs no further shuffle.
     """
     per_subject = triples.groupBy("p", "s").agg(F.count(F.lit(1)).alias("n"))
-    return per_subject.groupBy("p").agg(
+    subjects = per_subject.groupBy("p").agg(
         F.sum("n").alias("size"),
         F.count(F.lit(1)).alias("distinct_subjects"),
         F.max("n").alias("max_multiplicity"),
-    ).withColumn("is_complex", F.col("size") > F.col("distinct_subjects"))
+    )
+    objects = triples.select("p", "o").distinct().groupBy("p").agg(
+        F.count(F.lit(1)).alias("distinct_objects")
+    )
+    return subjects.join(objects, "p").select(
+        "p",
+        "size",
+        "distinct_subjects",
+        "distinct_objects",
+        "max_multiplicity",
+        (F.col("size") > F.col("distinct_subjects")).alias("is_complex"),
+    )
 
 
 def catalogue_from_stats(stats: DataFrame) -> DataFrame:

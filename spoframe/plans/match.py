@@ -8,10 +8,11 @@
    its predicate's rows.
 2. *connectivity*: units must be connected through shared variables;
    otherwise a ``ValueError`` is raised on the driver before any job runs.
-3. *order* (G3): units with a constant first, then star units (score 1/n),
-   then rising ``size * log_1.2(distinct_subjects)`` from the statistics (or
-   input order without them); each next unit must share a variable with the
-   units already taken, so no step is a cross product.
+3. *order* (G3): the first unit is one with a constant, else a star unit
+   (score 1/n), else the lowest ``size * log_1.2(distinct_subjects)``; each
+   next unit must share a variable with the units already taken, so no step
+   is a cross product, and among those the smallest estimated fan-out wins
+   (statistics), else the lowest score, else input order.
 4. optional *reduction* (``reduce=True``): an upward and a downward pass of
    semi-joins over the spanning tree of that order (Yannakakis).
 5. inner joins on all shared variables, the projection, ``DISTINCT``.
@@ -106,7 +107,7 @@ def check_connected(units: list[Unit]) -> None:
         raise ValueError(f"patterns are not connected by shared variables: {apart}")
 
 
-def _scores(units: list[Unit], stats: dict[str, tuple[int, int]] | None) -> list[float]:
+def _scores(units: list[Unit], stats: dict[str, tuple[int, int, int]] | None) -> list[float]:
     out = []
     for u in units:
         if u.has_constant:
@@ -116,38 +117,75 @@ def _scores(units: list[Unit], stats: dict[str, tuple[int, int]] | None) -> list
         elif stats is None:
             out.append(1.0)
         else:
-            size, distinct = stats.get(u.patterns[0].p, (0, 0))
+            size, distinct, _ = stats.get(u.patterns[0].p, (0, 0, 0))
             out.append(size * math.log(distinct) / math.log(COST_LOG_BASE) if size and distinct else 0.0)
     return out
 
 
-def order_units(units: list[Unit], scores: list[float]) -> list[int]:
-    """Lowest score first, then the lowest-scored unit sharing a variable."""
+def fanout(unit: Unit, bound: set[str], stats: dict[str, tuple[int, int, int]]) -> float:
+    """Estimated rows ``unit`` adds per row already joined, from the statistics.
+
+    A pattern reached through its subject multiplies by ``size / distinct
+    subjects``, through its object by ``size / distinct objects``, through
+    both by ``size / (distinct subjects * distinct objects)``.  Patterns of a
+    star are taken in the order they get bound (the subject binds them all).
+    """
+    known = set(bound)
+    todo = list(unit.patterns)
+    est = 1.0
+    while todo:
+        def is_bound(t):
+            return not isinstance(t, Var) or t.name in known
+
+        pat = next((q for q in todo if is_bound(q.s) or is_bound(q.o)), todo[0])
+        todo.remove(pat)
+        size, ds, do = stats.get(pat.p, (0, 0, 0))
+        if not size:
+            return 0.0
+        s_in, o_in = is_bound(pat.s), is_bound(pat.o)
+        if s_in and o_in:
+            est *= size / (ds * do)
+        elif s_in:
+            est *= size / ds
+        elif o_in:
+            est *= size / do
+        else:
+            est *= size
+        known.update(pat.variables)
+    return est
+
+
+def order_units(
+    units: list[Unit], scores: list[float], stats: dict[str, tuple[int, int, int]] | None = None
+) -> list[int]:
+    """Lowest score first; then, among units sharing a variable with those
+    taken, the smallest estimated fan-out (with statistics) and the lowest score."""
     remaining = list(range(len(units)))
     first = min(remaining, key=lambda i: (scores[i], i))
     order, bound = [first], set(units[first].variables)
     remaining.remove(first)
     while remaining:
         linked = [i for i in remaining if bound.intersection(units[i].variables)]
-        nxt = min(linked, key=lambda i: (scores[i], i))
+        if stats:
+            nxt = min(linked, key=lambda i: (fanout(units[i], bound, stats), scores[i], i))
+        else:
+            nxt = min(linked, key=lambda i: (scores[i], i))
         order.append(nxt)
         bound.update(units[nxt].variables)
         remaining.remove(nxt)
     return order
 
 
-def _query_stats(store: TripleStore, units: list[Unit]) -> dict[str, tuple[int, int]] | None:
+def _query_stats(store: TripleStore, units: list[Unit]) -> dict[str, tuple[int, int, int]] | None:
     if store.stats is None:
         return None
-    preds = sorted({u.patterns[0].p for u in units if not u.star and not u.has_constant})
-    if not preds:
-        return {}
+    preds = sorted({pat.p for u in units for pat in u.patterns})
     rows = (
         store.stats.where(F.col("p").isin(preds))
-        .select("p", "size", "distinct_subjects")
+        .select("p", "size", "distinct_subjects", "distinct_objects")
         .collect()
     )  # at most one row per query predicate
-    return {r["p"]: (r["size"], r["distinct_subjects"]) for r in rows}
+    return {r["p"]: (r["size"], r["distinct_subjects"], r["distinct_objects"]) for r in rows}
 
 
 def _tree(units: list[Unit]) -> list[int | None]:
@@ -218,7 +256,7 @@ def match(
 
     if units:
         stats = _query_stats(store, units) if use_stats else None
-        order = order_units(units, _scores(units, stats))
+        order = order_units(units, _scores(units, stats), stats)
         units = [units[i] for i in order]
         frames = [u.frame(store) for u in units]
         if reduce and len(frames) > 1:

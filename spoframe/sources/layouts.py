@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VP_SCHEMA = "s string, o string, p string"
-STATS_SCHEMA = "p string, size bigint, distinct_subjects bigint, max_multiplicity bigint, is_complex boolean"
+STATS_SCHEMA = (
+    "p string, size bigint, distinct_subjects bigint, distinct_objects bigint, "
+    "max_multiplicity bigint, is_complex boolean"
+)
 CATALOGUE_SCHEMA = "p string, column string, is_complex int"
 
 
@@ -67,9 +70,8 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def write_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Per-predicate statistics as a Parquet table."""
-    stats.select("p", "size", "distinct_subjects", "max_multiplicity", "is_complex").write.mode(
-        mode
-    ).parquet(path)
+    cols = ["p", "size", "distinct_subjects", "distinct_objects", "max_multiplicity", "is_complex"]
+    stats.select(*cols).write.mode(mode).parquet(path)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
