@@ -67,21 +67,29 @@ def _and(conds: list[Column]) -> Column | None:
     return reduce(lambda a, b: a & b, conds) if conds else None
 
 
-def scan_pattern(rows: DataFrame, pattern: Pattern) -> DataFrame:
+def scan_pattern(rows: DataFrame, pattern: Pattern, keys: dict[str, str] | None = None) -> DataFrame:
     """Answer one pattern from the ``(s, o)`` rows of its predicate.
 
     * ``?x P ?y`` -> ``(x, y)``;  ``?x P ?x`` -> ``(x)`` with ``s = o`` (D3)
     * ``?x P 'c'`` -> ``(x)`` with ``o = 'c'``
     * ``'c' P ?y`` -> ``(y)`` with ``s = 'c'`` (D1: the subject is filtered)
     * ``'c' P 'd'`` -> no columns; one row per match (an existence test)
+
+    ``keys`` maps a constant to a column name under which the matched value is
+    also returned, so patterns sharing only that constant can still be joined.
     """
     pattern = as_pattern(pattern)
+    keys = keys or {}
     conds = []
-    if not isinstance(pattern.s, Var):
-        conds.append(F.col("s") == F.lit(pattern.s))
-    if not isinstance(pattern.o, Var):
-        conds.append(F.col("o") == F.lit(pattern.o))
     cols: list[Column] = []
+    named: set[str] = set()
+    for pos, term in (("s", pattern.s), ("o", pattern.o)):
+        if isinstance(term, Var):
+            continue
+        conds.append(F.col(pos) == F.lit(term))
+        if term in keys and keys[term] not in named:
+            cols.append(F.col(pos).alias(keys[term]))
+            named.add(keys[term])
     if isinstance(pattern.s, Var):
         cols.append(F.col("s").alias(pattern.s.name))
     if isinstance(pattern.o, Var):
@@ -94,27 +102,40 @@ def scan_pattern(rows: DataFrame, pattern: Pattern) -> DataFrame:
     return df.select(*cols)
 
 
-def scan_star(table: DataFrame, columns: dict, subject: Term, items: list[tuple[str, Term]]) -> DataFrame:
+def scan_star(
+    table: DataFrame,
+    columns: dict,
+    subject: Term,
+    items: list[tuple[str, Term]],
+    keys: dict[str, str] | None = None,
+) -> DataFrame:
     """Answer patterns sharing one subject from one property-table row.
 
     ``columns`` maps a predicate to its :class:`PTColumn`; ``items`` are the
     ``(predicate, object)`` pairs.  Order of work: subject and constant-object
     filters (pushed to the scan for single-valued columns), NOT NULL for
     single-valued variables, then one ``explode`` per multi-valued variable;
-    a variable bound twice becomes an equality filter (D8).
+    a variable bound twice becomes an equality filter (D8).  ``keys`` as in
+    :func:`scan_pattern`.
     """
+    keys = keys or {}
     conds: list[Column] = []
     bindings: dict[str, list[str]] = {}
+    extra: dict[str, Column] = {}
     if isinstance(subject, Var):
         bindings[subject.name] = ["s"]
     else:
         conds.append(F.col("s") == F.lit(subject))
+        if subject in keys:
+            extra[keys[subject]] = F.col("s")
     explodes: list[tuple[str, str]] = []
     for i, (p, o) in enumerate(items):
         c = columns[p]
         cell = F.col(c.column)
         if not isinstance(o, Var):
             conds.append(F.array_contains(cell, F.lit(o)) if c.is_list else cell == F.lit(o))
+            if o in keys and keys[o] not in extra:
+                extra[keys[o]] = F.lit(o)
         elif c.is_list:
             name = f"__spo_x{i}"
             explodes.append((name, c.column))
@@ -130,4 +151,5 @@ def scan_star(table: DataFrame, columns: dict, subject: Term, items: list[tuple[
     cond = _and(equal)
     if cond is not None:
         df = df.where(cond)
-    return df.select(*[F.col(cols[0]).alias(v) for v, cols in bindings.items()])
+    out = [col.alias(k) for k, col in extra.items()]
+    return df.select(*out, *[F.col(cols[0]).alias(v) for v, cols in bindings.items()])

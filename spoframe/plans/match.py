@@ -24,7 +24,7 @@ Spark evaluates once as a subquery and applies as a filter.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +41,16 @@ from spoframe.sources.layouts import write_result
 class Unit:
     patterns: list[Pattern]
     star: bool
+    keys: dict[str, str] = field(default_factory=dict)  # shared constant -> key column
+
+    @property
+    def constants(self) -> set[str]:
+        return {t for pat in self.patterns for t in (pat.s, pat.o) if not isinstance(t, Var)}
 
     @property
     def variables(self) -> list[str]:
-        out: list[str] = []
+        """Variables plus the key columns of shared constants: what this unit joins on."""
+        out: list[str] = sorted(self.keys[c] for c in self.constants if c in self.keys)
         for pat in self.patterns:
             for v in pat.variables:
                 if v not in out:
@@ -58,9 +64,9 @@ class Unit:
     def frame(self, store: TripleStore) -> DataFrame:
         if self.star:
             items = [(pat.p, pat.o) for pat in self.patterns]
-            return scan_star(store.property_table, store.pt_columns, self.patterns[0].s, items)
+            return scan_star(store.property_table, store.pt_columns, self.patterns[0].s, items, self.keys)
         pat = self.patterns[0]
-        return scan_pattern(store.rows(pat.p), pat)
+        return scan_pattern(store.rows(pat.p), pat, self.keys)
 
 
 def _units(store: TripleStore, patterns: list[Pattern], layout: str, min_group_size: int) -> list[Unit]:
@@ -88,6 +94,23 @@ def _units(store: TripleStore, patterns: list[Pattern], layout: str, min_group_s
     return sorted(units, key=lambda u: position[id(u.patterns[0])])
 
 
+def share_constants(units: list[Unit]) -> None:
+    """A constant used by several units connects them: give it a key column.
+
+    ``'s' p ?x . 's' q ?y`` shares no variable, yet its answer is well defined
+    (every ``x`` with every ``y`` of subject ``s``); joining on the matched
+    value of ``'s'`` gives it without a condition-free join.
+    """
+    counts: dict[str, int] = {}
+    for u in units:
+        for c in u.constants:
+            counts[c] = counts.get(c, 0) + 1
+    shared = sorted(c for c, k in counts.items() if k >= 2)
+    keys = {c: f"__const{i}" for i, c in enumerate(shared)}
+    for u in units:
+        u.keys = {c: keys[c] for c in u.constants if c in keys}
+
+
 def check_connected(units: list[Unit]) -> None:
     """Every unit must reach every other through shared variables."""
     if len(units) <= 1:
@@ -252,6 +275,7 @@ def match(
 
     ground = [p for p in pats if not p.variables]
     units = _units(store, [p for p in pats if p.variables], layout, min_group_size)
+    share_constants(units)
     check_connected(units)
 
     if units:
