@@ -228,13 +228,13 @@ def reduce_frames(units: list[Unit], frames: list[DataFrame], materialize: bool
     for i, p in enumerate(parent):
         if p is not None:
             children[p].append(i)
+    if materialize:
+        shared_dir(frames[0].sparkSession)
+        frames = [f.checkpoint(eager=True) for f in frames]
     # post-order for the upward pass: a node after all of its children
     for i in reversed(range(len(units))):
         for c in children[i]:
             frames[i] = semijoin(frames[i], frames[c])
-    if materialize:
-        shared_dir(frames[0].sparkSession)
-        frames = [f.checkpoint(eager=True) for f in frames]
     # pre-order for the downward pass: a node before its children
     for i in range(len(units)):
         for c in children[i]:
@@ -257,8 +257,12 @@ def match(
 
     ``select`` lists the variables to return (default: all, in order of first
     appearance).  ``layout`` is ``"vp"`` or ``"mixed"``.  ``reduce`` adds the
-    semi-join passes; ``materialize`` checkpoints the reduced inputs to the
-    shared folder (``spark.checkpoint.dir``) so a long lineage is cut once.
+    semi-join passes; ``materialize`` first checkpoints each unit's filtered
+    input to the shared folder (``spark.checkpoint.dir``), so the passes plan
+    over short scans: use it when the store reads in-memory triples built
+    from a union of sources (Catalyst pushes semi-joins into every branch of a
+    union, which grows the plan with the query size); stored layouts don't
+    need it.
     """
     pats = [as_pattern(x) for x in patterns]
     if not pats:
