@@ -280,6 +280,18 @@ def q_join_reduced(spark, sf_dir):
     return match(_store(spark, sf_dir), CHAIN, ["o", "n"], reduce=True)
 
 
+def q_join_reduced_auto(spark, sf_dir):
+    return match(_store(spark, sf_dir), CYCLE, ["o", "c", "s", "n"], reduce="auto")
+
+
+def q_catalogue_roundtrip(spark, sf_dir):
+    from spoframe.sources import read_catalogue
+
+    store = _store(spark, sf_dir)
+    base = _STORES[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))]
+    return read_catalogue(spark, os.path.join(base, "catalogue"))
+
+
 def q_bgp_vp(spark, sf_dir):
     return match(_store(spark, sf_dir), SNOWFLAKE, ["o", "n", "st"])
 
@@ -518,6 +530,12 @@ def oracle_sql() -> dict[str, str]:
             f"(SELECT s FROM {_pred('status')} WHERE o = 'F'))"
         ),
         "join_reduced": _CHAIN_SQL,
+        "join_reduced_auto": _CYCLE_SQL,
+        "catalogue_roundtrip": (
+            "SELECT p, 'http___ex_org_' || substr(p, 16, length(p) - 16) AS column, "
+            "CASE WHEN max(k) > 1 THEN 1 ELSE 0 END AS is_complex "
+            "FROM (SELECT p, s, count(*) AS k FROM triples GROUP BY p, s) GROUP BY p"
+        ),
         "bgp_vp": _SNOWFLAKE_SQL,
         "bgp_mixed": _MIXED_SQL,
         "bgp_mixed_reduced": _MIXED_SQL,

@@ -22,7 +22,7 @@ from spoframe.functions.names import column_map
 
 # Largest list a property-table cell may hold; heavier predicates stay in the
 # partitioned layout only.
-DEFAULT_MAX_VALUES = 10_000
+DEFAULT_MAX_VALUES = 1_000
 # Widest table built without an explicit predicate subset.
 DEFAULT_MAX_COLUMNS = 2_000
 

@@ -220,9 +220,19 @@ def _tree(units: list[Unit]) -> list[int | None]:
     return parent
 
 
-def reduce_frames(units: list[Unit], frames: list[DataFrame], materialize: bool = False) -> list[DataFrame]:
-    """D-3, D-4: upward (children into parents) then downward semi-join passes."""
+def reduce_frames(
+    units: list[Unit],
+    frames: list[DataFrame],
+    materialize: bool = False,
+    reducible: list[bool] | None = None,
+) -> list[DataFrame]:
+    """D-3, D-4: upward (children into parents) then downward semi-join passes.
+
+    ``reducible[i]`` False skips the semi-joins at parent ``i`` in both passes
+    (the gate of ``reduce="auto"``); by default every parent takes part.
+    """
     frames = list(frames)
+    gate = reducible or [True] * len(units)
     parent = _tree(units)
     children: list[list[int]] = [[] for _ in units]
     for i, p in enumerate(parent):
@@ -233,11 +243,11 @@ def reduce_frames(units: list[Unit], frames: list[DataFrame], materialize: bool
         frames = [f.checkpoint(eager=True) for f in frames]
     # post-order for the upward pass: a node after all of its children
     for i in reversed(range(len(units))):
-        for c in children[i]:
+        for c in children[i] if gate[i] else []:
             frames[i] = semijoin(frames[i], frames[c])
     # pre-order for the downward pass: a node before its children
     for i in range(len(units)):
-        for c in children[i]:
+        for c in children[i] if gate[i] else []:
             frames[c] = semijoin(frames[c], frames[i])
     return frames
 
@@ -249,15 +259,17 @@ def match(
     *,
     layout: str = "vp",
     min_group_size: int = 2,
-    reduce: bool = False,
+    reduce: bool | str = False,
     use_stats: bool = True,
     materialize: bool = False,
 ) -> DataFrame:
     """G1: the DISTINCT solutions of a connected conjunction of patterns.
 
     ``select`` lists the variables to return (default: all, in order of first
-    appearance).  ``layout`` is ``"vp"`` or ``"mixed"``.  ``reduce`` adds the
-    semi-join passes; ``materialize`` first checkpoints each unit's filtered
+    appearance).  ``layout`` is ``"vp"`` or ``"mixed"``.  ``reduce=True`` adds
+    the semi-join passes at every node; ``reduce="auto"`` only at single
+    patterns whose predicate is multi-valued (``size > distinct_subjects`` in
+    the statistics; no statistics, no reduction); ``materialize`` first checkpoints each unit's filtered
     input to the shared folder (``spark.checkpoint.dir``), so the passes plan
     over short scans: use it when the store reads in-memory triples built
     from a union of sources (Catalyst pushes semi-joins into every branch of a
@@ -287,7 +299,17 @@ def match(
         order = order_units(units, _scores(units, stats), stats)
         units = [units[i] for i in order]
         frames = [u.frame(store) for u in units]
-        if reduce and len(frames) > 1:
+        if reduce == "auto":
+            gate = [
+                bool(stats) and not u.star and stats.get(u.patterns[0].p, (0, 0, 0))[0]
+                > stats.get(u.patterns[0].p, (0, 0, 0))[1]
+                for u in units
+            ]
+            if any(gate) and len(frames) > 1:
+                frames = reduce_frames(units, frames, materialize, gate)
+        elif reduce not in (True, False):
+            raise ValueError(f"reduce must be True, False or 'auto', got {reduce!r}")
+        elif reduce and len(frames) > 1:
             frames = reduce_frames(units, frames, materialize)
         result, bound = frames[0], set(units[0].variables)
         for u, f in zip(units[1:], frames[1:]):

@@ -51,7 +51,7 @@ def test_store_shape(store):
 @pytest.mark.parametrize("pats,select", [(E.MIXED, None), (E.CYCLE, None), (E.SNOWFLAKE, ["o", "n", "st"])])
 def test_layouts_reduction_and_stats_agree(store, pats, select):
     base = rows_of(match(store, pats, select, use_stats=False))
-    for layout, reduce, use_stats in itertools.product(["vp", "mixed"], [False, True], [False, True]):
+    for layout, reduce, use_stats in itertools.product(["vp", "mixed"], [False, True, "auto"], [False, True]):
         got = match(store, pats, select, layout=layout, reduce=reduce, use_stats=use_stats)
         assert rows_of(got) == base, (layout, reduce, use_stats)
 
