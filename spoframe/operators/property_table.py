@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoframe.functions.names import column_map
+from spoframe.sources.layouts import only_predicates
 
 # Largest list a property-table cell may hold; heavier predicates stay in the
 # partitioned layout only.
@@ -70,7 +71,7 @@ def grouped_properties(triples: DataFrame, predicates: list[str]) -> DataFrame:
     order rows arrive in and is not defined.
     """
     per_pair = (
-        triples.where(F.col("p").isin(list(predicates)))
+        only_predicates(triples, predicates)
         .repartition("s")
         .groupBy("s", "p")
         .agg(F.collect_list("o").alias("os"))

@@ -1,6 +1,8 @@
 """Sources and sinks: triple text, relational tables, stored layouts."""
 
 from spoframe.sources.layouts import (
+    only_predicates,
+    predicate_id,
     read_catalogue,
     read_property_table,
     read_result,
@@ -17,6 +19,8 @@ from spoframe.sources.tables import predicate, triples_from_tables
 from spoframe.sources.text import read_triples, write_triples
 
 __all__ = [
+    "only_predicates",
+    "predicate_id",
     "predicate",
     "read_catalogue",
     "read_property_table",

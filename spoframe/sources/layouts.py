@@ -1,8 +1,11 @@
 """Readers and writers for the stored layouts (A3-A10).
 
-* partitioned layout: one Parquet dataset ``partitionBy("p")`` with ``s, o``;
-  the partition value is the verbatim predicate, so a scan for one predicate
-  is a partition-pruned directory listing.
+* partitioned layout: one Parquet dataset with ``s, o, p`` partitioned by
+  ``pid = xxhash64(p)``.  A scan for one predicate filters ``pid`` (constant
+  folded, so it is a partition-pruned directory listing) and ``p`` (exact,
+  even if two predicates ever shared an id).  Directory names stay short and
+  any predicate text works, including ``""`` and very long IRIs, which Hive
+  style ``p=<value>`` directories cannot hold.
 * property table: one row per subject, Parquet.
 * catalogue ``(p, column, is_complex)`` and statistics, Parquet.
 * query results, Parquet.
@@ -10,10 +13,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VP_SCHEMA = "s string, o string, p string"
+VP_SCHEMA = "s string, o string, p string, pid bigint"
 STATS_SCHEMA = (
     "p string, size bigint, distinct_subjects bigint, distinct_objects bigint, "
     "max_multiplicity bigint, is_complex boolean"
@@ -21,6 +24,11 @@ STATS_SCHEMA = (
 CATALOGUE_SCHEMA = "p string, column string, is_complex int"
 
 
+def predicate_id(p: Column | str) -> Column:
+    """The partition id of a predicate (a 64-bit hash of its text)."""
+    return F.xxhash64(F.col(p) if isinstance(p, str) else p)
+
+
 def write_vp(triples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A4: all predicates in one job, one directory per predicate.
 
@@ -30,23 +38,35 @@ def write_vp(triples: DataFrame, path: str, mode: str = "errorifexists") -> None
     so a constant-subject filter skips row groups.
     """
     (
-        triples.select("s", "o", "p")
-        .hint("rebalance", "p")
-        .sortWithinPartitions("p", "s")
+        triples.select("s", "o", "p", predicate_id("p").alias("pid"))
+        .hint("rebalance", "pid")
+        .sortWithinPartitions("pid", "s")
         .write.mode(mode)
-        .partitionBy("p")
+        .partitionBy("pid")
         .parquet(path)
     )
 
 
 def read_vp(spark: SparkSession, path: str) -> DataFrame:
-    """The partitioned layout as ``(s, o, p)``; ``p`` stays a string whatever it looks like."""
+    """The partitioned layout as ``(s, o, p, pid)``."""
     return spark.read.schema(VP_SCHEMA).parquet(path)
 
 
+def only_predicates(rows: DataFrame, predicates: list[str]) -> DataFrame:
+    """Rows of the given predicates; partition pruned when ``rows`` is stored."""
+    preds = list(predicates)
+    cond = F.col("p").isin(preds)
+    if "pid" in rows.columns:
+        cond = F.col("pid").isin([predicate_id(F.lit(x)) for x in preds]) & cond
+    return rows.where(cond)
+
+
 def scan_vp(vp: DataFrame, p: str) -> DataFrame:
     """A3 + B5: the ``(s, o)`` rows of one predicate (partition pruned when stored)."""
-    return vp.where(F.col("p") == F.lit(p)).select("s", "o")
+    cond = F.col("p") == F.lit(p)
+    if "pid" in vp.columns:
+        cond = (F.col("pid") == predicate_id(F.lit(p))) & cond
+    return vp.where(cond).select("s", "o")
 
 
 def write_property_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 from conftest import rows_of, triples_df
@@ -25,3 +26,30 @@ def test_text_round_trip_keeps_awkward_values(spark, tmp_out):
 def test_writer_refuses_tab_in_value(spark, tmp_out):
     with pytest.raises(Exception):
         write_triples(triples_df(spark, [("s", "p", "a\tb")]), os.path.join(tmp_out, "bad"))
+
+
+def test_partitioned_layout_keeps_any_predicate_text(spark, tmp_out):
+    from spoframe.sources import read_vp, scan_vp, write_vp
+
+    preds = ["123", "a/b=c%d", "x y", "", "<http://x/é>", "null", "__HIVE_DEFAULT_PARTITION__", "<" + "p" * 400 + ">"]
+    rows = [("s", p, f"o{i}") for i, p in enumerate(preds)]
+    path = os.path.join(tmp_out, "vp")
+    write_vp(triples_df(spark, rows), path)
+    vp = read_vp(spark, path)
+    assert rows_of(vp, "s", "p", "o") == sorted(rows)
+    for i, p in enumerate(preds):
+        assert [r["o"] for r in scan_vp(vp, p).collect()] == [f"o{i}"]
+
+
+def test_predicate_scan_is_partition_pruned(spark, tmp_out):
+    from pyspark.sql import functions as F
+
+    from spoframe.sources import predicate_id, read_vp, scan_vp, write_vp
+
+    path = os.path.join(tmp_out, "vp")
+    write_vp(triples_df(spark, [("s", "p", "o"), ("s", "q", "o")]), path)
+    plan = scan_vp(read_vp(spark, path), "p")._jdf.queryExecution().executedPlan().toString()
+    pid = spark.range(1).select(predicate_id(F.lit("p"))).first()[0]
+    found = re.search(r"PartitionFilters: \[isnotnull\(pid#\d+L?\), \(pid#\d+L? = (-?\d+)\)\]", plan)
+    assert found and int(found.group(1)) == pid, plan
+    assert "EqualTo(p,p)" in plan
