@@ -181,10 +181,11 @@ def fanout(unit: Unit, bound: set[str], stats: dict[str, tuple[int, int, int]])
 def order_units(
     units: list[Unit], scores: list[float], stats: dict[str, tuple[int, int, int]] | None = None
 ) -> list[int]:
-    """Lowest score first; then, among units sharing a variable with those
-    taken, the smallest estimated fan-out (with statistics) and the lowest score."""
+    """Lowest score first (ties: fewest estimated rows); then, among units
+    sharing a variable with those taken, the smallest estimated fan-out (with
+    statistics) and the lowest score."""
     remaining = list(range(len(units)))
-    first = min(remaining, key=lambda i: (scores[i], i))
+    first = min(remaining, key=lambda i: (scores[i], fanout(units[i], set(), stats) if stats else 0.0, i))
     order, bound = [first], set(units[first].variables)
     remaining.remove(first)
     while remaining:

@@ -96,3 +96,21 @@ def test_join_and_semijoin_primitives(spark):
 def test_scan_pattern_keeps_rows(spark):
     rows = spark.createDataFrame([("a", "b"), ("a", "b")], "s string, o string")
     assert scan_pattern(rows, (x, "p", y)).count() == 2
+
+
+def test_order_avoids_low_cardinality_join_and_prefers_selective_constant():
+    from spoframe.plans.match import Unit, _scores, order_units
+    from spoframe.operators import Pattern
+
+    o, c, n, s_ = Var("o"), Var("c"), Var("n"), Var("s")
+    cycle = [Pattern(o, "placedBy", c), Pattern(c, "inNation", n), Pattern(o, "hasSupplier", s_), Pattern(s_, "inNation", n)]
+    units = [Unit([p], False) for p in cycle]
+    stats = {"placedBy": (150_000, 150_000, 10_000), "inNation": (16_000, 16_000, 25), "hasSupplier": (600_000, 150_000, 1_000)}
+    order = order_units(units, _scores(units, stats), stats)
+    assert order == [1, 0, 2, 3]  # never inNation-inNation on ?n as the second step
+    # among constant patterns the one matching fewer rows goes first
+    pats = [Pattern(x, "type", "Person"), Pattern(x, "name", "Ada")]
+    units = [Unit([p], False) for p in pats]
+    stats = {"type": (3_000_000, 3_000_000, 3), "name": (3_000_000, 3_000_000, 2_900_000)}
+    assert order_units(units, _scores(units, stats), stats)[0] == 1
+    assert order_units(units, _scores(units, None), None) == [0, 1]
