@@ -32,19 +32,19 @@ def predicate_id(p: Column | str) -> Column:
 def write_vp(triples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A4: all predicates in one job, one directory per predicate.
 
-    ``rebalance`` lets AQE cut a predicate that holds a large share of all
-    rows into several evenly sized files and pack small predicates together;
-    sorting by subject inside each file gives tight row-group ranges on ``s``
+    With adaptive execution on (the default), ``rebalance`` lets AQE cut a
+    predicate that holds a large share of all rows into several evenly sized
+    files and pack small predicates together.  With it off, range
+    partitioning on ``(pid, s, o)`` does the splitting from sampled bounds.
+    Sorting by subject inside each file gives tight row-group ranges on ``s``
     so a constant-subject filter skips row groups.
     """
-    (
-        triples.select("s", "o", "p", predicate_id("p").alias("pid"))
-        .hint("rebalance", "pid")
-        .sortWithinPartitions("pid", "s")
-        .write.mode(mode)
-        .partitionBy("pid")
-        .parquet(path)
-    )
+    rows = triples.select("s", "o", "p", predicate_id("p").alias("pid"))
+    if triples.sparkSession.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
+        rows = rows.hint("rebalance", "pid")
+    else:
+        rows = rows.repartitionByRange("pid", "s", "o")
+    rows.sortWithinPartitions("pid", "s").write.mode(mode).partitionBy("pid").parquet(path)
 
 
 def read_vp(spark: SparkSession, path: str) -> DataFrame:

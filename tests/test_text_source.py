@@ -53,3 +53,18 @@ def test_predicate_scan_is_partition_pruned(spark, tmp_out):
     found = re.search(r"PartitionFilters: \[isnotnull\(pid#\d+L?\), \(pid#\d+L? = (-?\d+)\)\]", plan)
     assert found and int(found.group(1)) == pid, plan
     assert "EqualTo(p,p)" in plan
+
+
+def test_partitioned_write_without_adaptive_execution(spark, tmp_out):
+    from spoframe.sources import read_vp, scan_vp, write_vp
+
+    rows = [("s%d" % i, "hot", "o%d" % i) for i in range(200)] + [("a", "cold", "b")]
+    path = os.path.join(tmp_out, "vp")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_vp(triples_df(spark, rows), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    vp = read_vp(spark, path)
+    assert scan_vp(vp, "hot").count() == 200
+    assert rows_of(scan_vp(vp, "cold")) == [("a", "b")]
