@@ -26,6 +26,8 @@ class Var:
     def __post_init__(self):
         if not isinstance(self.name, str) or not self.name:
             raise ValueError("a variable needs a non-empty name")
+        if self.name.startswith("__"):
+            raise ValueError("variable names starting with '__' are reserved")
 
     def __repr__(self):
         return f"?{self.name}"

@@ -270,13 +270,15 @@ def match(
     appearance).  ``layout`` is ``"vp"`` or ``"mixed"``.  ``reduce=True`` adds
     the semi-join passes at every node; ``reduce="auto"`` only at single
     patterns whose predicate is multi-valued (``size > distinct_subjects`` in
-    the statistics; no statistics, no reduction); ``materialize`` first checkpoints each unit's filtered
-    input to the shared folder (``spark.checkpoint.dir``), so the passes plan
-    over short scans: use it when the store reads in-memory triples built
-    from a union of sources (Catalyst pushes semi-joins into every branch of a
-    union, which grows the plan with the query size); stored layouts don't
-    need it.
+    the statistics; without statistics there is no reduction).
+    ``materialize`` first checkpoints each unit's filtered input to the shared
+    folder (``spark.checkpoint.dir``), so the passes plan over short scans:
+    use it when the store reads in-memory triples built from a union of
+    sources (Catalyst pushes semi-joins into every branch of a union, which
+    grows the plan with the query size); stored layouts don't need it.
     """
+    if reduce not in (True, False, "auto"):
+        raise ValueError(f"reduce must be True, False or 'auto', got {reduce!r}")
     pats = [as_pattern(x) for x in patterns]
     if not pats:
         raise ValueError("match needs at least one pattern")
@@ -289,6 +291,8 @@ def match(
     unknown = [v for v in wanted if v not in variables]
     if unknown:
         raise ValueError(f"selected variables not in any pattern: {unknown}")
+    if len(set(wanted)) != len(wanted):
+        raise ValueError(f"a variable is selected twice: {wanted}")
 
     ground = [p for p in pats if not p.variables]
     units = _units(store, [p for p in pats if p.variables], layout, min_group_size)
@@ -301,15 +305,9 @@ def match(
         units = [units[i] for i in order]
         frames = [u.frame(store) for u in units]
         if reduce == "auto":
-            gate = [
-                bool(stats) and not u.star and stats.get(u.patterns[0].p, (0, 0, 0))[0]
-                > stats.get(u.patterns[0].p, (0, 0, 0))[1]
-                for u in units
-            ]
+            gate = [bool(stats) and not u.star and _multivalued(stats, u.patterns[0].p) for u in units]
             if any(gate) and len(frames) > 1:
                 frames = reduce_frames(units, frames, materialize, gate)
-        elif reduce not in (True, False):
-            raise ValueError(f"reduce must be True, False or 'auto', got {reduce!r}")
         elif reduce and len(frames) > 1:
             frames = reduce_frames(units, frames, materialize)
         result, bound = frames[0], set(units[0].variables)
@@ -324,6 +322,11 @@ def match(
     return result.select(*wanted).distinct()
 
 
+def _multivalued(stats: dict[str, tuple[int, int, int]], p: str) -> bool:
+    size, distinct, _ = stats.get(p, (0, 0, 0))
+    return size > distinct
+
+
 def match_all(store: TripleStore, queries: dict, **options) -> dict[str, DataFrame]:
     """Plan every named query ``{name: (patterns, select)}`` over one store."""
     return {name: match(store, pats, sel, **options) for name, (pats, sel) in queries.items()}
