@@ -12,6 +12,7 @@ from spoframe.sources.layouts import (
     write_catalogue,
     write_property_table,
     write_result,
+    write_result_table,
     write_stats,
     write_vp,
 )
@@ -33,6 +34,7 @@ __all__ = [
     "write_catalogue",
     "write_property_table",
     "write_result",
+    "write_result_table",
     "write_stats",
     "write_triples",
     "write_vp",

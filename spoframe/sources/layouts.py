@@ -106,3 +106,22 @@ def write_result(result: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def _quoted(identifier: str) -> str:
+    return "`" + identifier.replace("`", "``") + "`"
+
+
+def write_result_table(result: DataFrame, table: str, database: str | None = None, mode: str = "overwrite") -> str:
+    """A2 + A10: a query result as a catalog table, creating the database if needed.
+
+    Returns the qualified table name.  Names are quoted identifiers, never
+    pasted as SQL text.
+    """
+    spark = result.sparkSession
+    name = _quoted(table)
+    if database is not None:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(database)}")
+        name = f"{_quoted(database)}.{name}"
+    result.write.mode(mode).format("parquet").saveAsTable(name)
+    return name

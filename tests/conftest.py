@@ -22,6 +22,7 @@ def spark():
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spoframe-test-warehouse-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
