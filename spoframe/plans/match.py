@@ -224,13 +224,19 @@ def _tree(units: list[Unit]) -> list[int | None]:
 def reduce_frames(
     units: list[Unit],
     frames: list[DataFrame],
-    materialize: bool = False,
+    materialize: bool = True,
     reducible: list[bool] | None = None,
 ) -> list[DataFrame]:
     """D-3, D-4: upward (children into parents) then downward semi-join passes.
 
-    ``reducible[i]`` False skips the semi-joins at parent ``i`` in both passes
-    (the gate of ``reduce="auto"``); by default every parent takes part.
+    Each reduced node feeds its parent, its children and the final join, and
+    the downward pass nests every ancestor, so a lazy plan re-reads inputs a
+    number of times that grows with the square of the query size.  With
+    ``materialize`` every node is checkpointed to the shared folder
+    (``spark.checkpoint.dir``) right after it is reduced: each input is scanned once or twice
+    and the final join reads short scans.  ``reducible[i]`` False skips the
+    semi-joins at parent ``i`` in both passes (the gate of
+    ``reduce="auto"``); by default every parent takes part.
     """
     frames = list(frames)
     gate = reducible or [True] * len(units)
@@ -240,16 +246,23 @@ def reduce_frames(
         if p is not None:
             children[p].append(i)
     if materialize:
-        shared_dir(frames[0].sparkSession)
-        frames = [f.checkpoint(eager=True) for f in frames]
-    # post-order for the upward pass: a node after all of its children
+        shared_dir(frames[0].sparkSession)  # checkpoints go to spark.checkpoint.dir
+
+    def keep(df: DataFrame) -> DataFrame:
+        # an eager reliable checkpoint computes the frame once and cuts its lineage
+        return df.checkpoint(eager=True) if materialize else df
+
+    # upward pass, post-order (children have larger indices than parents)
     for i in reversed(range(len(units))):
-        for c in children[i] if gate[i] else []:
-            frames[i] = semijoin(frames[i], frames[c])
-    # pre-order for the downward pass: a node before its children
+        if gate[i] and children[i]:
+            for c in children[i]:
+                frames[i] = semijoin(frames[i], frames[c])
+            frames[i] = keep(frames[i])
+    # downward pass, pre-order: a node is final before its children use it
     for i in range(len(units)):
-        for c in children[i] if gate[i] else []:
-            frames[c] = semijoin(frames[c], frames[i])
+        if gate[i]:
+            for c in children[i]:
+                frames[c] = keep(semijoin(frames[c], frames[i]))
     return frames
 
 
@@ -262,7 +275,7 @@ def match(
     min_group_size: int = 2,
     reduce: bool | str = False,
     use_stats: bool = True,
-    materialize: bool = False,
+    materialize: bool = True,
 ) -> DataFrame:
     """G1: the DISTINCT solutions of a connected conjunction of patterns.
 
@@ -271,11 +284,10 @@ def match(
     the semi-join passes at every node; ``reduce="auto"`` only at single
     patterns whose predicate is multi-valued (``size > distinct_subjects`` in
     the statistics; without statistics there is no reduction).
-    ``materialize`` first checkpoints each unit's filtered input to the shared
-    folder (``spark.checkpoint.dir``), so the passes plan over short scans:
-    use it when the store reads in-memory triples built from a union of
-    sources (Catalyst pushes semi-joins into every branch of a union, which
-    grows the plan with the query size); stored layouts don't need it.
+    With a reduction, ``materialize`` (default) writes each reduced input
+    to the shared folder (``spark.checkpoint.dir``) as soon as it is reduced,
+    so no input is re-read for every later use; ``materialize=False`` keeps
+    the whole reduction lazy (one plan, fine for a few patterns).
     """
     if reduce not in (True, False, "auto"):
         raise ValueError(f"reduce must be True, False or 'auto', got {reduce!r}")
