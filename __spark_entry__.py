@@ -21,6 +21,7 @@ from spoframe.functions.names import name_variants
 from spoframe.operators import (
     Var,
     distinct_predicates,
+    graph_stats,
     lookup_stats,
     multivalued_predicates,
     plan_columns,
@@ -145,6 +146,11 @@ def q_predicate_stats(spark, sf_dir):
     return predicate_stats(_triples(spark, sf_dir))
 
 
+def q_graph_stats(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    return graph_stats(store.vp, store.stats)
+
+
 def q_predicate_profile(spark, sf_dir):
     return predicate_profile(predicate_stats(_triples(spark, sf_dir)))
 
@@ -464,6 +470,10 @@ def oracle_sql() -> dict[str, str]:
             "FROM (SELECT p, s, count(*) AS k FROM triples GROUP BY p, s) GROUP BY p"
         ),
         "predicate_stats": _STATS_SQL,
+        "graph_stats": (
+            "SELECT count(*) AS size, count(DISTINCT s) AS distinct_subjects, "
+            "count(DISTINCT p) AS predicates FROM triples"
+        ),
         "predicate_profile": (
             "SELECT p, size, distinct_subjects, is_complex, "
             "round(size / distinct_subjects, 4) AS avg_multiplicity, "

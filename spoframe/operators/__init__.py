@@ -5,6 +5,7 @@ from spoframe.operators.patterns import Pattern, Var, as_pattern, scan_pattern,
 from spoframe.operators.profile import (
     catalogue_from_stats,
     distinct_predicates,
+    graph_stats,
     lookup_stats,
     multivalued_predicates,
     predicate_catalogue,
@@ -30,6 +31,7 @@ __all__ = [
     "catalogue_from_stats",
     "columns_from_catalogue",
     "distinct_predicates",
+    "graph_stats",
     "grouped_properties",
     "lookup_stats",
     "multivalued_predicates",

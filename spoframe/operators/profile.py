@@ -71,6 +71,22 @@ def predicate_stats(triples: DataFrame) -> DataFrame:
     )
 
 
+def graph_stats(triples: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Whole-graph statistics, one row: ``size, distinct_subjects, predicates``.
+
+    ``distinct_subjects`` is exact: subjects are counted after a map-side
+    combined ``distinct`` (keyed on ``s``, so a hot subject is one row per
+    task), as a scalar subquery Spark runs once.  ``size`` and ``predicates``
+    come from the per-predicate statistics when given.
+    """
+    subjects = triples.select("s").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    if stats is None:
+        totals = triples.agg(F.count(F.lit(1)).alias("size"), F.count_distinct("p").alias("predicates"))
+    else:
+        totals = stats.agg(F.sum("size").cast("bigint").alias("size"), F.count(F.lit(1)).alias("predicates"))
+    return totals.select("size", subjects.alias("distinct_subjects"), "predicates")
+
+
 def catalogue_from_stats(stats: DataFrame) -> DataFrame:
     """``(p, is_complex)`` read off the statistics (no second pass over triples)."""
     return stats.select("p", F.col("is_complex").cast("int").alias("is_complex"))

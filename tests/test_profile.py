@@ -49,3 +49,15 @@ def test_lookup_unknown_is_minus_one(spark):
     wanted = spark.createDataFrame([("likes",), ("nope",)], "p string")
     got = {r["p"]: (r["size"], r["distinct_subjects"]) for r in lookup_stats(predicate_stats(t), wanted).collect()}
     assert got == {"likes": (2, 1), "nope": (-1, -1)}
+
+
+def test_graph_stats(spark):
+    from spoframe.operators import graph_stats
+
+    t = triples_df(spark, WORKED + [("s2", "has", "o3"), ("s2", "has", "o3")])
+    expected = [(6, 2, 3)]
+    assert rows_of(graph_stats(t), "size", "distinct_subjects", "predicates") == expected
+    got = graph_stats(t, predicate_stats(t))
+    assert rows_of(got, "size", "distinct_subjects", "predicates") == expected
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
