@@ -16,6 +16,7 @@ from spoframe.operators.property_table import (
     plan_columns,
     property_table,
 )
+from spoframe.session import shared_dir
 from spoframe.sources.layouts import (
     read_catalogue,
     read_property_table,
@@ -62,12 +63,16 @@ class TripleStore:
         predicates: list[str] | None = None,
         max_values: int = DEFAULT_MAX_VALUES,
     ) -> TripleStore:
-        """A store over in-memory triples (nothing written; every layout is a lazy plan).
+        """A store over in-memory triples; the layouts stay lazy plans.
 
-        Choosing the property-table columns reads the statistics once on the
-        driver (one row per predicate).
+        The statistics (one row per predicate) are computed once and
+        checkpointed to the shared folder when they are needed: for choosing
+        the property-table columns or for join ordering (``with_stats``).
         """
         stats = predicate_stats(triples)
+        if with_stats or (with_property_table and property_table_columns is None):
+            shared_dir(triples.sparkSession)
+            stats = stats.checkpoint(eager=True)
         cols = property_table_columns
         if cols is None and with_property_table:
             cols = plan_columns(stats, predicates, max_values)
