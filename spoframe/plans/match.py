@@ -201,15 +201,7 @@ def order_units(
 
 
 def _query_stats(store: TripleStore, units: list[Unit]) -> dict[str, tuple[int, int, int]] | None:
-    if store.stats is None:
-        return None
-    preds = sorted({pat.p for u in units for pat in u.patterns})
-    rows = (
-        store.stats.where(F.col("p").isin(preds))
-        .select("p", "size", "distinct_subjects", "distinct_objects")
-        .collect()
-    )  # at most one row per query predicate
-    return {r["p"]: (r["size"], r["distinct_subjects"], r["distinct_objects"]) for r in rows}
+    return store.stats_for({pat.p for u in units for pat in u.patterns})
 
 
 def _tree(units: list[Unit]) -> list[int | None]:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoframe.operators.profile import catalogue_from_stats, predicate_stats, with_columns
 from spoframe.operators.property_table import (
@@ -43,6 +44,7 @@ class TripleStore:
     property_table: DataFrame | None = None
     pt_columns: dict[str, PTColumn] = field(default_factory=dict)
     stats: DataFrame | None = None
+    _stat_rows: dict[str, tuple[int, int, int]] = field(default_factory=dict, repr=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -52,6 +54,25 @@ class TripleStore:
         """``(s, o)`` of one predicate."""
         return scan_vp(self.vp, p)
 
+    def stats_for(self, predicates) -> dict[str, tuple[int, int, int]] | None:
+        """``p -> (size, distinct_subjects, distinct_objects)`` for a query's predicates.
+
+        Fetched once per predicate and kept on the store (the statistics of a
+        store do not change); unknown predicates are absent from the result.
+        """
+        if self.stats is None:
+            return None
+        missing = sorted(set(predicates) - set(self._stat_rows))
+        if missing:
+            rows = (
+                self.stats.where(F.col("p").isin(missing))
+                .select("p", "size", "distinct_subjects", "distinct_objects")
+                .collect()
+            )  # at most one row per requested predicate
+            for r in rows:
+                self._stat_rows[r["p"]] = (r["size"], r["distinct_subjects"], r["distinct_objects"])
+        return {p: self._stat_rows[p] for p in predicates if p in self._stat_rows}
+
     @classmethod
     def from_triples(
         cls,
