@@ -87,22 +87,24 @@ STAR_TWO_EXPLODES = [(o, P("priority"), "1-URGENT"), (o, P("hasPart"), p), (o, P
 # --------------------------------------------------------------------------
 # Shared inputs
 
-_STORES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple[str, str], tuple[str, TripleStore]] = {}
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples_from_tables(spark, sf_dir)
 
 
-def _store(spark: SparkSession, sf_dir: str) -> TripleStore:
-    """The layouts written from ``sf_dir``'s triples (once per application)."""
+def _store_entry(spark: SparkSession, sf_dir: str) -> tuple[str, TripleStore]:
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    base = _STORES.get(key)
-    if base is None:
+    if key not in _STORES:
         base = fresh_path(spark, "store")
-        load_store(_triples(spark, sf_dir), base)
-        _STORES[key] = base
-    return TripleStore.open(spark, base)
+        _STORES[key] = (base, load_store(_triples(spark, sf_dir), base))
+    return _STORES[key]
+
+
+def _store(spark: SparkSession, sf_dir: str) -> TripleStore:
+    """The layouts written from ``sf_dir``'s triples (once per application)."""
+    return _store_entry(spark, sf_dir)[1]
 
 
 def _render_lists(df: DataFrame) -> DataFrame:
@@ -293,8 +295,7 @@ def q_join_reduced_auto(spark, sf_dir):
 def q_catalogue_roundtrip(spark, sf_dir):
     from spoframe.sources import read_catalogue
 
-    store = _store(spark, sf_dir)
-    base = _STORES[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))]
+    base, _ = _store_entry(spark, sf_dir)
     return read_catalogue(spark, os.path.join(base, "catalogue"))
 
 
