@@ -35,7 +35,7 @@ from spoframe.operators import (
     single_valued_predicates,
 )
 from spoframe.plans import TripleStore, load_store, match, match_all, tagged_union
-from spoframe.session import fresh_path
+from spoframe.session import application_id, fresh_path
 from spoframe.sources import (
     predicate as P,
     read_property_table,
@@ -95,7 +95,7 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store_entry(spark: SparkSession, sf_dir: str) -> tuple[str, TripleStore]:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (application_id(spark), os.path.abspath(sf_dir))
     if key not in _STORES:
         base = fresh_path(spark, "store")
         _STORES[key] = (base, load_store(_triples(spark, sf_dir), base))

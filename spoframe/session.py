@@ -17,8 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     session without the setting (tests, a laptop) gets a fresh temporary
     folder; on a cluster the setting is required.
     """
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: only the setting is visible
+        if configured:
+            return configured.rstrip("/")
+        raise ValueError("spark.checkpoint.dir is not set; set it to a folder every executor can reach")
+    found = sc.getCheckpointDir() or configured
     if found:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(found)
@@ -32,6 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def application_id(spark: SparkSession) -> str:
+    """The running application's id (works for classic and remote sessions)."""
+    return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder (one per run)."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
