@@ -19,6 +19,7 @@ from spoframe.operators.property_table import (
 )
 from spoframe.session import shared_dir
 from spoframe.sources.layouts import (
+    complete_triples,
     read_catalogue,
     read_property_table,
     read_stats,
@@ -90,6 +91,7 @@ class TripleStore:
         checkpointed to the shared folder when they are needed: for choosing
         the property-table columns or for join ordering (``with_stats``).
         """
+        triples = complete_triples(triples)
         stats = predicate_stats(triples)
         if with_stats or (with_property_table and property_table_columns is None):
             shared_dir(triples.sparkSession)

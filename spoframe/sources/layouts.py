@@ -29,6 +29,11 @@ def predicate_id(p: Column | str) -> Column:
     return F.xxhash64(F.col(p) if isinstance(p, str) else p)
 
 
+def complete_triples(triples: DataFrame) -> DataFrame:
+    """Rows with a NULL subject, predicate or object are not triples; drop them."""
+    return triples.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull())
+
+
 def write_vp(triples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A4: all predicates in one job, one directory per predicate.
 
@@ -37,9 +42,10 @@ def write_vp(triples: DataFrame, path: str, mode: str = "errorifexists") -> None
     files and pack small predicates together.  With it off, range
     partitioning on ``(pid, s, o)`` does the splitting from sampled bounds.
     Sorting by subject inside each file gives tight row-group ranges on ``s``
-    so a constant-subject filter skips row groups.
+    so a constant-subject filter skips row groups.  Rows with a NULL part
+    are dropped (:func:`complete_triples`).
     """
-    rows = triples.select("s", "o", "p", predicate_id("p").alias("pid"))
+    rows = complete_triples(triples).select("s", "o", "p", predicate_id("p").alias("pid"))
     if triples.sparkSession.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
         rows = rows.hint("rebalance", "pid")
     else:

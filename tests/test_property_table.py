@@ -67,3 +67,13 @@ def test_heavy_predicate_stays_out_of_property_table_results_whole(spark):
     got = match(store, [(s, "p", x), (s, "q", y)], layout="mixed")
     assert got.count() == 31
     assert rows_of(got) == rows_of(match(store, [(s, "p", x), (s, "q", y)]))
+
+
+def test_rows_with_null_parts_are_not_triples(spark, tmp_out):
+    t = triples_df(spark, [("s", "p", "a"), ("s", "p", None), (None, "p", "b"), ("s", None, "c"), ("t", "q", None)])
+    x = Var("x")
+    for store in (TripleStore.from_triples(t, with_property_table=True), load_store(t, os.path.join(tmp_out, "st"))):
+        assert rows_of(match(store, [(Var("s"), "p", x)])) == [("s", "a")]
+        assert rows_of(match(store, [(Var("s"), "p", x)], layout="mixed", min_group_size=1)) == [("s", "a")]
+        assert set(store.pt_columns) == {"p"}
+        assert store.property_table.collect()[0]["p"] == "a"
