@@ -27,8 +27,13 @@ def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def semijoin(left: DataFrame, right: DataFrame) -> DataFrame:
-    """D-3 / D-4: rows of ``left`` with a partner in ``right`` on all shared variables."""
+    """D-3 / D-4: rows of ``left`` with a partner in ``right`` on all shared variables.
+
+    Only the distinct keys of ``right`` matter; deduplicating them map-side
+    means a key repeated across a third of ``right`` reaches the join as one
+    row per task (AQE can split a skewed semi-join only on its left side).
+    """
     on = shared_variables(left, right)
     if not on:
         raise ValueError("the two sides share no variable")
-    return left.join(right.select(*on), on=on, how="left_semi")
+    return left.join(right.select(*on).distinct(), on=on, how="left_semi")
