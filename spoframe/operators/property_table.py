@@ -9,6 +9,9 @@ map lookup.  A cell holds the objects of one subject for one predicate, so its
 size is bounded by the predicate's ``max_multiplicity``; predicates whose
 bound is above ``max_values`` stay out of the table (queries answer them from
 the partitioned layout), so no task ever gathers an unbounded group.
+A map lookup scans the subject's own keys, so building a row costs
+(columns x predicates of that subject); very wide tables should be built
+over a ``predicates=[...]`` subset.
 """
 
 from __future__ import annotations
