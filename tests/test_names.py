@@ -47,3 +47,41 @@ def test_name_collision_gives_three_property_columns(spark):
     assert len(store.property_table.columns) == 4
     row = store.property_table.collect()[0].asDict()
     assert sorted(v for k, v in row.items() if k != "s") == ["1", "2", "3"]
+
+
+def _java_trim(x):
+    i, j = 0, len(x)
+    while i < j and ord(x[i]) <= 0x20:
+        i += 1
+    while j > i and ord(x[j - 1]) <= 0x20:
+        j -= 1
+    return x[i:j]
+
+
+def _strip_pair(x):
+    return x[1:-1] if len(x) >= 2 and x.startswith("<") and x.endswith(">") else x
+
+
+def test_name_forms_against_python(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    alphabet = list("ab_Z09<>/.:#-+ \t%$éß")
+    values = {"".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(300)}
+    values = sorted(values | {"", "<", ">", "<>", "<<a>>", " <x> ", "\t<q>\t"})
+    word = re.compile(r"[^\w]", re.ASCII)
+    expected = {
+        v: (
+            word.sub("_", v),
+            word.sub("_", _java_trim(v.replace("<", "").replace(">", ""))),
+            word.sub("_", v.replace("<", "").replace(">", "")),
+            word.sub("_", _strip_pair(v)),
+            re.sub(r"[^a-zA-Z0-9_]", "_", _strip_pair(v)),
+        )
+        for v in values
+    }
+    df = spark.createDataFrame([(v,) for v in values], "p string")
+    cols = ["table_name", "metastore_name", "catalogue_name", "aggregate_key_name", "valid_column_name"]
+    got = {r["p"]: tuple(r[c] for c in cols) for r in name_variants(df).collect()}
+    assert got == expected
