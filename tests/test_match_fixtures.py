@@ -82,3 +82,25 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["o", "c", "p", "t"]
     assert df.count() == 11
+
+
+def test_fixture_statistics(store):
+    from spoframe.sources import predicate as P
+
+    stats = {r["p"]: (r["size"], r["distinct_subjects"]) for r in store.stats.collect()}
+    assert len(stats) == 14
+    assert stats[P("hasPart")] == (6000, 1473)
+    assert stats[P("did")] == (1000, 15)
+    assert stats[P("name")] == (390, 390)
+
+
+def test_orders_without_parts_have_null_cells(store):
+    from pyspark.sql import functions as F
+
+    from spoframe.sources import predicate as P
+
+    pt = store.property_table
+    has_part = store.pt_columns[P("hasPart")].column
+    placed_by = store.pt_columns[P("placedBy")].column
+    orders = pt.where(F.col(placed_by).isNotNull())
+    assert orders.where(F.col(has_part).isNull()).count() == 27
