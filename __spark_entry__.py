@@ -218,7 +218,7 @@ def q_properties_array(spark, sf_dir):
     triples = _triples(spark, sf_dir)
     preds = sorted(r["p"] for r in distinct_predicates(triples).collect())  # one row per predicate
     cell = lambda a: F.coalesce(F.array_join(F.array_sort(a), "|"), F.lit("NULL"))
-    return properties_array(triples, preds).select(
+    return properties_array(triples, preds, stats=_store(spark, sf_dir).stats).select(
         "s", F.array_join(F.transform("props", cell), ";").alias("props")
     )
 

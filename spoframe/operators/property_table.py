@@ -94,8 +94,30 @@ def property_table(triples: DataFrame, columns: list[PTColumn]) -> DataFrame:
     return grouped_properties(triples, [c.p for c in columns]).select("s", *cells)
 
 
-def properties_array(triples: DataFrame, predicates: list[str]) -> DataFrame:
-    """H1: ``(s, props: array<array<string>>)`` ordered like ``predicates``, NULL if absent."""
+def properties_array(
+    triples: DataFrame,
+    predicates: list[str],
+    stats: DataFrame | None = None,
+    max_values: int = DEFAULT_MAX_VALUES,
+) -> DataFrame:
+    """H1: ``(s, props: array<array<string>>)`` ordered like ``predicates``, NULL if absent.
+
+    Every list is whole, so with ``stats`` the predicates are checked first:
+    one whose ``max_multiplicity`` exceeds ``max_values`` raises instead of
+    gathering an unbounded list into one row (the check reads one statistics
+    row per requested predicate).
+    """
+    if stats is not None:
+        heavy = (
+            stats.where(F.col("p").isin(list(predicates)) & (F.col("max_multiplicity") > max_values))
+            .select("p")
+            .limit(len(predicates))
+            .collect()
+        )
+        if heavy:
+            raise ValueError(
+                f"predicates with more than {max_values} values per subject: {[r['p'] for r in heavy]}"
+            )
     m = F.col("m")
     props = F.array(*[m[F.lit(p)] for p in predicates])
     return grouped_properties(triples, predicates).select("s", props.alias("props"))

@@ -77,3 +77,15 @@ def test_rows_with_null_parts_are_not_triples(spark, tmp_out):
         assert rows_of(match(store, [(Var("s"), "p", x)], layout="mixed", min_group_size=1)) == [("s", "a")]
         assert set(store.pt_columns) == {"p"}
         assert store.property_table.collect()[0]["p"] == "a"
+
+
+def test_properties_array_refuses_unbounded_lists(spark):
+    import pytest
+
+    rows = [("hub", "p", f"o{i}") for i in range(30)] + [("t", "q", "a")]
+    t = triples_df(spark, rows)
+    stats = predicate_stats(t)
+    with pytest.raises(ValueError):
+        properties_array(t, ["p", "q"], stats=stats, max_values=10)
+    got = properties_array(t, ["q"], stats=stats, max_values=10).collect()
+    assert [(r["s"], r["props"]) for r in got] == [("t", [["a"]])]
