@@ -41,3 +41,30 @@ def test_hot_subject_and_duplicate_block(spark, tmp_out):
             assert rows_of(match(store, pats, ["x", "nm"], layout=layout, reduce=reduce)) == base
     # the hot subject's rows are all there (duplicates collapse in DISTINCT only)
     assert match(store, [("item/0", "<hasTag>", t)]).count() == 1500
+
+
+def test_hot_predicate_is_split_into_several_files(spark, tmp_out):
+    from pyspark.sql import functions as F
+
+    from spoframe.sources import predicate_id, read_vp, scan_vp, write_vp
+
+    hot = spark.range(200_000).selectExpr("concat('s', id) AS s", "'<hot>' AS p", "concat('o', id) AS o")
+    cold = spark.range(100).selectExpr("concat('c', id) AS s", "concat('<cold', id % 10, '>') AS p", "'x' AS o")
+    path = os.path.join(tmp_out, "vp")
+    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "256k")
+    try:
+        write_vp(hot.unionByName(cold).repartition(8), path)
+    finally:
+        spark.conf.set(conf, before)
+    pid = spark.range(1).select(predicate_id(F.lit("<hot>"))).first()[0]
+    files = [f for f in os.listdir(os.path.join(path, f"pid={pid}")) if f.endswith(".parquet")]
+    assert len(files) > 1, files  # AQE cut the hot predicate into several files
+    cold_dirs = [d for d in os.listdir(path) if d.startswith("pid=") and d != f"pid={pid}"]
+    assert len(cold_dirs) == 10
+    vp = read_vp(spark, path)
+    assert scan_vp(vp, "<hot>").count() == 200_000
+    # files are sorted by subject: a constant-subject lookup is a pushed filter
+    plan = scan_vp(vp, "<hot>").where("s = 's42'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(s,s42)" in plan
