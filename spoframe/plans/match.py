@@ -224,8 +224,8 @@ def reduce_frames(
     Each reduced node feeds its parent, its children and the final join, and
     the downward pass nests every ancestor, so a lazy plan re-reads inputs a
     number of times that grows with the square of the query size.  With
-    ``materialize`` every node is checkpointed to the shared folder
-    (``spark.checkpoint.dir``) right after it is reduced: each input is scanned once or twice
+    ``materialize`` every node that is read again is checkpointed to the
+    shared folder (``spark.checkpoint.dir``) right after it is reduced: each input is scanned once or twice
     and the final join reads short scans.  ``reducible[i]`` False skips the
     semi-joins at parent ``i`` in both passes (the gate of
     ``reduce="auto"``); by default every parent takes part.
@@ -250,11 +250,15 @@ def reduce_frames(
             for c in children[i]:
                 frames[i] = semijoin(frames[i], frames[c])
             frames[i] = keep(frames[i])
-    # downward pass, pre-order: a node is final before its children use it
+    # downward pass, pre-order: a node is final before its children use it;
+    # a node that reduces children of its own is read again, so it is kept,
+    # while a leaf is read once (by the final join) and stays lazy
     for i in range(len(units)):
         if gate[i]:
             for c in children[i]:
-                frames[c] = keep(semijoin(frames[c], frames[i]))
+                frames[c] = semijoin(frames[c], frames[i])
+                if gate[c] and children[c]:
+                    frames[c] = keep(frames[c])
     return frames
 
 
