@@ -86,6 +86,8 @@ _GRAPH = random_case(random.Random(100))[0]
 CASES += [
     (_GRAPH, [("n1", "p", Var("a")), ("n1", "q", Var("b"))], ["a", "b"]),
     (_GRAPH, [(Var("a"), "p", "n2"), ("n2", "q", Var("b")), (Var("b"), "r", Var("c"))], ["a", "c"]),
+    # a constant object inside a star, shared with another pattern's subject
+    (_GRAPH, [(Var("a"), "p", "n2"), (Var("a"), "q", Var("b")), ("n2", "r", Var("c"))], ["a", "b", "c"]),
 ]
 
 
