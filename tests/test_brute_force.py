@@ -98,7 +98,8 @@ def test_random_patterns_match_brute_force(spark, tmp_out, case):
     df = triples_df(spark, triples)
     stored = load_store(df, os.path.join(tmp_out, "store"))
     in_memory = TripleStore.from_triples(df, with_property_table=True)
-    configs = itertools.product([stored, in_memory], ["vp", "mixed"], [False, True])
+    configs = [(stored, layout, reduce) for layout, reduce in itertools.product(["vp", "mixed"], [False, True])]
+    configs += [(in_memory, "mixed", False), (in_memory, "vp", True)]
     for store, layout, reduce in configs:
         got = match(store, patterns, select, layout=layout, reduce=reduce)
         rows = sorted(tuple(r[v] for v in select) for r in got.collect())
