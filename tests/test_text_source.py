@@ -68,3 +68,14 @@ def test_partitioned_write_without_adaptive_execution(spark, tmp_out):
     vp = read_vp(spark, path)
     assert scan_vp(vp, "hot").count() == 200
     assert rows_of(scan_vp(vp, "cold")) == [("a", "b")]
+
+
+def test_partitioned_layout_refuses_to_overwrite(spark, tmp_out):
+    from spoframe.sources import read_vp, write_vp
+
+    path = os.path.join(tmp_out, "vp")
+    t = triples_df(spark, [("s", "p", "o")])
+    write_vp(t, path)
+    with pytest.raises(Exception):
+        write_vp(t, path)  # A4: fail if the layout exists
+    assert read_vp(spark, path).count() == 1
