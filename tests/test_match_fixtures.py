@@ -104,3 +104,10 @@ def test_orders_without_parts_have_null_cells(store):
     placed_by = store.pt_columns[P("placedBy")].column
     orders = pt.where(F.col(placed_by).isNotNull())
     assert orders.where(F.col(has_part).isNull()).count() == 27
+
+
+def test_fixture_graph_statistics(store):
+    from spoframe.operators import graph_stats
+
+    row = graph_stats(store.vp, store.stats).collect()[0]
+    assert (row["size"], row["distinct_subjects"], row["predicates"]) == (20325, 1905, 14)
