@@ -25,7 +25,9 @@ def read_triples(spark: SparkSession, path: str) -> TripleText:
     """Read tab-separated triples; returns the triples and the rejected lines.
 
     Both outputs are lazy views of the same scan: counting the rejected lines
-    is a separate, optional job.  Lines end at ``\\n`` only.
+    is a separate, optional job.  Lines end at ``\\n`` only, as in a
+    newline-terminated text table: in a CRLF file the ``\\r`` stays part of
+    the object.
     """
     lines = spark.read.option("lineSep", "\n").text(path)
     fields = lines.select(F.col("value").alias("line"), F.split("value", "\t", -1).alias("f"))
