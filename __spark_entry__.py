@@ -53,6 +53,12 @@ from spoframe.sources import (
 )
 from spoframe.sources.tables import TABLE_TRIPLES
 
+try:  # the corpus operators are optional: everything else works without them
+    import corpus_pipeline
+    from spoframe.llm import queries as corpus_queries
+except ImportError:
+    corpus_pipeline = corpus_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # --------------------------------------------------------------------------
@@ -344,7 +350,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+    own = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+    return own | (corpus_queries.queries() | {"pipeline": corpus_pipeline.run} if corpus_queries else {})
 
 
 # --------------------------------------------------------------------------
@@ -560,4 +567,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "result_roundtrip": _CHAIN_SQL,
     }
-    return {k: w + v for k, v in q.items()}
+    own = {k: w + v for k, v in q.items()}
+    if corpus_queries:
+        own |= corpus_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            own["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return own
