@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm import line_dedup, quality_rules
-from spoframe.llm.common import table, written
+from spoframe.llm import line_dedup, packing, quality_rules, warc
+from spoframe.llm.common import squeezed, table, words_of, written
+from spoframe.llm.token_rollup import TokenRollup, count_tokens
+from spoframe.session import fresh_path
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file (not part of this repository)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +34,61 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back: one row a record."""
+    manifest = warc.archive(table(spark, sf_dir, "pages"))
+    chunks = warc.read_warc(manifest, with_data=False)
+    return chunks.filter("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents, one of them sent twice.
+
+    All documents are inserted with word counts; all are inserted again under a
+    tokenizer's version; word counts are revised to words and sentence marks;
+    later copies of equal texts are deleted under both versions.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rollup = TokenRollup(spark, fresh_path(spark, "rollup"))
+    words = count_tokens(docs, "words-1")
+    pieces = written(count_tokens(docs, "word-bpe-49k", tokenizer_path()), "rollup-pieces")
+    marks = F.size(F.split(F.coalesce("text", F.lit("")), r"[.!?]+", -1)).cast("long") - 1
+    revised = docs.select(
+        F.lit("revise").alias("op"), "doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"),
+        (F.size(words_of(squeezed(F.col("text")))) + marks).alias("tokens"),
+    )
+    digest = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = digest.join(first, "digest").filter("doc_id > first")
+    version = F.explode(F.array(F.lit("words-1"), F.lit("word-bpe-49k"))).alias("tokenizer")
+    deleted = later.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", version, F.lit(0).alias("tokens"))
+    rollup.commit("words", words)
+    rollup.commit("pieces", pieces)
+    rollup.commit("revision", revised)
+    rollup.commit("copies", deleted)
+    rollup.commit("pieces", pieces)  # sent again: no effect
+    return rollup.totals()
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens: one row a piece."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "sequence_length")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc": """
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY d) AS f FROM (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages))""",
         "op2_line_dedup": r"""
 WITH pages AS (
   SELECT row_number() OVER () AS k, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
