@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm import line_dedup, packing, quality_rules, warc
+from spoframe.llm import license_scan, line_dedup, mixing, packing, quality_rules, syncmers, warc
 from spoframe.llm.common import squeezed, table, words_of, written
 from spoframe.llm.token_rollup import TokenRollup, count_tokens
 from spoframe.session import fresh_path
@@ -34,6 +34,27 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs)
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the end replaced by the next one's start."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = syncmers.with_anchors(docs, "text", "anchors").withColumn("tie", F.xxhash64("text"))
+    near = {"next_text": "text", "next_anchors": "anchors"}
+    rows = syncmers.with_next(docs, "doc_id", near, tie_col="tie").withColumn("n_chars", F.length("text").cast("long"))
+    third = F.floor(F.col("n_chars") / 3).cast("int")
+    start = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third)
+    rows = rows.withColumn("edited", F.concat(start, F.substring("next_text", F.lit(1), third)))
+    rows = syncmers.with_anchors(rows.drop("text", "next_text"), "edited", "edited_anchors")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.as_text(F.col("anchors")).alias("fingerprint"),
+        syncmers.as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back: one row a record."""
     manifest = warc.archive(table(spark, sf_dir, "pages"))
@@ -41,6 +62,26 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.filter("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: What the mixing query asks for: shares of all tokens by domain.
+TARGET_SHARES = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table's domains: toxic, else low quality, else clean."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of every document for the target shares."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    model = mixing.fit_domains(docs, label_domains(table(spark, sf_dir, "labels")))
+    scored = written(mixing.score(docs, model), "mix-scored")
+    tokens = scored.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    mix = mixing.fit_rates(scored, [TARGET_SHARES.get(d, 0.0) * tokens for d in model.domains])
+    return mixing.with_rates(scored, mix)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches over all documents, one of them sent twice.
 
@@ -77,6 +118,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices that each document contains."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
