@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm import license_scan, line_dedup, mixing, packing, quality_rules, syncmers, warc
+from spoframe.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, syncmers, warc
 from spoframe.llm.common import squeezed, table, words_of, written
 from spoframe.llm.token_rollup import TokenRollup, count_tokens
 from spoframe.session import fresh_path
@@ -34,6 +34,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its text with the end replaced by the next one's start."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -129,6 +134,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS h FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pairs AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL
+  ) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)
+), e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+r(s, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT s AS doc_id, min(v) AS component_id FROM r GROUP BY s) c USING (doc_id)""",
         "op5_warc": """
 SELECT page_id, n AS payload_bytes, d AS payload_digest,
   CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
