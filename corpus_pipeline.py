@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm import line_dedup, quality_rules
-from spoframe.llm.common import quoted, table, written
+from spoframe.llm import line_dedup, mixing, ngram_join, packing, quality_rules
+from spoframe.llm.common import own_name, quoted, table, written
+from spoframe.llm.queries import label_domains, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,45 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select([F.col(quoted(c)) for c in docs.columns])
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with a Jaccard similarity of 0.8 or more on 5-word shingles: the smallest id.
+
+    Documents without words or without an id are in no group and stay.
+    """
+    groups = ngram_join.jaccard_components(docs, size=5, percent=80)
+    later = groups.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id")
+    # of rows that repeat an id with equal texts, one stays
+    unique = docs.dropDuplicates(["doc_id", "text"])
+    return unique.join(later.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rate says: clean tokens are kept, toxic and low ones go to 0."""
+    model = mixing.fit_domains(docs, label_domains(table(spark, sf_dir, "labels")))
+    scored = written(mixing.score(docs.select("doc_id", "text"), model), "mix-scored")
+    sums = [F.sum(F.col("tokens") * F.get("posteriors", F.lit(k))).alias(d) for k, d in enumerate(model.domains)]
+    now = scored.agg(*sums).first().asDict() if sums else {}
+    targets = [(now[d] or 0.0) if d == "clean" else 0.0 for d in model.domains]
+    rated = mixing.with_rates(scored, mixing.fit_rates(scored, targets, high=1.0))
+    key, n = own_name(docs, "_id"), own_name(docs, "_copies")
+    copies = rated.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
+    repeated = joined.select(*[F.col(quoted(c)) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int"))))
+    return repeated.select([F.col(quoted(c)) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: The last stages (tokenizer, differencing) cannot be said in SQL; the tests
 #: hold the whole run against a brute-force version.

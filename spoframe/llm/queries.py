@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, syncmers, warc
+from spoframe.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers, warc
 from spoframe.llm.common import squeezed, table, words_of, written
 from spoframe.llm.token_rollup import TokenRollup, count_tokens
 from spoframe.session import fresh_path
@@ -116,6 +116,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start earlier."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens: one row a piece."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
