@@ -38,7 +38,9 @@ from spoframe.llm.hashing import mixed
 
 GRAM = 32
 #: Bytes of contexts that a task holds in a block before it works them off.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
+#: Windows of a text whose places are numbered at once; one bit more holds a place.
+PLACE_BITS = 22
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -82,24 +84,18 @@ def anchors(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nd
     sums, inverse = _sums(data, _powers(n, _BASE)), _powers(n, _INVERSE)
     at = np.arange(n - GRAM + 1)
     grams = _hash(sums, inverse, at, at + GRAM)
-    low = _smallest(grams, span)
-    p = np.unique(_first_smallest(grams, low, span))
+    # hash and place in one number: the smallest of a window is its first smallest hash
+    found = []
+    for a in range(0, n - least + 1, 1 << PLACE_BITS):
+        part = grams[a : a + (1 << PLACE_BITS) + span - 1]
+        key = (part & ~np.uint64((2 << PLACE_BITS) - 1)) | np.arange(len(part), dtype=np.uint64)
+        place = (_smallest(key, span) & np.uint64((2 << PLACE_BITS) - 1)).astype(np.int64) + a
+        found.append(place[np.append(True, place[1:] != place[:-1])])
+    p = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
     start, end = np.maximum(p - (least - GRAM), 0), np.minimum(p + least, n)
     return p, grams[p].view(np.int64), _hash(sums, inverse, start, end).view(np.int64)
 
 
-def _first_smallest(grams: np.ndarray, low: np.ndarray, span: int) -> np.ndarray:
-    """For each window its first position with the smallest value."""
-    first = np.full(len(low), -1, np.int64)
-    new = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-    # in a run of windows with the same minimum, the position moves on when the last one leaves
-    ends = np.append(new[1:], len(low))
-    for a, b in zip(new.tolist(), ends.tolist(), strict=True):
-        hits = a + np.flatnonzero(grams[a : b - 1 + span] == low[a])
-        first[a:b] = hits[np.searchsorted(hits, np.arange(a, b))]
-    return first
-
-
 def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` (0: separator) in order, and where their first ``least`` bytes change.
 
@@ -112,7 +108,7 @@ def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(7):  # 9 bits each: 7 characters in one number
         rank = (rank << np.uint64(9)) | padded[j : j + n]
     depth = 7
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while depth < least:
         new = np.append(True, rank[order][1:] != rank[order][:-1])
         number = np.zeros(n + depth, np.int64)
@@ -120,16 +116,16 @@ def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         if new.all():
             break
         rank = number[:n] * (n + 2) + number[depth : depth + n]
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         depth *= 2
     # the transform: the character before each suffix, and where that longer suffix stands
     before = text[order - 1]
     before[order == 0] = 0
     back = np.argsort(before, kind="stable")
     # back lists rows by the character before them, so row back[k] leads to place k
-    leads = np.empty(n, np.int64)
-    leads[back] = np.arange(n)
-    following = np.full(n, n, np.int64)  # the next row with the same character before it
+    leads = np.empty(n, np.int32)
+    leads[back] = np.arange(n, dtype=np.int32)
+    following = np.full(n, n, np.int32)  # the next row with the same character before it
     same = before[back][1:] == before[back][:-1]
     following[back[:-1][same]] = back[1:][same]
     first = text[order]
@@ -140,7 +136,7 @@ def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(1, least):
         # a row is the last of its character in its interval if a boundary stands before the next one:
         # the interval extended by that character ends behind the place it leads to
-        so_far = np.cumsum(edge)
+        so_far = np.cumsum(edge, dtype=np.int32)
         last = so_far[following[waiting]] > so_far[waiting]
         if not last.any():
             break
