@@ -152,7 +152,7 @@ def pack(
     end_id: int = 1,
     max_piece: int = 512,
     batch: int = 128,
-    reserve: int = 64,
+    reserve: int = 192,
 ) -> DataFrame:
     """Rows of :data:`SCHEMA`, one a piece: ``ids`` are little-endian unsigned 32-bit."""
     if not 0 < max_piece <= capacity or reserve >= capacity:

@@ -7,7 +7,11 @@ import functools
 import numpy as np
 
 #: Pieces remembered by a worker; beyond it the memory starts anew (results do not change).
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+
+#: Stands between pieces that are encoded in one call; a token of its own.
+BETWEEN = "\x01"
 
 
 class WordTokenizer:
@@ -23,16 +27,35 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
+        between = self._encode(BETWEEN)
+        self._between = int(between[0]) if len(between) == 1 else None
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces in one call, with a mark between them that none of them holds."""
+        ids = self._encode(f" {BETWEEN} ".join(pieces))
+        ends = np.append(np.flatnonzero(ids == self._between), len(ids)) if self._between is not None else [0]
+        if len(ends) != len(pieces):  # the mark is no token of its own here
+            for piece in pieces:
+                self._known[piece] = self._encode(piece).tobytes()
+            return
+        data, start = ids.tobytes(), 0
+        for piece, end in zip(pieces, ends.tolist(), strict=True):
+            self._known[piece] = data[4 * start : 4 * end]
+            start = end + 1
 
     def _pieces(self, texts: list[str]) -> list[list[str]]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        new = list({p for x in split for p in x}.difference(self._known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._known[piece] = np.array(e.ids, "<u4").tobytes()
+        new = {p for x in split for p in x}.difference(self._known)
+        plain = [p for p in new if BETWEEN not in p]
+        for at in range(0, len(plain), 8192):
+            self._learn(plain[at : at + 8192])
+        for piece in new.difference(plain):
+            self._known[piece] = self._encode(piece).tobytes()
         return split
 
     def ids(self, texts: list[str]) -> list[bytes]:
