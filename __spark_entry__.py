@@ -34,7 +34,7 @@ from spoframe.operators import (
     semijoin,
     single_valued_predicates,
 )
-from spoframe.plans import TripleStore, load_store, match, match_all, tagged_union
+from spoframe.plans import TripleStore, load_store, match, match_all, tagged_union, write_all
 from spoframe.session import application_id, fresh_path
 from spoframe.sources import (
     predicate as P,
@@ -222,9 +222,10 @@ def q_property_table(spark, sf_dir):
 
 def q_properties_array(spark, sf_dir):
     triples = _triples(spark, sf_dir)
-    preds = sorted(r["p"] for r in distinct_predicates(triples).collect())  # one row per predicate
+    store = _store(spark, sf_dir)
+    preds = sorted(store.pt_columns)
     cell = lambda a: F.coalesce(F.array_join(F.array_sort(a), "|"), F.lit("NULL"))
-    return properties_array(triples, preds, stats=_store(spark, sf_dir).stats).select(
+    return properties_array(triples, preds).select(
         "s", F.array_join(F.transform("props", cell), ";").alias("props")
     )
 
@@ -301,8 +302,40 @@ def q_join_reduced_auto(spark, sf_dir):
 def q_catalogue_roundtrip(spark, sf_dir):
     from spoframe.sources import read_catalogue
 
-    base, _ = _store_entry(spark, sf_dir)
-    return read_catalogue(spark, os.path.join(base, "catalogue"))
+    return read_catalogue(spark, os.path.join(_store(spark, sf_dir).folder, "catalogue"))
+
+
+def q_property_table_hub(spark, sf_dir):
+    """Every status as a subject with all its orders as one list, and every order with its customer."""
+    triples = _triples(spark, sf_dir)
+    hubs = triples.where(F.col("p") == P("status")).select(
+        F.col("o").alias("s"), F.lit(P("statusOf")).alias("p"), F.col("s").alias("o")
+    )
+    both = hubs.unionByName(triples.where(F.col("p") == P("placedBy")))
+    return _render_lists(property_table(both, plan_columns(predicate_stats(both))))
+
+
+def q_store_reload(spark, sf_dir):
+    """A store loaded twice, the second time without a property table: the second load's rows."""
+    base = fresh_path(spark, "store")
+    triples = _triples(spark, sf_dir)
+    load_store(triples.where(F.col("p").isin(P("brand"), P("type"))), base)
+    rest = triples.where(F.col("p").isin(P("segment"), P("inNation")))
+    store = load_store(rest, base, with_property_table=False, mode="overwrite")
+    return match(store, [(c, P("segment"), sg), (c, P("inNation"), n)], layout="mixed")
+
+
+def q_bgp_repeated_constant(spark, sf_dir):
+    """One constant in two patterns that only variables connect."""
+    pats = [(o, P("status"), "F"), (o, P("placedBy"), c), (x, P("placedBy"), c), (x, P("status"), "F")]
+    return match(_store(spark, sf_dir), pats, ["o", "x"], use_stats=False)
+
+
+def q_batch_sinks(spark, sf_dir):
+    """The batch with one written result a query, read back."""
+    batch = {"join_chain": (CHAIN, ["o", "n"]), "star_const_single": (STAR_CONST_SINGLE, ["p", "t"])}
+    paths = write_all(match_all(_store(spark, sf_dir), batch, layout="mixed"), fresh_path(spark, "batch"))
+    return tagged_union({name: read_result(spark, path) for name, path in paths.items()})
 
 
 def q_bgp_vp(spark, sf_dir):
@@ -566,6 +599,25 @@ def oracle_sql() -> dict[str, str]:
             f"UNION ALL BY NAME SELECT 'bgp_cycle' AS query, * FROM ({_CYCLE_SQL})"
         ),
         "result_roundtrip": _CHAIN_SQL,
+        "property_table_hub": (
+            f"SELECT s, string_agg(CASE WHEN k = 1 THEN o END, '|' ORDER BY o) AS {_column('statusOf')}, "
+            f"max(CASE WHEN k = 2 THEN o END) AS {_column('placedBy')} FROM ("
+            f"SELECT o AS s, 1 AS k, s AS o FROM {_pred('status')} UNION ALL "
+            f"SELECT s, 2 AS k, o FROM {_pred('placedBy')}) GROUP BY s"
+        ),
+        "store_reload": (
+            f"SELECT DISTINCT sg.s AS c, sg.o AS sg, nat.o AS n FROM {_pred('segment')} sg "
+            f"JOIN {_pred('inNation')} nat ON nat.s = sg.s"
+        ),
+        "bgp_repeated_constant": (
+            f"SELECT DISTINCT a.s AS o, b.s AS x FROM {_pred('placedBy')} a JOIN {_pred('placedBy')} b ON a.o = b.o "
+            f"WHERE a.s IN (SELECT s FROM {_pred('status')} WHERE o = 'F') "
+            f"AND b.s IN (SELECT s FROM {_pred('status')} WHERE o = 'F')"
+        ),
+        "batch_sinks": (
+            f"SELECT 'join_chain' AS query, * FROM ({_CHAIN_SQL}) "
+            f"UNION ALL BY NAME SELECT 'star_const_single' AS query, * FROM ({_STAR_CONST_SINGLE_SQL})"
+        ),
     }
     own = {k: w + v for k, v in q.items()}
     if corpus_queries:

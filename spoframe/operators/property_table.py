@@ -5,10 +5,11 @@ A single-valued predicate becomes a ``string`` column, a multi-valued one an
 
 Build: one shuffle of the triples by subject, then two local aggregates:
 ``(s, p) -> collect_list(o)`` and ``s -> map(p -> list)``; every column is a
-map lookup.  A cell holds the objects of one subject for one predicate, so its
-size is bounded by the predicate's ``max_multiplicity``; predicates whose
-bound is above ``max_values`` stay out of the table (queries answer them from
-the partitioned layout), so no task ever gathers an unbounded group.
+map lookup.  Every predicate asked for is a column and every subject a row,
+whatever the number of values: which predicates are in the table is the
+caller's choice (``predicates=[...]``), never a threshold.  A cell holds all
+objects of one subject for one predicate, so predicates with hub subjects are
+better left to the partitioned layout, whose rows are split at will.
 A map lookup scans the subject's own keys, so building a row costs
 (columns x predicates of that subject); very wide tables should be built
 over a ``predicates=[...]`` subset.
@@ -24,12 +25,6 @@ from pyspark.sql import functions as F
 from spoframe.functions.names import column_map
 from spoframe.sources.layouts import only_predicates
 
-# Largest list a property-table cell may hold; heavier predicates stay in the
-# partitioned layout only.
-DEFAULT_MAX_VALUES = 1_000
-# Widest table built without an explicit predicate subset.
-DEFAULT_MAX_COLUMNS = 2_000
-
 
 @dataclass(frozen=True)
 class PTColumn:
@@ -38,21 +33,10 @@ class PTColumn:
     is_list: bool  # multi-valued -> array<string>
 
 
-def plan_columns(
-    stats: DataFrame,
-    predicates: list[str] | None = None,
-    max_values: int = DEFAULT_MAX_VALUES,
-    max_columns: int = DEFAULT_MAX_COLUMNS,
-) -> list[PTColumn]:
-    """Choose the table's columns from the statistics (driver side, one row per predicate)."""
-    chosen = stats.where(F.col("max_multiplicity") <= max_values)
-    if predicates is not None:
-        chosen = chosen.where(F.col("p").isin(list(predicates)))
-    rows = chosen.select("p", "is_complex").limit(max_columns + 1).collect()
-    if len(rows) > max_columns:
-        raise ValueError(
-            f"more than {max_columns} predicates qualify; pass predicates=[...] to pick the columns"
-        )
+def plan_columns(stats: DataFrame, predicates: list[str] | None = None) -> list[PTColumn]:
+    """The table's columns (driver side, one row per predicate): all predicates, or those given."""
+    chosen = stats if predicates is None else stats.where(F.col("p").isin(list(predicates)))
+    rows = chosen.select("p", "is_complex").collect()
     names = column_map([r["p"] for r in rows])
     return [PTColumn(r["p"], names[r["p"]], bool(r["is_complex"])) for r in sorted(rows)]
 
@@ -94,31 +78,11 @@ def property_table(triples: DataFrame, columns: list[PTColumn]) -> DataFrame:
     return grouped_properties(triples, [c.p for c in columns]).select("s", *cells)
 
 
-def properties_array(
-    triples: DataFrame,
-    predicates: list[str],
-    stats: DataFrame | None = None,
-    max_values: int = DEFAULT_MAX_VALUES,
-) -> DataFrame:
+def properties_array(triples: DataFrame, predicates: list[str]) -> DataFrame:
     """H1: ``(s, props: array<array<string>>)`` ordered like ``predicates``, NULL if absent.
 
-    Every list is whole, so with ``stats`` the predicates are checked first:
-    one whose ``max_multiplicity`` exceeds ``max_values`` raises instead of
-    gathering an unbounded list into one row (the check reads one statistics
-    row per requested predicate).
+    Every list is whole: a subject's values for the predicates are one row.
     """
-    if stats is not None:
-        heavy = (
-            stats.where(F.col("p").isin(list(predicates)) & (F.col("max_multiplicity") > max_values))
-            .select("p")
-            .limit(len(predicates))
-            .collect()
-        )
-        if heavy:
-            raise ValueError(
-                f"predicates with more than {max_values} values per subject: {[r['p'] for r in heavy]}"
-            )
     m = F.col("m")
     props = F.array(*[m[F.lit(p)] for p in predicates])
     return grouped_properties(triples, predicates).select("s", props.alias("props"))
-

@@ -94,39 +94,41 @@ def _units(store: TripleStore, patterns: list[Pattern], layout: str, min_group_s
     return sorted(units, key=lambda u: position[id(u.patterns[0])])
 
 
-def share_constants(units: list[Unit]) -> None:
-    """A constant used by several units connects them: give it a key column.
-
-    ``'s' p ?x . 's' q ?y`` shares no variable, yet its answer is well defined
-    (every ``x`` with every ``y`` of subject ``s``); joining on the matched
-    value of ``'s'`` gives it without a condition-free join.
+def _parts(units: list[Unit]) -> list[list[int]]:
+    """The units in groups that share variables (or key columns)."""
+    parts: list[tuple[set[str], list[int]]] = []
+    for i, u in enumerate(units):
+        names, members = set(u.variables), [i]
+        for part in [q for q in parts if q[0] & names]:
+            parts.remove(part)
+            names, members = names | part[0], part[1] + members
+        parts.append((names, members))
+    return [sorted(members) for _, members in parts]
+
+
+def share_subjects(units: list[Unit]) -> None:
+    """Groups without a common variable are linked by a common constant *subject*.
+
+    ``'s' p ?x . 's' q ?y`` shares no variable, yet it is one star on ``'s'``:
+    every ``x`` with every ``y``.  One unit of each group gets a key column
+    with the matched subject.  Units that variables link get none, and a
+    constant object never links.
     """
-    counts: dict[str, int] = {}
-    for u in units:
-        for c in u.constants:
-            counts[c] = counts.get(c, 0) + 1
-    shared = sorted(c for c, k in counts.items() if k >= 2)
-    keys = {c: f"__const{i}" for i, c in enumerate(shared)}
-    for u in units:
-        u.keys = {c: keys[c] for c in u.constants if c in keys}
+    subjects = [sorted({t for t in (pat.s for pat in u.patterns) if not isinstance(t, Var)}) for u in units]
+    numbers = {c: k for k, c in enumerate(sorted({c for s in subjects for c in s}))}
+    for c in numbers:
+        holders = [[i for i in part if c in subjects[i]] for part in _parts(units)]
+        holders = [h for h in holders if h]
+        if len(holders) > 1:
+            for h in holders:
+                units[h[0]].keys[c] = f"__const{numbers[c]}"
 
 
 def check_connected(units: list[Unit]) -> None:
     """Every unit must reach every other through shared variables."""
-    if len(units) <= 1:
-        return
-    reached = {0}
-    seen_vars = set(units[0].variables)
-    grew = True
-    while grew:
-        grew = False
-        for i, u in enumerate(units):
-            if i not in reached and seen_vars.intersection(u.variables):
-                reached.add(i)
-                seen_vars.update(u.variables)
-                grew = True
-    if len(reached) != len(units):
-        apart = [u.patterns for i, u in enumerate(units) if i not in reached]
+    parts = _parts(units)
+    if len(parts) > 1:
+        apart = [units[i].patterns for part in parts[1:] for i in part]
         raise ValueError(f"patterns are not connected by shared variables: {apart}")
 
 
@@ -304,7 +306,7 @@ def match(
 
     ground = [p for p in pats if not p.variables]
     units = _units(store, [p for p in pats if p.variables], layout, min_group_size)
-    share_constants(units)
+    share_subjects(units)
     check_connected(units)
 
     if units:

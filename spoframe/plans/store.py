@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spoframe.operators.profile import catalogue_from_stats, predicate_stats, with_columns
 from spoframe.operators.property_table import (
-    DEFAULT_MAX_VALUES,
     PTColumn,
     columns_from_catalogue,
     plan_columns,
@@ -45,6 +46,9 @@ class TripleStore:
     property_table: DataFrame | None = None
     pt_columns: dict[str, PTColumn] = field(default_factory=dict)
     stats: DataFrame | None = None
+    #: Folder of the loaded version, and its manifest row, of a stored one.
+    folder: str | None = None
+    manifest: dict | None = None
     _stat_rows: dict[str, tuple[int, int, int]] = field(default_factory=dict, repr=False)
 
     @property
@@ -83,7 +87,6 @@ class TripleStore:
         with_property_table: bool = False,
         with_stats: bool = False,
         predicates: list[str] | None = None,
-        max_values: int = DEFAULT_MAX_VALUES,
     ) -> TripleStore:
         """A store over in-memory triples; the layouts stay lazy plans.
 
@@ -98,7 +101,7 @@ class TripleStore:
             stats = stats.checkpoint(eager=True)
         cols = property_table_columns
         if cols is None and with_property_table:
-            cols = plan_columns(stats, predicates, max_values)
+            cols = plan_columns(stats, predicates)
         pt = property_table(triples, cols) if cols else None
         return cls(
             vp=triples.select("s", "o", "p"),
@@ -109,16 +112,39 @@ class TripleStore:
 
     @classmethod
     def open(cls, spark: SparkSession, base: str) -> TripleStore:
-        """Open a store written by :func:`load_store`."""
-        vp = read_vp(spark, os.path.join(base, "vp"))
-        stats = read_stats(spark, os.path.join(base, "stats"))
-        try:
-            catalogue = read_catalogue(spark, os.path.join(base, "catalogue"))
-            table = read_property_table(spark, os.path.join(base, "property_table"))
-        except AnalysisException:  # written without a property table
-            return cls(vp=vp, stats=stats)
+        """Open what the last finished :func:`load_store` at ``base`` wrote."""
+        manifest = last_manifest(spark, base)
+        if manifest is None:
+            raise FileNotFoundError(f"no finished load at {base}")
+        store = cls.open_folder(spark, os.path.join(base, manifest["folder"]), manifest["has_property_table"])
+        store.manifest = manifest
+        return store
+
+    @classmethod
+    def open_folder(cls, spark: SparkSession, folder: str, has_property_table: bool) -> TripleStore:
+        """Open the layouts in one folder."""
+        vp = read_vp(spark, os.path.join(folder, "vp"))
+        stats = read_stats(spark, os.path.join(folder, "stats"))
+        if not has_property_table:
+            return cls(vp=vp, stats=stats, folder=folder)
+        catalogue = read_catalogue(spark, os.path.join(folder, "catalogue"))
+        table = read_property_table(spark, os.path.join(folder, "property_table"))
         cols = columns_from_catalogue(catalogue, table)
-        return cls(vp=vp, property_table=table, pt_columns={c.p: c for c in cols}, stats=stats)
+        return cls(vp=vp, property_table=table, pt_columns={c.p: c for c in cols}, stats=stats, folder=folder)
+
+
+MANIFEST = "load_id string, folder string, has_property_table boolean, triples long, null_rows long"
+
+
+def last_manifest(spark: SparkSession, base: str) -> dict | None:
+    """The manifest row of the last finished load at ``base``, if any."""
+    try:
+        row = spark.read.schema(MANIFEST).parquet(os.path.join(base, "manifests")).orderBy(F.desc("load_id")).first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return row.asDict() if row else None
 
 
 def load_store(
@@ -127,27 +153,40 @@ def load_store(
     *,
     with_property_table: bool = True,
     predicates: list[str] | None = None,
-    max_values: int = DEFAULT_MAX_VALUES,
     mode: str = "errorifexists",
 ) -> TripleStore:
-    """Write every layout under ``base`` and open it.
+    """Write every layout to a new folder under ``base``, publish it, and open it.
 
     The triples are parsed once: the partitioned layout is written first and
     the statistics and property table are computed from it (columnar reads
     of ``s``/``o`` plus the partition value).  Each step is a written table,
-    so a lost executor only re-runs the step it was in.
+    so a lost executor only re-runs the step it was in.  The manifest row
+    (which parts exist, rows written and rows dropped for a NULL part) is
+    written last: until then, and if the load dies, readers see the load
+    before it, whole.  Earlier folders are left for their readers.
+    One writer at a time.
     """
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError(f"mode must be 'errorifexists' or 'overwrite', got {mode!r}")
     spark = triples.sparkSession
-    write_vp(triples, os.path.join(base, "vp"), mode=mode)
-    vp = read_vp(spark, os.path.join(base, "vp"))
-    write_stats(predicate_stats(vp), os.path.join(base, "stats"), mode="overwrite")
-    stats = read_stats(spark, os.path.join(base, "stats"))
-    if with_property_table:
-        cols = plan_columns(stats, predicates, max_values)
-        if cols:
-            write_catalogue(
-                with_columns(catalogue_from_stats(stats), [c.p for c in cols]),
-                os.path.join(base, "catalogue"),
-            )
-            write_property_table(property_table(vp, cols), os.path.join(base, "property_table"))
+    if mode == "errorifexists" and last_manifest(spark, base) is not None:
+        raise FileExistsError(f"a store exists at {base}")
+    load_id = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    folder = os.path.join(base, f"load-{load_id}")
+    seen = Observation()
+    null = F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull()
+    counted = triples.observe(seen, F.count(F.when(~null, 1)).alias("triples"), F.count(F.when(null, 1)).alias("null"))
+    write_vp(counted, os.path.join(folder, "vp"))
+    vp = read_vp(spark, os.path.join(folder, "vp"))
+    write_stats(predicate_stats(vp), os.path.join(folder, "stats"))
+    stats = read_stats(spark, os.path.join(folder, "stats"))
+    cols = plan_columns(stats, predicates) if with_property_table else []
+    if cols:
+        write_catalogue(
+            with_columns(catalogue_from_stats(stats), [c.p for c in cols]), os.path.join(folder, "catalogue")
+        )
+        write_property_table(property_table(vp, cols), os.path.join(folder, "property_table"))
+    row = (load_id, os.path.basename(folder), bool(cols), seen.get["triples"], seen.get["null"])
+    manifest = spark.createDataFrame([row], MANIFEST).coalesce(1)
+    manifest.write.mode("append").parquet(os.path.join(base, "manifests"))
     return TripleStore.open(spark, base)

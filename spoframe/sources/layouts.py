@@ -76,8 +76,8 @@ def scan_vp(vp: DataFrame, p: str) -> DataFrame:
 
 
 def write_property_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A5: the property table as Parquet."""
-    table.write.mode(mode).parquet(path)
+    """A5: the property table as Parquet, sorted by subject in each file (row groups can be skipped)."""
+    table.sortWithinPartitions("s").write.mode(mode).parquet(path)
 
 
 def read_property_table(spark: SparkSession, path: str) -> DataFrame:

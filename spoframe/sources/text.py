@@ -43,10 +43,11 @@ def write_triples(triples: DataFrame, path: str, mode: str = "errorifexists") ->
     """Write ``(s, p, o)`` as tab-separated text lines.
 
     Values holding a tab or a newline cannot be represented in this format;
-    the writer refuses them instead of writing lines that read back wrong.
+    the writer refuses them, and NULLs, instead of writing lines that read back wrong.
     """
     bad = F.col("s").rlike("[\t\n]") | F.col("p").rlike("[\t\n]") | F.col("o").rlike("[\t\n]")
-    line = F.when(bad, F.raise_error(F.lit("triple value holds a tab or newline"))).otherwise(
+    null = F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull()
+    line = F.when(null | bad, F.raise_error(F.lit("triple value is NULL or holds a tab or newline"))).otherwise(
         F.concat_ws("\t", "s", "p", "o")
     )
     triples.select(line.alias("value")).write.mode(mode).option("lineSep", "\n").text(path)

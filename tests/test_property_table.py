@@ -58,15 +58,16 @@ def test_property_table_round_trip(spark, tmp_out):
     assert rows_of(read_property_table(spark, path), "s", "has") == [("s1", "o3")]
 
 
-def test_heavy_predicate_stays_out_of_property_table_results_whole(spark):
-    rows = [("hub", "p", f"o{i}") for i in range(30)] + [("hub", "q", "a"), ("t", "p", "o1"), ("t", "q", "b")]
-    t = triples_df(spark, rows)
-    store = TripleStore.from_triples(t, with_property_table=True, max_values=10)
-    assert "p" not in store.pt_columns and "q" in store.pt_columns
+def test_lists_of_any_length_stay_whole(spark):
     s, x, y = Var("s"), Var("x"), Var("y")
-    got = match(store, [(s, "p", x), (s, "q", y)], layout="mixed")
-    assert got.count() == 31
-    assert rows_of(got) == rows_of(match(store, [(s, "p", x), (s, "q", y)]))
+    for k in (1_000, 1_001, 100_000):
+        hub = spark.range(k).selectExpr("'hub' AS s", "'p' AS p", "concat('o', id) AS o")
+        t = hub.unionByName(triples_df(spark, [("hub", "q", "a"), ("only", "p", "o1"), ("t", "q", "b")]))
+        store = TripleStore.from_triples(t, with_property_table=True)
+        assert sorted(store.property_table.columns) == ["p", "q", "s"]
+        assert rows_of(store.property_table, "s") == [("hub",), ("only",), ("t",)]
+        got = match(store, [(s, "p", x), (s, "q", y)], layout="mixed")
+        assert got.count() == k
 
 
 def test_rows_with_null_parts_are_not_triples(spark, tmp_out):
@@ -79,13 +80,7 @@ def test_rows_with_null_parts_are_not_triples(spark, tmp_out):
         assert store.property_table.collect()[0]["p"] == "a"
 
 
-def test_properties_array_refuses_unbounded_lists(spark):
-    import pytest
-
-    rows = [("hub", "p", f"o{i}") for i in range(30)] + [("t", "q", "a")]
-    t = triples_df(spark, rows)
-    stats = predicate_stats(t)
-    with pytest.raises(ValueError):
-        properties_array(t, ["p", "q"], stats=stats, max_values=10)
-    got = properties_array(t, ["q"], stats=stats, max_values=10).collect()
-    assert [(r["s"], r["props"]) for r in got] == [("t", [["a"]])]
+def test_properties_array_is_whole(spark):
+    rows = [("hub", "p", f"o{i}") for i in range(3000)] + [("t", "q", "a")]
+    got = {r["s"]: r["props"] for r in properties_array(triples_df(spark, rows), ["p", "q"]).collect()}
+    assert len(got["hub"][0]) == 3000 and got["hub"][1] is None and got["t"] == [None, ["a"]]
