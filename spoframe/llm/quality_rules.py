@@ -118,7 +118,7 @@ def with_text_stats(df: DataFrame, text_col: str = "text", window: int = 8) -> D
     out = out.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "word_chars": F.greatest(F.length(flat) - F.size(words) + 1, F.lit(0)).cast("long"),
+            "word_chars": F.when(F.size(words) == 0, 0).otherwise(F.length(flat) - F.size(words) + 1).cast("long"),
             "n_distinct_words": F.size(F.array_distinct(words)).cast("long"),
             "_qs_hashes": F.transform(words, lambda w: F.xxhash64(w)),
         }
