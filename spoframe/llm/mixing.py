@@ -82,6 +82,8 @@ class DomainModel:
     weights: np.ndarray  # (features + 1) x domains
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
+        if not self.domains:
+            return np.zeros((len(x), 0))
         return _softmax(np.c_[(x - self.centre) / self.scale, np.ones(len(x))] @ self.weights)
 
 

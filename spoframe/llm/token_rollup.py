@@ -62,7 +62,7 @@ class TokenRollup:
     def _read(self, what: str, schema: str, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{f}/{what}" for f in sorted(folders)])
+        return self.spark.read.schema(schema).parquet(*[f"{f}/{what}" for f in sorted(set(folders))])
 
     def entries(self) -> DataFrame:
         """What is counted now: one row a document and tokenizer version."""
