@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,9 +81,10 @@ def _long_list(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per document: class, set size, counted columns, and others that its prefix needs."""
+    """Per document: a row number, class, set size, counted columns, and others that its prefix needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for rows in batches:
             for at in range(0, rows.num_rows, 2000):
                 part = rows.slice(at, 2000)
@@ -95,12 +97,14 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     counted.append(grams[is_counted])
                     more = max(0, prefix_length(len(grams), percent) - len(counted[-1])) if len(grams) else 0
                     rest.append(grams[~is_counted][:more])
+                numbers = pa.array(np.arange(number, number + len(n)))
+                number += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), _long_list(counted), _long_list(rest)],
-                    ["doc_id", "cls", "n", "counted", "rest"],
+                    [numbers, part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), _long_list(counted), _long_list(rest)],
+                    ["row", "doc_id", "cls", "n", "counted", "rest"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n long, counted array<long>, rest array<long>")
+    return docs.mapInArrow(run, "row long, doc_id long, cls long, n long, counted array<long>, rest array<long>")
 
 
 def _blocks(classes: DataFrame, percent: int) -> DataFrame:
@@ -245,12 +249,13 @@ def jaccard_components(
     profiles = written(_profiles(whole, size, percent), "jaccard-profiles")
     known = profiles.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
     # a row for each class: its smallest document's, which has a text to read again
-    first = known.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    classes = known.join(first, ["cls", "doc_id"]).dropDuplicates(["cls"])
+    first = known.groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("f")).select("cls", "f.doc_id", "f.row")
+    first = written(first, "jaccard-first")
+    classes = known.join(first.select("row"), "row", "left_semi")  # row numbers differ, so one row a class
     blocks = written(_blocks(classes, percent), "jaccard-blocks")
     wide = blocks.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     blocks = written(blocks.join(wide, "h"), "jaccard-shared")
-    chosen = written(first.join(blocks.select("cls").distinct(), "cls"), "jaccard-chosen")
+    chosen = written(first.drop("row").join(blocks.select("cls").distinct(), "cls"), "jaccard-chosen")
     sets = written(_sets(whole, chosen, size), "jaccard-sets")
     labels = chosen.select(F.col("cls").alias("v"), F.col("cls").alias("label"))
     links: DataFrame | None = None

@@ -247,7 +247,8 @@ def remove_repeats(
     copies = rows.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("k"))
     copies = written(copies.filter("k > 1").select("digest", "first"), "suffix-copies")
     marked = rows.join(copies, "digest", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
-    own = written(_anchor_table(marked.filter("NOT copy"), least), "suffix-anchors").dropDuplicates(["doc", "tie"])
+    # equal rows of one document stay: their places are equal, so they never cover each other
+    own = written(_anchor_table(marked.filter("NOT copy"), least), "suffix-anchors")
     zipped = F.explode(F.arrays_zip("p", "h", "c")).alias("x")
     shown = own.select("doc", "tie", "n", zipped).select("doc", "tie", "n", "x.p", "x.h", "x.c")
     again = own.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
@@ -264,19 +265,17 @@ def remove_repeats(
     varied = contexts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     wanted = contexts.join(varied, "h").select("h", "f.doc", "f.tie", "f.start", "f.end")
     lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "start", "end")).alias("w"))
-    texts = rows.join(copies, "digest", "left").filter("first IS NULL OR doc = first").select("doc", "tie", "data")
-    cut = texts.join(lists, ["doc", "tie"]).select("doc", "tie", "data", F.explode("w").alias("w"))
+    cut = rows.select("doc", "tie", "data").join(lists, ["doc", "tie"]).select("doc", "tie", "data", F.explode("w").alias("w"))
     part = F.substring("data", (F.col("w.start") + 1).cast("int"), (F.col("w.end") - F.col("w.start")).cast("int"))
     cut = cut.select("w.h", "doc", "tie", "w.start", part.alias("data")).distinct()
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut.repartition(width, "h").sortWithinPartitions("h", "doc", "tie", "start")
-    spans = covered.unionByName(_context_blocks(dealt, least))
+    later = rows.select("doc", "tie", "n", "digest").join(copies, "digest").filter((F.col("doc") > F.col("first")) & (F.col("n") >= least))
+    whole = later.select("doc", "tie", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
+    spans = covered.unionByName(_context_blocks(dealt, least)).unionByName(whole)
     spans = spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = written(spans, "suffix-spans")
-    joined = rows.join(copies, "digest", "left").join(spans, ["doc", "tie"], "left")
-    whole = F.coalesce(F.col("doc") > F.col("first"), F.lit(False)) & (F.col("n") >= least)
-    everything = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
-    joined = joined.select("doc_id", "data", F.when(whole, everything).otherwise(F.col("spans")).alias("spans"))
+    joined = rows.select("doc_id", "doc", "tie", "data").join(spans, ["doc", "tie"], "left").select("doc_id", "data", "spans")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
