@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces remembered by a worker; beyond it the memory starts anew (results do not change).
 REMEMBERED = 1_000_000
@@ -13,13 +15,20 @@ REMEMBERED = 1_000_000
 #: Stands between pieces that are encoded in one call; a token of its own.
 BETWEEN = "\x01"
 
+#: Stops behind a word, which are pieces of their own where the tokenizer parts them, too.
+STOPS = r"([a-z])([.,!?;:]+) "
+#: What a tokenizer that lowers and parts in this way encodes equally.
+FOLDED = [("ABC", "abc"), ("Zx. Yq", "zx . yq"), ("qZ,;: K", "qz ,;: k"), ("Q!? x", "q !? x")]
+#: Begins the tokens that must be found before letters are lowered.
+SPECIAL = "<|"
+
 
 class WordTokenizer:
     """Token ids of texts by a ``tokenizers`` file whose tokens never span a space or line feed.
 
     Texts are cut at those two characters, each distinct piece is encoded once
-    and remembered, and a text's ids are the pieces' ids in order.  Special
-    tokens are not added.
+    and remembered, and a text's ids are the pieces' ids in order.  Pieces are
+    looked up once a call, not once a place.  Special tokens are not added.
     """
 
     def __init__(self, path: str):
@@ -29,6 +38,8 @@ class WordTokenizer:
         self._known: dict[str, bytes] = {}
         between = self._encode(BETWEEN)
         self._between = int(between[0]) if len(between) == 1 else None
+        # whether the tokenizer itself lowers letters and parts words from the stops behind them
+        self._folds = all(np.array_equal(self._encode(a), self._encode(b)) for a, b in FOLDED)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -46,23 +57,45 @@ class WordTokenizer:
             self._known[piece] = data[4 * start : 4 * end]
             start = end + 1
 
-    def _pieces(self, texts: list[str]) -> list[list[str]]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
+    def _remember(self, pieces: list[str]) -> None:
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        new = {p for x in split for p in x}.difference(self._known)
+        new = [p for p in pieces if p not in self._known]
         plain = [p for p in new if BETWEEN not in p]
-        for at in range(0, len(plain), 8192):
-            self._learn(plain[at : at + 8192])
-        for piece in new.difference(plain):
-            self._known[piece] = self._encode(piece).tobytes()
-        return split
+        for at in range(0, len(plain), 512):
+            self._learn(plain[at : at + 512])
+        for piece in new if len(plain) < len(new) else ():
+            if BETWEEN in piece:
+                self._known[piece] = self._encode(piece).tobytes()
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` one after another, and where each text begins (and the last one ends)."""
+        lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        if self._folds and not any(SPECIAL in x for x in texts):
+            lines = pc.replace_substring_regex(pc.ascii_lower(lines), STOPS, r"\1 \2 ")
+        split = pc.split_pattern(lines, " ")
+        words = split.flatten().dictionary_encode()
+        pieces = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._remember(pieces)
+        found = [self._known[p] for p in pieces]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        first = np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        # the place of each id in flat: where its piece begins there, plus its place in the piece
+        place = np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])
+        offsets = split.offsets.to_numpy()
+        return flat[place], ends[offsets - offsets[0]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text the ids as little-endian unsigned 32-bit numbers."""
-        known = self._known
-        split = self._pieces(texts)
-        return [b"".join([known[p] for p in x]) for x in split]
+        if not texts:
+            return []
+        ids, ends = self._encoded(texts)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) // 4 for x in self.ids(texts)]
@@ -74,7 +107,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(texts: list[str], chars: int = 2_000_000):
+def slices(texts: list[str], chars: int = 4_000_000):
     """Ranges of ``texts`` of about ``chars`` characters at most (one text at least)."""
     at = 0
     while at < len(texts):
