@@ -226,18 +226,15 @@ def fit_rates(
                 p = np.asarray(batch.column(1).flatten()).reshape(len(t), n)
                 r, ahead = _rates(p, past, ridge, low, high)
                 at_rate, at_next = at_rate + (t * r) @ p, at_next + (t * ahead) @ p
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(n), pa.int32()), pa.array(at_rate), pa.array(at_next)], ["d", "r", "a"]
-            )
-
-        # rounded, so that the order in which tasks end makes no difference
-        total = rows.mapInArrow(sums, "d int, r double, a double").groupBy("d").agg(
-            F.sum(F.round("r", 3).cast("decimal(32,3)")).cast("double").alias("r"),
-            F.sum(F.round("a", 3).cast("decimal(32,3)")).cast("double").alias("a"),
-        )
-        found = {x["d"]: x for x in total.collect()}
-        totals = tuple(found[d]["r"] for d in range(n))
-        new = tuple((found[d]["a"] - targets[d]) / everything for d in range(n))
+            # rounded, so that the order in which tasks end makes no difference
+            both = [pa.array([x]) for x in np.round(np.concatenate([at_rate, at_next]), 3)]
+            yield pa.RecordBatch.from_arrays(both, names)
+
+        names = [f"r{d}" for d in range(n)] + [f"a{d}" for d in range(n)]
+        exact = [F.sum(F.col(c).cast("decimal(32,3)")).cast("double").alias(c) for c in names]
+        found = rows.mapInArrow(sums, ", ".join(f"{c} double" for c in names)).agg(*exact).first()
+        totals = tuple(found[:n])
+        new = tuple((found[n + d] - targets[d]) / everything for d in range(n))
         moved = max(abs(a - b) for a, b in zip(new, residuals[-1], strict=True)) if residuals else 1.0
         residuals.append(new)
         if len(residuals) >= 8 and moved < tolerance:
