@@ -204,3 +204,20 @@ def test_license_scan(spark):
     rows = [(1, "x " * 77 + notice + " y" * 200), (2, None), (3, ""), (4, "Licensed under CC BY-NC 4.0."), (5, "the rights reserved for all")]
     got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()}
     assert got == {(1, "mit-grant"), (4, "cc-by-nc-4.0-short")}
+
+
+def test_tokenizer_equals_whole_texts():
+    """Ids put together from pieces equal those of whole texts."""
+    from tokenizers import Tokenizer
+
+    from spoframe.llm.tokens import tokenizer
+
+    texts = [
+        "", " ", "\n", "One two, TWO. Three;: x!? end.", "a\x01b \x01 c. D", " lead. ", "tail ", "é. É, \U0001f600. x\n\ny\t z\r\n",
+        "don't. 'S. it's! 3.5 4, (a). b) ., c", "E\u0301. I\u0307 K\u0301, \u212a. \u03a3\u03a3. A\u03a3 x", "A. B, C! D", "x. " * 3000,
+    ]
+    special = ["a <|endoftext|>. B <|ENDOFTEXT|> c"]
+    whole = Tokenizer.from_file(tokenizer_path())
+    for part in (texts, special, texts + special, []):
+        want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(part, add_special_tokens=False)]
+        assert tokenizer(tokenizer_path()).ids(part) == want
