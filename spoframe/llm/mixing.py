@@ -1,18 +1,20 @@
 """Mixing documents to target weights by soft domain membership.
 
 A softmax classifier, fitted on a bounded sample of a labelled table, gives
-every document its posterior over the domains.  Projected gradient descent
-(with momentum) then fits a rate per document, ``low <= rate <= high``, that
-minimizes
+every document its posterior over the domains.  Rates per document,
+``low <= rate <= high``, then minimize
 
-    1/2 sum_d ((sum_i p_id t_i r_i - target_d) / S)^2 + ridge/2 sum_i t_i/S (r_i - 1)^2
+    1/2 sum_d (sum_i p_id t_i r_i - target_d)^2 / own_d + ridge/2 sum_i t_i (r_i - 1)^2
 
-with tokens ``t``, posteriors ``p`` and all tokens ``S``.  The gradient of a
-document depends on the other documents only through the domain totals, so an
-iteration is one Spark aggregate of as many numbers as there are domains, and
-no rate is stored: a task computes its documents' rates anew from the past
-totals.  Nothing is joined or shuffled by domain or source, so neither can be
-hot, and a lost task repeats from its input.
+with tokens ``t``, posteriors ``p`` and each domain's own tokens at rate 1,
+``own_d = sum_i p_id t_i``.  A miss counts relative to the domain's own tokens,
+so a domain of a thousandth of all tokens is fitted like one of a tenth.
+
+At the optimum ``r_i = clip(1 - p_i . w / ridge)`` with one weight per domain,
+``w_d = (total_d - target_d) / own_d``.  Newton's method finds these weights
+(the dual problem); a step is one Spark aggregate of a few matrices as wide as
+there are domains, and no rate is stored.  Nothing is joined or shuffled by
+domain or source, so neither can be hot, and a lost task repeats from its input.
 
 Rates become copies by rounding up with probability of the fraction, by hash
 of the document's id; within ``dead_band`` of a whole number they
@@ -25,6 +27,8 @@ labelled rows there are no domains: nothing is fitted and every rate is 1.
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -174,27 +178,27 @@ def score(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFr
 
 @dataclass(frozen=True)
 class Mix:
-    """What documents' rates follow from: the residuals of each past step."""
+    """What documents' rates follow from: a weight per domain."""
 
-    residuals: tuple[tuple[float, ...], ...]
+    weights: tuple[float, ...]
     ridge: float
     low: float
     high: float
     totals: tuple[float, ...]
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
-        """Rates after all past steps, one a row of ``posteriors``."""
-        return _rates(posteriors, self.residuals, self.ridge, self.low, self.high)[0]
+        """One rate a row of ``posteriors``."""
+        return _rates(posteriors, np.array(self.weights), self.ridge, self.low, self.high)[0]
+
+
+def _rates(p, weights, ridge, low, high) -> tuple[np.ndarray, np.ndarray]:
+    """Rates, and which of them move with the weights."""
+    free = 1.0 - p @ weights / ridge
+    return np.clip(free, low, high), (free >= low) & (free <= high)
 
 
-def _rates(p, residuals, ridge, low, high) -> tuple[np.ndarray, np.ndarray]:
-    """Rates and, ahead of them by the momentum, where the next gradient is taken."""
-    r = ahead = np.clip(np.ones(len(p)), low, high)
-    step = 1.0 / (1.0 + ridge)
-    for k, residual in enumerate(residuals):
-        new = np.clip(ahead - step * (p @ np.array(residual) + ridge * (ahead - 1.0)), low, high)
-        ahead, r = new + k / (k + 3) * (new - r), new
-    return r, ahead
+#: Newton steps are tried whole and in halves, so many at once.
+TRIED = 8
 
 
 def fit_rates(
@@ -206,40 +210,72 @@ def fit_rates(
     tolerance: float = 1e-4,
     max_steps: int = 60,
 ) -> Mix:
-    """Projected gradient descent on ``tokens`` and ``posteriors``; one aggregate a step.
+    """Newton's method on ``tokens`` and ``posteriors``; one aggregate a step.
 
-    ``targets``: wanted tokens per domain.  Ends when no residual moves by more
-    than ``tolerance`` of all tokens in a step.
+    ``targets``: wanted tokens per domain.  Ends when the rates are optimal for
+    targets that differ by at most ``tolerance`` of each domain's own tokens;
+    warns if ``max_steps`` come first.
     """
     n = len(targets)
     rows = scored.select("tokens", "posteriors").filter("tokens > 0")
-    everything = rows.agg(F.sum("tokens").alias("s")).first()["s"] or 0
-    residuals: list[tuple[float, ...]] = []
-    totals = (0.0,) * n
-    while everything and n and len(residuals) < max_steps:
-        past = tuple(residuals)
-
-        def sums(batches: Iterator[pa.RecordBatch], past=past) -> Iterator[pa.RecordBatch]:
-            at_rate, at_next = np.zeros(n), np.zeros(n)
+
+    def measured(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Own tokens, totals and how totals move with the rates, for each of ``tried`` weights."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(tried), n + 2, n))
             for batch in batches:
                 t = batch.column(0).to_numpy().astype(float)
                 p = np.asarray(batch.column(1).flatten()).reshape(len(t), n)
-                r, ahead = _rates(p, past, ridge, low, high)
-                at_rate, at_next = at_rate + (t * r) @ p, at_next + (t * ahead) @ p
-            # rounded, so that the order in which tasks end makes no difference
-            both = [pa.array([x]) for x in np.round(np.concatenate([at_rate, at_next]), 3)]
-            yield pa.RecordBatch.from_arrays(both, names)
-
-        names = [f"r{d}" for d in range(n)] + [f"a{d}" for d in range(n)]
-        exact = [F.sum(F.col(c).cast("decimal(32,3)")).cast("double").alias(c) for c in names]
-        found = rows.mapInArrow(sums, ", ".join(f"{c} double" for c in names)).agg(*exact).first()
-        totals = tuple(found[:n])
-        new = tuple((found[n + d] - targets[d]) / everything for d in range(n))
-        moved = max(abs(a - b) for a, b in zip(new, residuals[-1], strict=True)) if residuals else 1.0
-        residuals.append(new)
-        if len(residuals) >= 8 and moved < tolerance:
+                own = t @ p
+                for k, w in enumerate(tried):
+                    r, moves = _rates(p, w, ridge, low, high)
+                    out[k] += np.vstack([own, (t * r) @ p, (p * (t * moves)[:, None]).T @ p])
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], pa.list_(pa.float64()))], ["x"])
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # one row a task; fsum rounds once, so that the order in which tasks end makes no difference
+            parts = [x for batch in batches for x in batch.column(0).to_pylist()]
+            found = [math.fsum(x) for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.float64()))], ["x"])
+
+        kinds = "x array<double>"
+        found = rows.mapInArrow(sums, kinds).repartition(1).mapInArrow(total, kinds).first()
+        x = np.array(found["x"] if found and found["x"] else np.zeros(len(tried) * (n + 2) * n))
+        return [(m[0], m[1], m[2:]) for m in x.reshape(len(tried), n + 2, n)]
+
+    weights = np.zeros(n)
+    if not n:
+        return Mix((), ridge, low, high, ())
+    own, totals, moves = measured([weights])[0]
+    there = own > 0
+    scale, wanted = np.where(there, own, 1.0), np.array(targets, float)
+
+    def slope(w: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.where(there, own * w + wanted - total, 0.0)
+
+    now = slope(weights, totals)
+    whole, ended = 1.0, False
+    for _ in range(max_steps):
+        ended = bool(np.all(np.abs(now) <= tolerance * scale))
+        if ended:
             break
-    return Mix(tuple(residuals), ridge, low, high, totals)
+        # in units of each domain's root, so that rare domains are not lost to rounding
+        root = np.sqrt(scale)
+        step = -np.linalg.solve(np.eye(n) + moves / ridge / np.outer(root, root), now / root) / root
+        tried = [weights + step * whole / 2**k for k in range(TRIED)]
+        found = measured(tried)
+        for w, (_, total, moved) in zip(tried, found, strict=True):
+            new = slope(w, total)
+            # the longest step that still goes down at its end, or gets twice as near
+            if new @ step <= 0 or np.abs(new / scale).max() <= 0.5 * np.abs(now / scale).max():
+                weights, totals, moves, now, whole = w, total, moved, new, 1.0
+                break
+        else:
+            whole /= 2**TRIED
+    if not ended and not np.all(np.abs(now) <= tolerance * scale):
+        warnings.warn(f"mixing rates not optimal after {max_steps} steps", stacklevel=2)
+    return Mix(tuple(map(float, weights)), ridge, low, high, tuple(map(float, totals)))
 
 
 def with_rates(scored: DataFrame, mix: Mix, dead_band: float = 0.05, hashed: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -142,6 +142,36 @@ def test_mixing(spark):
     assert {r.copies for r in mixing.with_rates(plain, mixing.fit_rates(plain, [])).collect()} == {1}
 
 
+@pytest.mark.parametrize("share, sure", [(0.001, 0.999), (0.002, 0.98), (0.005, 0.995), (0.1, 0.99)])
+def test_mixing_rare_domain(spark, share, sure):
+    n, rare = 10_000, round(10_000 * share)
+    rows = [(i, 100, [1 - sure, sure] if i < rare else [1.0, 0.0]) for i in range(n)]
+    scored = spark.createDataFrame(rows, "doc_id long, tokens long, posteriors array<double>")
+    clean = sum(t * p[0] for _, t, p in rows)
+    mix = mixing.fit_rates(scored, [clean, 0.0], high=1.0)
+    toxic, kept = mix.rates(np.array([rows[0][2], rows[-1][2]]))
+    assert toxic < 0.02 and kept > 0.98
+    copies = {(r.doc_id < rare, r.copies) for r in mixing.with_rates(scored, mix).collect()}
+    assert copies == {(True, 0), (False, 1)}
+
+
+def test_mixing_is_optimal(spark):
+    rng = np.random.default_rng(5)
+    p = np.vstack([rng.dirichlet([8, 1, 0.1], 300), rng.dirichlet([1, 6, 0.3], 80), rng.dirichlet([0.3, 0.3, 9], 3)])
+    t = rng.integers(1, 500, len(p)).astype(float)
+    own = t @ p
+    scored = spark.createDataFrame([(i, int(a), [float(y) for y in x]) for i, (a, x) in enumerate(zip(t, p))], "doc_id long, tokens long, posteriors array<double>")
+    for targets, high in (([0.97, 0.02, 0.01], 4.0), ([0.5, 0.1, 0.4], 4.0), (None, 1.0)):
+        wanted = np.array([own[0], 0, 0]) if targets is None else np.array(targets) * t.sum()
+        mix = mixing.fit_rates(scored, list(wanted), high=high)
+        r = mix.rates(p)
+        w = (np.array(mix.totals) - wanted) / own
+        assert np.allclose(mix.totals, (t * r) @ p)
+        # no rate can move to where the objective is smaller
+        gradient = p @ w + 1e-3 * (r - 1)
+        assert np.all(np.abs(r - np.clip(r - gradient, 0, high)) < 1e-3)
+
+
 def test_token_rollup(spark, tmp_path):
     rollup = TokenRollup(spark, str(tmp_path / "r"))
     change = lambda *rows: spark.createDataFrame(list(rows), CHANGES)
