@@ -11,8 +11,8 @@ only if its shift between the two texts is near the median shift of the common
 anchors, so the same phrases in another order do not count.
 
 Defined results: a NULL text counts as empty; texts of fewer than ``k`` words
-have one anchor, the hash of all their words; a text without words has none;
-two texts without anchors have likeness 1, one against none 0.  Positions
+and longer ones without a closed syncmer (short ones can have none) have one
+anchor, the hash of all their words; a text without words has none; two texts without anchors have likeness 1, one against none 0.  Positions
 beyond 2^24 - 1 count as that.
 """
 
@@ -67,6 +67,8 @@ def with_anchors(df: DataFrame, text_col: str, out: str, k: int = 5, s: int = 2,
         packed,
         F.when(F.size(c(words)) == 0, none).when(n_runs < 1, only).otherwise(F.sort_array(anchors)),
     )
+    # no run of a short text need be closed; only texts without words have no anchor
+    step = step.withColumn(packed, F.when((F.size(c(packed)) == 0) & (n_runs >= 1), only).otherwise(c(packed)))
     hash_of = lambda x: F.shiftright(x, POSITION_BITS)
     # equal hashes are neighbours, the earliest position first: keep that one
     first = F.filter(

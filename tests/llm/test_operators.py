@@ -108,6 +108,17 @@ def test_syncmers(spark):
     assert like[1, 2] == 1.0 and like[3, 3] == 1.0 and like[3, 4] == 0.0
 
 
+def test_syncmers_of_short_texts(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.sample(WORDS, 5 + i % 4))) for i in range(200)]
+    docs = syncmers.with_anchors(docs_of(spark, rows), "text", "kept").select("doc_id", "kept")
+    got = {r.doc_id: tuple(r.kept) for r in docs.collect()}
+    assert all(got.values())
+    assert len(set(got.values())) == len({t for _, t in rows})
+    pair = docs.crossJoin(docs.select(F.col("doc_id").alias("d2"), F.col("kept").alias("k2"))).filter("doc_id < d2")
+    assert pair.filter(syncmers.likeness(F.col("kept"), F.col("k2")) == 1.0).count() == 0
+
+
 def test_warc_round_trip_in_chunks(spark):
     pages = [(1, "u\r\n1", "é" * 100), (2, None, "é" * 100), (3, "u", None), (None, "u", "é" * 100), (5, "u", "WARC/1.1\r\n\r\n" * 3)]
     docs = spark.createDataFrame(pages, "page_id long, url string, html string")
