@@ -15,6 +15,12 @@ smaller document, or before it in the same one) is removed.
    prefixes of 0, 1, 2, ... bytes; it stops at ``least``.  Suffixes without a
    boundary between them then start with the same ``least`` bytes; all but the
    earliest are covered.
+5. An anchor with more than ``HOT_CONTEXTS`` different contexts is no block.
+   Its ``least``-byte strings are parted by where the anchor stands in them:
+   those with places a..b share the bytes around the anchor that all of them
+   hold, so they meet under those bytes as a longer key.  The range of places is
+   halved (and contexts cut to it, equal ones resolved as in 3) until a key has
+   few contexts; a range of one place has whole strings as keys, so one context.
 
 Only hashes are counted and joined; texts meet only in blocks of contexts.
 
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoframe.llm.common import quoted, written
@@ -39,6 +45,8 @@ from spoframe.llm.hashing import mixed
 GRAM = 32
 #: Bytes of contexts that a task holds in a block before it works them off.
 BLOCK_BYTES = 1 << 18
+#: Different contexts of one anchor that may go to one block.
+HOT_CONTEXTS = 2048
 #: Windows of a text whose places are numbered at once; one bit more holds a place.
 PLACE_BITS = 22
 _BASE = 0x9E3779B97F4A7C15
@@ -228,8 +236,58 @@ def _context_blocks(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("h", "doc", "tie", "start", "data").mapInArrow(run, "doc long, tie long, a long, b long")
 
 
+def _part(data: Column, start: Column, end: Column) -> Column:
+    return F.substring(data, (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (h, doc, tie, p, start, end) with ``n`` of its text and the bytes of its context as ``data``."""
+    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "p", "start", "end")).alias("w"))
+    cut = rows.select("doc", "tie", "n", "data").join(lists, ["doc", "tie"]).select("doc", "tie", "n", "data", F.explode("w").alias("w"))
+    part = _part(F.col("data"), F.col("w.start"), F.col("w.end"))
+    return cut.select("w.h", "doc", "tie", "n", "w.p", "w.start", part.alias("data"))
+
+
+def _split_hot(hot: DataFrame, least: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Blocks (h, doc, tie, start, data) of at most ``most`` contexts, and covered spans, of hot anchors' contexts.
+
+    ``hot``: as from :func:`_cut`.  Each round halves the places that the anchor may have in a string.
+    """
+    blocks, covered = [], []
+    side = least - GRAM
+    state = hot.withColumns({"a": F.lit(0), "b": F.lit(side)})
+    for _ in range(side.bit_length()):
+        mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("a").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("b").alias("b")))
+        parted = state.withColumn("half", F.explode(F.when(F.col("a") < F.col("b"), halves))).withColumns(
+            {"a": F.col("half.a"), "b": F.col("half.b")}
+        )
+        # only places at which a string lies within the text
+        fits = F.greatest("a", F.col("p") + least - F.col("n")) <= F.least("b", "p")
+        lo, hi = F.greatest(F.col("p") - F.col("b"), F.lit(0)), F.least(F.col("p") + least - F.col("a"), F.col("n"))
+        parted = parted.filter(fits).withColumns({"lo": lo, "hi": hi})
+        held = _part(F.col("data"), F.col("p") - F.col("a") - F.col("start"), F.col("p") + least - F.col("b") - F.col("start"))
+        part = _part(F.col("data"), F.col("lo") - F.col("start"), F.col("hi") - F.col("start"))
+        key = F.xxhash64("h", "a", "b", held).alias("h")
+        shown = parted.select(key, "a", "b", "doc", "tie", "n", "p", F.col("lo").alias("start"), F.col("hi").alias("end"), part.alias("data"))
+        shown = written(shown.withColumn("c", F.unhex(F.md5("data"))), "suffix-hot")
+        first = shown.groupBy("h", "c").agg(F.min(F.struct("doc", "tie", "p")).alias("f"), F.count("*").alias("k"))
+        first = written(first, "suffix-hot-contexts")
+        again = shown.join(first.filter("k > 1").select("h", "c", "f"), ["h", "c"])
+        again = again.filter("struct(doc, tie, p) <> struct(f.doc, f.tie, f.p)")
+        covered.append(again.select("doc", "tie", F.col("start").alias("a"), F.col("end").alias("b")))
+        sizes = written(first.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "suffix-hot-keys")
+        ours = first.select("h", F.col("f.doc").alias("doc"), F.col("f.tie").alias("tie"), F.col("f.p").alias("p"))
+        left = shown.join(ours.join(sizes, "h"), ["h", "doc", "tie", "p"])
+        blocks.append(left.filter(F.col("m") <= most).select("h", "doc", "tie", "start", "data"))
+        state = left.filter(F.col("m") > most).drop("c", "m", "end")
+        if sizes.filter(F.col("m") > most).isEmpty():
+            break
+    return blocks, covered
+
+
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, hot_contexts: int = HOT_CONTEXTS
 ) -> DataFrame:
     """Rows ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans)``, one a document.
 
@@ -252,7 +310,9 @@ def remove_repeats(
     zipped = F.explode(F.arrays_zip("p", "h", "c")).alias("x")
     shown = own.select("doc", "tie", "n", zipped).select("doc", "tie", "n", "x.p", "x.h", "x.c")
     again = own.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    seen = written(shown.join(again.select("h"), "h"), "suffix-repeated")
+    # written first: adaptive execution splits a hot key only where no aggregate stands under the join
+    again = written(again.select("h"), "suffix-again")
+    seen = written(shown.join(again, "h"), "suffix-repeated")
     side = least - GRAM
     start, end = F.greatest(F.col("p") - side, F.lit(0)), F.least(F.col("p") + least, F.col("n"))
     seen = seen.withColumns({"start": start, "end": end})
@@ -262,14 +322,20 @@ def remove_repeats(
     more = contexts.filter("k > 1").select("h", "c", "f")
     covered = seen.join(more, ["h", "c"]).filter("end - start >= %d AND struct(doc, tie, p) <> struct(f.doc, f.tie, f.p)" % least)
     covered = covered.select("doc", "tie", F.col("start").alias("a"), F.col("end").alias("b"))
-    varied = contexts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-    wanted = contexts.join(varied, "h").select("h", "f.doc", "f.tie", "f.start", "f.end")
-    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "start", "end")).alias("w"))
-    cut = rows.select("doc", "tie", "data").join(lists, ["doc", "tie"]).select("doc", "tie", "data", F.explode("w").alias("w"))
-    part = F.substring("data", (F.col("w.start") + 1).cast("int"), (F.col("w.end") - F.col("w.start")).cast("int"))
-    cut = cut.select("w.h", "doc", "tie", "w.start", part.alias("data")).distinct()
+    varied = written(contexts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "suffix-varied")
+    few, many = F.col("m") <= hot_contexts, F.col("m") > hot_contexts
+    wanted = contexts.select("h", "f.doc", "f.tie", "f.p", "f.start", "f.end")
+    # distinct: rows that repeat an id and a text have the same contexts
+    blocks = _cut(rows, wanted.join(varied.filter(few).select("h"), "h")).select("h", "doc", "tie", "start", "data").distinct()
+    if not varied.filter(many).isEmpty():
+        hot = _cut(rows, wanted.join(varied.filter(many).select("h"), "h")).distinct()
+        split, resolved = _split_hot(hot, least, hot_contexts)
+        for more_blocks in split:
+            blocks = blocks.unionByName(more_blocks)
+        for more_spans in resolved:
+            covered = covered.unionByName(more_spans)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut.repartition(width, "h").sortWithinPartitions("h", "doc", "tie", "start")
+    dealt = blocks.repartition(width, "h").sortWithinPartitions("h", "doc", "tie", "start")
     later = rows.select("doc", "tie", "n", "digest").join(copies, "digest").filter((F.col("doc") > F.col("first")) & (F.col("n") >= least))
     whole = later.select("doc", "tie", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
     spans = covered.unionByName(_context_blocks(dealt, least)).unionByName(whole)

@@ -218,6 +218,38 @@ def test_suffix_dedup_matches_brute_force(spark):
         assert (got[i].n_bytes, got[i].n_removed) == (len(data), int(gone.sum()))
 
 
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    rng = random.Random(9)
+    junk = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    hot = {n: junk(n) for n in (32, 60, 99, 130)}
+    shared = [junk(75) for _ in range(6)]
+    rows = []
+    for i in range(240):
+        side = lambda: rng.choice([junk(90), junk(rng.randint(0, 60)), rng.choice(shared)])
+        rows.append((i, side() + hot[rng.choice(sorted(hot))] + side()))
+    rows += [(240, (hot[99] + "0") * 4), (241, rows[3][1]), (242, "ab" * 200)]
+    most, made = 8, []
+    real = suffix_dedup._split_hot
+
+    def recorded(contexts, least, limit):
+        blocks, covered = real(contexts, least, limit)
+        made.append(max((r["count"] for b in blocks for r in b.groupBy("h").count().collect()), default=0))
+        return blocks, covered
+
+    monkeypatch.setattr(suffix_dedup, "_split_hot", recorded)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs_of(spark, rows), hot_contexts=most).collect()}
+    assert made and 1 < made[0] <= most
+    seen = set()
+    for i, text in rows:
+        data = text.encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(data[k : k + 100])
+        assert bytes(got[i].kept) == bytes(np.frombuffer(data, np.uint8)[~gone]), i
+
+
 def test_packing(spark):
     rng = random.Random(5)
     sizes = [rng.randint(1, 512) for _ in range(300)]
