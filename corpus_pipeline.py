@@ -44,14 +44,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: clean tokens are kept, toxic and low ones go to 0."""
     model = mixing.fit_domains(docs, label_domains(table(spark, sf_dir, "labels")))
-    scored = written(mixing.score(docs.select("doc_id", "text"), model), "mix-scored")
+    # a rate follows from the text, so rows without an id or with a repeated one find their own by id and text
+    same, key, text, n = (own_name(docs, x) for x in ("_same", "_id", "_text", "_copies"))
+    named = docs.withColumn(same, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    scored = written(mixing.score(named.select("doc_id", same, "text"), model), "mix-scored")
     sums = [F.sum(F.col("tokens") * F.get("posteriors", F.lit(k))).alias(d) for k, d in enumerate(model.domains)]
     now = scored.agg(*sums).first().asDict() if sums else {}
     targets = [(now[d] or 0.0) if d == "clean" else 0.0 for d in model.domains]
     rated = mixing.with_rates(scored, mixing.fit_rates(scored, targets, high=1.0))
-    key, n = own_name(docs, "_id"), own_name(docs, "_copies")
-    copies = rated.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
+    copies = rated.groupBy(F.col("doc_id").alias(key), F.col(same).alias(text)).agg(F.max("copies").alias(n))
+    joined = named.join(copies, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(same) == F.col(text)))
     repeated = joined.select(*[F.col(quoted(c)) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col(n).cast("int"))))
     return repeated.select([F.col(quoted(c)) for c in docs.columns])
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spoframe.llm import (
     license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers, warc,
 )
@@ -183,6 +184,19 @@ def test_mixing_is_optimal(spark):
         assert np.all(np.abs(r - np.clip(r - gradient, 0, high)) < 1e-3)
 
 
+def test_pipeline_mix_gives_each_row_its_own_rate(spark, tmp_path):
+    good, bad = "good fine text number %d " * 4, "bad awful words %d " * 4
+    rows = [(i, (good if i % 3 else bad) % ((i,) * 4)) for i in range(300)]
+    rows += [(None, good % ((901,) * 4)), (None, good % ((901,) * 4)), (500, good % ((902,) * 4)), (None, None)]
+    toxic = [(None, bad % ((k,) * 4)) for k in range(903, 908)] + [(500, bad % ((909,) * 4))]
+    labels = [(i, int(i % 3 == 0), 1) for i in range(300)]
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.mix(spark, docs_of(spark, rows + toxic), str(tmp_path))
+    assert out.columns == [c.split()[0] for c in DOCS.split(", ")]
+    got = Counter((r.doc_id, r.text) for r in out.collect() if r.text is not None)
+    assert got == Counter((i, t) for i, t in rows if t is not None and "good" in t)
+
+
 def test_token_rollup(spark, tmp_path):
     rollup = TokenRollup(spark, str(tmp_path / "r"))
     change = lambda *rows: spark.createDataFrame(list(rows), CHANGES)
