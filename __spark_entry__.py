@@ -56,7 +56,10 @@ from spoframe.sources.tables import TABLE_TRIPLES
 try:  # the corpus operators are optional: everything else works without them
     import corpus_pipeline
     from spoframe.llm import queries as corpus_queries
-except ImportError:
+except ModuleNotFoundError as e:
+    # only their absence is excused; a broken module or dependency is an error
+    if e.name not in ("corpus_pipeline", "spoframe.llm", "spoframe.llm.queries"):
+        raise
     corpus_pipeline = corpus_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -382,9 +385,13 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_bgp_mixed(spark, SMOKE_DIR)
 
 
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries that need none of the optional subpackages."""
+    return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
-    return own | (corpus_queries.queries() | {"pipeline": corpus_pipeline.run} if corpus_queries else {})
+    return own_queries() | (corpus_queries.queries() | {"pipeline": corpus_pipeline.run} if corpus_queries else {})
 
 
 # --------------------------------------------------------------------------

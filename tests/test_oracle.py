@@ -1,4 +1,8 @@
-"""Every registered query against its DuckDB oracle, at sf0.001 (the driver uses sf0.01)."""
+"""Every query that SQL can express against its DuckDB oracle, at sf0.001 (the driver uses sf0.01).
+
+The library's own queries all have SQL.  Queries of optional subpackages
+without SQL are held against brute force by the tests of those subpackages.
+"""
 
 import pytest
 from conftest import SF_SMALL
@@ -12,11 +16,12 @@ def con():
     return duck(SF_SMALL)
 
 
-def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+def test_every_own_query_has_an_oracle():
+    assert E.own_queries().keys() <= E.oracle_sql().keys()
+    assert E.oracle_sql().keys() <= E.queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     res = compare(spark, name, SF_SMALL, con)
     assert res["ok"], res
