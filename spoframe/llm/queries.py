@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers, warc
+from spoframe.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers, warc, whitening
 from spoframe.llm.common import squeezed, table, words_of, written
 from spoframe.llm.token_rollup import TokenRollup, count_tokens
 from spoframe.session import fresh_path
@@ -133,6 +133,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid embedding on the first 16 whitened components: one row a component."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(rows, "embedding")
+    out = whitening.whiten(rows, "embedding", model)
+    shares = F.array(*[F.lit(float(s)) for s in model.explained]) if model else F.array().cast("array<double>")
+    each = out.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.get(shares, F.col("k")).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
