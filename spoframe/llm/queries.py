@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm import license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers, warc, whitening
+from spoframe.llm import byte_bpe, lexical, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, syncmers, warc, whitening
 from spoframe.llm.common import squeezed, table, words_of, written
 from spoframe.llm.token_rollup import TokenRollup, count_tokens
 from spoframe.session import fresh_path
@@ -151,6 +151,23 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the bytes that they decode to."""
+    path, pattern = byte_bpe.vocabulary_file()
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    digests = coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids"
+    )
+    back = byte_bpe.decode(digests, byte_bpe.token_table(spark, path))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
@@ -179,6 +196,29 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
   CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
 FROM (SELECT *, min(page_id) OVER (PARTITION BY d) AS f FROM (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages))""",
+        "op12_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+p AS (
+  SELECT k, t, count(*) AS tf, any_value(m) AS m FROM (
+    SELECT k, unnest(w) AS t, 50 + (50 * len(w) * c.n) // c.l AS m FROM d, c
+  ) GROUP BY k, t
+), g AS (
+  SELECT t, floor(1000 * ln((2 * any_value(c.n) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY t
+), i AS (
+  SELECT q, item_id, unnest(list_distinct(w)) AS t FROM (
+    SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark)
+), s AS (
+  SELECT q, item_id, k, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN g USING (t) JOIN p USING (t) GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM s JOIN d USING (k) WHERE score > 0
+) WHERE rank <= 50""",
         "op2_line_dedup": r"""
 WITH pages AS (
   SELECT row_number() OVER () AS k, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
