@@ -273,7 +273,8 @@ def _bytes_task(names: list[str]):
             flat = tokens.buffers()[2].to_pybytes() if tokens.buffers()[2] else b""
             parts.append(flat[ends[0] : ends[before]])
             done = []
-            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+            stops = [*starts[1:].tolist(), len(at)][: len(starts)]
+            for start, end in zip(starts.tolist(), stops, strict=True):
                 if head is not None:
                     done.append((head, b"".join(parts)))
                 head, parts = batch.slice(start, 1), [flat[ends[start] : ends[end]]]
