@@ -12,6 +12,7 @@ would be.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from spoframe.operators import (
     Var,
     distinct_predicates,
     graph_stats,
+    list_chunks,
     lookup_stats,
     multivalued_predicates,
     plan_columns,
@@ -34,8 +36,17 @@ from spoframe.operators import (
     semijoin,
     single_valued_predicates,
 )
-from spoframe.plans import TripleStore, load_store, match, match_all, tagged_union, write_all
-from spoframe.session import application_id, fresh_path
+from spoframe.plans import (
+    TripleStore,
+    load_store,
+    load_tables,
+    load_text,
+    match,
+    match_all,
+    tagged_union,
+    write_all,
+)
+from spoframe.session import application_id, fresh_path, written
 from spoframe.sources import (
     predicate as P,
     read_property_table,
@@ -67,8 +78,8 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 # --------------------------------------------------------------------------
 # Query patterns (variables by name; predicates by their mapping NAME)
 
-o, c, n, r, st, p, t, s, x, b, z, sg, nm = map(
-    Var, ["o", "c", "n", "r", "st", "p", "t", "s", "x", "b", "z", "sg", "nm"]
+o, c, n, r, st, p, t, s, x, b, z, sg, nm, pr = map(
+    Var, ["o", "c", "n", "r", "st", "p", "t", "s", "x", "b", "z", "sg", "nm", "pr"]
 )
 
 CHAIN = [(o, P("placedBy"), c), (c, P("segment"), "BUILDING"), (c, P("inNation"), n)]
@@ -91,6 +102,19 @@ CYCLE = [(o, P("placedBy"), c), (c, P("inNation"), n), (o, P("hasSupplier"), s),
 STAR_CONST_SINGLE = [(p, P("brand"), "Brand#7"), (p, P("type"), t)]
 STAR_EXPLODE = [(o, P("status"), "F"), (o, P("placedBy"), c), (o, P("hasPart"), p)]
 STAR_TWO_EXPLODES = [(o, P("priority"), "1-URGENT"), (o, P("hasPart"), p), (o, P("hasSupplier"), s)]
+# only the order is asked for: the rest has to exist
+EXISTS_ONLY = [(o, P("status"), "F"), (o, P("hasPart"), p), (o, P("hasSupplier"), s), (o, P("placedBy"), c)]
+# a triangle whose closing edges hold three values of st in all
+CYCLE_HEAVY = [(o, P("placedBy"), c), (c, P("orderedWith"), st), (o, P("status"), st)]
+# the orders of each status that has urgent ones, and their customers
+HUB = [(x, P("statusOf"), o), (x, P("statusPriority"), "1-URGENT"), (o, P("placedBy"), c)]
+CONST_SUBJECT = [("order/100", P("status"), st), ("order/100", P("placedBy"), c), ("order/100", P("hasPart"), p)]
+# two queries with a scan in common, under different variable names
+SHARED_BATCH = {
+    "chain": (CHAIN, ["o", "n"]),
+    "segment_orders": ([(x, P("segment"), "BUILDING"), (o, P("placedBy"), x), (o, P("status"), "F")], ["o", "x"]),
+    "finished": ([(r, P("status"), "F"), (r, P("placedBy"), c)], ["r", "c"]),
+}
 
 
 # --------------------------------------------------------------------------
@@ -116,6 +140,18 @@ def _store(spark: SparkSession, sf_dir: str) -> TripleStore:
     return _store_entry(spark, sf_dir)[1]
 
 
+def _hub_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every status as a subject with all its orders and their priorities, and every order with its customer."""
+    triples = _triples(spark, sf_dir)
+    status = triples.where(F.col("p") == P("status"))
+    hubs = status.select(F.col("o").alias("s"), F.lit(P("statusOf")).alias("p"), F.col("s").alias("o"))
+    priority = triples.where(F.col("p") == P("priority")).select("s", F.col("o").alias("priority"))
+    with_priority = status.join(priority, "s").select(
+        F.col("o").alias("s"), F.lit(P("statusPriority")).alias("p"), F.col("priority").alias("o")
+    )
+    return hubs.unionByName(with_priority).unionByName(triples.where(F.col("p") == P("placedBy")))
+
+
 def _render_lists(df: DataFrame) -> DataFrame:
     """Array columns as ``a|b|c`` (sorted) so results compare as text."""
     cols = []
@@ -220,7 +256,14 @@ def q_name_clean_variants(spark, sf_dir):
 
 
 def q_property_table(spark, sf_dir):
-    return _render_lists(_store(spark, sf_dir).property_table)
+    """The explicit table with whole lists, from the stored rows."""
+    store = _store(spark, sf_dir)
+    return _render_lists(property_table(store.vp, list(store.pt_columns.values())))
+
+
+def q_property_table_stored(spark, sf_dir):
+    """The stored table: values of single-valued predicates, numbers of values of the others."""
+    return _store(spark, sf_dir).property_table
 
 
 def q_properties_array(spark, sf_dir):
@@ -309,13 +352,72 @@ def q_catalogue_roundtrip(spark, sf_dir):
 
 
 def q_property_table_hub(spark, sf_dir):
-    """Every status as a subject with all its orders as one list, and every order with its customer."""
-    triples = _triples(spark, sf_dir)
-    hubs = triples.where(F.col("p") == P("status")).select(
-        F.col("o").alias("s"), F.lit(P("statusOf")).alias("p"), F.col("s").alias("o")
-    )
-    both = hubs.unionByName(triples.where(F.col("p") == P("placedBy")))
-    return _render_lists(property_table(both, plan_columns(predicate_stats(both))))
+    """The values of hub subjects (and of all others) as chunk rows."""
+    chunks = list_chunks(_hub_triples(spark, sf_dir))
+    joined = lambda name: F.array_join(F.col(name).cast("array<string>"), "|").alias(name)
+    return chunks.select("s", "p", "chunk", joined("values"), joined("counts"))
+
+
+def q_bgp_mixed_hub(spark, sf_dir):
+    """A star on hub subjects: a list variable and a list constant, joined on."""
+    store = load_store(_hub_triples(spark, sf_dir), fresh_path(spark, "hub-store"))
+    return match(store, HUB, ["x", "o", "c"], layout="mixed")
+
+
+def q_bgp_exists_only(spark, sf_dir):
+    return match(_store(spark, sf_dir), EXISTS_ONLY, ["o"], layout="mixed")
+
+
+def q_bgp_exists_only_vp(spark, sf_dir):
+    return match(_store(spark, sf_dir), EXISTS_ONLY, ["o"])
+
+
+def q_bgp_cycle_heavy(spark, sf_dir):
+    """A triangle whose closing edges share three values: each value is joined along its cheapest side."""
+    triples = _triples(spark, sf_dir).where(F.col("p").isin(P("placedBy"), P("status")))
+    placed = triples.where(F.col("p") == P("placedBy")).select("s", F.col("o").alias("c"))
+    status = triples.where(F.col("p") == P("status")).select("s", F.col("o").alias("st"))
+    ordered = placed.join(status, "s").select(F.col("c").alias("s"), F.lit(P("orderedWith")).alias("p"), F.col("st").alias("o"))
+    edges = written(triples.unionByName(ordered.distinct()), "cycle-edges")
+    return match(TripleStore.from_triples(edges), CYCLE_HEAVY, ["o", "c", "st"])
+
+
+def q_store_tables(spark, sf_dir):
+    """A star over partitioned rows of a store kept as named, bucketed tables."""
+    database = f"spoframe_{uuid.uuid4().hex}"
+    load_tables(_triples(spark, sf_dir), database, buckets=8)
+    store = TripleStore.open_database(spark, database)
+    return match(store, [(o, P("status"), st), (o, P("placedBy"), c), (o, P("hasPart"), p)])
+
+
+def q_pt_const_subject(spark, sf_dir):
+    """A star of one subject: the file index names the property table's file to open."""
+    return match(_store(spark, sf_dir), CONST_SUBJECT, layout="mixed")
+
+
+def q_batch_shared_scans(spark, sf_dir):
+    """Queries with scans in common: each is run once and written for all sinks."""
+    paths = write_all(match_all(_store(spark, sf_dir), SHARED_BATCH), fresh_path(spark, "batch"))
+    return tagged_union({name: read_result(spark, path) for name, path in paths.items()})
+
+
+def q_load_accounting(spark, sf_dir):
+    """Triples and the lines of all documents as one text: rows loaded and lines rejected, from the manifest."""
+    path = fresh_path(spark, "triples-tsv")
+    write_triples(_triples(spark, sf_dir), path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    docs.select(F.explode(F.split("text", "\n")).alias("value")).write.mode("append").option("lineSep", "\n").text(path)
+    store = load_text(spark, path, fresh_path(spark, "store"), with_property_table=False)
+    counts = {k: store.manifest[k] for k in ("triples", "null_rows", "rejected_lines")}
+    return spark.createDataFrame([counts], "triples long, null_rows long, rejected_lines long")
+
+
+def q_name_variants_text(spark, sf_dir):
+    """The name forms of arbitrary text: every page address, document and turn of a conversation."""
+    parts = [("pages", "url"), ("documents", "text"), ("conversations", "text")]
+    read = [spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col(c).alias("p")) for t, c in parts]
+    names = name_variants(read[0].unionByName(read[1]).unionByName(read[2]).where("p IS NOT NULL").distinct())
+    return names.select(*[F.md5(c).alias(c) for c in names.columns])
 
 
 def q_store_reload(spark, sf_dir):
@@ -484,7 +586,19 @@ _STAR_CONST_SINGLE_SQL = (
 )
 
 
-def _name_forms_sql() -> str:
+_EXISTS_SQL = (
+    f"SELECT DISTINCT s AS o FROM {_pred('status')} WHERE o = 'F' AND s IN (SELECT s FROM {_pred('hasPart')}) "
+    f"AND s IN (SELECT s FROM {_pred('hasSupplier')}) AND s IN (SELECT s FROM {_pred('placedBy')})"
+)
+_HUB_SQL = (
+    f"SELECT o AS s, '{P('statusOf')}' AS p, s AS o FROM {_pred('status')} UNION ALL "
+    f"SELECT st.o AS s, '{P('statusPriority')}' AS p, pr.o AS o FROM {_pred('status')} st "
+    f"JOIN {_pred('priority')} pr ON pr.s = st.s UNION ALL "
+    f"SELECT s, '{P('placedBy')}' AS p, o FROM {_pred('placedBy')}"
+)
+
+
+def _name_forms_sql(source: str = "SELECT DISTINCT p FROM triples") -> str:
     strip = "CASE WHEN p LIKE '<%>' AND length(p) >= 2 THEN substr(p, 2, length(p) - 2) ELSE p END"
     return (
         "SELECT p, "
@@ -494,7 +608,7 @@ def _name_forms_sql() -> str:
         "regexp_replace(translate(p, '<>', ''), '[^\\w]', '_', 'g') AS catalogue_name, "
         f"regexp_replace({strip}, '[^\\w]', '_', 'g') AS aggregate_key_name, "
         f"regexp_replace({strip}, '[^a-zA-Z0-9_]', '_', 'g') AS valid_column_name "
-        "FROM (SELECT DISTINCT p FROM triples)"
+        f"FROM ({source})"
     )
 
 
@@ -606,11 +720,68 @@ def oracle_sql() -> dict[str, str]:
             f"UNION ALL BY NAME SELECT 'bgp_cycle' AS query, * FROM ({_CYCLE_SQL})"
         ),
         "result_roundtrip": _CHAIN_SQL,
+        "property_table_stored": (
+            "SELECT s, "
+            + ", ".join(
+                f"nullif(count(CASE WHEN p = '{P(nm)}' THEN o END), 0) AS {_column(nm)}"
+                if nm in _MULTI
+                else f"max(CASE WHEN p = '{P(nm)}' THEN o END) AS {_column(nm)}"
+                for nm in _NAMES
+            )
+            + " FROM triples GROUP BY s"
+        ),
         "property_table_hub": (
-            f"SELECT s, string_agg(CASE WHEN k = 1 THEN o END, '|' ORDER BY o) AS {_column('statusOf')}, "
-            f"max(CASE WHEN k = 2 THEN o END) AS {_column('placedBy')} FROM ("
-            f"SELECT o AS s, 1 AS k, s AS o FROM {_pred('status')} UNION ALL "
-            f"SELECT s, 2 AS k, o FROM {_pred('placedBy')}) GROUP BY s"
+            f"SELECT s, p, chunk, string_agg(o, '|' ORDER BY o) AS values, "
+            "string_agg(CAST(k AS VARCHAR), '|' ORDER BY o) AS counts FROM ("
+            "SELECT s, p, o, k, CASE WHEN n > 1000 THEN "
+            "CAST('0x' || substr(md5(o), 1, 8) AS BIGINT) % CAST(ceil(n / 1000) AS BIGINT) ELSE 0 END AS chunk FROM ("
+            f"SELECT s, p, o, count(*) AS k FROM ({_HUB_SQL}) GROUP BY s, p, o) JOIN ("
+            f"SELECT s, p, count(*) AS n FROM ({_HUB_SQL}) GROUP BY s, p) USING (s, p)) GROUP BY s, p, chunk"
+        ),
+        "bgp_mixed_hub": (
+            f"SELECT DISTINCT st.o AS x, st.s AS o, pb.o AS c FROM {_pred('status')} st "
+            f"JOIN {_pred('placedBy')} pb ON pb.s = st.s WHERE st.o IN (SELECT st2.o FROM {_pred('status')} st2 "
+            f"JOIN {_pred('priority')} pr ON pr.s = st2.s WHERE pr.o = '1-URGENT')"
+        ),
+        "bgp_exists_only": _EXISTS_SQL,
+        "bgp_exists_only_vp": _EXISTS_SQL,
+        "bgp_cycle_heavy": (
+            f"SELECT DISTINCT pb.s AS o, pb.o AS c, st.o AS st FROM {_pred('placedBy')} pb "
+            f"JOIN {_pred('status')} st ON st.s = pb.s JOIN (SELECT pb2.o AS c, st2.o AS st FROM {_pred('placedBy')} pb2 "
+            f"JOIN {_pred('status')} st2 ON st2.s = pb2.s) ow ON ow.c = pb.o AND ow.st = st.o"
+        ),
+        "store_tables": (
+            f"SELECT DISTINCT sts.s AS o, sts.o AS st, pb.o AS c, hp.o AS p FROM {_pred('status')} sts "
+            f"JOIN {_pred('placedBy')} pb ON pb.s = sts.s JOIN {_pred('hasPart')} hp ON hp.s = sts.s"
+        ),
+        "pt_const_subject": (
+            f"SELECT DISTINCT sts.o AS st, pb.o AS c, hp.o AS p FROM {_pred('status')} sts "
+            f"JOIN {_pred('placedBy')} pb ON pb.s = sts.s JOIN {_pred('hasPart')} hp ON hp.s = sts.s "
+            "WHERE sts.s = 'order/100'"
+        ),
+        "batch_shared_scans": (
+            f"SELECT 'chain' AS query, * FROM ({_CHAIN_SQL}) UNION ALL BY NAME "
+            f"SELECT 'segment_orders' AS query, * FROM (SELECT DISTINCT pb.s AS o, pb.o AS x FROM {_pred('placedBy')} pb "
+            f"JOIN {_pred('segment')} seg ON seg.s = pb.o AND seg.o = 'BUILDING' "
+            f"JOIN {_pred('status')} sts ON sts.s = pb.s AND sts.o = 'F') UNION ALL BY NAME "
+            f"SELECT 'finished' AS query, * FROM (SELECT DISTINCT sts.s AS r, pb.o AS c FROM {_pred('status')} sts "
+            f"JOIN {_pred('placedBy')} pb ON pb.s = sts.s WHERE sts.o = 'F')"
+        ),
+        "load_accounting": (
+            "SELECT (SELECT count(*) FROM triples) + count(CASE WHEN tabs >= 2 THEN 1 END) AS triples, "
+            "CAST(0 AS BIGINT) AS null_rows, count(CASE WHEN tabs < 2 THEN 1 END) AS rejected_lines FROM ("
+            "SELECT length(line) - length(replace(line, chr(9), '')) AS tabs FROM ("
+            "SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL))"
+        ),
+        "name_variants_text": (
+            "SELECT md5(p) AS p, md5(table_name) AS table_name, md5(metastore_name) AS metastore_name, "
+            "md5(catalogue_name) AS catalogue_name, md5(aggregate_key_name) AS aggregate_key_name, "
+            "md5(valid_column_name) AS valid_column_name FROM ("
+            + _name_forms_sql(
+                "SELECT DISTINCT p FROM (SELECT url AS p FROM pages UNION ALL SELECT text FROM documents "
+                "UNION ALL SELECT text FROM conversations) WHERE p IS NOT NULL"
+            )
+            + ")"
         ),
         "store_reload": (
             f"SELECT DISTINCT sg.s AS c, sg.o AS sg, nat.o AS n FROM {_pred('segment')} sg "

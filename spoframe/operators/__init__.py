@@ -1,6 +1,8 @@
 """Operators: profile aggregates, property table, pattern scans, joins."""
 
+from spoframe.operators.cycles import triangle_join
 from spoframe.operators.joins import natural_join, semijoin, shared_variables
+from spoframe.operators.list_store import list_chunks, list_sizes, list_values
 from spoframe.operators.patterns import Pattern, Var, as_pattern, scan_pattern, scan_star
 from spoframe.operators.profile import (
     catalogue_from_stats,
@@ -33,6 +35,9 @@ __all__ = [
     "distinct_predicates",
     "graph_stats",
     "grouped_properties",
+    "list_chunks",
+    "list_sizes",
+    "list_values",
     "lookup_stats",
     "multivalued_predicates",
     "natural_join",
@@ -47,5 +52,6 @@ __all__ = [
     "semijoin",
     "shared_variables",
     "single_valued_predicates",
+    "triangle_join",
     "with_columns",
 ]

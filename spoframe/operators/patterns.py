@@ -9,6 +9,7 @@ SQL text), so equality filters reach the Parquet reader as pushed filters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from typing import Union
@@ -16,6 +17,9 @@ from typing import Union
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoframe.operators.list_store import list_values
+from spoframe.sources.layouts import only_predicates, quoted
+
 
 @dataclass(frozen=True)
 class Var:
@@ -69,7 +73,9 @@ def _and(conds: list[Column]) -> Column | None:
     return reduce(lambda a, b: a & b, conds) if conds else None
 
 
-def scan_pattern(rows: DataFrame, pattern: Pattern, keys: dict[str, str] | None = None) -> DataFrame:
+def scan_pattern(
+    rows: DataFrame, pattern: Pattern, keys: dict[str, str] | None = None, needed: set[str] | None = None
+) -> DataFrame:
     """Answer one pattern from the ``(s, o)`` rows of its predicate.
 
     * ``?x P ?y`` -> ``(x, y)``;  ``?x P ?x`` -> ``(x)`` with ``s = o`` (D3)
@@ -79,6 +85,8 @@ def scan_pattern(rows: DataFrame, pattern: Pattern, keys: dict[str, str] | None
 
     ``keys`` maps a constant to a column name under which the matched value is
     also returned, so patterns sharing only that constant can still be joined.
+    ``needed`` (default: all) are the variables to return; the others only
+    have to exist.
     """
     pattern = as_pattern(pattern)
     keys = keys or {}
@@ -92,13 +100,12 @@ def scan_pattern(rows: DataFrame, pattern: Pattern, keys: dict[str, str] | None
         if term in keys and keys[term] not in named:
             cols.append(F.col(pos).alias(keys[term]))
             named.add(keys[term])
-    if isinstance(pattern.s, Var):
-        cols.append(F.col("s").alias(pattern.s.name))
-    if isinstance(pattern.o, Var):
-        if isinstance(pattern.s, Var) and pattern.s.name == pattern.o.name:
-            conds.append(F.col("s") == F.col("o"))
-        else:
-            cols.append(F.col("o").alias(pattern.o.name))
+    same = isinstance(pattern.s, Var) and pattern.s == pattern.o
+    if same:
+        conds.append(F.col("s") == F.col("o"))
+    for pos, term in (("s", pattern.s), ("o", pattern.o))[: 1 if same else 2]:
+        if isinstance(term, Var) and (needed is None or term.name in needed):
+            cols.append(F.col(pos).alias(term.name))
     cond = _and(conds)
     df = rows.where(cond) if cond is not None else rows
     return df.select(*cols)
@@ -110,48 +117,99 @@ def scan_star(
     subject: Term,
     items: list[tuple[str, Term]],
     keys: dict[str, str] | None = None,
+    needed: set[str] | None = None,
+    lists: DataFrame | None = None,
+    rows: Callable[[str], DataFrame] | None = None,
 ) -> DataFrame:
-    """Answer patterns sharing one subject from one property-table row.
+    """Answer patterns sharing one subject from the property table.
 
     ``columns`` maps a predicate to its :class:`PTColumn`; ``items`` are the
     ``(predicate, object)`` pairs.  Order of work: subject and constant-object
     filters (pushed to the scan for single-valued columns), NOT NULL for
-    single-valued variables, then one ``explode`` per multi-valued variable;
-    a variable bound twice becomes an equality filter (D8).  ``keys`` as in
-    :func:`scan_pattern`.
+    variables, then the multi-valued ones; a variable bound twice becomes an
+    equality filter (D8).  ``keys`` and ``needed`` as in :func:`scan_pattern`:
+    a multi-valued predicate whose variable is not needed is a NOT NULL test.
+
+    A multi-valued predicate is read from its cell (an ``explode`` of the
+    distinct values), or, where the table holds only the number of values, from
+    the chunked ``lists`` (see :func:`list_chunks`) joined on the subject, and a
+    constant among its values from ``rows(p)``, where it is a pushed filter
+    (B9).  A star of constants in lists alone does not read the table.
     """
     keys = keys or {}
+    uses: dict[str, int] = {}
+    for _, o in items:
+        if isinstance(o, Var):
+            uses[o.name] = uses.get(o.name, 0) + 1
+    if isinstance(subject, Var):
+        uses[subject.name] = uses.get(subject.name, 0) + 1
+
+    def wanted(term: Var) -> bool:
+        return needed is None or term.name in needed or uses[term.name] > 1
+
     conds: list[Column] = []
     bindings: dict[str, list[str]] = {}
     extra: dict[str, Column] = {}
+    # plain names inside: those of variables and columns may hold dots or differ by case only
+    cells = {p: f"__c{i}" for i, p in enumerate(dict.fromkeys(p for p, _ in items))}
     if isinstance(subject, Var):
-        bindings[subject.name] = ["s"]
+        bindings[subject.name] = ["__s"]
     else:
-        conds.append(F.col("s") == F.lit(subject))
+        conds.append(F.col("__s") == F.lit(subject))
         if subject in keys:
-            extra[keys[subject]] = F.col("s")
+            extra[keys[subject]] = F.col("__s")
     explodes: list[tuple[str, str]] = []
+    listed: list[DataFrame] = []  # joined on the subject
+    members: list[DataFrame] = []  # subjects that hold a constant
+    read = set()
     for i, (p, o) in enumerate(items):
         c = columns[p]
-        cell = F.col(c.column)
+        cell = F.col(cells[p])
+        apart = c.is_list and lists is not None
         if not isinstance(o, Var):
-            conds.append(F.array_contains(cell, F.lit(o)) if c.is_list else cell == F.lit(o))
+            if apart and rows is not None:
+                members.append(rows(p).where(F.col("o") == F.lit(o)).select(F.col("s").alias("__s")))
+            elif apart:
+                held = only_predicates(lists, [p]).where(F.array_contains("values", F.lit(o)))
+                members.append(held.select(F.col("s").alias("__s")))
+            else:
+                conds.append(F.array_contains(cell, F.lit(o)) if c.is_list else cell == F.lit(o))
+                read.add(p)
             if o in keys and keys[o] not in extra:
                 extra[keys[o]] = F.lit(o)
-        elif c.is_list:
-            name = f"__spo_x{i}"
-            explodes.append((name, c.column))
+            continue
+        if c.is_list and wanted(o):
+            name = f"__x{i}"
             bindings.setdefault(o.name, []).append(name)
+            if apart:
+                values = list_values(lists, p).select(F.col("s").alias("__s"), F.col("o").alias(name))
+                listed.append(values)
+                continue
+            explodes.append((name, cells[p]))
         else:
+            # an empty list is no list: cells hold NULL for an absent predicate
             conds.append(cell.isNotNull())
-            bindings.setdefault(o.name, []).append(c.column)
+            if not c.is_list and wanted(o):
+                bindings.setdefault(o.name, []).append(cells[p])
+        read.add(p)
+    parts = [*members, *listed]
+    if read or not parts:
+        df = table.select(F.col("s").alias("__s"), *[F.col(quoted(columns[p].column)).alias(cells[p]) for p in cells if p in read])
+    else:
+        df, parts = parts[0], parts[1:]
+    on_subject = _and([c for c in conds[:1] if not isinstance(subject, Var)])
     cond = _and(conds)
-    df = table.where(cond) if cond is not None else table
-    for name, column in explodes:
-        df = df.withColumn(name, F.explode(column))
+    if cond is not None:
+        df = df.where(cond)
+    for part in parts:
+        part = part if on_subject is None else part.where(on_subject)
+        df = df.join(part, "__s", "left_semi" if part.columns == ["__s"] else "inner")
+    for name, cell in explodes:
+        df = df.withColumn(name, F.explode(F.array_distinct(cell)))
     equal = [F.col(cols[0]) == F.col(c) for cols in bindings.values() for c in cols[1:]]
     cond = _and(equal)
     if cond is not None:
         df = df.where(cond)
     out = [col.alias(k) for k, col in extra.items()]
-    return df.select(*out, *[F.col(cols[0]).alias(v) for v, cols in bindings.items()])
+    shown = [F.col(cols[0]).alias(v) for v, cols in bindings.items() if needed is None or v in needed]
+    return df.select(*out, *shown)

@@ -1,11 +1,12 @@
 """Predicate profile: distinct predicates, multiplicity, statistics, catalogue.
 
-Statistics come from two-level aggregates: first count rows per ``(p, s)``
-(map-side combined, so a hot subject or a block of duplicate triples
-shrinks to one row per task before the shuffle), then fold those counts per
-``p``; the same for distinct ``(p, o)`` pairs.  The shuffles are keyed on
-the pair, so one predicate that holds a large share of all rows still
-spreads over every reducer.
+Everything comes from one pass over the triples and two aggregates.  The
+first counts rows per ``(p, side, value)``, for the subject and the object of
+each row (map-side combined, so a hot subject, a hot object or a block of
+duplicate triples shrinks to one row per task before the shuffle); the second
+folds those counts per ``p``, again map-side first.  The first shuffle is keyed
+on the value too, so one predicate that holds a large share of all rows still
+spreads over every reducer; the second moves a row per predicate and task.
 """
 
 from __future__ import annotations
@@ -26,48 +27,43 @@ def distinct_predicates(triples: DataFrame) -> DataFrame:
     return triples.select("p").distinct()
 
 
+def predicate_catalogue(triples: DataFrame) -> DataFrame:
+    """``(p, is_complex)``: 1 where some subject has the predicate more than once (exact duplicates count)."""
+    per_subject = triples.groupBy("p", "s").agg(F.count(F.lit(1)).alias("n"))
+    return per_subject.groupBy("p").agg((F.max("n") > 1).cast("int").alias("is_complex"))
+
+
 def multivalued_predicates(triples: DataFrame) -> DataFrame:
     """Predicates some subject has more than once (exact duplicates count)."""
-    per_subject = triples.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"))
-    return per_subject.where(F.col("n") > 1).select("p").distinct()
+    return predicate_catalogue(triples).where("is_complex = 1").select("p")
 
 
 def single_valued_predicates(triples: DataFrame) -> DataFrame:
-    """all predicates except the multi-valued ones (set difference)."""
-    return distinct_predicates(triples).subtract(multivalued_predicates(triples))
-
-
-def predicate_catalogue(triples: DataFrame) -> DataFrame:
-    """``(p, is_complex)`` as the tagged union of single- and multi-valued."""
-    single = single_valued_predicates(triples).select("p", F.lit(0).alias("is_complex"))
-    multi = multivalued_predicates(triples).select("p", F.lit(1).alias("is_complex"))
-    return single.unionByName(multi)
+    """all predicates except the multi-valued ones."""
+    return predicate_catalogue(triples).where("is_complex = 0").select("p")
 
 
 def predicate_stats(triples: DataFrame) -> DataFrame:
     """``(p, size, distinct_subjects, distinct_objects, max_multiplicity, is_complex)``.
 
     ``size`` counts rows (duplicates included), the distinct counts are exact,
-    ``is_complex`` is ``size > distinct_subjects``.  Two two-level aggregates,
-    keyed on ``(p, s)`` and ``(p, o)``; both end hash-partitioned by ``p``, so
-    joining their one-row-per-predicate outputs needs no further shuffle.
+    ``is_complex`` is ``size > distinct_subjects``.  One scan, two exchanges.
     """
-    per_subject = triples.groupBy("p", "s").agg(F.count(F.lit(1)).alias("n"))
-    subjects = per_subject.groupBy("p").agg(
-        F.sum("n").alias("size"),
-        F.count(F.lit(1)).alias("distinct_subjects"),
-        F.max("n").alias("max_multiplicity"),
-    )
-    objects = triples.select("p", "o").distinct().groupBy("p").agg(
-        F.count(F.lit(1)).alias("distinct_objects")
+    sides = F.array(
+        F.struct(F.lit(True).alias("subject"), F.col("s").alias("value")),
+        F.struct(F.lit(False).alias("subject"), F.col("o").alias("value")),
     )
-    return subjects.join(objects, "p").select(
-        "p",
-        "size",
-        "distinct_subjects",
-        "distinct_objects",
-        "max_multiplicity",
-        (F.col("size") > F.col("distinct_subjects")).alias("is_complex"),
+    counts = triples.select("p", F.inline(sides)).groupBy("p", "subject", "value").agg(F.count(F.lit(1)).alias("n"))
+    of_subject = F.when(F.col("subject"), F.col("n"))
+    return (
+        counts.groupBy("p")
+        .agg(
+            F.sum(of_subject).alias("size"),
+            F.count(of_subject).alias("distinct_subjects"),
+            F.count(F.when(~F.col("subject"), F.lit(1))).alias("distinct_objects"),
+            F.max(of_subject).alias("max_multiplicity"),
+        )
+        .withColumn("is_complex", F.col("size") > F.col("distinct_subjects"))
     )
 
 

@@ -42,11 +42,14 @@ def plan_columns(stats: DataFrame, predicates: list[str] | None = None) -> list[
 
 
 def columns_from_catalogue(catalogue: DataFrame, table: DataFrame) -> list[PTColumn]:
-    """Columns of a stored table: names from the catalogue, list-ness from the schema."""
+    """Columns of a stored table: names from the catalogue, list-ness from the schema.
+
+    A list column holds the values, or their number where those are in chunks.
+    """
     types = {f.name: f.dataType.typeName() for f in table.schema.fields}
     rows = catalogue.select("p", "column").collect()
     return sorted(
-        (PTColumn(r["p"], r["column"], types.get(r["column"]) == "array") for r in rows if r["column"] in types),
+        (PTColumn(r["p"], r["column"], types.get(r["column"]) in ("array", "long")) for r in rows if r["column"] in types),
         key=lambda c: c.p,
     )
 

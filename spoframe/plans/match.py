@@ -15,7 +15,13 @@
    (statistics), else the lowest score, else input order.
 4. optional *reduction* (``reduce=True``): an upward and a downward pass of
    semi-joins over the spanning tree of that order (Yannakakis).
-5. inner joins on all shared variables, the projection, ``DISTINCT``.
+5. joins on all shared variables, the projection, ``DISTINCT``.  Only what is
+   selected or joined later is carried: a variable of one unit alone is a NOT
+   NULL test or a semi-join, a unit that adds nothing carried is a semi-join,
+   and a variable is dropped after its last join.
+
+Three single patterns that share a variable pairwise (a triangle) are one unit,
+joined value by value along the cheapest side (``cycles="split"``).
 
 Constant-only patterns are existence tests: an uncorrelated ``EXISTS`` that
 Spark evaluates once as a subquery and applies as a filter.
@@ -23,18 +29,21 @@ Spark evaluates once as a subquery and applies as a filter.
 
 from __future__ import annotations
 
+import itertools
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoframe.operators.cycles import triangle_join
 from spoframe.operators.joins import semijoin
 from spoframe.operators.patterns import Pattern, Var, as_pattern, scan_pattern, scan_star
 from spoframe.operators.profile import COST_LOG_BASE
 from spoframe.plans.store import TripleStore
-from spoframe.session import shared_dir
-from spoframe.sources.layouts import write_result
+from spoframe.session import Scratch
+from spoframe.sources.layouts import quoted, write_result
 
 
 @dataclass
@@ -42,6 +51,7 @@ class Unit:
     patterns: list[Pattern]
     star: bool
     keys: dict[str, str] = field(default_factory=dict)  # shared constant -> key column
+    sides: list[Unit] = field(default_factory=list)  # the three units of a triangle
 
     @property
     def constants(self) -> set[str]:
@@ -61,12 +71,29 @@ class Unit:
     def has_constant(self) -> bool:
         return any(not isinstance(t, Var) for pat in self.patterns for t in (pat.s, pat.o))
 
-    def frame(self, store: TripleStore) -> DataFrame:
+    def frame(self, store: TripleStore, needed: set[str] | None = None, shared: dict | None = None) -> DataFrame:
+        """The unit's solutions; only ``needed`` variables (default: all) are columns.
+
+        ``shared``: written scans of a batch (see :func:`match_all`), by :func:`scan_key`.
+        """
+        if self.sides:
+            return triangle_join(*[u.frame(store, shared=shared) for u in self.sides])
         if self.star:
             items = [(pat.p, pat.o) for pat in self.patterns]
-            return scan_star(store.property_table, store.pt_columns, self.patterns[0].s, items, self.keys)
+            subject = self.patterns[0].s
+            table = store.properties_of(subject) if isinstance(subject, str) else store.property_table
+            return scan_star(
+                table, store.pt_columns, subject, items, self.keys, needed, lists=store.lists, rows=store.rows
+            )
         pat = self.patterns[0]
-        return scan_pattern(store.rows(pat.p), pat, self.keys)
+        rows = (shared or {}).get(scan_key(pat))
+        return scan_pattern(store.rows(pat.p) if rows is None else rows, pat, self.keys, needed)
+
+
+def scan_key(pat: Pattern) -> tuple:
+    """What a pattern reads, whatever its variables are called."""
+    s, o = (None if isinstance(t, Var) else t for t in (pat.s, pat.o))
+    return (pat.p, s, o, isinstance(pat.s, Var) and pat.s == pat.o)
 
 
 def _units(store: TripleStore, patterns: list[Pattern], layout: str, min_group_size: int) -> list[Unit]:
@@ -94,6 +121,26 @@ def _units(store: TripleStore, patterns: list[Pattern], layout: str, min_group_s
     return sorted(units, key=lambda u: position[id(u.patterns[0])])
 
 
+def close_triangles(units: list[Unit]) -> list[Unit]:
+    """The units with each triangle of single patterns as one unit, where the first of its patterns was.
+
+    Only patterns of two variables and no constant count: a constant already
+    makes its unit a good start.
+    """
+    out = list(units)
+    while True:
+        plain = [u for u in out if not u.star and not u.sides and len(u.variables) == 2 and not u.has_constant]
+        for sides in itertools.combinations(plain, 3):
+            shared = [set(x.variables) & set(y.variables) for x, y in itertools.combinations(sides, 2)]
+            if all(len(v) == 1 for v in shared) and len(set().union(*shared)) == 3:
+                first, second, third = sides  # ab, and the two others as bc and ca
+                whole = Unit([p for u in sides for p in u.patterns], False, sides=[first, second, third])
+                out = [whole if u is first else u for u in out if u is not second and u is not third]
+                break
+        else:
+            return out
+
+
 def _parts(units: list[Unit]) -> list[list[int]]:
     """The units in groups that share variables (or key columns)."""
     parts: list[tuple[set[str], list[int]]] = []
@@ -137,6 +184,8 @@ def _scores(units: list[Unit], stats: dict[str, tuple[int, int, int]] | None) ->
     for u in units:
         if u.has_constant:
             out.append(0.0)
+        elif u.sides:
+            out.append(sum(_scores(u.sides, stats)))
         elif u.star:
             out.append(1.0 / len(u.patterns))
         elif stats is None:
@@ -220,47 +269,49 @@ def reduce_frames(
     frames: list[DataFrame],
     materialize: bool = True,
     reducible: list[bool] | None = None,
+    scratch: Scratch | None = None,
 ) -> list[DataFrame]:
     """D-3, D-4: upward (children into parents) then downward semi-join passes.
 
     Each reduced node feeds its parent, its children and the final join, and
     the downward pass nests every ancestor, so a lazy plan re-reads inputs a
     number of times that grows with the square of the query size.  With
-    ``materialize`` every node that is read again is checkpointed to the
-    shared folder (``spark.checkpoint.dir``) right after it is reduced: each input is scanned once or twice
-    and the final join reads short scans.  ``reducible[i]`` False skips the
-    semi-joins at parent ``i`` in both passes (the gate of
-    ``reduce="auto"``); by default every parent takes part.
+    ``materialize`` every node that reduces others is written once, as Parquet
+    with its statistics, when it is final: parents before children, nodes of one
+    depth side by side.  The final join then reads short scans whose sizes
+    Spark knows.  ``reducible[i]`` False skips the semi-joins at parent ``i`` in
+    both passes (the gate of ``reduce="auto"``); by default every parent takes
+    part.  The tables go with ``scratch``.
     """
     frames = list(frames)
     gate = reducible or [True] * len(units)
     parent = _tree(units)
     children: list[list[int]] = [[] for _ in units]
+    depth = [0] * len(units)
     for i, p in enumerate(parent):
         if p is not None:
             children[p].append(i)
-    if materialize:
-        shared_dir(frames[0].sparkSession)  # checkpoints go to spark.checkpoint.dir
-
-    def keep(df: DataFrame) -> DataFrame:
-        # an eager reliable checkpoint computes the frame once and cuts its lineage
-        return df.checkpoint(eager=True) if materialize else df
+            depth[i] = depth[p] + 1
+    scratch = scratch or Scratch(frames[0].sparkSession)
+    reduces = [gate[i] and bool(children[i]) for i in range(len(units))]
 
-    # upward pass, post-order (children have larger indices than parents)
+    # upward pass, post-order (children have larger indices than parents): lazy
     for i in reversed(range(len(units))):
-        if gate[i] and children[i]:
+        if reduces[i]:
             for c in children[i]:
                 frames[i] = semijoin(frames[i], frames[c])
-            frames[i] = keep(frames[i])
-    # downward pass, pre-order: a node is final before its children use it;
-    # a node that reduces children of its own is read again, so it is kept,
-    # while a leaf is read once (by the final join) and stays lazy
-    for i in range(len(units)):
-        if gate[i]:
-            for c in children[i]:
-                frames[c] = semijoin(frames[c], frames[i])
-                if gate[c] and children[c]:
-                    frames[c] = keep(frames[c])
+    # downward pass by depth: a node is final before its children use it; a
+    # leaf is read once, by the final join, and stays lazy
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for level in range(max(depth) + 1):
+            nodes = [i for i in range(len(units)) if depth[i] == level and reduces[i]]
+            if materialize:
+                kept = list(pool.map(scratch.keep, [frames[i] for i in nodes]))
+                for i, df in zip(nodes, kept, strict=True):
+                    frames[i] = df
+            for i in nodes:
+                for c in children[i]:
+                    frames[c] = semijoin(frames[c], frames[i])
     return frames
 
 
@@ -274,21 +325,29 @@ def match(
     reduce: bool | str = False,
     use_stats: bool = True,
     materialize: bool = True,
+    cycles: str = "split",
+    scratch: Scratch | None = None,
+    shared: dict | None = None,
 ) -> DataFrame:
     """G1: the DISTINCT solutions of a connected conjunction of patterns.
 
     ``select`` lists the variables to return (default: all, in order of first
-    appearance).  ``layout`` is ``"vp"`` or ``"mixed"``.  ``reduce=True`` adds
+    appearance; names may differ only by case or hold dots).  ``layout`` is
+    ``"vp"`` or ``"mixed"``.  ``reduce=True`` adds
     the semi-join passes at every node; ``reduce="auto"`` only at single
     patterns whose predicate is multi-valued (``size > distinct_subjects`` in
     the statistics; without statistics there is no reduction).
-    With a reduction, ``materialize`` (default) writes each reduced input
-    to the shared folder (``spark.checkpoint.dir``) as soon as it is reduced,
-    so no input is re-read for every later use; ``materialize=False`` keeps
-    the whole reduction lazy (one plan, fine for a few patterns).
+    With a reduction, ``materialize`` (default) writes each reduced input that
+    is read again under the shared folder (``spark.checkpoint.dir``);
+    ``materialize=False`` keeps the whole reduction lazy (one plan, fine for a
+    few patterns).  With a ``scratch`` the tables go when it is closed.
+    ``cycles="split"`` joins triangles value by value along the cheapest side,
+    ``"plain"`` pattern by pattern.  ``shared``: scans of a batch.
     """
     if reduce not in (True, False, "auto"):
         raise ValueError(f"reduce must be True, False or 'auto', got {reduce!r}")
+    if cycles not in ("split", "plain"):
+        raise ValueError(f"cycles must be 'split' or 'plain', got {cycles!r}")
     pats = [as_pattern(x) for x in patterns]
     if not pats:
         raise ValueError("match needs at least one pattern")
@@ -304,32 +363,58 @@ def match(
     if len(set(wanted)) != len(wanted):
         raise ValueError(f"a variable is selected twice: {wanted}")
 
+    # inside, variables have names that dots and cases cannot confuse
+    inner = {v: f"v{i}" for i, v in enumerate(variables)}
+    pats = [Pattern(*(Var(inner[t.name]) if isinstance(t, Var) else t for t in (p.s, p.p, p.o))) for p in pats]
+    chosen = [inner[v] for v in wanted]
+
     ground = [p for p in pats if not p.variables]
     units = _units(store, [p for p in pats if p.variables], layout, min_group_size)
     share_subjects(units)
     check_connected(units)
+    if cycles == "split":
+        units = close_triangles(units)
 
     if units:
         stats = _query_stats(store, units) if use_stats else None
         order = order_units(units, _scores(units, stats), stats)
         units = [units[i] for i in order]
-        frames = [u.frame(store) for u in units]
+        # what each unit returns: variables that are selected or that another unit has
+        carried = []
+        for i, u in enumerate(units):
+            others = {v for j, w in enumerate(units) if j != i for v in w.variables}
+            carried.append([v for v in u.variables if v in others or v in chosen])
+        frames = [u.frame(store, set(c), shared) for u, c in zip(units, carried, strict=True)]
         if reduce == "auto":
-            gate = [bool(stats) and not u.star and _multivalued(stats, u.patterns[0].p) for u in units]
+            gate = [bool(stats) and not u.star and not u.sides and _multivalued(stats, u.patterns[0].p) for u in units]
             if any(gate) and len(frames) > 1:
-                frames = reduce_frames(units, frames, materialize, gate)
+                frames = reduce_frames(units, frames, materialize, gate, scratch)
         elif reduce and len(frames) > 1:
-            frames = reduce_frames(units, frames, materialize)
-        result, bound = frames[0], set(units[0].variables)
-        for u, f in zip(units[1:], frames[1:]):
-            on = [v for v in u.variables if v in bound]
-            result = result.join(f, on=on, how="inner")
-            bound.update(u.variables)
+            frames = reduce_frames(units, frames, materialize, scratch=scratch)
+        result = _join(units, frames, carried, chosen)
     else:
         result = store.spark.range(1).select()
     for pat in ground:
         result = result.where(scan_pattern(store.rows(pat.p), pat).exists())
-    return result.select(*wanted).distinct()
+    return result.select(*[F.col(c).alias(v) for c, v in zip(chosen, wanted, strict=True)]).distinct()
+
+
+def _join(units: list[Unit], frames: list[DataFrame], carried: list[list[str]], chosen: list[str]) -> DataFrame:
+    """The join of the units in order, with semi-joins where one side adds nothing that is used later."""
+    result, bound = frames[0], list(carried[0])
+    for i in range(1, len(units)):
+        later = set(chosen).union(*(carried[j] for j in range(i + 1, len(units))))
+        on = [v for v in carried[i] if v in bound]
+        new = [v for v in carried[i] if v not in bound]
+        if not later.intersection(new):
+            result = result.join(frames[i].select(*on), on=on, how="left_semi")
+        elif set(bound) <= set(on):
+            result, bound = frames[i].join(result, on=on, how="left_semi"), list(carried[i])
+        else:
+            result, bound = result.join(frames[i], on=on, how="inner"), bound + new
+        bound = [v for v in bound if v in later]
+        result = result.select(*bound)
+    return result
 
 
 def _multivalued(stats: dict[str, tuple[int, int, int]], p: str) -> bool:
@@ -337,14 +422,49 @@ def _multivalued(stats: dict[str, tuple[int, int, int]], p: str) -> bool:
     return size > distinct
 
 
-def match_all(store: TripleStore, queries: dict, **options) -> dict[str, DataFrame]:
-    """Plan every named query ``{name: (patterns, select)}`` over one store."""
-    return {name: match(store, pats, sel, **options) for name, (pats, sel) in queries.items()}
+def shared_scans(store: TripleStore, queries: dict, scratch: Scratch) -> dict:
+    """The filtered scans that several queries of a batch have in common, each written once.
+
+    Patterns are equal if they read the same, whatever their variables are
+    called.  Only patterns with a constant (or ``?x P ?x``) are written: all
+    rows of a predicate are a written table already.
+    """
+    seen: dict[tuple, set[str]] = {}
+    for name, (pats, _) in queries.items():
+        for pat in map(as_pattern, pats):
+            key = scan_key(pat)
+            if pat.variables and (key[1] is not None or key[2] is not None or key[3]):
+                seen.setdefault(key, set()).add(name)
+    keys = [k for k, names in seen.items() if len(names) > 1]
+
+    def scan(key: tuple) -> DataFrame:
+        p, s, o, same = key
+        rows = store.rows(p)
+        for column, constant in (("s", s), ("o", o)):
+            if constant is not None:
+                rows = rows.where(F.col(column) == F.lit(constant))
+        return scratch.keep(rows.where("s = o") if same else rows)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return dict(zip(keys, pool.map(scan, keys), strict=True))
+
+
+def match_all(store: TripleStore, queries: dict, scratch: Scratch | None = None, **options) -> dict[str, DataFrame]:
+    """Plan every named query ``{name: (patterns, select)}`` over one store.
+
+    Filtered scans that several queries share run once: they are written to
+    ``scratch`` and read by all of them (in the ``"vp"`` layout; star units read
+    the property table).
+    """
+    shared = shared_scans(store, queries, scratch or Scratch(store.spark))
+    return {
+        name: match(store, pats, sel, scratch=scratch, shared=shared, **options) for name, (pats, sel) in queries.items()
+    }
 
 
 def tagged_union(results: dict[str, DataFrame]) -> DataFrame:
     """All results in one DataFrame: a ``query`` tag plus the union of variable columns."""
-    frames = [df.select(F.lit(name).alias("query"), *df.columns) for name, df in results.items()]
+    frames = [df.select(F.lit(name).alias("query"), *map(quoted, df.columns)) for name, df in results.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

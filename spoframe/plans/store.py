@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from spoframe.operators.list_store import CHUNK_VALUES, list_chunks, list_sizes
 from spoframe.operators.profile import catalogue_from_stats, predicate_stats, with_columns
 from spoframe.operators.property_table import (
     PTColumn,
@@ -21,16 +22,25 @@ from spoframe.operators.property_table import (
 from spoframe.session import shared_dir
 from spoframe.sources.layouts import (
     complete_triples,
+    only_predicates,
+    predicate_id,
+    quoted,
     read_catalogue,
+    read_lists,
     read_property_table,
     read_stats,
+    read_subject_files,
     read_vp,
     scan_vp,
+    subject_files,
     write_catalogue,
+    write_lists,
     write_property_table,
     write_stats,
+    write_subject_files,
     write_vp,
 )
+from spoframe.sources.text import triple_lines
 
 
 @dataclass
@@ -46,6 +56,11 @@ class TripleStore:
     property_table: DataFrame | None = None
     pt_columns: dict[str, PTColumn] = field(default_factory=dict)
     stats: DataFrame | None = None
+    #: Values of the multi-valued predicates in chunks; the property table then holds their numbers of values.
+    lists: DataFrame | None = None
+    #: The property table's files by subject, and where the table is.
+    files: DataFrame | None = None
+    property_path: str | None = None
     #: Folder of the loaded version, and its manifest row, of a stored one.
     folder: str | None = None
     manifest: dict | None = None
@@ -59,6 +74,12 @@ class TripleStore:
         """``(s, o)`` of one predicate."""
         return scan_vp(self.vp, p)
 
+    def properties_of(self, subject: str) -> DataFrame:
+        """The property table for one subject: only the files that may hold it are opened where there is an index."""
+        if self.files is None:
+            return self.property_table
+        return read_property_table(self.spark, self.property_path, subject, self.files)
+
     def stats_for(self, predicates) -> dict[str, tuple[int, int, int]] | None:
         """``p -> (size, distinct_subjects, distinct_objects)`` for a query's predicates.
 
@@ -116,24 +137,45 @@ class TripleStore:
         manifest = last_manifest(spark, base)
         if manifest is None:
             raise FileNotFoundError(f"no finished load at {base}")
-        store = cls.open_folder(spark, os.path.join(base, manifest["folder"]), manifest["has_property_table"])
+        folder = os.path.join(base, manifest["folder"])
+        store = cls.open_folder(spark, folder, manifest["has_property_table"], bool(manifest["has_lists"]))
         store.manifest = manifest
         return store
 
     @classmethod
-    def open_folder(cls, spark: SparkSession, folder: str, has_property_table: bool) -> TripleStore:
+    def open_folder(cls, spark: SparkSession, folder: str, has_property_table: bool, has_lists: bool = False) -> TripleStore:
         """Open the layouts in one folder."""
         vp = read_vp(spark, os.path.join(folder, "vp"))
         stats = read_stats(spark, os.path.join(folder, "stats"))
         if not has_property_table:
             return cls(vp=vp, stats=stats, folder=folder)
         catalogue = read_catalogue(spark, os.path.join(folder, "catalogue"))
-        table = read_property_table(spark, os.path.join(folder, "property_table"))
+        path = os.path.join(folder, "property_table")
+        table = read_property_table(spark, path)
         cols = columns_from_catalogue(catalogue, table)
-        return cls(vp=vp, property_table=table, pt_columns={c.p: c for c in cols}, stats=stats, folder=folder)
+        return cls(
+            vp=vp, property_table=table, pt_columns={c.p: c for c in cols}, stats=stats, folder=folder,
+            lists=read_lists(spark, os.path.join(folder, "lists")) if has_lists else None,
+            files=read_subject_files(spark, os.path.join(folder, "property_files")) if has_lists else None,
+            property_path=path,
+        )
+
+    @classmethod
+    def open_database(cls, spark: SparkSession, database: str) -> TripleStore:
+        """Open the tables that :func:`load_tables` wrote, by the database's name."""
+        table = lambda name: spark.table(f"{quoted(database)}.{quoted(name)}")
+        properties = table("property_table")
+        cols = columns_from_catalogue(table("catalogue"), properties)
+        return cls(
+            vp=table("triples"), property_table=properties, pt_columns={c.p: c for c in cols},
+            stats=table("stats"), lists=table("lists"),
+        )
 
 
-MANIFEST = "load_id string, folder string, has_property_table boolean, triples long, null_rows long"
+MANIFEST = (
+    "load_id string, folder string, has_property_table boolean, triples long, null_rows long, "
+    "has_lists boolean, rejected_lines long"
+)
 
 
 def last_manifest(spark: SparkSession, base: str) -> dict | None:
@@ -147,6 +189,31 @@ def last_manifest(spark: SparkSession, base: str) -> dict | None:
     return row.asDict() if row else None
 
 
+def property_rows(vp: DataFrame, lists: DataFrame, cols: list[PTColumn]) -> DataFrame:
+    """The stored property table: a value for each single-valued predicate, the number of values for each other one.
+
+    No cell grows with a subject's number of values; those are in ``lists``.
+    """
+    single = [c.p for c in cols if not c.is_list]
+    rows = only_predicates(vp, single).select("s", "p", "o")
+    sizes = list_sizes(lists).select("s", "p", F.col("n").cast("string").alias("o"))
+    table = property_table(rows.unionByName(sizes), [PTColumn(c.p, c.column, False) for c in cols])
+    counts = {c.column: F.col(quoted(c.column)).cast("bigint") for c in cols if c.is_list}
+    return table.select("s", *[counts.get(c.column, F.col(quoted(c.column))).alias(c.column) for c in cols])
+
+
+def write_property_layout(vp: DataFrame, stats: DataFrame, cols: list[PTColumn], folder: str, chunk_values: int = CHUNK_VALUES) -> None:
+    """Catalogue, chunked lists, property table and its file index, each a written table."""
+    spark = vp.sparkSession
+    write_catalogue(with_columns(catalogue_from_stats(stats), [c.p for c in cols]), os.path.join(folder, "catalogue"))
+    chunks = list_chunks(vp, [c.p for c in cols if c.is_list], chunk_values)
+    write_lists(chunks, os.path.join(folder, "lists"))
+    lists = read_lists(spark, os.path.join(folder, "lists"))
+    path = os.path.join(folder, "property_table")
+    write_property_table(property_rows(vp, lists, cols), path)
+    write_subject_files(subject_files(read_property_table(spark, path)), os.path.join(folder, "property_files"))
+
+
 def load_store(
     triples: DataFrame,
     base: str,
@@ -154,6 +221,8 @@ def load_store(
     with_property_table: bool = True,
     predicates: list[str] | None = None,
     mode: str = "errorifexists",
+    chunk_values: int = CHUNK_VALUES,
+    rejected: Observation | None = None,
 ) -> TripleStore:
     """Write every layout to a new folder under ``base``, publish it, and open it.
 
@@ -164,7 +233,8 @@ def load_store(
     (which parts exist, rows written and rows dropped for a NULL part) is
     written last: until then, and if the load dies, readers see the load
     before it, whole.  Earlier folders are left for their readers.
-    One writer at a time.
+    One writer at a time.  ``rejected``: an observation made on the way to
+    ``triples`` that counts ``rejected`` lines (see :func:`load_text`).
     """
     if mode not in ("errorifexists", "overwrite"):
         raise ValueError(f"mode must be 'errorifexists' or 'overwrite', got {mode!r}")
@@ -182,11 +252,61 @@ def load_store(
     stats = read_stats(spark, os.path.join(folder, "stats"))
     cols = plan_columns(stats, predicates) if with_property_table else []
     if cols:
-        write_catalogue(
-            with_columns(catalogue_from_stats(stats), [c.p for c in cols]), os.path.join(folder, "catalogue")
-        )
-        write_property_table(property_table(vp, cols), os.path.join(folder, "property_table"))
-    row = (load_id, os.path.basename(folder), bool(cols), seen.get["triples"], seen.get["null"])
+        write_property_layout(vp, stats, cols, folder, chunk_values)
+    lost = rejected.get["rejected"] if rejected is not None else 0
+    row = (load_id, os.path.basename(folder), bool(cols), seen.get["triples"], seen.get["null"], bool(cols), lost)
     manifest = spark.createDataFrame([row], MANIFEST).coalesce(1)
     manifest.write.mode("append").parquet(os.path.join(base, "manifests"))
     return TripleStore.open(spark, base)
+
+
+def load_text(spark: SparkSession, path: str, base: str, **options) -> TripleStore:
+    """A1 + :func:`load_store`: tab-separated triples into a store, in one pass over the text.
+
+    The lines that are no triples are counted in the pass that writes the
+    partitioned rows, and stand in the manifest (``rejected_lines``).
+    """
+    seen = Observation()
+    lines = triple_lines(spark, path).observe(seen, F.count_if(~F.col("ok")).alias("rejected"))
+    return load_store(lines.where("ok").select("s", "p", "o"), base, rejected=seen, **options)
+
+
+def load_tables(
+    triples: DataFrame,
+    database: str,
+    *,
+    buckets: int,
+    predicates: list[str] | None = None,
+    chunk_values: int = CHUNK_VALUES,
+) -> TripleStore:
+    """A2 with A4, A5, A7, A8: every layout as a catalog table of ``database``, bucketed by subject.
+
+    Rows of a subject lie in the same bucket of all tables (and of all
+    predicates), so joins on subjects need no shuffle.  ``buckets`` says into how
+    many tasks such a join is cut: about the size of the triples over that of a
+    scan task.  A subject with very many rows makes its bucket large; the
+    layouts of :func:`load_store` split it.
+    """
+    spark = triples.sparkSession
+    spark.sql(f"CREATE DATABASE {quoted(database)}")
+
+    def save(df: DataFrame, name: str, by_subject: bool = True, parts: tuple[str, ...] = ()) -> DataFrame:
+        table = f"{quoted(database)}.{quoted(name)}"
+        # dealt as the buckets are, so that a task writes one file a bucket and predicate
+        writer = (df.repartition(buckets, "s") if by_subject else df).write.format("parquet")
+        if parts:
+            writer = writer.partitionBy(*parts)
+        if by_subject:
+            writer = writer.bucketBy(buckets, "s").sortBy("s")
+        writer.saveAsTable(table)
+        return spark.table(table)
+
+    rows = complete_triples(triples).select("s", "o", "p", predicate_id("p").alias("pid"))
+    vp = save(rows, "triples", parts=("pid",))
+    stats = save(predicate_stats(vp), "stats", by_subject=False)
+    cols = plan_columns(stats, predicates)
+    save(with_columns(catalogue_from_stats(stats), [c.p for c in cols]), "catalogue", by_subject=False)
+    chunks = list_chunks(vp, [c.p for c in cols if c.is_list], chunk_values)
+    lists = save(chunks.withColumn("pid", predicate_id("p")), "lists", parts=("pid",))
+    save(property_rows(vp, lists, cols), "property_table")
+    return TripleStore.open_database(spark, database)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +46,51 @@ def application_id(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder (one per run)."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read back.
+
+    Cuts lineage: any executor can read the files, also after the one that
+    wrote them is lost, and Spark knows sizes and column statistics.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, wherever Spark keeps it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """A folder of intermediates in the shared folder that goes when its ``with`` block ends.
+
+    Use the results inside the block: they read the intermediates.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = fresh_path(spark, "scratch")
+        self.tables = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a Parquet table of this folder."""
+        path = os.path.join(self.path, uuid.uuid4().hex)
+        df.write.parquet(path)
+        self.tables += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        if self.tables:
+            delete_path(self.spark, self.path)
+            self.tables = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()

@@ -21,6 +21,7 @@ STATS_SCHEMA = (
     "p string, size bigint, distinct_subjects bigint, distinct_objects bigint, "
     "max_multiplicity bigint, is_complex boolean"
 )
+LISTS_SCHEMA = "s string, p string, chunk bigint, values array<string>, counts array<bigint>, pid bigint"
 CATALOGUE_SCHEMA = "p string, column string, is_complex int"
 
 
@@ -76,13 +77,50 @@ def scan_vp(vp: DataFrame, p: str) -> DataFrame:
 
 
 def write_property_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A5: the property table as Parquet, sorted by subject in each file (row groups can be skipped)."""
-    table.sortWithinPartitions("s").write.mode(mode).parquet(path)
+    """A5: the property table as Parquet, ranged over the files by subject and sorted in each.
 
+    Subjects are distinct, so ranges from sampled bounds are even, and a
+    subject lies in one file (see :func:`subject_files`).
+    """
+    table.repartitionByRange("s").sortWithinPartitions("s").write.mode(mode).parquet(path)
 
-def read_property_table(spark: SparkSession, path: str) -> DataFrame:
-    """The property table; column pruning happens at the scan."""
-    return spark.read.parquet(path)
+
+def read_property_table(spark: SparkSession, path: str, subject: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """The property table; column pruning happens at the scan.
+
+    With a ``subject`` and the table's ``index`` only the files that may hold it are opened.
+    """
+    if subject is None or index is None:
+        return spark.read.parquet(path)
+    held = index.where((F.col("first") <= F.lit(subject)) & (F.lit(subject) <= F.col("last")))
+    files = [r["file"] for r in held.select("file").collect()]  # one, as ranges part the subjects
+    schema = spark.read.parquet(path).schema
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def subject_files(table: DataFrame) -> DataFrame:
+    """A file index of a stored table: ``(file, first, last)`` subject of each file."""
+    return table.groupBy(F.input_file_name().alias("file")).agg(F.min("s").alias("first"), F.max("s").alias("last"))
+
+
+def write_subject_files(index: DataFrame, path: str) -> None:
+    """One small file: a row a file of the indexed table, by first subject."""
+    index.orderBy("first").coalesce(1).write.parquet(path)
+
+
+def read_subject_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("file string, first string, last string").parquet(path)
+
+
+def write_lists(lists: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Chunked lists ``(s, p, chunk, values, counts)``, one directory a predicate, like the partitioned rows."""
+    rows = lists.select("s", "p", "chunk", "values", "counts", predicate_id("p").alias("pid"))
+    rows.hint("rebalance", "pid").sortWithinPartitions("pid", "s").write.mode(mode).partitionBy("pid").parquet(path)
+
+
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Chunked lists as ``(s, p, chunk, values, counts, pid)``."""
+    return spark.read.schema(LISTS_SCHEMA).parquet(path)
 
 
 def write_catalogue(catalogue: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -114,7 +152,8 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _quoted(identifier: str) -> str:
+def quoted(identifier: str) -> str:
+    """A name that may hold dots or back-ticks."""
     return "`" + identifier.replace("`", "``") + "`"
 
 
@@ -125,9 +164,9 @@ def write_result_table(result: DataFrame, table: str, database: str | None = Non
     pasted as SQL text.
     """
     spark = result.sparkSession
-    name = _quoted(table)
+    name = quoted(table)
     if database is not None:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(database)}")
-        name = f"{_quoted(database)}.{name}"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}")
+        name = f"{quoted(database)}.{name}"
     result.write.mode(mode).format("parquet").saveAsTable(name)
     return name

@@ -5,9 +5,10 @@ Each source row gives one triple per mapped column: subject
 text, a reference ``<entity>/<key>``, or a date as ``yyyy-MM-dd``.  Rows whose
 key or value is NULL give no triple.  Duplicates are kept (``UNION ALL``).
 
-The result is a union of narrow projections, one per mapped column, so a
-filter on ``p`` prunes whole branches at planning time and each branch reads
-only two columns of its table.
+Each table is scanned once: a row becomes an array of its ``(p, o)`` pairs,
+which is exploded, so all triples of a row come from one pass over it.  Rows of
+one subject stay together until the first shuffle, and map-side aggregates on
+the subject shrink them there.
 """
 
 from __future__ import annotations
@@ -79,9 +80,10 @@ def triples_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     for table, entity, key, columns in TABLE_TRIPLES:
         src = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
         subject = F.concat(F.lit(entity + "/"), F.col(key).cast("string"))
-        for name, kind, column in columns:
-            part = src.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(
-                subject.alias("s"), F.lit(predicate(name)).alias("p"), _object(kind, column).alias("o")
-            )
-            parts.append(part)
+        pairs = [
+            F.struct(F.lit(predicate(name)).alias("p"), _object(kind, column).alias("o"))
+            for name, kind, column in columns
+        ]
+        rows = src.where(F.col(key).isNotNull()).select(subject.alias("s"), F.inline(F.array(*pairs)))
+        parts.append(rows.where(F.col("o").isNotNull()).select("s", "p", "o"))
     return reduce(DataFrame.unionAll, parts)

@@ -21,22 +21,27 @@ class TripleText(NamedTuple):
     rejected: DataFrame  # line
 
 
-def read_triples(spark: SparkSession, path: str) -> TripleText:
-    """Read tab-separated triples; returns the triples and the rejected lines.
+def triple_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line, ok, s, p, o)``: every line, whether it is a triple, and its fields if so.
 
-    Both outputs are lazy views of the same scan: counting the rejected lines
-    is a separate, optional job.  Lines end at ``\\n`` only, as in a
-    newline-terminated text table: in a CRLF file the ``\\r`` stays part of
-    the object.
+    Lines end at ``\\n`` only, as in a newline-terminated text table: in a
+    CRLF file the ``\\r`` stays part of the object.
     """
     lines = spark.read.option("lineSep", "\n").text(path)
     fields = lines.select(F.col("value").alias("line"), F.split("value", "\t", -1).alias("f"))
     ok = F.size("f") >= 3
-    triples = fields.where(ok).select(
-        F.get("f", 0).alias("s"), F.get("f", 1).alias("p"), F.get("f", 2).alias("o")
-    )
-    rejected = fields.where(~ok).select("line")
-    return TripleText(triples, rejected)
+    parts = [F.when(ok, F.get("f", i)).alias(c) for i, c in enumerate("spo")]
+    return fields.select("line", ok.alias("ok"), *parts)
+
+
+def read_triples(spark: SparkSession, path: str) -> TripleText:
+    """Read tab-separated triples; returns the triples and the rejected lines.
+
+    Both outputs are lazy views of the same scan: counting the rejected lines
+    is a separate, optional job (``load_text`` counts them in the load's pass).
+    """
+    lines = triple_lines(spark, path)
+    return TripleText(lines.where("ok").select("s", "p", "o"), lines.where("NOT ok").select("line"))
 
 
 def write_triples(triples: DataFrame, path: str, mode: str = "errorifexists") -> None:
