@@ -15,14 +15,12 @@ blocks are written; then
 A word has one place a block whatever its frequency, so the most frequent word
 of a corpus is no hot key.
 
-Decoding.  Ids are exploded with their positions, joined with the token-byte
-table, and a text's bytes put together by position.  The table is broadcast:
-its size is that of the tokenizer's vocabulary, not of the data.  A broadcast
-join keeps the rows of a text together and in order, so no shuffle is needed;
-the reassembly checks the positions all the same.
+Decoding.  The token-byte table is joined to the ids on the map side: it is
+broadcast (its size is that of the tokenizer's vocabulary, not of the data), and
+a text's tokens are taken from it in the order of their positions.
 
 A task holds a shuffle partition of blocks (``BLOCK_CHARS`` characters each, or
-one longer text) and the words of one bucket.
+one longer text) and remembers the words of one bucket.
 
 Defined results: a NULL text counts as empty and has no ids.  Rows that
 repeat an id or a text, or have a NULL id, keep their own result.  Special
@@ -35,28 +33,30 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoframe.llm.common import drop_columns, own_name, quoted, ship_package, written
-from spoframe.llm.packed import pack_numbers, unpack_numbers
+from spoframe.llm.packed import pack_numbers, pack_words, unpack_numbers, unpack_words
 
 #: Characters of the texts of one block (a longer text is a block of its own).
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 #: Characters that are cut into words at a time.
 CUT_CHARS = 2_000_000
-#: Hash buckets of words: a task holds the distinct words of one.
-BUCKETS = 4096
+#: Hash buckets of words: a task remembers the distinct words of one, up to ``REMEMBERED``.
+BUCKETS = 1024
+#: Beyond so many words of a bucket the memory starts anew (results do not change).
+REMEMBERED = 2_000_000
 
-PARTS = "array<struct<bucket: int, words: array<string>, numbers: binary>>"
+PARTS = "array<struct<bucket: int, words: binary, numbers: binary>>"
 
 
 def vocabulary_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -112,18 +112,20 @@ class _Block:
         order = np.argsort(-np.bincount(flat, minlength=len(self._known)), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        words = np.array(list(self._known), object)[order]
-        bucket = np.array([zlib.crc32(w.encode()) % BUCKETS for w in words], np.int64)
-        by_bucket = np.argsort(bucket, kind="stable")
+        words = [w.encode() for w in self._known]
+        bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
+        # by bucket, and sorted in each: neighbours resemble each other
+        by_bucket = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        by_bucket = by_bucket[np.argsort(bucket[by_bucket], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
         parts = [
-            {"bucket": int(bucket[at[0]]), "words": words[at].tolist(), "numbers": at.astype("<u4").tobytes()}
+            {"bucket": int(bucket[at[0]]), "words": pack_words([words[i] for i in at]), "numbers": pack_numbers(rank[at])}
             for at in np.split(by_bucket, cuts)
             if len(at)
         ]
-        rows = pa.Table.from_batches(self.rows).drop_columns(["text"]).combine_chunks()
+        rows = pa.Table.from_batches(self.rows).combine_chunks()
         structs = pa.StructArray.from_arrays([c.combine_chunks() for c in rows.columns], names=rows.column_names)
-        kind = pa.list_(pa.struct({"bucket": pa.int32(), "words": pa.list_(pa.string()), "numbers": pa.binary()}))
+        kind = pa.list_(pa.struct({"bucket": pa.int32(), "words": pa.binary(), "numbers": pa.binary()}))
         columns = {
             "block": pa.array([number], pa.int64()),
             "lengths": pa.array([pack_numbers(np.array(self.lengths, np.int64))], pa.binary()),
@@ -143,6 +145,7 @@ def _blocks_task(pattern_text: str):
         block = _Block(pattern)
         for batch in batches:
             texts = batch.column("text").to_pylist()
+            batch = batch.select(batch.schema.names[:-1])
             at = 0
             while at < len(texts):
                 end, chars = at, 0
@@ -169,15 +172,16 @@ def _encode_task(path: str, pattern: str):
         bucket, known = None, {}
         for batch in batches:
             sizes, ids = [], []
-            for b, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                if b != bucket:
+            for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if b != bucket or len(known) > REMEMBERED:
                     bucket, known = b, {}
+                words = unpack_words(packed)
                 for w in words:
                     if w not in known:
-                        known[w] = np.array(coder.encode_ordinary(w), "<u4").tobytes()
+                        known[w] = coder.encode_ordinary(w.decode())
                 found = [known[w] for w in words]
-                sizes.append(np.array([len(x) // 4 for x in found], "<u4").tobytes())
-                ids.append(b"".join(found))
+                sizes.append(pack_numbers(np.array([len(x) for x in found], np.int64)))
+                ids.append(pack_numbers(np.array([i for x in found for i in x], np.int64)))
             columns = [batch.column("block"), batch.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["block", "numbers", "sizes", "ids"])
 
@@ -186,8 +190,10 @@ def _encode_task(path: str, pattern: str):
 
 def _block_ids(lengths: bytes, places: bytes, found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a block, and where each text's begin (and the last ones end)."""
-    joined = {c: b"".join(found.field(c).to_pylist()) for c in ("numbers", "sizes", "ids")}
-    numbers, sizes, flat = (np.frombuffer(joined[c], "<u4").astype(np.int64) for c in ("numbers", "sizes", "ids"))
+    none = [np.zeros(0, np.int64)]
+    numbers, sizes, flat = (
+        np.concatenate(none + [unpack_numbers(x) for x in found.field(c).to_pylist()]) for c in ("numbers", "sizes", "ids")
+    )
     first = np.empty(len(numbers), np.int64)
     size = np.empty(len(numbers), np.int64)
     first[numbers] = np.cumsum(sizes) - sizes
@@ -244,61 +250,82 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     return out.select(*[F.col(n).alias(c) for n, c in zip(plain, rest.columns, strict=False)], "ids")
 
 
-def _bytes_task(names: list[str]):
-    """Bytes of each text from its rows, one an id, in order of their places; a text without ids has one row."""
+def concatenated(ids: np.ndarray, table: pa.BinaryArray) -> bytes:
+    """The entries of ``table`` at ``ids``, one after another."""
+    if not len(ids):
+        return b""
+    taken = table.take(pa.array(ids))
+    _, ends, data = taken.buffers()
+    return data.slice(0, int(np.frombuffer(ends, np.int32)[len(taken)])).to_pybytes() if data else b""
 
-    def rows_of(done: list[tuple[pa.RecordBatch, bytes]]) -> pa.RecordBatch:
-        table = pa.Table.from_batches([r for r, _ in done]).select(names[:-1]).combine_chunks()
-        data = pa.array([d for _, d in done], pa.binary())
-        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), data], names)
 
+def _decode_task(shared, names: list[str]):
     def task(batches):
-        head, parts, expected = None, [], 0  # the text that is not ended
+        table, known = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            place, tokens = batch.column("place"), batch.column("bytes")
-            if tokens.null_count > place.null_count:
-                raise ValueError("an id is not in the token-byte table")
-            at = pc.fill_null(place, 0).to_numpy()
-            starts = np.flatnonzero(at == 0)
-            before = starts[0] if len(starts) else len(at)
-            runs = np.diff(np.append(starts, len(at)))
-            inside = np.arange(before, len(at)) - np.repeat(starts, runs)
-            if not np.array_equal(at, np.concatenate([np.arange(expected, expected + before), inside])):
-                raise RuntimeError("the rows of a text are not in order")
-            expected = int(at[-1]) + 1
-            tokens = pc.fill_null(tokens, b"")
-            ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
-            flat = tokens.buffers()[2].to_pybytes() if tokens.buffers()[2] else b""
-            parts.append(flat[ends[0] : ends[before]])
-            done = []
-            stops = [*starts[1:].tolist(), len(at)][: len(starts)]
-            for start, end in zip(starts.tolist(), stops, strict=True):
-                if head is not None:
-                    done.append((head, b"".join(parts)))
-                head, parts = batch.slice(start, 1), [flat[ends[start] : ends[end]]]
-            if done:
-                yield rows_of(done)
-        if head is not None:
-            yield rows_of([(head, b"".join(parts))])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lists = part.column("ids")
+                ends = lists.offsets.to_numpy()
+                ids = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+                if len(ids) and not (ids.min() >= 0 and ids.max() < len(known) and known[ids].all()):
+                    raise ValueError("an id is not in the token-byte table")
+                ends = ends - ends[0]
+                data = [concatenated(ids[a:b], table) for a, b in zip(ends, ends[1:], strict=False)]
+                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], names)
 
     return task
 
 
+def byte_array(tokens: DataFrame) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The table ``(id, bytes)`` as an array by id, and which ids it has."""
+    rows = {r["id"]: bytes(r["bytes"]) for r in tokens.select("id", "bytes").collect()}
+    known = np.zeros(max(rows, default=-1) + 1, bool)
+    known[list(rows)] = True
+    return pa.array([rows.get(i, b"") for i in range(len(known))], pa.binary()), known
+
+
 def decode(rows: DataFrame, tokens: DataFrame, ids_col: str = "ids") -> DataFrame:
     """``rows`` without the ids, with ``decoded binary``: the bytes of each row's ids by the table ``(id, bytes)``.
 
     ``tokens`` is a tokenizer's vocabulary (some hundred thousand rows at most), so it is broadcast.
     """
-    ship_package(rows.sparkSession)
+    spark = rows.sparkSession
+    ship_package(spark)
     rest = drop_columns(rows, [ids_col, "decoded"])
     plain, types = _plain(rest)
     columns = [F.col(quoted(c)).alias(n) for c, n in zip(rest.columns, plain, strict=True)]
-    each = rows.select(*columns, F.posexplode_outer(F.col(quoted(ids_col))).alias("place", "id"))
-    first = F.coalesce(F.col("place"), F.lit(0)) == 0  # what is carried goes with a text's first row only
-    each = each.select(*[F.when(first, F.col(c)).alias(c) for c in plain], "place", "id")
-    joined = each.join(F.broadcast(tokens.select("id", "bytes")), "id", "left").select(*plain, "place", "bytes")
+    ids = F.coalesce(F.col(quoted(ids_col)).cast("array<int>"), F.array().cast("array<int>"))
     schema = ", ".join([*(f"{n} {t}" for n, t in zip(plain, types, strict=True)), "decoded binary"])
-    out = joined.mapInArrow(_bytes_task([*plain, "decoded"]), schema)
+    shared = spark.sparkContext.broadcast(byte_array(tokens))
+    out = rows.select(*columns, ids.alias("ids")).mapInArrow(_decode_task(shared, [*plain, "decoded"]), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(plain, rest.columns, strict=True)], "decoded")
+
+
+def _digest_task(names: list[str]):
+    def task(batches):
+        texts = pa.array([b""], pa.binary())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lists = part.column("ids")
+                ends = lists.offsets.to_numpy()
+                ids = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+                if len(ids) and ids.max() >= len(texts):  # decimal texts of all ids seen, each with a comma behind it
+                    texts = pa.array([b"%d," % i for i in range(int(ids.max()) + 1)], pa.binary())
+                ends = ends - ends[0]
+                found = [hashlib.sha256(concatenated(ids[a:b], texts)[:-1]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names)
+
+    return task
+
+
+def with_ids_digest(rows: DataFrame, name: str = "ids_sha256") -> DataFrame:
+    """``rows`` (with ``ids`` as the last column) and the SHA-256 of each row's decimal ids joined by commas."""
+    ship_package(rows.sparkSession)
+    plain, types = _plain(rows)
+    plain = [*plain[:-1], "ids"]
+    schema = ", ".join([*(f"{n} {t}" for n, t in zip(plain, types, strict=True)), "digest string"])
+    out = rows.toDF(*plain).mapInArrow(_digest_task([*plain, "digest"]), schema)
+    return out.toDF(*rows.columns, name)

@@ -1,4 +1,4 @@
-"""Sequences of small integers as compressed binary cells."""
+"""Sequences of small integers or words as compressed binary cells."""
 
 from __future__ import annotations
 
@@ -19,3 +19,16 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = planes.reshape(width, n).T
     return out.view("<i8").ravel()
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Byte strings one after another, compressed (sorted ones well)."""
+    lengths = pack_numbers(np.array([len(w) for w in words], np.int64))
+    return len(lengths).to_bytes(8, "little") + lengths + pa.compress(b"".join(words), "zstd", asbytes=True)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    at = 8 + int.from_bytes(data[:8], "little")
+    ends = np.concatenate([[0], np.cumsum(unpack_numbers(data[8:at]))]).tolist()
+    whole = pa.decompress(data[at:], ends[-1], "zstd", asbytes=True)
+    return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
