@@ -4,7 +4,7 @@ Encoding.  Texts are cut into pre-tokens (the matches of the tokenizer's
 pattern).  The exploded (position, word) rows of a block of texts are
 aggregated before any shuffle: a block keeps its distinct words, numbered by
 falling frequency, and its positions as a sequence of those numbers.  The
-blocks are written; then
+blocks are written, dealt to buckets, and do not move again; then
 
 * the distinct words of all blocks meet by word (a hash bucket of them in a
   row a block), and each is encoded once;
@@ -44,13 +44,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm.common import drop_columns, own_name, quoted, ship_package, written
+from spoframe.llm.common import drop_columns, own_name, quoted, ship_package, written_buckets
 from spoframe.llm.packed import pack_numbers, pack_words, unpack_numbers, unpack_words
 
 #: Characters of the texts of one block (a longer text is a block of its own).
 BLOCK_CHARS = 32_000_000
 #: Characters that are cut into words at a time.
 CUT_CHARS = 2_000_000
+#: Words whose ids are put together at a time.
+PUT_WORDS = 500_000
 #: Hash buckets of words: a task remembers the distinct words of one, up to ``REMEMBERED``.
 BUCKETS = 1024
 #: Beyond so many words of a bucket the memory starts anew (results do not change).
@@ -105,7 +107,7 @@ class _Block:
         coded = pa.array(itertools.chain.from_iterable(found), pa.large_string()).dictionary_encode()
         known = self._known
         numbers = [known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()]
-        self._places.append(np.array(numbers, np.int64)[coded.indices.to_numpy()])
+        self._places.append(np.array(numbers, np.int32)[coded.indices.to_numpy()])
 
     def finish(self, number: int) -> pa.RecordBatch:
         flat = np.concatenate(self._places)
@@ -188,21 +190,28 @@ def _encode_task(path: str, pattern: str):
     return task
 
 
-def _block_ids(lengths: bytes, places: bytes, found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a block, and where each text's begin (and the last ones end)."""
-    none = [np.zeros(0, np.int64)]
+def _block_ids(lengths: bytes, places: bytes, found: pa.StructArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the texts of a block, some texts at a time: where each text's begin (and the last ones end), and the ids."""
+    none = [np.zeros(0, np.int32)]
     numbers, sizes, flat = (
-        np.concatenate(none + [unpack_numbers(x) for x in found.field(c).to_pylist()]) for c in ("numbers", "sizes", "ids")
+        np.concatenate(none + [unpack_numbers(x).astype(np.int32) for x in found.field(c).to_pylist()])
+        for c in ("numbers", "sizes", "ids")
     )
     first = np.empty(len(numbers), np.int64)
-    size = np.empty(len(numbers), np.int64)
+    size = np.empty(len(numbers), np.int32)
     first[numbers] = np.cumsum(sizes) - sizes
     size[numbers] = sizes
-    word = unpack_numbers(places)
-    n = size[word]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])]
-    return ids, ends[np.concatenate([[0], np.cumsum(unpack_numbers(lengths))])]
+    words = unpack_numbers(places).astype(np.int32)
+    text_ends = np.concatenate([[0], np.cumsum(unpack_numbers(lengths))])
+    at = 0
+    while at < len(text_ends) - 1:
+        # texts of about PUT_WORDS words (one at least)
+        end = max(at + 1, int(np.searchsorted(text_ends, text_ends[at] + PUT_WORDS, side="right")) - 1)
+        word = words[text_ends[at] : text_ends[end]]
+        n = size[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        yield ends[text_ends[at : end + 1] - text_ends[at]], flat[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])]
+        at = end
 
 
 def _reassemble_task(names: list[str]):
@@ -210,14 +219,11 @@ def _reassemble_task(names: list[str]):
         for batch in batches:
             for at in range(batch.num_rows):
                 lengths, places = (batch.column(c)[at].as_py() for c in ("lengths", "places"))
-                ids, ends = _block_ids(lengths, places, batch.column("found")[at].values)
-                carried = batch.column("carried")[at].values
-                for a in range(0, len(carried), 1000):
-                    part = carried.slice(a, 1000)
-                    e = ends[a : a + len(part) + 1]
-                    lists = pa.ListArray.from_arrays(
-                        pa.array((e - e[0]).astype(np.int32)), pa.array(ids[e[0] : e[-1]].astype(np.int32))
-                    )
+                carried, done = batch.column("carried")[at].values, 0
+                for ends, ids in _block_ids(lengths, places, batch.column("found")[at].values):
+                    part = carried.slice(done, len(ends) - 1)
+                    done += len(part)
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                     yield pa.RecordBatch.from_arrays([*part.flatten(), lists], names)
 
     return task
@@ -239,7 +245,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     plain, types = plain[:-1], types[:-1]
     struct = ", ".join(f"{n}: {t}" for n, t in zip(plain, types, strict=True))
     schema = f"block long, lengths binary, places binary, parts {PARTS}, carried array<struct<{struct}>>"
-    blocks = written(source.toDF(*plain, "text").mapInArrow(_blocks_task(pattern), schema), "bpe-blocks")
+    cut = source.toDF(*plain, "text").mapInArrow(_blocks_task(pattern), schema)
+    blocks = written_buckets(cut, "bpe-blocks", "block")
     words = blocks.select("block", F.inline("parts")).repartition("bucket").sortWithinPartitions("bucket")
     coded = words.mapInArrow(_encode_task(path, pattern), "block long, numbers binary, sizes binary, ids binary")
     found = coded.groupBy("block").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("found"))

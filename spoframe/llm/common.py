@@ -55,6 +55,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_buckets(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written once under the shared folder in hash buckets of ``column``, and read back.
+
+    There are as many buckets as shuffle partitions, so that what is dealt by
+    ``column`` later meets these rows where they lie: they need no shuffle.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    known = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(n, column).saveAsTable(known)
+    return spark.table(known)
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """``name`` with underscores in front until ``df`` has no such column (any case)."""
     taken = {c.lower() for c in df.columns}
