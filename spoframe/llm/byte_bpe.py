@@ -112,7 +112,7 @@ class _Block:
     def finish(self, number: int) -> pa.RecordBatch:
         flat = np.concatenate(self._places)
         order = np.argsort(-np.bincount(flat, minlength=len(self._known)), kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         words = [w.encode() for w in self._known]
         bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
@@ -266,9 +266,10 @@ def concatenated(ids: np.ndarray, table: pa.BinaryArray) -> bytes:
     return data.slice(0, int(np.frombuffer(ends, np.int32)[len(taken)])).to_pybytes() if data else b""
 
 
-def _decode_task(shared, names: list[str]):
+def _decode_task(shared, names: list[str], with_digest: bool):
     def task(batches):
         table, known = shared.value
+        texts = pa.array([b"%d," % i for i in range(len(known))], pa.binary()) if with_digest else None
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -277,10 +278,12 @@ def _decode_task(shared, names: list[str]):
                 ids = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
                 if len(ids) and not (ids.min() >= 0 and ids.max() < len(known) and known[ids].all()):
                     raise ValueError("an id is not in the token-byte table")
-                ends = ends - ends[0]
-                data = [concatenated(ids[a:b], table) for a, b in zip(ends, ends[1:], strict=False)]
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], names)
+                each = [ids[a:b] for a, b in zip(ends - ends[0], ends[1:] - ends[0], strict=False)]
+                columns = [*part.columns[:-1], pa.array([concatenated(x, table) for x in each], pa.binary())]
+                if with_digest:
+                    digests = [hashlib.sha256(concatenated(x, texts)[:-1]).hexdigest() for x in each]
+                    columns.append(pa.array(digests, pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return task
 
@@ -293,46 +296,22 @@ def byte_array(tokens: DataFrame) -> tuple[pa.BinaryArray, np.ndarray]:
     return pa.array([rows.get(i, b"") for i in range(len(known))], pa.binary()), known
 
 
-def decode(rows: DataFrame, tokens: DataFrame, ids_col: str = "ids") -> DataFrame:
+def decode(rows: DataFrame, tokens: DataFrame, ids_col: str = "ids", digest_col: str | None = None) -> DataFrame:
     """``rows`` without the ids, with ``decoded binary``: the bytes of each row's ids by the table ``(id, bytes)``.
 
     ``tokens`` is a tokenizer's vocabulary (some hundred thousand rows at most), so it is broadcast.
+    ``digest_col`` names a column for the SHA-256 of the decimal ids joined by commas.
     """
     spark = rows.sparkSession
     ship_package(spark)
-    rest = drop_columns(rows, [ids_col, "decoded"])
+    added = ["decoded", *([digest_col] if digest_col else [])]
+    rest = drop_columns(rows, [ids_col, *added])
     plain, types = _plain(rest)
     columns = [F.col(quoted(c)).alias(n) for c, n in zip(rest.columns, plain, strict=True)]
     ids = F.coalesce(F.col(quoted(ids_col)).cast("array<int>"), F.array().cast("array<int>"))
-    schema = ", ".join([*(f"{n} {t}" for n, t in zip(plain, types, strict=True)), "decoded binary"])
+    kinds = [*(f"{n} {t}" for n, t in zip(plain, types, strict=True)), "decoded binary", *(["digest string"] if digest_col else [])]
+    names = [k.split(" ", 1)[0] for k in kinds]
     shared = spark.sparkContext.broadcast(byte_array(tokens))
-    out = rows.select(*columns, ids.alias("ids")).mapInArrow(_decode_task(shared, [*plain, "decoded"]), schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(plain, rest.columns, strict=True)], "decoded")
-
-
-def _digest_task(names: list[str]):
-    def task(batches):
-        texts = pa.array([b""], pa.binary())
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = part.column("ids")
-                ends = lists.offsets.to_numpy()
-                ids = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
-                if len(ids) and ids.max() >= len(texts):  # decimal texts of all ids seen, each with a comma behind it
-                    texts = pa.array([b"%d," % i for i in range(int(ids.max()) + 1)], pa.binary())
-                ends = ends - ends[0]
-                found = [hashlib.sha256(concatenated(ids[a:b], texts)[:-1]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names)
-
-    return task
-
-
-def with_ids_digest(rows: DataFrame, name: str = "ids_sha256") -> DataFrame:
-    """``rows`` (with ``ids`` as the last column) and the SHA-256 of each row's decimal ids joined by commas."""
-    ship_package(rows.sparkSession)
-    plain, types = _plain(rows)
-    plain = [*plain[:-1], "ids"]
-    schema = ", ".join([*(f"{n} {t}" for n, t in zip(plain, types, strict=True)), "digest string"])
-    out = rows.toDF(*plain).mapInArrow(_digest_task([*plain, "digest"]), schema)
-    return out.toDF(*rows.columns, name)
+    task = _decode_task(shared, names, digest_col is not None)
+    out = rows.select(*columns, ids.alias("ids")).mapInArrow(task, ", ".join(kinds))
+    return out.toDF(*rest.columns, *added)

@@ -9,16 +9,17 @@ import pyarrow as pa
 def pack_numbers(x: np.ndarray) -> bytes:
     """Non-negative integers, byte plane by byte plane, compressed (small ones leave empty planes)."""
     width = next(w for w in (1, 2, 3, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w))
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return len(x).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    planes = b"".join((x >> 8 * k & 255).astype(np.uint8).tobytes() for k in range(width))
+    return len(x).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
     n, width = int.from_bytes(data[:8], "little"), data[8]
-    planes = np.frombuffer(pa.decompress(data[9:], n * width, "zstd", asbytes=True), np.uint8)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = planes.reshape(width, n).T
-    return out.view("<i8").ravel()
+    planes = np.frombuffer(pa.decompress(data[9:], n * width, "zstd"), np.uint8).reshape(width, n)
+    out = planes[0].astype(np.int64)
+    for k in range(1, width):
+        out |= planes[k].astype(np.int64) << 8 * k
+    return out
 
 
 def pack_words(words: list[bytes]) -> bytes:

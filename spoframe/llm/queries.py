@@ -160,9 +160,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes that they decode to."""
     path, pattern = byte_bpe.vocabulary_file()
     coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    digests = byte_bpe.with_ids_digest(coded)
-    counted = digests.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "ids")
-    back = byte_bpe.decode(counted, byte_bpe.token_table(spark, path))
+    counted = coded.withColumn("n_tokens", F.size("ids").cast("long"))
+    back = byte_bpe.decode(counted, byte_bpe.token_table(spark, path), digest_col="ids_sha256")
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
