@@ -50,9 +50,9 @@ from spoframe.llm.packed import pack_numbers, pack_words, unpack_numbers, unpack
 #: Characters of the texts of one block (a longer text is a block of its own).
 BLOCK_CHARS = 32_000_000
 #: Characters that are cut into words at a time.
-CUT_CHARS = 2_000_000
+CUT_CHARS = 500_000
 #: Words whose ids are put together at a time.
-PUT_WORDS = 500_000
+PUT_WORDS = 200_000
 #: Hash buckets of words: a task remembers the distinct words of one, up to ``REMEMBERED``.
 BUCKETS = 1024
 #: Beyond so many words of a bucket the memory starts anew (results do not change).
@@ -146,22 +146,23 @@ def _blocks_task(pattern_text: str):
         number = TaskContext.get().partitionId() << 32
         block = _Block(pattern)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            batch = batch.select(batch.schema.names[:-1])
+            rows, text_at = batch.select(batch.schema.names[:-1]), batch.column("text")
             at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= CUT_CHARS):
-                    chars += len(texts[end])
-                    end += 1
+            while at < batch.num_rows:
+                texts, chars = [], 0  # one text at least
+                while at + len(texts) < batch.num_rows and chars < CUT_CHARS:
+                    texts.append(text_at[at + len(texts)].as_py())
+                    chars += len(texts[-1])
                 if block.rows and block.chars + chars > BLOCK_CHARS:
                     yield block.finish(number)
                     number, block = number + 1, _Block(pattern)
-                block.add(texts[at:end])
-                block.rows.append(batch.slice(at, end - at))
-                at = end
+                block.add(texts)
+                block.rows.append(rows.slice(at, len(texts)))
+                at += len(texts)
         if block.rows:
             yield block.finish(number)
+        del block
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return task
 
@@ -225,6 +226,7 @@ def _reassemble_task(names: list[str]):
                     done += len(part)
                     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                     yield pa.RecordBatch.from_arrays([*part.flatten(), lists], names)
+        pa.default_memory_pool().release_unused()
 
     return task
 
