@@ -10,25 +10,31 @@ with tokens ``t``, posteriors ``p`` and each domain's own tokens at rate 1,
 ``own_d = sum_i p_id t_i``.  A miss counts relative to the domain's own tokens,
 so a domain of a thousandth of all tokens is fitted like one of a tenth.
 
-At the optimum ``r_i = clip(1 - p_i . w / ridge)`` with one weight per domain,
-``w_d = (total_d - target_d) / own_d``.  Newton's method finds these weights
-(the dual problem); a step is one Spark aggregate of a few matrices as wide as
-there are domains, and no rate is stored.  Nothing is joined or shuffled by
-domain or source, so neither can be hot, and a lost task repeats from its input.
-
-Rates become copies by rounding up with probability of the fraction, by hash
-of the document's id; within ``dead_band`` of a whole number they
-become that number.
+The fit is projected gradient descent (accelerated, with restarts):
+``r <- clip(y - step * g, low, high)`` with the gradient scaled by each document's
+tokens, ``g_i = sum_d p_id (total_d - target_d) / own_d + ridge (y_i - 1)``.  In that
+scale its slope is at most ``1 + ridge`` whatever the data, which gives the step.
+A step is one Spark aggregate of a few numbers a domain.  No rate is stored:
+a document's rate is replayed from the list of past domain residuals.  The fit
+ends by the projected gradient, measured for each domain against its own
+tokens; it raises an error rather than return an unfinished answer.  Nothing is
+joined or shuffled by domain or source, so neither can be hot.
+
+Rates become copies by carried rounding: within strata (a document's likeliest
+domain, cut to groups of bounded size) documents are taken by falling length,
+each is rounded so that the tokens rounded off so far stay least, and what is
+left over is carried on.  A stratum so misses its tokens by about its shortest
+document, and a few long ones do not decide a rare domain.  A rate within
+``dead_band`` of 1 becomes 1.
 
 Defined results: a NULL text counts as empty and has 0 tokens; its rate is
-what its posterior gives.  Repeated rows have the same rate and copies.  Without
-labelled rows there are no domains: nothing is fitted and every rate is 1.
+what its posterior gives, and its copies are that rounded.  Repeated rows have
+the same rate, and each its own copies.  Without labelled rows there are no
+domains: nothing is fitted and every rate is 1.
 """
 
 from __future__ import annotations
 
-import math
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoframe.llm.common import drop_columns, quoted, written
+from spoframe.llm.common import drop_columns, own_name, quoted, ship_package, written
 
 #: What the classifier looks at besides words: length, variety, and shares of bytes.
 N_SHAPES = 6
@@ -157,6 +163,7 @@ def fit_domains(
 
 def score(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with ``tokens`` (words) and ``posteriors`` (array of double, as ``model.domains``)."""
+    ship_package(docs.sparkSession)
     keep = drop_columns(docs, ["tokens", "posteriors"])
     others = [c for c in keep.columns if c != text_col]
     texts = keep.select(*[F.col(quoted(c)) for c in others], F.col(quoted(text_col)).alias("_text_"))
@@ -178,27 +185,35 @@ def score(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFr
 
 @dataclass(frozen=True)
 class Mix:
-    """What documents' rates follow from: a weight per domain."""
+    """What documents' rates follow from: the steps of the descent."""
 
-    weights: tuple[float, ...]
+    #: per step the domains' residuals over their own tokens, and how far the step's direction is followed on
+    steps: tuple[tuple[tuple[float, ...], float], ...]
     ridge: float
     low: float
     high: float
+    #: tokens by domain at the fitted rates
     totals: tuple[float, ...]
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         """One rate a row of ``posteriors``."""
-        return _rates(posteriors, np.array(self.weights), self.ridge, self.low, self.high)[0]
+        return _replay(posteriors, self.steps, self.ridge, self.low, self.high)[0]
 
 
-def _rates(p, weights, ridge, low, high) -> tuple[np.ndarray, np.ndarray]:
-    """Rates, and which of them move with the weights."""
-    free = 1.0 - p @ weights / ridge
-    return np.clip(free, low, high), (free >= low) & (free <= high)
+def _replay(p: np.ndarray, steps, ridge: float, low: float, high: float):
+    """Rates after some steps, where the next one starts, and the last step's move and its slope."""
+    rate = start = np.clip(np.ones(len(p)), low, high)
+    moved = slope = np.zeros(len(p))
+    for residual, onward in steps:
+        gradient = p @ np.array(residual) + ridge * (start - 1.0) if len(residual) else np.zeros(len(p))
+        new = np.clip(start - gradient / (1.0 + ridge), low, high)
+        moved, slope = np.abs(new - start), gradient * (new - rate)
+        start, rate = new + onward * (new - rate), new
+    return rate, start, moved, slope
 
 
-#: Newton steps are tried whole and in halves, so many at once.
-TRIED = 8
+#: Steps after which a fit that has not ended is an error.
+MAX_STEPS = 2000
 
 
 def fit_rates(
@@ -207,87 +222,99 @@ def fit_rates(
     ridge: float = 1e-3,
     low: float = 0.0,
     high: float = 4.0,
-    tolerance: float = 1e-4,
-    max_steps: int = 60,
+    tolerance: float = 3e-4,
 ) -> Mix:
-    """Newton's method on ``tokens`` and ``posteriors``; one aggregate a step.
+    """Projected gradient descent on ``tokens`` and ``posteriors``; one aggregate a step.
 
-    ``targets``: wanted tokens per domain.  Ends when the rates are optimal for
-    targets that differ by at most ``tolerance`` of each domain's own tokens;
-    warns if ``max_steps`` come first.
+    ``targets``: wanted tokens per domain.  Ends when a step moves at most
+    ``tolerance`` of each domain's own tokens, and no rate by more than that.
     """
     n = len(targets)
+    if not n:
+        return Mix((), ridge, low, high, ())
     rows = scored.select("tokens", "posteriors").filter("tokens > 0")
+    wanted = np.array(targets, float)
 
-    def measured(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Own tokens, totals and how totals move with the rates, for each of ``tried`` weights."""
+    def measured(steps) -> np.ndarray:
+        """By domain: own tokens, tokens at the next start, at the rates, moved last; the last slope; the farthest move."""
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((len(tried), n + 2, n))
+            out = np.zeros((6, n))
             for batch in batches:
                 t = batch.column(0).to_numpy().astype(float)
                 p = np.asarray(batch.column(1).flatten()).reshape(len(t), n)
-                own = t @ p
-                for k, w in enumerate(tried):
-                    r, moves = _rates(p, w, ridge, low, high)
-                    out[k] += np.vstack([own, (t * r) @ p, (p * (t * moves)[:, None]).T @ p])
+                rate, start, moved, slope = _replay(p, steps, ridge, low, high)
+                out[:5] += np.vstack([t @ p, (t * start) @ p, (t * rate) @ p, (t * moved) @ p, np.full(n, t @ slope)])
+                out[5] = np.maximum(out[5], moved.max(initial=0.0))
             yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], pa.list_(pa.float64()))], ["x"])
 
-        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # one row a task; fsum rounds once, so that the order in which tasks end makes no difference
-            parts = [x for batch in batches for x in batch.column(0).to_pylist()]
-            found = [math.fsum(x) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.float64()))], ["x"])
-
-        kinds = "x array<double>"
-        found = rows.mapInArrow(sums, kinds).repartition(1).mapInArrow(total, kinds).first()
-        x = np.array(found["x"] if found and found["x"] else np.zeros(len(tried) * (n + 2) * n))
-        return [(m[0], m[1], m[2:]) for m in x.reshape(len(tried), n + 2, n)]
-
-    weights = np.zeros(n)
-    if not n:
-        return Mix((), ridge, low, high, ())
-    own, totals, moves = measured([weights])[0]
-    there = own > 0
-    scale, wanted = np.where(there, own, 1.0), np.array(targets, float)
-
-    def slope(w: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.where(there, own * w + wanted - total, 0.0)
-
-    now = slope(weights, totals)
-    whole, ended = 1.0, False
-    for _ in range(max_steps):
-        ended = bool(np.all(np.abs(now) <= tolerance * scale))
-        if ended:
-            break
-        # in units of each domain's root, so that rare domains are not lost to rounding
-        root = np.sqrt(scale)
-        step = -np.linalg.solve(np.eye(n) + moves / ridge / np.outer(root, root), now / root) / root
-        tried = [weights + step * whole / 2**k for k in range(TRIED)]
-        found = measured(tried)
-        for w, (_, total, moved) in zip(tried, found, strict=True):
-            new = slope(w, total)
-            # the longest step that still goes down at its end, or gets twice as near
-            if new @ step <= 0 or np.abs(new / scale).max() <= 0.5 * np.abs(now / scale).max():
-                weights, totals, moves, now, whole = w, total, moved, new, 1.0
-                break
-        else:
-            whole /= 2**TRIED
-    if not ended and not np.all(np.abs(now) <= tolerance * scale):
-        warnings.warn(f"mixing rates not optimal after {max_steps} steps", stacklevel=2)
-    return Mix(tuple(map(float, weights)), ridge, low, high, tuple(map(float, totals)))
-
-
-def with_rates(scored: DataFrame, mix: Mix, dead_band: float = 0.05, hashed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        # fixed-point sums, so that the order in which tasks end makes no difference
+        each = rows.mapInArrow(sums, "x array<double>").select(F.posexplode("x").alias("k", "v"))
+        found = each.groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,9)")).alias("v"), F.max("v").alias("m")).collect()
+        out = np.zeros(6 * n)
+        for r in found:
+            out[r["k"]] = float(r["v"]) if r["k"] < 5 * n else r["m"]
+        return out.reshape(6, n)
+
+    steps: list[tuple[tuple[float, ...], float]] = []
+    since = 0  # steps since the acceleration began anew
+    while True:
+        own, ahead, totals, moved, slope, farthest = measured(tuple(steps))
+        there = own > 0
+        scale = np.where(there, own, 1.0)
+        if steps and np.all(moved <= tolerance * scale) and farthest[0] <= tolerance:
+            return Mix(tuple(steps), ridge, low, high, tuple(map(float, totals)))
+        if len(steps) >= MAX_STEPS:
+            raise RuntimeError(f"mixing rates are not optimal after {MAX_STEPS} steps")
+        since = 0 if slope[0] > 0 else since + 1
+        residual = np.where(there, (ahead - wanted) / scale, 0.0)
+        steps.append((tuple(map(float, residual)), since / (since + 3.0)))
+
+
+#: Rows of a group whose copies are rounded together.
+GROUP_ROWS = 50_000
+
+
+def _rounded(tokens: np.ndarray, rates: np.ndarray, dead_band: float) -> np.ndarray:
+    """Copies of documents in falling order of length: what is rounded off is carried on."""
+    copies = np.round(rates).astype(np.int64)
+    whole = np.floor(rates)
+    # what is near a whole number is that; so are empty texts
+    open_ = (np.abs(rates - copies) > dead_band) & (tokens > 0)
+    carried = 0.0
+    for i in np.flatnonzero(open_).tolist():
+        exact = tokens[i] * (rates[i] - whole[i])
+        up = carried + exact >= tokens[i] / 2
+        copies[i] = int(whole[i]) + up
+        carried += exact - (tokens[i] if up else 0)
+    return copies
+
+
+def with_rates(scored: DataFrame, mix: Mix, dead_band: float = 0.05) -> DataFrame:
     """``scored`` with ``rate`` (double) and ``copies`` (long)."""
     keep = drop_columns(scored, ["rate", "copies"])
+    spark = scored.sparkSession
+    shared = spark.sparkContext.broadcast(mix)
 
     @F.pandas_udf("double")
     def rate_of(p: pd.Series) -> pd.Series:
-        return pd.Series(mix.rates(np.stack(p.to_numpy())) if len(p) else [], dtype="float64")
-
-    out = written(keep.withColumn("rate", F.round(rate_of("posteriors"), 6)), "mix-rates")
-    near = F.round(F.col("rate"))
-    chance = F.pmod(F.xxhash64(F.lit("mix"), *[F.col(quoted(c)) for c in hashed]), F.lit(1 << 30)) / float(1 << 30)
-    up = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return out.withColumn("copies", F.when(F.abs(F.col("rate") - near) <= dead_band, near).otherwise(up).cast("long"))
+        return pd.Series(shared.value.rates(np.stack(p.to_numpy())) if len(p) else [], dtype="float64")
+
+    domain, group = own_name(keep, "_domain"), own_name(keep, "_group")
+    likeliest = F.coalesce(F.array_position("posteriors", F.array_max("posteriors")), F.lit(0))
+    rated = written(keep.withColumns({"rate": F.round(rate_of("posteriors"), 6), domain: likeliest}), "mix-rates")
+    sizes = {r[domain]: r["n"] for r in rated.groupBy(domain).agg(F.count("*").alias("n")).collect()}  # a row a domain
+    groups = F.coalesce(*[F.when(F.col(domain) == d, F.lit(-(-n // GROUP_ROWS))) for d, n in sizes.items()], F.lit(1))
+    # the row's number in the written table, so that equal rows part, too
+    dealt = rated.withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), groups))
+    names = [*keep.columns, "rate", "copies"]
+
+    def round_group(rows: pa.Table) -> pa.Table:
+        tokens, rates = (rows.column(c).to_numpy().astype(float) for c in ("tokens", "rate"))
+        order = np.lexsort((rates, -tokens))
+        copies = np.empty(len(order), np.int64)
+        copies[order] = _rounded(tokens[order], rates[order], dead_band)
+        return rows.select(names[:-1]).append_column("copies", pa.array(copies))
+
+    schema = T.StructType([*rated.select(*[quoted(c) for c in names[:-1]]).schema, T.StructField("copies", T.LongType())])
+    return dealt.groupBy(domain, group).applyInArrow(round_group, schema)

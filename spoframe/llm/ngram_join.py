@@ -33,25 +33,34 @@ component; rows that repeat an id are documents of their own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoframe.llm.common import quoted, written
+from spoframe.llm.common import own_name, quoted, ship_package, written, written_buckets
 from spoframe.llm.components import connected_components
 from spoframe.llm.hashing import mixed, word_hashes
+from spoframe.llm.packed import pack_numbers, pack_words, unpack_numbers, unpack_words
 
 #: One column in so many is counted over all classes.
 COUNTED = 4
+#: Columns that are counted are named by the high bits of their n-grams' hashes: equal n-grams have equal columns,
+#: and different ones with a column in common are only tried in vain.
+COLUMN_BITS = 40
+COLUMN_SHIFT = 64 - COLUMN_BITS
+#: Documents and characters of a block of profiles, and columns that a task counts at a time.
+BLOCK_DOCS, BLOCK_CHARS, BUCKET_COLUMNS = 20_000, 8_000_000, 1_000_000
 
 
-def gram_set(text: str | None, size: int) -> np.ndarray:
+def gram_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams (A-Z lower-cased)."""
-    words = text.encode().lower().split() if text else []  # bytes: only A-Z and ASCII white space count
+    words = text.lower().split()  # bytes: only A-Z and ASCII white space count
     if not words:
         return np.zeros(0, np.int64)
     hashes = word_hashes(words)
@@ -80,87 +89,251 @@ def _long_list(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
+def _pack_lists(arrays: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Lists of sorted columns as compressed differences, and their lengths."""
+    flat = [np.diff(x, prepend=0) for x in arrays]
+    return pack_numbers(np.concatenate([np.zeros(0, np.int64), *flat])), pack_numbers(np.array([len(x) for x in arrays], np.int64))
+
+
+def _unpack_lists(values: bytes, lengths: bytes) -> list[np.ndarray]:
+    ends = np.concatenate([[0], np.cumsum(unpack_numbers(lengths))])
+    flat = unpack_numbers(values)
+    return [np.cumsum(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+PROFILES = (
+    "block long, docs array<struct<doc_id: long, digest: binary, cls: long, n: long>>, "
+    "counted binary, counted_sizes binary, rest binary, rest_sizes binary, texts binary, columns long"
+)
+
+
 def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per document: a row number, class, set size, counted columns, and others that its prefix needs."""
+    """Blocks of documents: class and set size of each, its counted columns, and others that its prefix needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
-        for rows in batches:
-            for at in range(0, rows.num_rows, 2000):
-                part = rows.slice(at, 2000)
-                cls, n, counted, rest = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    grams = gram_set(text, size)
-                    cls.append(class_of(grams))
-                    is_counted = grams % COUNTED == 0
-                    n.append(len(grams))
-                    counted.append(grams[is_counted])
-                    more = max(0, prefix_length(len(grams), percent) - len(counted[-1])) if len(grams) else 0
-                    rest.append(grams[~is_counted][:more])
-                numbers = pa.array(np.arange(number, number + len(n)))
-                number += len(n)
+        number = TaskContext.get().partitionId() << 32
+        rows: list[dict] = []
+        counted: list[np.ndarray] = []
+        rest: list[np.ndarray] = []
+        texts: list[bytes] = []
+        held: set[int | None] = set()
+        chars = 0
+
+        def done() -> pa.RecordBatch:
+            kind = pa.list_(pa.struct({"doc_id": pa.int64(), "digest": pa.binary(), "cls": pa.int64(), "n": pa.int64()}))
+            cells = [*_pack_lists(counted), *_pack_lists(rest), pack_words(texts)]
+            total = sum(map(len, counted))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([rows], kind), *[pa.array([x], pa.binary()) for x in cells], pa.array([total], pa.int64())],
+                ["block", "docs", "counted", "counted_sizes", "rest", "rest_sizes", "texts", "columns"],
+            )
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = (text or "").encode()
+                grams = gram_set(data, size)
+                columns = grams.view(np.uint64)
+                is_counted = columns % np.uint64(COUNTED) == 0
+                # 40 bits of the hash name a column; the set is sorted by signed hash, columns by unsigned
+                mine = np.sort((columns[is_counted] >> np.uint64(COLUMN_SHIFT)).astype(np.int64))
+                more = max(0, prefix_length(len(grams), percent) - len(mine)) if len(grams) else 0
+                others = np.sort((columns[~is_counted] >> np.uint64(COLUMN_SHIFT)).astype(np.int64))[:more]
+                cls = class_of(grams)
+                rows.append({"doc_id": doc_id, "digest": hashlib.md5(data).digest(), "cls": cls, "n": len(grams)})
+                # a block needs a class's text once, at its first document with an id
+                texts.append(data if doc_id is not None and cls not in held else b"")
+                if doc_id is not None:
+                    held.add(cls)
+                counted.append(mine)
+                rest.append(others)
+                chars += len(text or "")
+                if chars >= BLOCK_CHARS or len(rows) >= BLOCK_DOCS:
+                    yield done()
+                    number, rows, counted, rest, texts, chars = number + 1, [], [], [], [], 0
+                    held.clear()
+        if rows:
+            yield done()
+
+    return docs.mapInArrow(run, PROFILES)
+
+
+def _block_columns(counted: list[np.ndarray], slots: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct counted columns of a block's classes, and of how many classes each is."""
+    flat = np.concatenate([np.zeros(0, np.int64), *[np.unique(counted[i]) for i in slots]])
+    return np.unique(flat, return_counts=True)
+
+
+def _bucket_cuts(columns: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket of a block's sorted columns begins (and the last one ends)."""
+    return np.searchsorted(columns * buckets >> COLUMN_BITS, np.arange(buckets + 1))
+
+
+def _blocks(profiles: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Rows ``(h, cls, n)``: the columns that a class may share with a linked one.
+
+    The classes' counted columns go out once, a compressed row a block and
+    bucket of columns; what comes back is which of them other classes have,
+    too, and in how many classes they are.
+    """
+    total = profiles.agg(F.sum("columns").alias("n")).first()["n"] or 0
+    buckets = max(64, -(-total // BUCKET_COLUMNS))
+    slots = first.groupBy("block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    slots = written(slots, "jaccard-slots")
+    chosen = profiles.join(slots, "block")
+
+    def counted_of(batch: pa.RecordBatch, at: int) -> tuple[list[np.ndarray], list[int]]:
+        cells = [batch.column(c)[at].as_py() for c in ("counted", "counted_sizes")]
+        return _unpack_lists(*cells), batch.column("slots")[at].as_py()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                columns, counts = _block_columns(*counted_of(batch, at))
+                cuts = _bucket_cuts(columns, buckets).tolist()
+                used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                parts = [slice(cuts[b], cuts[b + 1]) for b in used]
                 yield pa.RecordBatch.from_arrays(
-                    [numbers, part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), _long_list(counted), _long_list(rest)],
-                    ["row", "doc_id", "cls", "n", "counted", "rest"],
-                )
+                    [
+                        pa.array([batch.column("block")[at].as_py()] * len(used), pa.int64()),
+                        pa.array(used, pa.int64()),
+                        pa.array([pack_numbers(np.diff(columns[c], prepend=0)) for c in parts], pa.binary()),
+                        pa.array([pack_numbers(counts[c]) for c in parts], pa.binary()),
+                    ],
+                    ["block", "bucket", "columns", "counts"],
+                )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            flat = np.concatenate([c for _, c, _ in held])
+            _, at = np.unique(flat, return_inverse=True)
+            df = np.bincount(at, weights=np.concatenate([n for _, _, n in held])).astype(np.int64)[at]
+            ends = np.cumsum([len(c) for _, c, _ in held])
+            found = []
+            for part in np.split(df, ends[:-1]):
+                shared = np.flatnonzero(part > 1)
+                found.append((pack_numbers(np.diff(shared, prepend=0)), pack_numbers(part[shared])))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _, _ in held], pa.int64()), pa.array([last] * len(held), pa.int64()), *[pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]],
+                ["block", "bucket", "shared", "df"],
+            )
+
+        for batch in batches:
+            for block, bucket, columns, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and bucket != last:
+                    yield done()
+                    held = []
+                last = bucket
+                held.append((block, np.cumsum(unpack_numbers(columns)), unpack_numbers(counts)))
+        if held:
+            yield done()
+
+    sent = chosen.select("block", "counted", "counted_sizes", "slots").mapInArrow(send, "block long, bucket long, columns binary, counts binary")
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    back = dealt.mapInArrow(count, "block long, bucket long, shared binary, df binary")
+    found = back.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "df")).alias("found"))
+    none = F.array().cast("array<struct<bucket: bigint, shared: binary, df: binary>>")
+    whole = chosen.join(found, "block", "left").withColumn("found", F.coalesce("found", none))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                counted, mine = counted_of(batch, at)
+                rest = _unpack_lists(*[batch.column(c)[at].as_py() for c in ("rest", "rest_sizes")])
+                columns, _ = _block_columns(counted, mine)
+                cuts = _bucket_cuts(columns, buckets)
+                df = np.ones(len(columns), np.int64)
+                for f in batch.column("found")[at].as_py():
+                    df[cuts[f["bucket"]] + np.cumsum(unpack_numbers(f["shared"]))] = unpack_numbers(f["df"])
+                docs = batch.column("docs")[at].values
+                classes, sizes = (pc.fill_null(docs.field(c), 0).to_numpy() for c in ("cls", "n"))
+                h, cls, n = [], [], []
+                for slot in mine:
+                    own = counted[slot]
+                    degree = df[np.searchsorted(columns, own)]
+                    # the order of columns: counted ones by count, then the others; those of one class link nothing
+                    order = np.lexsort((own, degree))[: prefix_length(int(sizes[slot]), percent)]
+                    kept = np.unique(np.concatenate([own[order][degree[order] > 1], rest[slot]]))
+                    h.append(kept)
+                    cls.append(np.full(len(kept), classes[slot], np.int64))
+                    n.append(np.full(len(kept), sizes[slot], np.int64))
+                lists = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (h, cls, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in lists], ["h", "cls", "n"])
+
+    return whole.drop("block", "columns").mapInArrow(prefixes, "h long, cls long, n long")
+
+
+def _texts(profiles: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows ``(cls, text)``: the compressed whole text of each chosen class (cls, block, slot)."""
+    slots = chosen.groupBy("block").agg(F.collect_list(F.struct("slot", "cls")).alias("slots"))
+    held = profiles.select("block", "texts").join(written(slots, "jaccard-chosen-slots"), "block")
 
-    return docs.mapInArrow(run, "row long, doc_id long, cls long, n long, counted array<long>, rest array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                texts = unpack_words(batch.column("texts")[at].as_py())
+                slots = batch.column("slots")[at].as_py()
+                packed = [pa.compress(texts[x["slot"]], "zstd", asbytes=True) for x in slots]
+                sizes = [len(texts[x["slot"]]) for x in slots]
+                names = pa.array([x["cls"] for x in slots], pa.int64())
+                yield pa.RecordBatch.from_arrays([names, pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], ["cls", "text", "bytes"])
 
+    return held.mapInArrow(run, "cls long, text binary, bytes long")
+
+
+def _grams(text: bytes, size_in_bytes: int, size: int) -> np.ndarray:
+    return gram_set(pa.decompress(text, size_in_bytes, "zstd", asbytes=True), size)
+
+
+#: N-grams of a tile, a row on average.
+TILE_GRAMS = 2000
+#: Pairs of one document that a task verifies; documents with more are split.
+PAIRS = 2000
 
-def _blocks(classes: DataFrame, percent: int) -> DataFrame:
-    """Rows ``(h, cls, n)``: the columns that a class may share with a linked one."""
-    rows = classes.select("cls", F.explode("counted").alias("h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shown = rows.join(shared, "h")
-    sizes = classes.select(
-        "cls", "n", F.size("counted").alias("s"), (F.col("n") + 1 - F.ceil(F.col("n") * percent / 100)).alias("p")
-    )
-    # the order of columns: counted ones by count, then the others by hash
-    place = Window.partitionBy("cls").orderBy("df", "h")
-    ranked = shown.withColumns({"k": F.row_number().over(place), "m": F.count("*").over(Window.partitionBy("cls"))})
-    # columns of one class only come first: s - m of them
-    kept = ranked.join(sizes, "cls").filter("k + s - m <= p").select("h", "cls", "n")
-    others = classes.filter("size(rest) > 0").select(F.explode("rest").alias("h"), "cls", "n")
-    return kept.unionByName(others)
 
+def _overlaps(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked: overlap of the whole rows against the union.
 
-def _sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """Rows ``(cls, grams)`` of the chosen classes, from the whole text of one document each."""
+    Texts lie in buckets by class, so a pair comes to its first text; that goes
+    on to the second one, whose pairs are parted if there are many.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("parts"))
+    parts = written(parts, "jaccard-parts")
+    many = parts.filter("parts > 1")
+    other = texts.select(F.col("cls").alias("b"), F.col("text").alias("y"), F.col("bytes").alias("y_bytes"))
+    left = pairs.join(many, "a", "left").join(other, "b")
+    left = left.withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))))
+    own = texts.select(F.col("cls").alias("a"), F.col("text").alias("x"), F.col("bytes").alias("x_bytes")).join(parts, "a")
+    own = own.select("a", "x", "x_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = left.join(own, ["a", "part"]).select("a", "b", "x", "x_bytes", "y", "y_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for at in range(0, rows.num_rows, 500):
-                part = rows.slice(at, 500)
-                found = {}
-                for cls, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    grams = gram_set(text, size)
-                    if class_of(grams) == cls:  # else another document with the same id
-                        found[cls] = grams
-                names = pa.array(list(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([names, _long_list(list(found.values()))], ["cls", "grams"])
-
-    texts = docs.join(chosen, "doc_id").select("cls", "text")
-    return texts.mapInArrow(run, "cls long, grams array<long>")
-
-
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: overlap of the whole rows against the union."""
-    first = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
-    second = sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(second, "b").join(first, "a")
-    counted = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("i"))
-    return counted.filter(100 * F.col("i") >= percent * (F.col("total") - F.col("i"))).select("a", "b")
-
-
-def _tile_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+        last, grams = None, None
+        for batch in batches:
+            found = []
+            for a, b, x, x_bytes, y, y_bytes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if a != last:
+                    last, grams = a, _grams(x, x_bytes, size)
+                others = _grams(y, y_bytes, size)
+                overlap = len(np.intersect1d(grams, others, assume_unique=True))
+                if 100 * overlap >= percent * (len(grams) + len(others) - overlap):
+                    found.append((a, b))
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _tile_links(rows: pa.Table, size: int, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two tiles' rows (or within one tile)."""
     side, cls, label = (rows.column(c).to_numpy() for c in ("side", "cls", "label"))
-    lists = rows.column("grams").combine_chunks()
-    ends = lists.offsets.to_numpy()
-    n = np.diff(ends)
+    lists = [_grams(x, k, size) for x, k in zip(rows.column("text").to_pylist(), rows.column("bytes").to_pylist(), strict=True)]
+    n = np.array([len(x) for x in lists])
+    ends = np.concatenate([[0], np.cumsum(n)])
     # column numbers over both tiles; every row's columns stand together
-    _, column = np.unique(np.asarray(lists.values.slice(ends[0], ends[-1] - ends[0])), return_inverse=True)
-    ends = ends - ends[0]
+    _, column = np.unique(np.concatenate(lists), return_inverse=True)
     parent = {int(x): int(x) for x in label}
 
     def root(x: int) -> int:
@@ -195,7 +368,7 @@ def _tile_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def _product(blocks: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+def _product(blocks: DataFrame, texts: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
     """Links (a, b) between rows (h, cls, n, label) of wide blocks, by tiles of their product."""
     centre = blocks.groupBy("h").agg(F.min("cls").alias("a"))
     joined = connected_components(blocks.join(centre, "h").select("a", F.col("cls").alias("b")))
@@ -204,7 +377,8 @@ def _product(blocks: DataFrame, sets: DataFrame, percent: int, tile: int) -> Dat
     step = float(np.log(100 / percent))
     rows = rows.withColumn("s", F.floor(F.log("n") / step + 1e-9))  # linked rows are at most one class apart
     rows = written(rows, "jaccard-wide-rows")
-    tiles = rows.groupBy("grp", "s").agg(F.ceil(F.count("*") / tile).alias("m"))
+    # a tile is bounded by rows and by what they hold
+    tiles = rows.groupBy("grp", "s").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n") / (tile * TILE_GRAMS))).alias("m"))
     tiles = written(tiles, "jaccard-tiles")
     near = tiles.select("grp", (F.col("s") - 1).alias("s"), F.col("m").alias("above"))
     far = tiles.select("grp", (F.col("s") + 1).alias("s"), F.col("m").alias("below"))
@@ -218,45 +392,35 @@ def _product(blocks: DataFrame, sets: DataFrame, percent: int, tile: int) -> Dat
     own = F.transform(upto(F.col("m")), lambda j: key(F.col("s"), F.least(sub, j), F.greatest(sub, j), (0, F.when(sub <= j, 0).otherwise(1))))
     up = F.transform(upto(zero("above", F.lit(0))), lambda j: key(F.col("s"), sub, j, (1, F.lit(0))))
     down = F.transform(upto(zero("below", F.lit(0))), lambda j: key(F.col("s") - 1, j, sub, (1, F.lit(1))))
-    sent = dealt.select("grp", "cls", "label", F.explode(F.concat(own, up, down)).alias("k")).join(sets, "cls")
+    sent = dealt.select("grp", "cls", "label", F.explode(F.concat(own, up, down)).alias("k")).join(texts, "cls")
     keys = ["grp", "low", "a", "b", "up"]
-    sent = sent.select("grp", "k.low", "k.a", "k.b", "k.up", "k.side", "cls", "label", "grams")
+    sent = sent.select("grp", "k.low", "k.a", "k.b", "k.up", "k.side", "cls", "label", "text", "bytes")
 
     def links(rows: pa.Table) -> pa.Table:
-        found = _tile_links(rows, percent)
+        found = _tile_links(rows, size, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return sent.groupBy(*keys).applyInArrow(links, "a long, b long")
 
 
-def jaccard_components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = 4,
-    percent: int = 85,
-    tries: int = 1,
-    narrow: int = 32,
-    tile: int = 1024,
-) -> DataFrame:
-    """Rows ``(doc_id, n_shingles, component_id)``, one a document.
+def _labelled(docs: DataFrame, size: int, percent: int, tries: int, narrow: int, tile: int) -> DataFrame:
+    """Rows ``(doc_id, digest, n, label)``, one a document: documents of a component have the same label.
 
-    Documents link when ``100 * intersection >= percent * union`` of their sets
-    of ``size``-word shingles; a component is named by its smallest id.
-    ``tries``, ``narrow`` and ``tile`` say how the work is cut, not its result.
+    Documents without n-grams have none; one without an id is a component of its own.
     """
-    whole = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    profiles = written(_profiles(whole, size, percent), "jaccard-profiles")
-    known = profiles.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
-    # a row for each class: its smallest document's, which has a text to read again
-    first = known.groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("f")).select("cls", "f.doc_id", "f.row")
-    first = written(first, "jaccard-first")
-    classes = known.join(first.select("row"), "row", "left_semi")  # row numbers differ, so one row a class
-    blocks = written(_blocks(classes, percent), "jaccard-blocks")
+    ship_package(docs.sparkSession)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profiles = written_buckets(_profiles(whole, size, percent), "jaccard-profiles", "block")
+    each = profiles.select("block", F.posexplode("docs").alias("slot", "d")).select("block", "slot", "d.*")
+    known = each.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
+    # a row for each class: its first document's
+    first = known.groupBy("cls").agg(F.min(F.struct("block", "slot")).alias("f"))
+    first = written(first.select("cls", "f.block", "f.slot"), "jaccard-first")
+    blocks = written(_blocks(profiles, first, percent), "jaccard-blocks")
     wide = blocks.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     blocks = written(blocks.join(wide, "h"), "jaccard-shared")
-    chosen = written(first.drop("row").join(blocks.select("cls").distinct(), "cls"), "jaccard-chosen")
-    sets = written(_sets(whole, chosen, size), "jaccard-sets")
+    chosen = written(first.select("cls", "block", "slot").join(blocks.select("cls").distinct(), "cls"), "jaccard-chosen")
+    texts = written_buckets(_texts(profiles, chosen), "jaccard-texts", "cls")
     labels = chosen.select(F.col("cls").alias("v"), F.col("cls").alias("label"))
     links: DataFrame | None = None
 
@@ -279,7 +443,7 @@ def jaccard_components(
         sizes_allow = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
         pairs = written(pairs.filter(sizes_allow).select(*ends).distinct(), "jaccard-pairs")
-        return _overlaps(pairs, sets, percent)
+        return _overlaps(pairs, texts, size, percent)
 
     for k in range(tries):
         now = undecided()
@@ -296,10 +460,60 @@ def jaccard_components(
     many = now.filter(F.col("k") > narrow)
     if many.limit(1).count():
         many = many.drop("label").join(labels.select(F.col("v").alias("cls"), "label"), "cls")
-        add(_product(many.select("h", "cls", "n", "label"), sets, percent, tile))
-    rows = profiles.select("doc_id", "n", "cls").join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left")
-    rows = rows.withColumn("label", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "cls")))
+        add(_product(many.select("h", "cls", "n", "label"), texts, size, percent, tile))
+    rows = each.select("doc_id", "digest", "n", "cls").join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left")
+    return rows.withColumn("label", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "cls"))).drop("cls")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+
+
+def jaccard_components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 4,
+    percent: int = 85,
+    tries: int = 1,
+    narrow: int = 32,
+    tile: int = 1024,
+) -> DataFrame:
+    """Rows ``(doc_id, n_shingles, component_id)``, one a document.
+
+    Documents link when ``100 * intersection >= percent * union`` of their sets
+    of ``size``-word shingles; a component is named by its smallest id.
+    ``tries``, ``narrow`` and ``tile`` say how the work is cut, not its result.
+    """
+    rows = _labelled(_named(docs, id_col, text_col), size, percent, tries, narrow, tile)
     ids = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return rows.join(ids, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without near duplicates: of each component the document with the smallest id stays.
+
+    Rows are told apart by id and text, so different texts under one id are
+    documents of their own, and of rows that repeat an id and a text one
+    stays.  Of documents without an id, exact copies go (the component's
+    document with an id stays, if it has one); documents without words all stay.
+    The texts are shuffled once, at the end, by id and digest.
+    """
+    rows = written(_labelled(_named(docs, id_col, text_col), size, percent, 1, 32, 1024), "jaccard-rows")
+    with_id = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
+    anonymous = rows.filter("doc_id IS NULL AND n > 0").select("digest").distinct()
+    same_text = rows.filter("doc_id IS NOT NULL AND n > 0").select("digest").distinct()
+    anonymous = anonymous.join(same_text, "digest", "left_anti")
+    stay = with_id.select("k.doc_id", "k.digest").unionByName(anonymous.select(F.lit(None).cast("long").alias("doc_id"), "digest"))
+    stay = written(stay, "jaccard-stay")
+    key, digest, stay_id, stay_digest = (own_name(docs, x) for x in ("_id", "_digest", "_stay_id", "_stay_digest"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    named = docs.withColumns({key: F.col(quoted(id_col)).cast("long"), digest: F.unhex(F.md5(text))})
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    stay = stay.select(F.col("doc_id").alias(stay_id), F.col("digest").alias(stay_digest))
+    same = F.col(key).eqNullSafe(F.col(stay_id)) & (F.col(digest) == F.col(stay_digest))
+    kept = named.filter(has_words).join(stay, same, "left_semi").dropDuplicates([key, digest])
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    return kept.select(*columns).unionAll(docs.filter(~has_words).select(*columns))

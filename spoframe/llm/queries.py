@@ -84,7 +84,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = written(mixing.score(docs, model), "mix-scored")
     tokens = scored.agg(F.sum("tokens").alias("n")).first()["n"] or 0
     mix = mixing.fit_rates(scored, [TARGET_SHARES.get(d, 0.0) * tokens for d in model.domains])
-    return mixing.with_rates(scored, mix)
+    return mixing.with_rates(scored, mix, dead_band=0.0)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ its own words alone, so an edit moves or removes only the anchors that touch
 it.  A fingerprint keeps the ``size`` anchors with the smallest hashes, each
 as 40 bits of hash and 24 bits of word position (16 hexadecimal digits).
 
-Likeness estimates the share of common anchors (bottom-k) and counts an anchor
+Likeness estimates the share of common anchors (bottom-k: for texts with more
+than ``size`` anchors the standard error is ``sqrt(j * (1 - j) / size)``, 0.0625 at
+most; texts with fewer are compared by all of them) and counts an anchor
 only if its shift between the two texts is near the median shift of the common
 anchors, so the same phrases in another order do not count.
 
@@ -138,12 +140,14 @@ def with_next(
         shares = [(i + 1) / coarse for i in range(coarse - 1)]
         found = df.select(ident.alias("i")).agg(F.percentile_approx("i", shares, 10_000).alias("c")).first()["c"]
         cuts = sorted({n["lo"], *found})
-    # range j holds the ids from cuts[j] up to below cuts[j + 1]
+    # range j holds the ids from cuts[j] up to below cuts[j + 1], the last one up to the largest id
     if cuts:
-        bounds = F.array(*[F.lit(x).cast("long") for x in [*cuts, n["hi"] + 1]])
+        bounds = F.array(*[F.lit(x).cast("long") for x in cuts])
         at = F.size(F.filter(bounds, lambda x: x <= ident))
-        low, high = F.get(bounds, at - 1), F.get(bounds, at)
-        within = F.floor((ident - low) / (high - low) * fine)
+        # in doubles: differences of 64-bit ids may not fit in 64 bits
+        low = F.get(bounds, at - 1).cast("double")
+        high = F.coalesce(F.get(bounds, at), F.lit(n["hi"]).cast("long")).cast("double")
+        within = F.floor((ident.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * fine)
         number = at.cast("long") * fine + F.least(within, F.lit(fine - 1)).cast("long")
         number = F.when(ident.isNull(), F.lit(-1).cast("long")).otherwise(number)
     else:

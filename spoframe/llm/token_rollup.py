@@ -1,6 +1,7 @@
 """Token totals kept up to date by signed changes.
 
-A rollup is a folder of committed batches.  Each batch adds
+A rollup is a folder of committed batches, whole in itself: it can be moved or
+copied, and nothing outside it is read.  Each batch adds
 
 * entries: one signed row per changed document and tokenizer version, and
 * deltas: the entries summed by source, language and tokenizer version.
@@ -24,19 +25,21 @@ inserting a known one with the same count, adds nothing; NULL counts are 0.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoframe.llm.common import quoted, squeezed, words_of
+from spoframe.llm.common import quoted, ship_package, squeezed, words_of
 from spoframe.llm.tokens import slices, tokenizer
-from spoframe.session import fresh_path
 
 KEYS = ["source", "lang", "tokenizer"]
 CHANGES = "op string, doc_id long, source string, lang string, tokenizer string, tokens long"
 ENTRIES = "doc_id long, source string, lang string, tokenizer string, documents long, tokens long"
 DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
+#: ``folder`` is relative to the rollup's.
 COMMITS = "batch_id string, folder string"
 
 
@@ -57,7 +60,11 @@ class TokenRollup:
 
     def _folders(self) -> dict[str, str]:
         """Batch id -> folder (one row a batch)."""
-        return {r["batch_id"]: r["folder"] for r in self._commits().collect()}
+        return {r["batch_id"]: f"{self.folder}/{r['folder']}" for r in self._commits().collect()}
+
+    def _fresh(self) -> str:
+        """The folder of a new attempt."""
+        return f"{self.folder}/batches/{uuid.uuid4().hex}"
 
     def _read(self, what: str, schema: str, folders: list[str]) -> DataFrame:
         if not folders:
@@ -81,7 +88,7 @@ class TokenRollup:
         known = self._folders()
         if batch_id in known:
             return False
-        folder = fresh_path(self.spark, "rollup-batch")
+        folder = self._fresh()
         wanted = (
             changes.filter("doc_id IS NOT NULL")
             .groupBy("doc_id", "tokenizer")
@@ -124,17 +131,18 @@ class TokenRollup:
         deltas.write.parquet(f"{folder}/deltas")
 
     def _publish(self, batch_id: str, folder: str) -> None:
-        row = self.spark.createDataFrame([(batch_id, folder)], COMMITS).coalesce(1)
-        row.write.mode("errorifexists").parquet(f"{self.folder}/commits/{folder.rsplit('/', 1)[1]}")
+        name = folder.rsplit("/", 1)[1]
+        row = self.spark.createDataFrame([(batch_id, f"batches/{name}")], COMMITS).coalesce(1)
+        row.write.mode("errorifexists").parquet(f"{self.folder}/commits/{name}")
 
     def compact(self, into: str) -> TokenRollup:
         """A new rollup at ``into`` with the current entries in one batch and all batch ids known."""
         known = self._folders()
-        folder = fresh_path(self.spark, "rollup-base")
+        out = TokenRollup(self.spark, into)
+        folder = out._fresh()
         self.entries().write.parquet(f"{folder}/entries")
         self._add_deltas(folder)
-        out = TokenRollup(self.spark, into)
-        rows = [(b, folder) for b in sorted(known)]
+        rows = [(b, folder.removeprefix(f"{out.folder}/")) for b in sorted(known)]
         if rows:
             self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.parquet(f"{out.folder}/commits/base")
         return out
@@ -147,6 +155,7 @@ def count_tokens(
 
     Without a tokenizer's file, words between white space are counted.
     """
+    ship_package(docs.sparkSession)
     text = F.col(quoted(text_col))
     if tokenizer_path is None:
         tokens = F.size(words_of(squeezed(text))).cast("long")
