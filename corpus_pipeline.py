@@ -17,10 +17,11 @@ from spoframe.llm.queries import label_domains, tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a learned rule rejects."""
-    stats = written(quality_rules.with_text_stats(docs), "quality-stats")
+    # the document's columns stand aside, whatever they are called
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_document"), "doc_id", "text")
+    stats = written(quality_rules.with_text_stats(whole).drop("text"), "quality-stats")
     rules = quality_rules.fit_rules(stats, table(spark, sf_dir, "labels"))
-    kept = quality_rules.quality_verdicts(stats, rules).filter("kept")
-    return kept.select([F.col(quoted(c)) for c in docs.columns])
+    return quality_rules.quality_verdicts(stats, rules).filter("kept").select("_document.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a Jaccard similarity of 0.8 or more on 5-word shingles: the smallest id.
-
-    Documents without words or without an id are in no group and stay.
-    """
-    groups = ngram_join.jaccard_components(docs, size=5, percent=80)
-    later = groups.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id")
-    # of rows that repeat an id with equal texts, one stays
-    unique = docs.dropDuplicates(["doc_id", "text"])
-    return unique.join(later.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group with a Jaccard similarity of 0.8 or more on 5-word shingles: the smallest id."""
+    return ngram_join.one_of_each(docs, size=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
