@@ -47,15 +47,15 @@ from spoframe.llm.common import own_name, quoted, ship_package, written, written
 from spoframe.llm.components import connected_components
 from spoframe.llm.hashing import mixed, word_hashes
 from spoframe.llm.packed import pack_numbers, pack_words, unpack_numbers, unpack_words
+from spoframe.llm.repeated import SENT, VALUE_BITS, bucket_count, occurrences, repeated_values, sent_rows, with_found
 
 #: One column in so many is counted over all classes.
 COUNTED = 4
-#: Columns that are counted are named by the high bits of their n-grams' hashes: equal n-grams have equal columns,
-#: and different ones with a column in common are only tried in vain.
-COLUMN_BITS = 40
-COLUMN_SHIFT = 64 - COLUMN_BITS
-#: Documents and characters of a block of profiles, and columns that a task counts at a time.
-BLOCK_DOCS, BLOCK_CHARS, BUCKET_COLUMNS = 20_000, 8_000_000, 1_000_000
+#: Columns are named by the high bits of their n-grams' hashes: equal n-grams have equal columns, and different
+#: ones with a column in common are only tried in vain.
+COLUMN_SHIFT = 64 - VALUE_BITS
+#: Documents and characters of a block of profiles.
+BLOCK_DOCS, BLOCK_CHARS = 20_000, 8_000_000
 
 
 def gram_set(text: bytes, size: int) -> np.ndarray:
@@ -163,11 +163,6 @@ def _block_columns(counted: list[np.ndarray], slots: list[int]) -> tuple[np.ndar
     return np.unique(flat, return_counts=True)
 
 
-def _bucket_cuts(columns: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of a block's sorted columns begins (and the last one ends)."""
-    return np.searchsorted(columns * buckets >> COLUMN_BITS, np.arange(buckets + 1))
-
-
 def _blocks(profiles: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Rows ``(h, cls, n)``: the columns that a class may share with a linked one.
 
@@ -176,7 +171,7 @@ def _blocks(profiles: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     too, and in how many classes they are.
     """
     total = profiles.agg(F.sum("columns").alias("n")).first()["n"] or 0
-    buckets = max(64, -(-total // BUCKET_COLUMNS))
+    buckets = bucket_count(total)
     slots = first.groupBy("block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
     slots = written(slots, "jaccard-slots")
     chosen = profiles.join(slots, "block")
@@ -189,53 +184,10 @@ def _blocks(profiles: DataFrame, first: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 columns, counts = _block_columns(*counted_of(batch, at))
-                cuts = _bucket_cuts(columns, buckets).tolist()
-                used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                parts = [slice(cuts[b], cuts[b + 1]) for b in used]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("block")[at].as_py()] * len(used), pa.int64()),
-                        pa.array(used, pa.int64()),
-                        pa.array([pack_numbers(np.diff(columns[c], prepend=0)) for c in parts], pa.binary()),
-                        pa.array([pack_numbers(counts[c]) for c in parts], pa.binary()),
-                    ],
-                    ["block", "bucket", "columns", "counts"],
-                )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
-        last = None
-
-        def done() -> pa.RecordBatch:
-            flat = np.concatenate([c for _, c, _ in held])
-            _, at = np.unique(flat, return_inverse=True)
-            df = np.bincount(at, weights=np.concatenate([n for _, _, n in held])).astype(np.int64)[at]
-            ends = np.cumsum([len(c) for _, c, _ in held])
-            found = []
-            for part in np.split(df, ends[:-1]):
-                shared = np.flatnonzero(part > 1)
-                found.append((pack_numbers(np.diff(shared, prepend=0)), pack_numbers(part[shared])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _, _ in held], pa.int64()), pa.array([last] * len(held), pa.int64()), *[pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]],
-                ["block", "bucket", "shared", "df"],
-            )
-
-        for batch in batches:
-            for block, bucket, columns, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and bucket != last:
-                    yield done()
-                    held = []
-                last = bucket
-                held.append((block, np.cumsum(unpack_numbers(columns)), unpack_numbers(counts)))
-        if held:
-            yield done()
+                yield sent_rows(batch.column("block")[at].as_py(), columns, counts, buckets)
 
-    sent = chosen.select("block", "counted", "counted_sizes", "slots").mapInArrow(send, "block long, bucket long, columns binary, counts binary")
-    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-    back = dealt.mapInArrow(count, "block long, bucket long, shared binary, df binary")
-    found = back.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "df")).alias("found"))
-    none = F.array().cast("array<struct<bucket: bigint, shared: binary, df: binary>>")
-    whole = chosen.join(found, "block", "left").withColumn("found", F.coalesce("found", none))
+    sent = chosen.select("block", "counted", "counted_sizes", "slots").mapInArrow(send, SENT)
+    whole = with_found(chosen, repeated_values(sent))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +195,7 @@ def _blocks(profiles: DataFrame, first: DataFrame, percent: int) -> DataFrame:
                 counted, mine = counted_of(batch, at)
                 rest = _unpack_lists(*[batch.column(c)[at].as_py() for c in ("rest", "rest_sizes")])
                 columns, _ = _block_columns(counted, mine)
-                cuts = _bucket_cuts(columns, buckets)
-                df = np.ones(len(columns), np.int64)
-                for f in batch.column("found")[at].as_py():
-                    df[cuts[f["bucket"]] + np.cumsum(unpack_numbers(f["shared"]))] = unpack_numbers(f["df"])
+                df = occurrences(columns, batch.column("found")[at].as_py(), buckets)
                 docs = batch.column("docs")[at].values
                 classes, sizes = (pc.fill_null(docs.field(c), 0).to_numpy() for c in ("cls", "n"))
                 h, cls, n = [], [], []

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 def pack_numbers(x: np.ndarray) -> bytes:
     """Non-negative integers, byte plane by byte plane, compressed (small ones leave empty planes)."""
-    width = next(w for w in (1, 2, 3, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w))
+    width = next(w for w in range(1, 9) if not len(x) or int(x.max()) < 1 << (8 * w))
     planes = b"".join((x >> 8 * k & 255).astype(np.uint8).tobytes() for k in range(width))
     return len(x).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
 

@@ -3,10 +3,15 @@
 Every byte covered by a ``least``-byte string that also starts earlier (in a
 smaller document, or before it in the same one) is removed.
 
+Documents are written once, in compressed blocks that do not move again: what
+follows goes to a block, or comes from it, by block and slot.
+
 1. Later copies of a whole text are covered wholly; one copy goes on.
 2. Anchors are minimizers: of each ``least``-byte string, the ``GRAM``-byte
    string in it with the smallest hash.  Equal strings have equal anchors at
-   equal places, so only anchors that occur twice can lie in a repeat.
+   equal places.  Such a string holds at least half of its other bytes on one
+   side of its anchor, so an anchor goes on only if it occurs again together with
+   that half on its left, or on its right.
 3. The context of an anchor holds all ``least``-byte strings that contain it.
    Of equal contexts every one but the first is covered wholly.
 4. The different contexts of an anchor go to one block.  A block's suffixes
@@ -36,11 +41,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoframe.llm.common import quoted, written
+from spoframe.llm.common import quoted, ship_package, written, written_buckets
 from spoframe.llm.hashing import mixed
+from spoframe.llm.packed import pack_numbers, pack_words, unpack_numbers, unpack_words
+from spoframe.llm.repeated import SENT, VALUE_BITS, bucket_count, occurrences, repeated_values, sent_rows, with_found
 
 GRAM = 32
 #: Bytes of contexts that a task holds in a block before it works them off.
@@ -84,14 +92,25 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes and context hashes of the minimizers of a text's bytes."""
+class _Hashed:
+    """A text's bytes, with hashes of any of their parts."""
+
+    def __init__(self, data: bytes):
+        self.data = np.frombuffer(data, np.uint8)
+        n = len(self.data)
+        self.sums, self.inverse = _sums(self.data, _powers(n, _BASE)), _powers(n, _INVERSE)
+
+    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _hash(self.sums, self.inverse, start, end)
+
+
+def anchors(data: bytes, least: int) -> np.ndarray:
+    """Positions of the minimizers of a text's bytes."""
     n, span = len(data), least - GRAM + 1
     if n < least:
-        return (np.zeros(0, np.int64),) * 3
-    sums, inverse = _sums(data, _powers(n, _BASE)), _powers(n, _INVERSE)
+        return np.zeros(0, np.int64)
     at = np.arange(n - GRAM + 1)
-    grams = _hash(sums, inverse, at, at + GRAM)
+    grams = _Hashed(data).part(at, at + GRAM)
     # hash and place in one number: the smallest of a window is its first smallest hash
     found = []
     for a in range(0, n - least + 1, 1 << PLACE_BITS):
@@ -99,9 +118,21 @@ def anchors(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nd
         key = (part & ~np.uint64((2 << PLACE_BITS) - 1)) | np.arange(len(part), dtype=np.uint64)
         place = (_smallest(key, span) & np.uint64((2 << PLACE_BITS) - 1)).astype(np.int64) + a
         found.append(place[np.append(True, place[1:] != place[:-1])])
-    p = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
-    start, end = np.maximum(p - (least - GRAM), 0), np.minimum(p + least, n)
-    return p, grams[p].view(np.int64), _hash(sums, inverse, start, end).view(np.int64)
+    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+
+
+def _halves(text: _Hashed, p: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of each anchor with half of the other bytes on its left, and on its right (-1: the text ends before)."""
+    side, n = least - GRAM, len(text.data)
+    half = side // 2
+    out = []
+    for tag, start, end in ((1, p - half, p + GRAM), (2, p, p + GRAM + side - half)):
+        fits = (start >= 0) & (end <= n)
+        value = np.full(len(p), -1, np.int64)
+        named = mixed(text.part(start[fits], end[fits]) + np.uint64(tag))
+        value[fits] = (named >> np.uint64(64 - VALUE_BITS)).astype(np.int64)
+        out.append(value)
+    return out[0], out[1]
 
 
 def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,18 +228,127 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _anchor_table(texts: DataFrame, least: int) -> DataFrame:
+#: Bytes of the texts of a block (a longer text is a block of its own).
+TEXT_BYTES = 8_000_000
+BLOCKS = (
+    "block long, docs array<struct<doc_id: long, doc: long, tie: long, digest: binary, n: long>>, "
+    "texts binary, places binary, sizes binary, anchors long"
+)
+
+
+def _text_blocks(rows: DataFrame, least: int) -> DataFrame:
+    """Blocks of documents (doc_id, doc, tie, digest, n, data) with their texts and the places of their anchors.
+
+    Of equal texts in a block the first has anchors.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for at in range(0, rows.num_rows, 200):
-                part = rows.slice(at, 200)
-                found = [anchors(np.frombuffer(x, np.uint8), least) for x in part.column(2).to_pylist()]
-                ends = pa.array(np.cumsum([0, *[len(p) for p, _, _ in found]], dtype=np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[k] for f in found]).astype(np.int64))) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], part.column(3), *lists], ["doc", "tie", "n", "p", "h", "c"])
+        number = TaskContext.get().partitionId() << 32
+        docs: list[dict] = []
+        texts: list[bytes] = []
+        places: list[np.ndarray] = []
+        seen: set[bytes] = set()
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("digest", pa.binary()), ("n", pa.int64())]))
+            flat = np.concatenate([np.zeros(0, np.int64), *[np.diff(p, prepend=0) for p in places]])
+            cells = [pack_words(texts), pack_numbers(flat), pack_numbers(np.array([len(p) for p in places], np.int64))]
+            columns = [pa.array([number], pa.int64()), pa.array([docs], kind), *[pa.array([x], pa.binary()) for x in cells]]
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array([len(flat)], pa.int64())], ["block", "docs", "texts", "places", "sizes", "anchors"]
+            )
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                for row in batch.slice(at, 200).to_pylist():
+                    data = row.pop("data")
+                    if docs and size + len(data) > TEXT_BYTES:
+                        yield done()
+                        number, docs, texts, places, size = number + 1, [], [], [], 0
+                        seen.clear()
+                    docs.append(row)
+                    texts.append(data)
+                    places.append(np.zeros(0, np.int64) if row["digest"] in seen else anchors(data, least))
+                    seen.add(row["digest"])
+                    size += len(data)
+        if docs:
+            yield done()
+
+    return rows.select("doc_id", "doc", "tie", "digest", "n", "data").mapInArrow(run, BLOCKS)
+
+
+def _chosen_texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[dict, bytes, np.ndarray]]:
+    """Of a block's row the texts that go on: what is known of each, its bytes, and the places of its anchors."""
+    texts = unpack_words(batch.column("texts")[at].as_py())
+    ends = np.concatenate([[0], np.cumsum(unpack_numbers(batch.column("sizes")[at].as_py()))])
+    flat = unpack_numbers(batch.column("places")[at].as_py())
+    docs = batch.column("docs")[at].values
+    for slot in batch.column("slots")[at].as_py():
+        p = np.cumsum(flat[ends[slot] : ends[slot + 1]])
+        if len(p):
+            yield docs[slot].as_py() | {"slot": slot}, texts[slot], p
+
+
+PLACES = "h long, c long, doc long, tie long, n long, block long, slot int, p long"
+
 
-    kinds = "doc long, tie long, n long, p array<long>, h array<long>, c array<long>"
-    return texts.select("doc", "tie", "data", "n").mapInArrow(run, kinds)
+def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame:
+    """Rows of :data:`PLACES`: anchors that occur again with half of the bytes around them, and their contexts' hashes."""
+    total = blocks.agg(F.sum("anchors").alias("n")).first()["n"] or 0
+    buckets = bucket_count(2 * total)
+    slots = go.groupBy("block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    chosen = blocks.join(written(slots, "suffix-slots"), "block")
+
+    def halves_of(batch: pa.RecordBatch, at: int) -> list[tuple[dict, _Hashed, np.ndarray, np.ndarray, np.ndarray]]:
+        out = []
+        for doc, data, p in _chosen_texts(batch, at):
+            text = _Hashed(data)
+            out.append((doc, text, p, *_halves(text, p, least)))
+        return out
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                values = [v for doc in _chosen_texts(batch, at) for v in _halves(_Hashed(doc[1]), doc[2], least)]
+                flat = np.concatenate([np.zeros(0, np.int64), *values])
+                found, counts = np.unique(flat[flat >= 0], return_counts=True)
+                yield sent_rows(batch.column("block")[at].as_py(), found, counts, buckets)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PLACES.split(", ")]
+        side = least - GRAM
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block = batch.column("block")[at].as_py()
+                held = halves_of(batch, at)
+                flat = np.concatenate([np.zeros(0, np.int64), *[v for x in held for v in x[3:]]])
+                values = np.unique(flat[flat >= 0])
+                again = occurrences(values, batch.column("found")[at].as_py(), buckets) > 1
+
+                def repeats(v: np.ndarray, values=values, again=again) -> np.ndarray:
+                    out = np.zeros(len(v), bool)
+                    known = v >= 0
+                    out[known] = again[np.searchsorted(values, v[known])]
+                    return out
+
+                columns: list[list[np.ndarray]] = [[] for _ in names]
+                for doc, text, p, left, right in held:
+                    p = p[repeats(left) | repeats(right)]
+                    if not len(p):
+                        continue
+                    h = text.part(p, p + GRAM).view(np.int64)
+                    c = text.part(np.maximum(p - side, 0), np.minimum(p + least, doc["n"])).view(np.int64)
+                    same = [np.full(len(p), doc[k], np.int64) for k in ("doc", "tie", "n")]
+                    cells = [h, c, *same, np.full(len(p), block, np.int64), np.full(len(p), doc["slot"], np.int32), p]
+                    for column, cell in zip(columns, cells, strict=True):
+                        column.append(cell)
+                kinds = [np.int32 if n == "slot" else np.int64 for n in names]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *x]).astype(k)) for x, k in zip(columns, kinds, strict=True)], names)
+
+    sent = chosen.drop("anchors").mapInArrow(send, SENT)
+    whole = with_found(chosen.drop("anchors"), repeated_values(sent))
+    return whole.mapInArrow(emit, PLACES)
 
 
 def _context_blocks(rows: DataFrame, least: int) -> DataFrame:
@@ -240,12 +380,23 @@ def _part(data: Column, start: Column, end: Column) -> Column:
     return F.substring(data, (start + 1).cast("int"), (end - start).cast("int"))
 
 
-def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (h, doc, tie, p, start, end) with ``n`` of its text and the bytes of its context as ``data``."""
-    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "p", "start", "end")).alias("w"))
-    cut = rows.select("doc", "tie", "n", "data").join(lists, ["doc", "tie"]).select("doc", "tie", "n", "data", F.explode("w").alias("w"))
-    part = _part(F.col("data"), F.col("w.start"), F.col("w.end"))
-    return cut.select("w.h", "doc", "tie", "n", "w.p", "w.start", part.alias("data"))
+def _cut(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (h, doc, tie, n, block, slot, p, start, end) with the bytes of its context as ``data``."""
+    kinds = "h long, doc long, tie long, n long, p long, start long, data binary"
+    fields = ["h", "doc", "tie", "n", "slot", "p", "start", "end"]
+    lists = wanted.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                texts = unpack_words(batch.column("texts")[at].as_py())
+                w = batch.column("w")[at].values
+                slots, starts, ends = (w.field(c).to_pylist() for c in ("slot", "start", "end"))
+                data = [texts[i][a:b] for i, a, b in zip(slots, starts, ends, strict=True)]
+                same = [w.field(c) for c in ("h", "doc", "tie", "n", "p", "start")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(data, pa.binary())], [k.split()[0] for k in kinds.split(", ")])
+
+    return blocks.select("block", "texts").join(lists, "block").select("texts", "w").mapInArrow(run, kinds)
 
 
 def _split_hot(hot: DataFrame, least: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -302,21 +453,17 @@ def remove_repeats(
         ident.alias("doc_id"), F.coalesce(ident, top).alias("doc"), F.xxhash64(text).alias("tie"),
         text.cast("binary").alias("data"), F.octet_length(text).cast("long").alias("n"), F.unhex(F.md5(text)).alias("digest"),
     )
-    copies = rows.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("k"))
-    copies = written(copies.filter("k > 1").select("digest", "first"), "suffix-copies")
-    marked = rows.join(copies, "digest", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
-    # equal rows of one document stay: their places are equal, so they never cover each other
-    own = written(_anchor_table(marked.filter("NOT copy"), least), "suffix-anchors")
-    zipped = F.explode(F.arrays_zip("p", "h", "c")).alias("x")
-    shown = own.select("doc", "tie", "n", zipped).select("doc", "tie", "n", "x.p", "x.h", "x.c")
-    again = own.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    # written first: adaptive execution splits a hot key only where no aggregate stands under the join
-    again = written(again.select("h"), "suffix-again")
-    seen = written(shown.join(again, "h"), "suffix-repeated")
+    ship_package(docs.sparkSession)
+    texts = written_buckets(_text_blocks(rows, least), "suffix-texts", "block")
+    each = texts.select("block", F.posexplode("docs").alias("slot", "d")).select("block", "slot", "d.*")
+    # of equal texts the first goes on; equal rows of one document have the same places
+    first = each.groupBy("digest").agg(F.min(F.struct("doc", "block", "slot")).alias("f")).select("digest", "f.*")
+    first = written(first, "suffix-first")
+    seen = written(_repeated_anchors(texts, first.select("block", "slot"), least), "suffix-repeated")
     side = least - GRAM
     start, end = F.greatest(F.col("p") - side, F.lit(0)), F.least(F.col("p") + least, F.col("n"))
     seen = seen.withColumns({"start": start, "end": end})
-    place = F.struct("doc", "tie", "p", "start", "end")
+    place = F.struct("doc", "tie", "p", "n", "block", "slot", "start", "end")
     contexts = seen.groupBy("h", "c").agg(F.min(place).alias("f"), F.count("*").alias("k"))
     contexts = written(contexts, "suffix-contexts")
     more = contexts.filter("k > 1").select("h", "c", "f")
@@ -324,11 +471,10 @@ def remove_repeats(
     covered = covered.select("doc", "tie", F.col("start").alias("a"), F.col("end").alias("b"))
     varied = written(contexts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "suffix-varied")
     few, many = F.col("m") <= hot_contexts, F.col("m") > hot_contexts
-    wanted = contexts.select("h", "f.doc", "f.tie", "f.p", "f.start", "f.end")
-    # distinct: rows that repeat an id and a text have the same contexts
-    blocks = _cut(rows, wanted.join(varied.filter(few).select("h"), "h")).select("h", "doc", "tie", "start", "data").distinct()
+    wanted = contexts.select("h", "f.*")
+    blocks = _cut(texts, wanted.join(varied.filter(few).select("h"), "h")).select("h", "doc", "tie", "start", "data")
     if not varied.filter(many).isEmpty():
-        hot = _cut(rows, wanted.join(varied.filter(many).select("h"), "h")).distinct()
+        hot = _cut(texts, wanted.join(varied.filter(many).select("h"), "h"))
         split, resolved = _split_hot(hot, least, hot_contexts)
         for more_blocks in split:
             blocks = blocks.unionByName(more_blocks)
@@ -336,26 +482,32 @@ def remove_repeats(
             covered = covered.unionByName(more_spans)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.repartition(width, "h").sortWithinPartitions("h", "doc", "tie", "start")
-    later = rows.select("doc", "tie", "n", "digest").join(copies, "digest").filter((F.col("doc") > F.col("first")) & (F.col("n") >= least))
-    whole = later.select("doc", "tie", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    spans = covered.unionByName(_context_blocks(dealt, least)).unionByName(whole)
-    spans = spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = written(spans, "suffix-spans")
-    joined = rows.select("doc_id", "doc", "tie", "data").join(spans, ["doc", "tie"], "left").select("doc_id", "data", "spans")
+    spans = covered.unionByName(_context_blocks(dealt, least))
+    spans = written(spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
+    # back to the blocks: spans of each document, and whole later copies
+    copied = each.join(first.select("digest", F.col("doc").alias("first")), "digest").filter((F.col("doc") > F.col("first")) & (F.col("n") >= least))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans")
+    gone = each.join(spans, ["doc", "tie"]).select("block", "slot", "spans").unionByName(copied.select("block", "slot", whole))
+    gone = gone.groupBy("block").agg(F.collect_list(F.struct("slot", "spans")).alias("gone"))
+    joined = texts.select("block", "docs", "texts").join(gone, "block", "left").select("docs", "texts", "gone")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for at in range(batch.num_rows):
+                ids = batch.column("docs")[at].values.field("doc_id").to_pylist()
+                removed: dict[int, list[tuple[int, int]]] = {}
+                for x in batch.column("gone")[at].as_py() or []:
+                    removed.setdefault(x["slot"], []).extend((y["a"], y["b"]) for y in x["spans"])
                 out = []
-                for doc_id, data, spans in zip(*[c.to_pylist() for c in batch.slice(at, 500).columns], strict=True):
-                    gone, kept, last = merged([(x["a"], x["b"]) for x in spans or []]), [], 0
-                    for a, b in gone:
+                for slot, (doc_id, data) in enumerate(zip(ids, unpack_words(batch.column("texts")[at].as_py()), strict=True)):
+                    spans, kept, last = merged(removed.get(slot, [])), [], 0
+                    for a, b in spans:
                         kept.append(data[last:a])
                         last = b
                     rest = b"".join([*kept, data[last:]])
-                    out.append((doc_id, len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest, [{"a": a, "b": b} for a, b in gone]))
+                    out.append((doc_id, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest, [{"a": a, "b": b} for a, b in spans]))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
