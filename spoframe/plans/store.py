@@ -278,6 +278,7 @@ def load_tables(
     buckets: int,
     predicates: list[str] | None = None,
     chunk_values: int = CHUNK_VALUES,
+    location: str | None = None,
 ) -> TripleStore:
     """A2 with A4, A5, A7, A8: every layout as a catalog table of ``database``, bucketed by subject.
 
@@ -285,10 +286,12 @@ def load_tables(
     predicates), so joins on subjects need no shuffle.  ``buckets`` says into how
     many tasks such a join is cut: about the size of the triples over that of a
     scan task.  A subject with very many rows makes its bucket large; the
-    layouts of :func:`load_store` split it.
+    layouts of :func:`load_store` split it.  The tables lie in the warehouse, or
+    in the folder ``location``.
     """
     spark = triples.sparkSession
-    spark.sql(f"CREATE DATABASE {quoted(database)}")
+    where = "" if location is None else " LOCATION '" + location.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    spark.sql(f"CREATE DATABASE {quoted(database)}{where}")
 
     def save(df: DataFrame, name: str, by_subject: bool = True, parts: tuple[str, ...] = ()) -> DataFrame:
         table = f"{quoted(database)}.{quoted(name)}"
