@@ -3,7 +3,8 @@
 A payload travels as rows ``(record, chunk number, bytes)`` of ``chunk_bytes``
 at most: the writer compresses chunk after chunk into the record's gzip
 member, the reader parses a file as a stream and emits chunk rows that carry
-the digest of the payload up to their end.  Neither ever holds a whole record.
+the digest of the payload up to their end.  Neither holds a whole record; the only
+place that does is the input's cell, from which the plan cuts the chunks.
 
 Records with equal payloads of at least ``min_revisit`` bytes are written
 once, as the response of the smallest id; the others are ``revisit`` records.
