@@ -457,12 +457,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anonymous = anonymous.join(same_text, "digest", "left_anti")
     stay = with_id.select("k.doc_id", "k.digest").unionByName(anonymous.select(F.lit(None).cast("long").alias("doc_id"), "digest"))
     stay = written(stay, "jaccard-stay")
-    key, digest, stay_id, stay_digest = (own_name(docs, x) for x in ("_id", "_digest", "_stay_id", "_stay_digest"))
-    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    named = docs.withColumns({key: F.col(quoted(id_col)).cast("long"), digest: F.unhex(F.md5(text))})
+    # plain columns as keys, so that the rows that the join brings together stay so for the distinct ones
+    key, none, digest = (own_name(docs, x) for x in ("_id", "_none", "_digest"))
+    zero = F.lit(0).cast("long")
+    ident, text = F.col(quoted(id_col)).cast("long"), F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    named = docs.withColumns({key: F.coalesce(ident, zero), none: ident.isNull(), digest: F.unhex(F.md5(text))})
     has_words = text.rlike(r"[^\x20\x09-\x0D]")
-    stay = stay.select(F.col("doc_id").alias(stay_id), F.col("digest").alias(stay_digest))
-    same = F.col(key).eqNullSafe(F.col(stay_id)) & (F.col(digest) == F.col(stay_digest))
-    kept = named.filter(has_words).join(stay, same, "left_semi").dropDuplicates([key, digest])
+    stay = stay.select(F.coalesce("doc_id", zero).alias(key), F.col("doc_id").isNull().alias(none), F.col("digest").alias(digest))
+    kept = named.filter(has_words).join(stay, [key, none, digest], "left_semi").dropDuplicates([key, none, digest])
     columns = [F.col(quoted(c)) for c in docs.columns]
     return kept.select(*columns).unionAll(docs.filter(~has_words).select(*columns))
