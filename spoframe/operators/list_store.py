@@ -12,6 +12,9 @@ is built by as many tasks: no task and no row holds a whole hub subject.
   spread over ``SALTS`` tasks there, too.
 * The rows are dealt by ``(s, p, chunk)`` explicitly: grouping on what the
   lookup was dealt by would bring a whole hub back into one task.
+
+Predicates that are known (from statistics) to have no long list need no lookup:
+their rows are dealt by ``(s, p)`` once.  The rows of the result are the same.
 """
 
 from __future__ import annotations
@@ -33,12 +36,42 @@ def value_chunk(value: Column, chunks: Column) -> Column:
     return F.when(chunks > 1, F.pmod(bits, chunks)).otherwise(F.lit(0).cast("bigint"))
 
 
-def list_chunks(triples: DataFrame, predicates: list[str] | None = None, chunk_values: int = CHUNK_VALUES) -> DataFrame:
-    """``(s, p, chunk, values, counts)`` of the given predicates (default: all); values are sorted and distinct."""
+def list_chunks(
+    triples: DataFrame,
+    predicates: list[str] | None = None,
+    chunk_values: int = CHUNK_VALUES,
+    short: list[str] | tuple[str, ...] = (),
+) -> DataFrame:
+    """``(s, p, chunk, values, counts)`` of the given predicates (default: all); values are sorted and distinct.
+
+    ``short``: predicates of which no subject has more than ``chunk_values`` rows.
+    """
     if chunk_values < 1:
         raise ValueError("chunk_values must be positive")
     rows = triples if predicates is None else only_predicates(triples, predicates)
-    rows = rows.select("s", "p", "o")
+    if not short:
+        return _long_lists(rows.select("s", "p", "o"), chunk_values)
+    whole = _gathered(only_predicates(rows, list(short)).select("s", "p", F.lit(0).cast("bigint").alias("chunk"), "o").repartition("s", "p"))
+    if predicates is not None and set(predicates) <= set(short):
+        return whole
+    others = rows.where(~F.col("p").isin(list(short)))
+    if predicates is not None:
+        others = only_predicates(triples, [p for p in predicates if p not in set(short)])
+    return whole.unionByName(_long_lists(others.select("s", "p", "o"), chunk_values))
+
+
+def _gathered(dealt: DataFrame) -> DataFrame:
+    """Chunks from rows (s, p, chunk, o) that lie together; counts are made on the spot."""
+    values = dealt.groupBy("s", "p", "chunk", "o").agg(F.count(F.lit(1)).alias("k"))
+    return _chunks(values)
+
+
+def _chunks(values: DataFrame) -> DataFrame:
+    lists = values.groupBy("s", "p", "chunk").agg(F.array_sort(F.collect_list(F.struct("o", "k"))).alias("v"))
+    return lists.select("s", "p", "chunk", F.col("v.o").alias("values"), F.col("v.k").alias("counts"))
+
+
+def _long_lists(rows: DataFrame, chunk_values: int) -> DataFrame:
     sizes = rows.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_values)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     long_lists = sizes.select("s", "p", F.ceil(F.col("n") / chunk_values).alias("chunks"), salts)
@@ -46,9 +79,7 @@ def list_chunks(triples: DataFrame, predicates: list[str] | None = None, chunk_v
     salted = values.withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(SALTS)).cast("int"))
     looked_up = salted.join(long_lists, ["s", "p", "salt"], "left")
     chunk = value_chunk(F.col("o"), F.coalesce("chunks", F.lit(1)))
-    dealt = looked_up.select("s", "p", chunk.alias("chunk"), "o", "k").repartition("s", "p", "chunk")
-    lists = dealt.groupBy("s", "p", "chunk").agg(F.array_sort(F.collect_list(F.struct("o", "k"))).alias("v"))
-    return lists.select("s", "p", "chunk", F.col("v.o").alias("values"), F.col("v.k").alias("counts"))
+    return _chunks(looked_up.select("s", "p", chunk.alias("chunk"), "o", "k").repartition("s", "p", "chunk"))
 
 
 def list_sizes(lists: DataFrame) -> DataFrame:

@@ -396,7 +396,16 @@ def match(
         result = store.spark.range(1).select()
     for pat in ground:
         result = result.where(scan_pattern(store.rows(pat.p), pat).exists())
-    return result.select(*[F.col(c).alias(v) for c, v in zip(chosen, wanted, strict=True)]).distinct()
+    result = result.select(*[F.col(c).alias(v) for c, v in zip(chosen, wanted, strict=True)])
+    return result if len(units) == 1 and _no_duplicates(store, units[0], chosen) else result.distinct()
+
+
+def _no_duplicates(store: TripleStore, unit: Unit, chosen: list[str]) -> bool:
+    """Whether a star's rows are distinct as they are: a subject has one row, and a chunked list each value once."""
+    if not unit.star or store.lists is None or not set(unit.variables) <= set(chosen):
+        return False
+    # a constant among a list's values is looked up in the rows, which may repeat it
+    return not any(store.pt_columns[p.p].is_list and not isinstance(p.o, Var) for p in unit.patterns)
 
 
 def _join(units: list[Unit], frames: list[DataFrame], carried: list[list[str]], chosen: list[str]) -> DataFrame:

@@ -202,12 +202,18 @@ def property_rows(vp: DataFrame, lists: DataFrame, cols: list[PTColumn]) -> Data
     return table.select("s", *[counts.get(c.column, F.col(quoted(c.column))).alias(c.column) for c in cols])
 
 
+def _lists_of(vp: DataFrame, stats: DataFrame, cols: list[PTColumn], chunk_values: int) -> DataFrame:
+    """The chunked lists of the multi-valued columns; the statistics say which of them have long ones."""
+    listed = [c.p for c in cols if c.is_list]
+    short = stats.where((F.col("max_multiplicity") <= chunk_values) & F.col("p").isin(listed)).select("p").collect()
+    return list_chunks(vp, listed, chunk_values, short=sorted(r["p"] for r in short))
+
+
 def write_property_layout(vp: DataFrame, stats: DataFrame, cols: list[PTColumn], folder: str, chunk_values: int = CHUNK_VALUES) -> None:
     """Catalogue, chunked lists, property table and its file index, each a written table."""
     spark = vp.sparkSession
     write_catalogue(with_columns(catalogue_from_stats(stats), [c.p for c in cols]), os.path.join(folder, "catalogue"))
-    chunks = list_chunks(vp, [c.p for c in cols if c.is_list], chunk_values)
-    write_lists(chunks, os.path.join(folder, "lists"))
+    write_lists(_lists_of(vp, stats, cols, chunk_values), os.path.join(folder, "lists"))
     lists = read_lists(spark, os.path.join(folder, "lists"))
     path = os.path.join(folder, "property_table")
     write_property_table(property_rows(vp, lists, cols), path)
@@ -309,7 +315,7 @@ def load_tables(
     stats = save(predicate_stats(vp), "stats", by_subject=False)
     cols = plan_columns(stats, predicates)
     save(with_columns(catalogue_from_stats(stats), [c.p for c in cols]), "catalogue", by_subject=False)
-    chunks = list_chunks(vp, [c.p for c in cols if c.is_list], chunk_values)
+    chunks = _lists_of(vp, stats, cols, chunk_values)
     lists = save(chunks.withColumn("pid", predicate_id("p")), "lists", parts=("pid",))
     save(property_rows(vp, lists, cols), "property_table")
     return TripleStore.open_database(spark, database)

@@ -35,6 +35,17 @@ def test_one_value_without_end_is_one_entry(spark):
     assert [(r["values"], r.counts) for r in got] == [(["same"], [50_000])]
 
 
+def test_known_short_lists_give_the_same_rows(spark):
+    rows = [("hub", "p", f"o{i}") for i in range(30)] + [("t", "q", "a"), ("t", "q", "a"), ("t", "q", "b"), ("u", "r", "x")]
+    t = triples_df(spark, rows)
+    want = rows_of(list_chunks(t, chunk_values=10))
+    assert rows_of(list_chunks(t, chunk_values=10, short=["q", "r"])) == want
+    assert rows_of(list_chunks(t, ["q"], 10, short=["q"])) == [r for r in want if r[1] == "q"]
+    assert rows_of(list_chunks(t, ["p", "q"], 10, short=["q"])) == [r for r in want if r[1] in "pq"]
+    plan = list_chunks(t.repartition(2), ["q"], 10, short=["q"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1  # (the deal before it is dropped)
+
+
 def test_empty_and_bad_arguments(spark):
     assert list_chunks(triples_df(spark, [])).count() == 0
     with pytest.raises(ValueError):
@@ -62,6 +73,8 @@ def test_stored_layout_answers_like_rows(spark, tmp_out):
         ([("hub", "p", "o1"), ("hub", "q", y)], None),
         ([("nobody", "p", x), ("nobody", "q", y)], None),
     ]
+    # all variables of one star, lists with each value once: nothing to make distinct
+    assert "Aggregate" not in match(store, queries[0][0], layout="mixed")._jdf.queryExecution().optimizedPlan().toString()
     for pats, select in queries:
         base = rows_of(match(store, pats, select, use_stats=False))
         for size in (1, 2):
