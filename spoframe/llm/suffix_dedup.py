@@ -61,10 +61,22 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: Powers kept by a worker, up to this many of each base.
+KEPT_POWERS = 1 << 21
+_KEPT: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
+    """``base ** 0`` to ``base ** n``, modulo 2**64."""
+    kept = _KEPT.get(base)
+    if kept is not None and n < len(kept):
+        return kept[: n + 1]
+    out = np.full(max(n + 1, min(2 * n, KEPT_POWERS)), base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if len(out) <= KEPT_POWERS:
+        _KEPT[base] = out
+    return out[: n + 1]
 
 
 def _sums(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
@@ -229,7 +241,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 #: Bytes of the texts of a block (a longer text is a block of its own).
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 6_000_000
 BLOCKS = (
     "block long, docs array<struct<doc_id: long, doc: long, tie: long, digest: binary, n: long>>, "
     "texts binary, places binary, sizes binary, anchors long"
@@ -300,13 +312,6 @@ def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame
     slots = go.groupBy("block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
     chosen = blocks.join(written(slots, "suffix-slots"), "block")
 
-    def halves_of(batch: pa.RecordBatch, at: int) -> list[tuple[dict, _Hashed, np.ndarray, np.ndarray, np.ndarray]]:
-        out = []
-        for doc, data, p in _chosen_texts(batch, at):
-            text = _Hashed(data)
-            out.append((doc, text, p, *_halves(text, p, least)))
-        return out
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
@@ -321,7 +326,8 @@ def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame
         for batch in batches:
             for at in range(batch.num_rows):
                 block = batch.column("block")[at].as_py()
-                held = halves_of(batch, at)
+                # hashes of whole texts are made anew where something repeats, not held for the block
+                held = [(doc, data, p, *_halves(_Hashed(data), p, least)) for doc, data, p in _chosen_texts(batch, at)]
                 flat = np.concatenate([np.zeros(0, np.int64), *[v for x in held for v in x[3:]]])
                 values = np.unique(flat[flat >= 0])
                 again = occurrences(values, batch.column("found")[at].as_py(), buckets) > 1
@@ -333,10 +339,11 @@ def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame
                     return out
 
                 columns: list[list[np.ndarray]] = [[] for _ in names]
-                for doc, text, p, left, right in held:
+                for doc, data, p, left, right in held:
                     p = p[repeats(left) | repeats(right)]
                     if not len(p):
                         continue
+                    text = _Hashed(data)
                     h = text.part(p, p + GRAM).view(np.int64)
                     c = text.part(np.maximum(p - side, 0), np.minimum(p + least, doc["n"])).view(np.int64)
                     same = [np.full(len(p), doc[k], np.int64) for k in ("doc", "tie", "n")]
