@@ -7,7 +7,7 @@ import xxhash
 
 _KNOWN: dict = {}
 #: Words remembered by a worker (results do not depend on it).
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -55,7 +55,7 @@ COUNTED = 4
 #: ones with a column in common are only tried in vain.
 COLUMN_SHIFT = 64 - VALUE_BITS
 #: Documents and characters of a block of profiles.
-BLOCK_DOCS, BLOCK_CHARS = 20_000, 8_000_000
+BLOCK_DOCS, BLOCK_CHARS = 20_000, 6_000_000
 
 
 def gram_set(text: bytes, size: int) -> np.ndarray:
@@ -153,6 +153,7 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     held.clear()
         if rows:
             yield done()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.mapInArrow(run, PROFILES)
 
