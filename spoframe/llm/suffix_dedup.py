@@ -9,9 +9,9 @@ follows goes to a block, or comes from it, by block and slot.
 1. Later copies of a whole text are covered wholly; one copy goes on.
 2. Anchors are minimizers: of each ``least``-byte string, the ``GRAM``-byte
    string in it with the smallest hash.  Equal strings have equal anchors at
-   equal places.  Such a string holds at least half of its other bytes on one
-   side of its anchor, so an anchor goes on only if it occurs again together with
-   that half on its left, or on its right.
+   equal places.  Strings whose anchor has a place in a certain range share the
+   bytes around it that all of them hold, so an anchor goes on only if it occurs
+   again together with those bytes, for one of ``RANGES`` ranges.
 3. The context of an anchor holds all ``least``-byte strings that contain it.
    Of equal contexts every one but the first is covered wholly.
 4. The different contexts of an anchor go to one block.  A block's suffixes
@@ -133,18 +133,23 @@ def anchors(data: bytes, least: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
 
 
-def _halves(text: _Hashed, p: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of each anchor with half of the other bytes on its left, and on its right (-1: the text ends before)."""
-    side, n = least - GRAM, len(text.data)
-    half = side // 2
+#: Ranges of places that an anchor may have in a ``least``-byte string.
+RANGES = 4
+
+
+def _windows(text: _Hashed, p: np.ndarray, least: int) -> list[np.ndarray]:
+    """Names of the bytes that all strings with the anchor in a range of places share (-1: they leave the text)."""
+    cuts = [k * (least - GRAM + 1) // RANGES for k in range(RANGES + 1)]
     out = []
-    for tag, start, end in ((1, p - half, p + GRAM), (2, p, p + GRAM + side - half)):
-        fits = (start >= 0) & (end <= n)
+    for k, (first, end_of) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        # strings that begin first..end_of - 1 bytes before the anchor
+        start, end = p - first, p + least - (end_of - 1)
+        fits = (start >= 0) & (end <= len(text.data))
         value = np.full(len(p), -1, np.int64)
-        named = mixed(text.part(start[fits], end[fits]) + np.uint64(tag))
+        named = mixed(text.part(start[fits], end[fits]) + np.uint64(k + 1))
         value[fits] = (named >> np.uint64(64 - VALUE_BITS)).astype(np.int64)
         out.append(value)
-    return out[0], out[1]
+    return out
 
 
 def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,16 +311,16 @@ PLACES = "h long, c long, doc long, tie long, n long, block long, slot int, p lo
 
 
 def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame:
-    """Rows of :data:`PLACES`: anchors that occur again with half of the bytes around them, and their contexts' hashes."""
+    """Rows of :data:`PLACES`: anchors that occur again with most bytes of a string, and their contexts' hashes."""
     total = blocks.agg(F.sum("anchors").alias("n")).first()["n"] or 0
-    buckets = bucket_count(2 * total)
+    buckets = bucket_count(RANGES * total)
     slots = go.groupBy("block").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
     chosen = blocks.join(written(slots, "suffix-slots"), "block")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                values = [v for doc in _chosen_texts(batch, at) for v in _halves(_Hashed(doc[1]), doc[2], least)]
+                values = [v for doc in _chosen_texts(batch, at) for v in _windows(_Hashed(doc[1]), doc[2], least)]
                 flat = np.concatenate([np.zeros(0, np.int64), *values])
                 found, counts = np.unique(flat[flat >= 0], return_counts=True)
                 yield sent_rows(batch.column("block")[at].as_py(), found, counts, buckets)
@@ -327,8 +332,8 @@ def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame
             for at in range(batch.num_rows):
                 block = batch.column("block")[at].as_py()
                 # hashes of whole texts are made anew where something repeats, not held for the block
-                held = [(doc, data, p, *_halves(_Hashed(data), p, least)) for doc, data, p in _chosen_texts(batch, at)]
-                flat = np.concatenate([np.zeros(0, np.int64), *[v for x in held for v in x[3:]]])
+                held = [(doc, data, p, _windows(_Hashed(data), p, least)) for doc, data, p in _chosen_texts(batch, at)]
+                flat = np.concatenate([np.zeros(0, np.int64), *[v for x in held for v in x[3]]])
                 values = np.unique(flat[flat >= 0])
                 again = occurrences(values, batch.column("found")[at].as_py(), buckets) > 1
 
@@ -339,8 +344,8 @@ def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame
                     return out
 
                 columns: list[list[np.ndarray]] = [[] for _ in names]
-                for doc, data, p, left, right in held:
-                    p = p[repeats(left) | repeats(right)]
+                for doc, data, p, windows in held:
+                    p = p[np.logical_or.reduce([repeats(v) for v in windows])]
                     if not len(p):
                         continue
                     text = _Hashed(data)
