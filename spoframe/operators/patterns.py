@@ -17,7 +17,6 @@ from typing import Union
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoframe.operators.list_store import list_values
 from spoframe.sources.layouts import only_predicates, quoted
 
 
@@ -134,7 +133,9 @@ def scan_star(
     distinct values), or, where the table holds only the number of values, from
     the chunked ``lists`` (see :func:`list_chunks`) joined on the subject, and a
     constant among its values from ``rows(p)``, where it is a pushed filter
-    (B9).  A star of constants in lists alone does not read the table.
+    (B9).  A subject that repeats the constant counts once there, or it would
+    meet its own list as often.  A star of constants in lists alone does not
+    read the table.
     """
     keys = keys or {}
     uses: dict[str, int] = {}
@@ -168,10 +169,10 @@ def scan_star(
         apart = c.is_list and lists is not None
         if not isinstance(o, Var):
             if apart and rows is not None:
-                members.append(rows(p).where(F.col("o") == F.lit(o)).select(F.col("s").alias("__s")))
+                members.append(rows(p).where(F.col("o") == F.lit(o)).select(F.col("s").alias("__s")).distinct())
             elif apart:
                 held = only_predicates(lists, [p]).where(F.array_contains("values", F.lit(o)))
-                members.append(held.select(F.col("s").alias("__s")))
+                members.append(held.select(F.col("s").alias("__s")).distinct())
             else:
                 conds.append(F.array_contains(cell, F.lit(o)) if c.is_list else cell == F.lit(o))
                 read.add(p)
@@ -182,8 +183,7 @@ def scan_star(
             name = f"__x{i}"
             bindings.setdefault(o.name, []).append(name)
             if apart:
-                values = list_values(lists, p).select(F.col("s").alias("__s"), F.col("o").alias(name))
-                listed.append(values)
+                listed.append(only_predicates(lists, [p]).select(F.col("s").alias("__s"), F.col("values").alias(name)))
                 continue
             explodes.append((name, cells[p]))
         else:
@@ -204,6 +204,10 @@ def scan_star(
     for part in parts:
         part = part if on_subject is None else part.where(on_subject)
         df = df.join(part, "__s", "left_semi" if part.columns == ["__s"] else "inner")
+    for part in listed:
+        # joined as chunks, so a shuffle by subject moves no row a value
+        name = part.columns[1]
+        df = df.withColumn(name, F.explode(name))
     for name, cell in explodes:
         df = df.withColumn(name, F.explode(F.array_distinct(cell)))
     equal = [F.col(cols[0]) == F.col(c) for cols in bindings.values() for c in cols[1:]]

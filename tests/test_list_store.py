@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from conftest import rows_of, triples_df
 
-from spoframe.operators import Var, list_chunks, list_sizes, list_values
+from spoframe.operators import Var, list_chunks, list_sizes, list_values, scan_star
 from spoframe.plans import load_store, match
 
 s, x, y, z = Var("s"), Var("x"), Var("y"), Var("z")
@@ -79,3 +79,16 @@ def test_stored_layout_answers_like_rows(spark, tmp_out):
         base = rows_of(match(store, pats, select, use_stats=False))
         for size in (1, 2):
             assert rows_of(match(store, pats, select, layout="mixed", min_group_size=size)) == base, pats
+
+
+def test_a_star_of_lists_meets_a_hub_once(spark, tmp_out):
+    k = 3_000
+    hub = spark.range(k).selectExpr("'hub' AS s", "'p' AS p", "concat('o', id) AS o")
+    marks = spark.range(k).selectExpr("'hub' AS s", "'q' AS p", "if(id % 3 = 0, 'b', 'a') AS o")
+    store = load_store(hub.unionByName(marks), os.path.join(tmp_out, "store"), chunk_values=100)
+    items = [("p", x), ("q", "a")]
+    for rows in (store.rows, None):
+        star = scan_star(store.property_table, store.pt_columns, s, items, lists=store.lists, rows=rows)
+        assert star.count() == k  # not once for each of the 2,000 rows that hold the constant
+    got = match(store, [(s, "p", x), (s, "q", "a")], ["x"], layout="mixed")
+    assert sorted(r.x for r in got.collect()) == sorted(f"o{i}" for i in range(k))
