@@ -41,23 +41,30 @@ def list_chunks(
     predicates: list[str] | None = None,
     chunk_values: int = CHUNK_VALUES,
     short: list[str] | tuple[str, ...] = (),
+    tasks: int | None = None,
 ) -> DataFrame:
     """``(s, p, chunk, values, counts)`` of the given predicates (default: all); values are sorted and distinct.
 
     ``short``: predicates of which no subject has more than ``chunk_values`` rows.
+    ``tasks``: the width of the shuffle that builds the lists (default: as the session says).
     """
     if chunk_values < 1:
         raise ValueError("chunk_values must be positive")
     rows = triples if predicates is None else only_predicates(triples, predicates)
     if not short:
-        return _long_lists(rows.select("s", "p", "o"), chunk_values)
-    whole = _gathered(only_predicates(rows, list(short)).select("s", "p", F.lit(0).cast("bigint").alias("chunk"), "o").repartition("s", "p"))
+        return _long_lists(rows.select("s", "p", "o"), chunk_values, tasks)
+    known = only_predicates(rows, list(short)).select("s", "p", F.lit(0).cast("bigint").alias("chunk"), "o")
+    whole = _gathered(_dealt(known, tasks, "s", "p"))
     if predicates is not None and set(predicates) <= set(short):
         return whole
     others = rows.where(~F.col("p").isin(list(short)))
     if predicates is not None:
         others = only_predicates(triples, [p for p in predicates if p not in set(short)])
-    return whole.unionByName(_long_lists(others.select("s", "p", "o"), chunk_values))
+    return whole.unionByName(_long_lists(others.select("s", "p", "o"), chunk_values, tasks))
+
+
+def _dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return rows.repartition(*keys) if tasks is None else rows.repartition(tasks, *keys)
 
 
 def _gathered(dealt: DataFrame) -> DataFrame:
@@ -67,11 +74,11 @@ def _gathered(dealt: DataFrame) -> DataFrame:
 
 
 def _chunks(values: DataFrame) -> DataFrame:
-    lists = values.groupBy("s", "p", "chunk").agg(F.array_sort(F.collect_list(F.struct("o", "k"))).alias("v"))
+    lists = values.groupBy("s", "p", "chunk").agg(F.sort_array(F.collect_list(F.struct("o", "k"))).alias("v"))
     return lists.select("s", "p", "chunk", F.col("v.o").alias("values"), F.col("v.k").alias("counts"))
 
 
-def _long_lists(rows: DataFrame, chunk_values: int) -> DataFrame:
+def _long_lists(rows: DataFrame, chunk_values: int, tasks: int | None = None) -> DataFrame:
     sizes = rows.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_values)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     long_lists = sizes.select("s", "p", F.ceil(F.col("n") / chunk_values).alias("chunks"), salts)
@@ -79,7 +86,7 @@ def _long_lists(rows: DataFrame, chunk_values: int) -> DataFrame:
     salted = values.withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(SALTS)).cast("int"))
     looked_up = salted.join(long_lists, ["s", "p", "salt"], "left")
     chunk = value_chunk(F.col("o"), F.coalesce("chunks", F.lit(1)))
-    return _chunks(looked_up.select("s", "p", chunk.alias("chunk"), "o", "k").repartition("s", "p", "chunk"))
+    return _chunks(_dealt(looked_up.select("s", "p", chunk.alias("chunk"), "o", "k"), tasks, "s", "p", "chunk"))
 
 
 def list_sizes(lists: DataFrame) -> DataFrame:

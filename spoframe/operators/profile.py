@@ -20,6 +20,8 @@ from spoframe.functions.names import column_map
 
 # Fixed value: the logarithm base of the cost score.
 COST_LOG_BASE = 1.2
+#: Ways that the rows of one subject are spread where tasks are asked for.
+SUBJECT_SALTS = 64
 
 
 def distinct_predicates(triples: DataFrame) -> DataFrame:
@@ -43,12 +45,18 @@ def single_valued_predicates(triples: DataFrame) -> DataFrame:
     return predicate_catalogue(triples).where("is_complex = 0").select("p")
 
 
-def predicate_stats(triples: DataFrame) -> DataFrame:
+def predicate_stats(triples: DataFrame, tasks: int | None = None) -> DataFrame:
     """``(p, size, distinct_subjects, distinct_objects, max_multiplicity, is_complex)``.
 
     ``size`` counts rows (duplicates included), the distinct counts are exact,
     ``is_complex`` is ``size > distinct_subjects``.  One scan, two exchanges.
+
+    The counts of a task are held in memory before they are shuffled.  With
+    ``tasks`` the triples are first dealt into so many, for scans whose tasks are
+    large; a hot subject or object is spread over them.
     """
+    if tasks is not None:
+        triples = triples.select("s", "p", "o").repartition(tasks, "s", "o")
     sides = F.array(
         F.struct(F.lit(True).alias("subject"), F.col("s").alias("value")),
         F.struct(F.lit(False).alias("subject"), F.col("o").alias("value")),
@@ -67,15 +75,20 @@ def predicate_stats(triples: DataFrame) -> DataFrame:
     )
 
 
-def graph_stats(triples: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def graph_stats(triples: DataFrame, stats: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Whole-graph statistics, one row: ``size, distinct_subjects, predicates``.
 
     ``distinct_subjects`` is exact: subjects are counted after a map-side
     combined ``distinct`` (keyed on ``s``, so a hot subject is one row per
     task), as a scalar subquery Spark runs once.  ``size`` and ``predicates``
-    come from the per-predicate statistics when given.
+    come from the per-predicate statistics when given.  ``tasks``: as for
+    :func:`predicate_stats`; the rows of a subject are dealt over ``SUBJECT_SALTS`` of them.
     """
-    subjects = triples.select("s").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    rows = triples.select("s")
+    if tasks is not None:
+        salt = F.pmod(F.xxhash64("o"), F.lit(SUBJECT_SALTS)).cast("int").alias("salt")
+        rows = triples.select("s", salt).repartition(tasks, "s", "salt").select("s")
+    subjects = rows.distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     if stats is None:
         totals = triples.agg(F.count(F.lit(1)).alias("size"), F.count_distinct("p").alias("predicates"))
     else:

@@ -3,16 +3,18 @@
 A single-valued predicate becomes a ``string`` column, a multi-valued one an
 ``array<string>`` column; a subject without the predicate has NULL there.
 
-Build: one shuffle of the triples by subject, then two local aggregates:
-``(s, p) -> collect_list(o)`` and ``s -> map(p -> list)``; every column is a
-map lookup.  Every predicate asked for is a column and every subject a row,
+Build: one shuffle of the triples by subject, then one local aggregate by
+subject with a cell for each column.  ``tasks`` is the width of that shuffle
+(see :func:`spoframe.session.task_count`), so that a task's rows, which it
+sorts, need not grow with the input; ``ranged`` deals subjects by range, as the
+stored table is, so that it is written without another shuffle.
+Every predicate asked for is a column and every subject a row,
 whatever the number of values: which predicates are in the table is the
 caller's choice (``predicates=[...]``), never a threshold.  A cell holds all
 objects of one subject for one predicate, so predicates with hub subjects are
 better left to the partitioned layout, whose rows are split at will.
-A map lookup scans the subject's own keys, so building a row costs
-(columns x predicates of that subject); very wide tables should be built
-over a ``predicates=[...]`` subset.
+Building a row costs (columns x rows of that subject); very wide tables should
+be built over a ``predicates=[...]`` subset.
 """
 
 from __future__ import annotations
@@ -54,38 +56,47 @@ def columns_from_catalogue(catalogue: DataFrame, table: DataFrame) -> list[PTCol
     )
 
 
-def grouped_properties(triples: DataFrame, predicates: list[str]) -> DataFrame:
+def by_subject(rows: DataFrame, tasks: int | None = None, ranged: bool = False) -> DataFrame:
+    """Rows dealt by subject into ``tasks`` tasks (default: as the session says)."""
+    width = [] if tasks is None else [tasks]
+    return rows.repartitionByRange(*width, "s") if ranged else rows.repartition(*width, "s")
+
+
+def grouped_properties(triples: DataFrame, predicates: list[str], tasks: int | None = None) -> DataFrame:
     """E5: ``(s, m)`` with ``m: map<p, array<o>>`` for the given predicates.
 
     Duplicate triples stay duplicates inside a list.  List order is the
     order rows arrive in and is not defined.
     """
-    per_pair = (
-        only_predicates(triples, predicates)
-        .repartition("s")
-        .groupBy("s", "p")
-        .agg(F.collect_list("o").alias("os"))
-    )
+    per_pair = by_subject(only_predicates(triples, predicates), tasks).groupBy("s", "p").agg(F.collect_list("o").alias("os"))
     return per_pair.groupBy("s").agg(
         F.map_from_entries(F.collect_list(F.struct("p", "os"))).alias("m")
     )
 
 
-def property_table(triples: DataFrame, columns: list[PTColumn]) -> DataFrame:
-    """E6 + B14: the wide table ``(s, <column>...)``."""
-    m = F.col("m")
-    cells = [
-        (m[F.lit(c.p)] if c.is_list else F.try_element_at(m[F.lit(c.p)], F.lit(1))).alias(c.column)
-        for c in columns
+def property_table(
+    triples: DataFrame, columns: list[PTColumn], tasks: int | None = None, ranged: bool = False
+) -> DataFrame:
+    """E6 + B14: the wide table ``(s, <column>...)``.
+
+    A single-valued column of a subject that has more values holds the largest.
+    """
+    rows = only_predicates(triples, [c.p for c in columns]).select("s", "p", "o")
+    of = {c.p: F.when(F.col("p") == F.lit(c.p), F.col("o")) for c in columns}
+    # plain names inside: those of columns may hold dots
+    cells = [(F.collect_list if c.is_list else F.max)(of[c.p]).alias(f"__c{i}") for i, c in enumerate(columns)]
+    shown = [
+        (F.when(F.size(f"__c{i}") > 0, F.col(f"__c{i}")) if c.is_list else F.col(f"__c{i}")).alias(c.column)
+        for i, c in enumerate(columns)
     ]
-    return grouped_properties(triples, [c.p for c in columns]).select("s", *cells)
+    return by_subject(rows, tasks, ranged).groupBy("s").agg(*cells).select("s", *shown)
 
 
-def properties_array(triples: DataFrame, predicates: list[str]) -> DataFrame:
+def properties_array(triples: DataFrame, predicates: list[str], tasks: int | None = None) -> DataFrame:
     """H1: ``(s, props: array<array<string>>)`` ordered like ``predicates``, NULL if absent.
 
     Every list is whole: a subject's values for the predicates are one row.
     """
     m = F.col("m")
     props = F.array(*[m[F.lit(p)] for p in predicates])
-    return grouped_properties(triples, predicates).select("s", props.alias("props"))
+    return grouped_properties(triples, predicates, tasks).select("s", props.alias("props"))

@@ -19,7 +19,7 @@ from spoframe.operators.property_table import (
     plan_columns,
     property_table,
 )
-from spoframe.session import shared_dir
+from spoframe.session import load_session, shared_dir, task_count
 from spoframe.sources.layouts import (
     complete_triples,
     only_predicates,
@@ -189,7 +189,9 @@ def last_manifest(spark: SparkSession, base: str) -> dict | None:
     return row.asDict() if row else None
 
 
-def property_rows(vp: DataFrame, lists: DataFrame, cols: list[PTColumn]) -> DataFrame:
+def property_rows(
+    vp: DataFrame, lists: DataFrame, cols: list[PTColumn], tasks: int | None = None, ranged: bool = False
+) -> DataFrame:
     """The stored property table: a value for each single-valued predicate, the number of values for each other one.
 
     No cell grows with a subject's number of values; those are in ``lists``.
@@ -197,26 +199,31 @@ def property_rows(vp: DataFrame, lists: DataFrame, cols: list[PTColumn]) -> Data
     single = [c.p for c in cols if not c.is_list]
     rows = only_predicates(vp, single).select("s", "p", "o")
     sizes = list_sizes(lists).select("s", "p", F.col("n").cast("string").alias("o"))
-    table = property_table(rows.unionByName(sizes), [PTColumn(c.p, c.column, False) for c in cols])
+    table = property_table(rows.unionByName(sizes), [PTColumn(c.p, c.column, False) for c in cols], tasks, ranged)
     counts = {c.column: F.col(quoted(c.column)).cast("bigint") for c in cols if c.is_list}
     return table.select("s", *[counts.get(c.column, F.col(quoted(c.column))).alias(c.column) for c in cols])
 
 
-def _lists_of(vp: DataFrame, stats: DataFrame, cols: list[PTColumn], chunk_values: int) -> DataFrame:
+def _lists_of(
+    vp: DataFrame, stats: DataFrame, cols: list[PTColumn], chunk_values: int, tasks: int | None = None
+) -> DataFrame:
     """The chunked lists of the multi-valued columns; the statistics say which of them have long ones."""
     listed = [c.p for c in cols if c.is_list]
     short = stats.where((F.col("max_multiplicity") <= chunk_values) & F.col("p").isin(listed)).select("p").collect()
-    return list_chunks(vp, listed, chunk_values, short=sorted(r["p"] for r in short))
+    return list_chunks(vp, listed, chunk_values, short=sorted(r["p"] for r in short), tasks=tasks)
 
 
-def write_property_layout(vp: DataFrame, stats: DataFrame, cols: list[PTColumn], folder: str, chunk_values: int = CHUNK_VALUES) -> None:
+def write_property_layout(
+    vp: DataFrame, stats: DataFrame, cols: list[PTColumn], folder: str, chunk_values: int = CHUNK_VALUES,
+    tasks: int | None = None,
+) -> None:
     """Catalogue, chunked lists, property table and its file index, each a written table."""
     spark = vp.sparkSession
     write_catalogue(with_columns(catalogue_from_stats(stats), [c.p for c in cols]), os.path.join(folder, "catalogue"))
-    write_lists(_lists_of(vp, stats, cols, chunk_values), os.path.join(folder, "lists"))
+    write_lists(_lists_of(vp, stats, cols, chunk_values, tasks), os.path.join(folder, "lists"))
     lists = read_lists(spark, os.path.join(folder, "lists"))
     path = os.path.join(folder, "property_table")
-    write_property_table(property_rows(vp, lists, cols), path)
+    write_property_table(property_rows(vp, lists, cols, tasks, ranged=True), path, ranged=True)
     write_subject_files(subject_files(read_property_table(spark, path)), os.path.join(folder, "property_files"))
 
 
@@ -253,12 +260,14 @@ def load_store(
     null = F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull()
     counted = triples.observe(seen, F.count(F.when(~null, 1)).alias("triples"), F.count(F.when(null, 1)).alias("null"))
     write_vp(counted, os.path.join(folder, "vp"))
-    vp = read_vp(spark, os.path.join(folder, "vp"))
+    # what follows holds counts and lists in memory: in small tasks
+    own = load_session(spark, seen.get["triples"])
+    vp = read_vp(own, os.path.join(folder, "vp"))
     write_stats(predicate_stats(vp), os.path.join(folder, "stats"))
-    stats = read_stats(spark, os.path.join(folder, "stats"))
+    stats = read_stats(own, os.path.join(folder, "stats"))
     cols = plan_columns(stats, predicates) if with_property_table else []
     if cols:
-        write_property_layout(vp, stats, cols, folder, chunk_values)
+        write_property_layout(vp, stats, cols, folder, chunk_values, task_count(seen.get["triples"]))
     lost = rejected.get["rejected"] if rejected is not None else 0
     row = (load_id, os.path.basename(folder), bool(cols), seen.get["triples"], seen.get["null"], bool(cols), lost)
     manifest = spark.createDataFrame([row], MANIFEST).coalesce(1)
@@ -281,7 +290,7 @@ def load_tables(
     triples: DataFrame,
     database: str,
     *,
-    buckets: int,
+    buckets: int | None = None,
     predicates: list[str] | None = None,
     chunk_values: int = CHUNK_VALUES,
     location: str | None = None,
@@ -291,7 +300,7 @@ def load_tables(
     Rows of a subject lie in the same bucket of all tables (and of all
     predicates), so joins on subjects need no shuffle.  ``buckets`` says into how
     many tasks such a join is cut: about the size of the triples over that of a
-    scan task.  A subject with very many rows makes its bucket large; the
+    scan task, which is the default (8 at least).  A subject with very many rows makes its bucket large; the
     layouts of :func:`load_store` split it.  The tables lie in the warehouse, or
     in the folder ``location``.
     """
@@ -311,11 +320,13 @@ def load_tables(
         return spark.table(table)
 
     rows = complete_triples(triples).select("s", "o", "p", predicate_id("p").alias("pid"))
+    tasks = task_count(rows.count())
+    buckets = max(8, tasks) if buckets is None else buckets
     vp = save(rows, "triples", parts=("pid",))
-    stats = save(predicate_stats(vp), "stats", by_subject=False)
+    stats = save(predicate_stats(vp, tasks), "stats", by_subject=False)
     cols = plan_columns(stats, predicates)
     save(with_columns(catalogue_from_stats(stats), [c.p for c in cols]), "catalogue", by_subject=False)
-    chunks = _lists_of(vp, stats, cols, chunk_values)
+    chunks = _lists_of(vp, stats, cols, chunk_values, tasks)
     lists = save(chunks.withColumn("pid", predicate_id("p")), "lists", parts=("pid",))
-    save(property_rows(vp, lists, cols), "property_table")
+    save(property_rows(vp, lists, cols, tasks), "property_table")
     return TripleStore.open_database(spark, database)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -66,6 +67,35 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Triples of one task of a shuffle whose width goes by the number of triples.
+TASK_ROWS = 1_000_000
+#: Bytes of stored triples in a scan task of a load: about as many rows.
+SCAN_BYTES = 8 << 20
+
+
+def task_count(rows: int) -> int:
+    """Tasks for a shuffle of ``rows`` triples: a task's share does not grow with the input."""
+    return max(math.ceil(rows / TASK_ROWS), min(16, math.ceil(rows / 50_000)), 1)
+
+
+def load_session(spark: SparkSession, rows: int) -> SparkSession:
+    """A session of the same application, with the caller's settings, whose tasks stay small for ``rows`` triples.
+
+    What an aggregate holds in memory goes by the rows of its task, before the
+    shuffle (a scan task) and after it, so both are bounded here; the caller's
+    session stays as it is.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", max(width, task_count(rows)))
+    own.conf.set("spark.sql.files.maxPartitionBytes", SCAN_BYTES)
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", 4 * SCAN_BYTES)
+    return own
+
+
 class Scratch:
     """A folder of intermediates in the shared folder that goes when its ``with`` block ends.
 

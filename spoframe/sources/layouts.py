@@ -23,6 +23,8 @@ STATS_SCHEMA = (
 )
 LISTS_SCHEMA = "s string, p string, chunk bigint, values array<string>, counts array<bigint>, pid bigint"
 CATALOGUE_SCHEMA = "p string, column string, is_complex int"
+#: Row groups of the partitioned rows, before compression.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def predicate_id(p: Column | str) -> Column:
@@ -51,7 +53,9 @@ def write_vp(triples: DataFrame, path: str, mode: str = "errorifexists") -> None
         rows = rows.hint("rebalance", "pid")
     else:
         rows = rows.repartitionByRange("pid", "s", "o")
-    rows.sortWithinPartitions("pid", "s").write.mode(mode).partitionBy("pid").parquet(path)
+    # a scan task takes whole row groups: small ones let a reader choose small tasks
+    writer = rows.sortWithinPartitions("pid", "s").write.option("parquet.block.size", ROW_GROUP_BYTES)
+    writer.mode(mode).partitionBy("pid").parquet(path)
 
 
 def read_vp(spark: SparkSession, path: str) -> DataFrame:
@@ -76,13 +80,14 @@ def scan_vp(vp: DataFrame, p: str) -> DataFrame:
     return vp.where(cond).select("s", "o")
 
 
-def write_property_table(table: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_property_table(table: DataFrame, path: str, mode: str = "overwrite", ranged: bool = False) -> None:
     """A5: the property table as Parquet, ranged over the files by subject and sorted in each.
 
     Subjects are distinct, so ranges from sampled bounds are even, and a
-    subject lies in one file (see :func:`subject_files`).
+    subject lies in one file (see :func:`subject_files`).  A table that was built
+    ``ranged`` is written as it lies: its rows are neither sampled nor shuffled again.
     """
-    table.repartitionByRange("s").sortWithinPartitions("s").write.mode(mode).parquet(path)
+    (table if ranged else table.repartitionByRange("s")).sortWithinPartitions("s").write.mode(mode).parquet(path)
 
 
 def read_property_table(spark: SparkSession, path: str, subject: str | None = None, index: DataFrame | None = None) -> DataFrame:
