@@ -46,7 +46,7 @@ from spoframe.plans import (
     tagged_union,
     write_all,
 )
-from spoframe.session import application_id, fresh_path, written
+from spoframe.session import application_id, fresh_path, task_count, written
 from spoframe.sources import (
     predicate as P,
     read_property_table,
@@ -140,6 +140,11 @@ def _store(spark: SparkSession, sf_dir: str) -> TripleStore:
     return _store_entry(spark, sf_dir)[1]
 
 
+def _tasks(store: TripleStore) -> int:
+    """Tasks for a shuffle of a store's triples."""
+    return task_count(store.manifest["triples"])
+
+
 def _hub_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every status as a subject with all its orders and their priorities, and every order with its customer."""
     triples = _triples(spark, sf_dir)
@@ -258,7 +263,7 @@ def q_name_clean_variants(spark, sf_dir):
 def q_property_table(spark, sf_dir):
     """The explicit table with whole lists, from the stored rows."""
     store = _store(spark, sf_dir)
-    return _render_lists(property_table(store.vp, list(store.pt_columns.values())))
+    return _render_lists(property_table(store.vp, list(store.pt_columns.values()), _tasks(store)))
 
 
 def q_property_table_stored(spark, sf_dir):
