@@ -276,7 +276,7 @@ def q_properties_array(spark, sf_dir):
     store = _store(spark, sf_dir)
     preds = sorted(store.pt_columns)
     cell = lambda a: F.coalesce(F.array_join(F.array_sort(a), "|"), F.lit("NULL"))
-    return properties_array(triples, preds).select(
+    return properties_array(triples, preds, _tasks(store)).select(
         "s", F.array_join(F.transform("props", cell), ";").alias("props")
     )
 
