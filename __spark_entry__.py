@@ -145,6 +145,10 @@ def _tasks(store: TripleStore) -> int:
     return task_count(store.manifest["triples"])
 
 
+def _stats(triples: DataFrame) -> DataFrame:
+    return predicate_stats(triples, task_count(triples.count()))
+
+
 def _hub_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every status as a subject with all its orders and their priorities, and every order with its customer."""
     triples = _triples(spark, sf_dir)
@@ -195,7 +199,7 @@ def q_predicate_catalogue(spark, sf_dir):
 
 
 def q_predicate_stats(spark, sf_dir):
-    return predicate_stats(_triples(spark, sf_dir))
+    return _stats(_triples(spark, sf_dir))
 
 
 def q_graph_stats(spark, sf_dir):
@@ -204,12 +208,12 @@ def q_graph_stats(spark, sf_dir):
 
 
 def q_predicate_profile(spark, sf_dir):
-    return predicate_profile(predicate_stats(_triples(spark, sf_dir)))
+    return predicate_profile(_stats(_triples(spark, sf_dir)))
 
 
 def q_stats_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "stats")
-    write_stats(predicate_stats(_triples(spark, sf_dir)), path)
+    write_stats(_stats(_triples(spark, sf_dir)), path)
     return read_stats(spark, path)
 
 
@@ -284,7 +288,9 @@ def q_properties_array(spark, sf_dir):
 def q_pt_roundtrip(spark, sf_dir):
     triples = _triples(spark, sf_dir)
     path = fresh_path(spark, "property-table")
-    write_property_table(property_table(triples, plan_columns(predicate_stats(triples))), path)
+    tasks = task_count(triples.count())
+    columns = plan_columns(predicate_stats(triples, tasks))
+    write_property_table(property_table(triples, columns, tasks, ranged=True), path, ranged=True)
     return _render_lists(read_property_table(spark, path))
 
 
