@@ -204,7 +204,7 @@ def q_predicate_stats(spark, sf_dir):
 
 def q_graph_stats(spark, sf_dir):
     store = _store(spark, sf_dir)
-    return graph_stats(store.vp, store.stats)
+    return graph_stats(store.vp, store.stats, _tasks(store))
 
 
 def q_predicate_profile(spark, sf_dir):
