@@ -396,7 +396,7 @@ def q_bgp_cycle_heavy(spark, sf_dir):
 def q_store_tables(spark, sf_dir):
     """A star over partitioned rows of a store kept as named, bucketed tables."""
     database = f"spoframe_{uuid.uuid4().hex}"
-    load_tables(_triples(spark, sf_dir), database, buckets=8, location=fresh_path(spark, "database"))
+    load_tables(_triples(spark, sf_dir), database, location=fresh_path(spark, "database"))
     store = TripleStore.open_database(spark, database)
     return match(store, [(o, P("status"), st), (o, P("placedBy"), c), (o, P("hasPart"), p)])
 
