@@ -75,7 +75,7 @@ SCAN_BYTES = 8 << 20
 
 def task_count(rows: int) -> int:
     """Tasks for a shuffle of ``rows`` triples: a task's share does not grow with the input."""
-    return max(math.ceil(rows / TASK_ROWS), min(16, math.ceil(rows / 50_000)), 1)
+    return max(math.ceil(rows / TASK_ROWS), min(16, math.ceil(rows / 5_000)), 1)
 
 
 def load_session(spark: SparkSession, rows: int) -> SparkSession:
