@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ KEYS = ["source", "lang", "tokenizer"]
 CHANGES = "op string, doc_id long, source string, lang string, tokenizer string, tokens long"
 ENTRIES = "doc_id long, source string, lang string, tokenizer string, documents long, tokens long"
 DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
+#: Texts that a task takes out of a batch at a time.
+TEXTS = 1000
 #: ``folder`` is relative to the rollup's.
 COMMITS = "batch_id string, folder string"
 
@@ -161,11 +163,13 @@ def count_tokens(
         tokens = F.size(words_of(squeezed(text))).cast("long")
     else:
 
-        @F.pandas_udf("long")
-        def tokens_of(texts: pd.Series) -> pd.Series:
-            values = [x or "" for x in texts]
-            count = tokenizer(tokenizer_path).counts
-            return pd.Series([n for a, b in slices(values) for n in count(values[a:b])], dtype="int64")
+        @F.arrow_udf("long")
+        def tokens_of(texts: pa.Array) -> pa.Array:
+            count, found = tokenizer(tokenizer_path).counts, []
+            for at in range(0, len(texts), TEXTS):
+                values = [x or "" for x in texts.slice(at, TEXTS).to_pylist()]
+                found += [n for a, b in slices(values) for n in count(values[a:b])]
+            return pa.array(found, pa.int64())
 
         tokens = tokens_of(text)
     return docs.select(

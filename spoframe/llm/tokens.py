@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered by a worker; beyond it the memory starts anew (results do not change).
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers before it forgets those not met since the last time (results do not change).
+REMEMBERED = 200_000
 
 
 #: Stands between pieces that are encoded in one call; a token of its own.
@@ -36,6 +36,7 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         between = self._encode(BETWEEN)
         self._between = int(between[0]) if len(between) == 1 else None
         # whether the tokenizer itself lowers letters and parts words from the stops behind them
@@ -59,8 +60,15 @@ class WordTokenizer:
 
     def _remember(self, pieces: list[str]) -> None:
         if len(self._known) > REMEMBERED:
-            self._known.clear()
-        new = [p for p in pieces if p not in self._known]
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
+        new = []
+        for p in pieces:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
         plain = [p for p in new if BETWEEN not in p]
         for at in range(0, len(plain), 512):
             self._learn(plain[at : at + 512])
@@ -107,7 +115,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def slices(texts: list[str], chars: int = 4_000_000):
+def slices(texts: list[str], chars: int = 2_000_000):
     """Ranges of ``texts`` of about ``chars`` characters at most (one text at least)."""
     at = 0
     while at < len(texts):

@@ -234,6 +234,32 @@ def test_packed_cells():
 # -- mixing: copies meet the targets ----------------------------------------
 
 
+def test_a_tokenizer_remembers_a_bounded_number_of_pieces(monkeypatch):
+    from spoframe.llm import tokens
+    from spoframe.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 500)
+    bounded, fresh = tokens.WordTokenizer(tokenizer_path()), tokens.WordTokenizer(tokenizer_path())
+    learned = []
+    learn = bounded._learn
+    monkeypatch.setattr(bounded, "_learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    for k in range(12):
+        texts = [f"the word\n{k} " + " ".join(f"w{k}x{i}" for i in range(j, j + 50)) for j in range(0, 300, 50)]
+        assert bounded.ids(texts) == fresh.ids(texts)
+        assert len(bounded._known) + len(bounded._older) <= 2 * (500 + 400)
+    # what is met again and again is kept when the rest is forgotten
+    assert learned.count("the") == learned.count("word") == 1
+
+
+def test_slices_hold_a_few_million_characters():
+    from spoframe.llm.tokens import slices
+
+    texts = ["x" * 1_000_000] * 5 + ["y" * 3_000_000, ""]
+    cuts = list(slices(texts))
+    assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(texts)
+    assert all(sum(map(len, texts[a:b])) <= 2_000_000 or b == a + 1 for a, b in cuts)
+
+
 def test_copies_meet_rare_targets(spark):
     from spoframe.llm import mixing
 
