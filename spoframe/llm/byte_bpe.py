@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ from spoframe.llm.packed import pack_numbers, pack_words, unpack_numbers, unpack
 BLOCK_CHARS = 32_000_000
 #: Characters that are cut into words at a time.
 CUT_CHARS = 500_000
+#: Distinct words whose buckets are found at a time.
+CUT_WORDS = 50_000
 #: Words whose ids are put together at a time.
 PUT_WORDS = 200_000
 #: Hash buckets of words: a task remembers the distinct words of one, up to ``REMEMBERED``.
@@ -93,37 +96,43 @@ class _Block:
 
     def __init__(self, pattern):
         self._pattern = pattern
-        self._known: dict[str, int] = {}
-        self._places: list[np.ndarray] = []
+        self._coded: list[pa.DictionaryArray] = []
         self.lengths: list[int] = []
         self.rows: list[pa.RecordBatch] = []
         self.chars = 0
 
-    def add(self, texts: list[str]) -> None:
-        """Cut some texts into words and number them."""
+    def add(self, rows: pa.RecordBatch, texts: list[str]) -> None:
+        """Cut some rows' texts into words; the rows are copied, so that the batch with its texts can go."""
         found = [self._pattern.findall(text) for text in texts]
         self.lengths += map(len, found)
         self.chars += sum(map(len, texts))
-        coded = pa.array(itertools.chain.from_iterable(found), pa.large_string()).dictionary_encode()
-        known = self._known
-        numbers = [known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()]
-        self._places.append(np.array(numbers, np.int32)[coded.indices.to_numpy()])
+        self.rows.append(rows.take(pa.array(np.arange(len(texts)))))
+        self._coded.append(pa.array(itertools.chain.from_iterable(found), pa.large_string()).dictionary_encode())
+
+    def _numbered(self) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, and their numbers by place; the words gathered are given up."""
+        whole = pa.chunked_array(self._coded).unify_dictionaries()
+        self._coded = []
+        places = np.concatenate([c.indices.to_numpy() for c in whole.chunks])
+        return whole.chunk(0).dictionary.cast(pa.large_binary()), places
 
     def finish(self, number: int) -> pa.RecordBatch:
-        flat = np.concatenate(self._places)
-        order = np.argsort(-np.bincount(flat, minlength=len(self._known)), kind="stable")
+        words, flat = self._numbered()
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        words = [w.encode() for w in self._known]
-        bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
+        places = pack_numbers(rank[flat])
+        del flat, order
+        sums = (zlib.crc32(w) for at in range(0, len(words), CUT_WORDS) for w in words.slice(at, CUT_WORDS).to_pylist())
+        bucket = np.fromiter(sums, np.int64, len(words)) % BUCKETS
         # by bucket, and sorted in each: neighbours resemble each other
-        by_bucket = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        by_bucket = by_bucket[np.argsort(bucket[by_bucket], kind="stable")]
-        cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
+        by = [("bucket", "ascending"), ("word", "ascending")]
+        by_bucket = pc.sort_indices(pa.table({"bucket": bucket, "word": words}), sort_keys=by).to_numpy()
+        words, rank, bucket = words.take(pa.array(by_bucket)), rank[by_bucket], bucket[by_bucket]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(words)] if len(words) else [0]
         parts = [
-            {"bucket": int(bucket[at[0]]), "words": pack_words([words[i] for i in at]), "numbers": pack_numbers(rank[at])}
-            for at in np.split(by_bucket, cuts)
-            if len(at)
+            {"bucket": int(bucket[a]), "words": pack_words(words.slice(a, b - a).to_pylist()), "numbers": pack_numbers(rank[a:b])}
+            for a, b in itertools.pairwise(cuts)
         ]
         rows = pa.Table.from_batches(self.rows).combine_chunks()
         structs = pa.StructArray.from_arrays([c.combine_chunks() for c in rows.columns], names=rows.column_names)
@@ -131,7 +140,7 @@ class _Block:
         columns = {
             "block": pa.array([number], pa.int64()),
             "lengths": pa.array([pack_numbers(np.array(self.lengths, np.int64))], pa.binary()),
-            "places": pa.array([pack_numbers(rank[flat])], pa.binary()),
+            "places": pa.array([places], pa.binary()),
             "parts": pa.array([parts], kind),
             "carried": pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs),
         }
@@ -154,10 +163,10 @@ def _blocks_task(pattern_text: str):
                     texts.append(text_at[at + len(texts)].as_py())
                     chars += len(texts[-1])
                 if block.rows and block.chars + chars > BLOCK_CHARS:
-                    yield block.finish(number)
-                    number, block = number + 1, _Block(pattern)
-                block.add(texts)
-                block.rows.append(rows.slice(at, len(texts)))
+                    full, block = block, None
+                    yield full.finish(number)
+                    number, block, full = number + 1, _Block(pattern), None
+                block.add(rows.slice(at, len(texts)), texts)
                 at += len(texts)
         if block.rows:
             yield block.finish(number)
@@ -195,14 +204,14 @@ def _block_ids(lengths: bytes, places: bytes, found: pa.StructArray) -> Iterator
     """Ids of the texts of a block, some texts at a time: where each text's begin (and the last ones end), and the ids."""
     none = [np.zeros(0, np.int32)]
     numbers, sizes, flat = (
-        np.concatenate(none + [unpack_numbers(x).astype(np.int32) for x in found.field(c).to_pylist()])
+        np.concatenate(none + [unpack_numbers(x, np.int32) for x in found.field(c).to_pylist()])
         for c in ("numbers", "sizes", "ids")
     )
     first = np.empty(len(numbers), np.int64)
     size = np.empty(len(numbers), np.int32)
     first[numbers] = np.cumsum(sizes) - sizes
     size[numbers] = sizes
-    words = unpack_numbers(places).astype(np.int32)
+    words = unpack_numbers(places, np.int32)
     text_ends = np.concatenate([[0], np.cumsum(unpack_numbers(lengths))])
     at = 0
     while at < len(text_ends) - 1:
@@ -219,7 +228,7 @@ def _reassemble_task(names: list[str]):
     def task(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                lengths, places = (batch.column(c)[at].as_py() for c in ("lengths", "places"))
+                lengths, places = (batch.column(c)[at].as_buffer() for c in ("lengths", "places"))
                 carried, done = batch.column("carried")[at].values, 0
                 for ends, ids in _block_ids(lengths, places, batch.column("found")[at].values):
                     part = carried.slice(done, len(ends) - 1)

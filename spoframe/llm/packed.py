@@ -9,16 +9,19 @@ import pyarrow as pa
 def pack_numbers(x: np.ndarray) -> bytes:
     """Non-negative integers, byte plane by byte plane, compressed (small ones leave empty planes)."""
     width = next(w for w in range(1, 9) if not len(x) or int(x.max()) < 1 << (8 * w))
-    planes = b"".join((x >> 8 * k & 255).astype(np.uint8).tobytes() for k in range(width))
+    each = np.ascontiguousarray(x, x.dtype.newbyteorder("<")).view(np.uint8).reshape(len(x), x.itemsize)
+    planes = np.ascontiguousarray(each[:, :width].T)
     return len(x).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
 
 
-def unpack_numbers(data: bytes) -> np.ndarray:
+def unpack_numbers(data: bytes, kind: type = np.int64) -> np.ndarray:
+    """The integers as 64-bit ones, or as a narrower ``kind`` that holds them."""
     n, width = int.from_bytes(data[:8], "little"), data[8]
-    planes = np.frombuffer(pa.decompress(data[9:], n * width, "zstd"), np.uint8).reshape(width, n)
-    out = planes[0].astype(np.int64)
-    for k in range(1, width):
-        out |= planes[k].astype(np.int64) << 8 * k
+    planes = np.frombuffer(pa.decompress(memoryview(data)[9:], n * width, "zstd"), np.uint8).reshape(width, n)
+    out = np.zeros(n, np.dtype(kind).newbyteorder("<"))
+    each = out.view(np.uint8).reshape(n, out.itemsize)
+    for k in range(width):
+        each[:, k] = planes[k]
     return out
 
 

@@ -2,12 +2,15 @@
 
 import base64
 import hashlib
+import io
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -224,7 +227,39 @@ def test_op13_query(spark):
     assert Counter(tuple(r) for r in queries()["op13_byte_bpe"](spark, SF).collect()) == want
 
 
+def test_a_block_of_words_gives_its_texts_up(monkeypatch):
+    class Task:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(byte_bpe.TaskContext, "get", staticmethod(Task))
+    sink = io.BytesIO()
+    text = " ".join("abcdefgh"[i] * 5000 for i in range(8)) * 25  # a million characters, few words
+    schema = pa.schema([("c0", pa.int64()), ("text", pa.string())])
+    with pa.ipc.new_stream(sink, schema) as out:
+        for i in range(20):
+            out.write_batch(pa.RecordBatch.from_pydict({"c0": [i], "text": [text]}, schema))
+    sink.seek(0)
+    held = []
+
+    def batches():
+        for batch in pa.ipc.open_stream(sink):
+            yield batch
+            del batch
+            held.append(tracemalloc.get_traced_memory()[0])  # a batch's bytes come from Python's file
+
+    tracemalloc.start()
+    blocks = list(byte_bpe._blocks_task(byte_bpe.vocabulary_file()[1])(batches()))
+    tracemalloc.stop()
+    assert [x["c0"] for b in blocks for x in b.column("carried")[0].as_py()] == list(range(20))
+    assert len(held) == 20 and max(held) < 8_000_000
+
+
 def test_packed_cells():
+    for kind in (np.int32, np.int64):
+        x = np.array([0, 70_000, 3, (1 << 31) - 1], kind)
+        assert unpack_numbers(pack_numbers(x), np.int32).tolist() == unpack_numbers(pack_numbers(x[::1])).tolist() == x.tolist()
+        assert unpack_numbers(pack_numbers(x[::2]), np.int32).dtype == np.int32
     for x in ([], [0], [0, 255, 256], [2**40, 1], list(range(70_000))):
         assert unpack_numbers(pack_numbers(np.array(x, np.int64))).tolist() == x
     for words in ([], [b""], [b"a", b"", "é漢".encode()] * 9):
