@@ -12,12 +12,15 @@ follows goes to a block, or comes from it, by block and slot.
    equal places.  Strings whose anchor has a place in a certain range share the
    bytes around it that all of them hold, so an anchor goes on only if it occurs
    again together with those bytes, for one of ``RANGES`` ranges.
-3. The context of an anchor holds all ``least``-byte strings that contain it.
+3. The context of an anchor holds all ``least``-byte strings that contain it at
+   a place from the first of those ranges to the last: no others occur again.
    Of equal contexts every one but the first is covered wholly.
 4. The different contexts of an anchor go to one block.  A block's suffixes
    are sorted by their first bytes, and breadth-first backward extension on
    the Burrows-Wheeler transform finds where neighbouring suffixes have common
-   prefixes of 0, 1, 2, ... bytes; it stops at ``least``.  Suffixes without a
+   prefixes of so many bytes, of one byte more, and so on, from the largest
+   number that sorting them by doubled prefixes has told; it stops at
+   ``least``.  Suffixes without a
    boundary between them then start with the same ``least`` bytes; all but the
    earliest are covered.
 5. An anchor with more than ``HOT_CONTEXTS`` different contexts is no block.
@@ -137,19 +140,18 @@ def anchors(data: bytes, least: int) -> np.ndarray:
 RANGES = 4
 
 
-def _windows(text: _Hashed, p: np.ndarray, least: int) -> list[np.ndarray]:
-    """Names of the bytes that all strings with the anchor in a range of places share (-1: they leave the text)."""
-    cuts = [k * (least - GRAM + 1) // RANGES for k in range(RANGES + 1)]
-    out = []
-    for k, (first, end_of) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        # strings that begin first..end_of - 1 bytes before the anchor
-        start, end = p - first, p + least - (end_of - 1)
-        fits = (start >= 0) & (end <= len(text.data))
-        value = np.full(len(p), -1, np.int64)
-        named = mixed(text.part(start[fits], end[fits]) + np.uint64(k + 1))
-        value[fits] = (named >> np.uint64(64 - VALUE_BITS)).astype(np.int64)
-        out.append(value)
-    return out
+def _cuts(least: int) -> np.ndarray:
+    """Where each range of places begins (and the last one ends)."""
+    return np.array([k * (least - GRAM + 1) // RANGES for k in range(RANGES + 1)])
+
+
+def _windows(text: _Hashed, p: np.ndarray, least: int) -> np.ndarray:
+    """By range and anchor, a name of the bytes that all strings with the anchor in that range share (-1: they leave the text)."""
+    cuts, n = _cuts(least)[:, None], len(text.data)
+    # strings that begin cuts[k]..cuts[k + 1] - 1 bytes before the anchor
+    start, end = p - cuts[:-1], p + (least + 1 - cuts[1:])
+    named = mixed(text.part(np.maximum(start, 0), np.minimum(end, n)) + np.arange(1, RANGES + 1, dtype=np.uint64)[:, None])
+    return np.where((start >= 0) & (end <= n), (named >> np.uint64(64 - VALUE_BITS)).astype(np.int64), -1)
 
 
 def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +167,14 @@ def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         rank = (rank << np.uint64(9)) | padded[j : j + n]
     depth = 7
     order = np.argsort(rank)
+    seed, seeded = np.append(True, text[order][1:] != text[order][:-1]), 1
     while depth < least:
         new = np.append(True, rank[order][1:] != rank[order][:-1])
+        seed, seeded = new, depth  # these places stay when the order is refined
         number = np.zeros(n + depth, np.int64)
         number[order] = np.cumsum(new)
         if new.all():
-            break
+            return order, np.ones(n + 1, bool)
         rank = number[:n] * (n + 2) + number[depth : depth + n]
         order = np.argsort(rank)
         depth *= 2
@@ -184,20 +188,18 @@ def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     following = np.full(n, n, np.int32)  # the next row with the same character before it
     same = before[back][1:] == before[back][:-1]
     following[back[:-1][same]] = back[1:][same]
-    first = text[order]
-    edge = np.zeros(n + 1, bool)
-    edge[0] = edge[n] = True
-    edge[1:n] = first[1:] != first[:-1]
+    edge = np.append(seed, True)
     waiting = np.flatnonzero(before != 0)
-    for _ in range(1, least):
+    behind = following[waiting]
+    for _ in range(seeded, least):
         # a row is the last of its character in its interval if a boundary stands before the next one:
         # the interval extended by that character ends behind the place it leads to
         so_far = np.cumsum(edge, dtype=np.int32)
-        last = so_far[following[waiting]] > so_far[waiting]
+        last = so_far[behind] > so_far[waiting]
         if not last.any():
             break
         edge[leads[waiting[last]] + 1] = True
-        waiting = waiting[~last]
+        waiting, behind = waiting[~last], behind[~last]
     return order, edge
 
 
@@ -307,7 +309,8 @@ def _chosen_texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[dict, bytes,
             yield docs[slot].as_py() | {"slot": slot}, texts[slot], p
 
 
-PLACES = "h long, c long, doc long, tie long, n long, block long, slot int, p long"
+#: ``a``, ``b``: the places that the anchor has in strings that may occur again, the first and the last.
+PLACES = "h long, c long, doc long, tie long, n long, block long, slot int, p long, a int, b int"
 
 
 def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame:
@@ -320,42 +323,45 @@ def _repeated_anchors(blocks: DataFrame, go: DataFrame, least: int) -> DataFrame
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                values = [v for doc in _chosen_texts(batch, at) for v in _windows(_Hashed(doc[1]), doc[2], least)]
+                values = [_windows(_Hashed(data), p, least).ravel() for _, data, p in _chosen_texts(batch, at)]
                 flat = np.concatenate([np.zeros(0, np.int64), *values])
                 found, counts = np.unique(flat[flat >= 0], return_counts=True)
                 yield sent_rows(batch.column("block")[at].as_py(), found, counts, buckets)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PLACES.split(", ")]
-        side = least - GRAM
+        cuts = _cuts(least)
         for batch in batches:
             for at in range(batch.num_rows):
                 block = batch.column("block")[at].as_py()
                 # hashes of whole texts are made anew where something repeats, not held for the block
                 held = [(doc, data, p, _windows(_Hashed(data), p, least)) for doc, data, p in _chosen_texts(batch, at)]
-                flat = np.concatenate([np.zeros(0, np.int64), *[v for x in held for v in x[3]]])
-                values = np.unique(flat[flat >= 0])
-                again = occurrences(values, batch.column("found")[at].as_py(), buckets) > 1
-
-                def repeats(v: np.ndarray, values=values, again=again) -> np.ndarray:
-                    out = np.zeros(len(v), bool)
-                    known = v >= 0
-                    out[known] = again[np.searchsorted(values, v[known])]
-                    return out
-
+                flat = np.concatenate([np.zeros(0, np.int64), *[x[3].ravel() for x in held]])
+                known = flat >= 0
+                values, number = np.unique(flat[known], return_inverse=True)
+                again = np.zeros(len(flat), bool)
+                again[known] = (occurrences(values, batch.column("found")[at].as_py(), buckets) > 1)[number]
                 columns: list[list[np.ndarray]] = [[] for _ in names]
+                done = 0
                 for doc, data, p, windows in held:
-                    p = p[np.logical_or.reduce([repeats(v) for v in windows])]
-                    if not len(p):
+                    repeats = again[done : done + windows.size].reshape(windows.shape)
+                    done += windows.size
+                    goes = repeats.any(0)
+                    if not goes.any():
                         continue
+                    p, repeats = p[goes], repeats[:, goes]
+                    # strings with the anchor in the other ranges of places do not occur again
+                    a, b = cuts[repeats.argmax(0)], cuts[RANGES - repeats[::-1].argmax(0)] - 1
+                    start = np.maximum(p - b, 0)
                     text = _Hashed(data)
                     h = text.part(p, p + GRAM).view(np.int64)
-                    c = text.part(np.maximum(p - side, 0), np.minimum(p + least, doc["n"])).view(np.int64)
+                    whole = text.part(start, np.minimum(p + least - a, doc["n"]))
+                    c = mixed(whole + (p - start).astype(np.uint64)).view(np.int64)  # the anchor stands at the same place, too
                     same = [np.full(len(p), doc[k], np.int64) for k in ("doc", "tie", "n")]
-                    cells = [h, c, *same, np.full(len(p), block, np.int64), np.full(len(p), doc["slot"], np.int32), p]
+                    cells = [h, c, *same, np.full(len(p), block, np.int64), np.full(len(p), doc["slot"], np.int32), p, a, b]
                     for column, cell in zip(columns, cells, strict=True):
                         column.append(cell)
-                kinds = [np.int32 if n == "slot" else np.int64 for n in names]
+                kinds = [np.int32 if n in ("slot", "a", "b") else np.int64 for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *x]).astype(k)) for x, k in zip(columns, kinds, strict=True)], names)
 
     sent = chosen.drop("anchors").mapInArrow(send, SENT)
@@ -425,15 +431,17 @@ def _split_hot(hot: DataFrame, least: int, most: int) -> tuple[list[DataFrame],
         parted = state.withColumn("half", F.explode(F.when(F.col("a") < F.col("b"), halves))).withColumns(
             {"a": F.col("half.a"), "b": F.col("half.b")}
         )
-        # only places at which a string lies within the text
-        fits = F.greatest("a", F.col("p") + least - F.col("n")) <= F.least("b", "p")
-        lo, hi = F.greatest(F.col("p") - F.col("b"), F.lit(0)), F.least(F.col("p") + least - F.col("a"), F.col("n"))
+        # only places at which a string lies within the context
+        end = F.col("start") + F.octet_length("data")
+        fits = F.greatest("a", F.col("p") + least - end) <= F.least(F.col("b"), F.col("p") - F.col("start"))
+        lo, hi = F.greatest(F.col("p") - F.col("b"), F.col("start")), F.least(F.col("p") + least - F.col("a"), end)
         parted = parted.filter(fits).withColumns({"lo": lo, "hi": hi})
         held = _part(F.col("data"), F.col("p") - F.col("a") - F.col("start"), F.col("p") + least - F.col("b") - F.col("start"))
         part = _part(F.col("data"), F.col("lo") - F.col("start"), F.col("hi") - F.col("start"))
         key = F.xxhash64("h", "a", "b", held).alias("h")
         shown = parted.select(key, "a", "b", "doc", "tie", "n", "p", F.col("lo").alias("start"), F.col("hi").alias("end"), part.alias("data"))
-        shown = written(shown.withColumn("c", F.unhex(F.md5("data"))), "suffix-hot")
+        content = F.concat(F.unhex(F.md5("data")), F.unhex(F.hex(F.col("p") - F.col("start"))))
+        shown = written(shown.withColumn("c", content), "suffix-hot")
         first = shown.groupBy("h", "c").agg(F.min(F.struct("doc", "tie", "p")).alias("f"), F.count("*").alias("k"))
         first = written(first, "suffix-hot-contexts")
         again = shown.join(first.filter("k > 1").select("h", "c", "f"), ["h", "c"])
@@ -472,9 +480,8 @@ def remove_repeats(
     first = each.groupBy("digest").agg(F.min(F.struct("doc", "block", "slot")).alias("f")).select("digest", "f.*")
     first = written(first, "suffix-first")
     seen = written(_repeated_anchors(texts, first.select("block", "slot"), least), "suffix-repeated")
-    side = least - GRAM
-    start, end = F.greatest(F.col("p") - side, F.lit(0)), F.least(F.col("p") + least, F.col("n"))
-    seen = seen.withColumns({"start": start, "end": end})
+    start, end = F.greatest(F.col("p") - F.col("b"), F.lit(0)), F.least(F.col("p") + least - F.col("a"), F.col("n"))
+    seen = seen.withColumns({"start": start, "end": end}).drop("a", "b")
     place = F.struct("doc", "tie", "p", "n", "block", "slot", "start", "end")
     contexts = seen.groupBy("h", "c").agg(F.min(place).alias("f"), F.count("*").alias("k"))
     contexts = written(contexts, "suffix-contexts")

@@ -232,6 +232,44 @@ def test_suffix_dedup_matches_brute_force(spark):
         assert (got[i].n_bytes, got[i].n_removed) == (len(data), int(gone.sum()))
 
 
+def kept_by_brute_force(rows, least=100):
+    seen, out = set(), {}
+    for i, text in rows:
+        data = (text or "").encode()
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - least + 1):
+            if data[k : k + least] in seen:
+                gone[k : k + least] = True
+            seen.add(data[k : k + least])
+        out[i] = bytes(np.frombuffer(data, np.uint8)[~gone])
+    return out
+
+
+def test_suffix_dedup_contexts_hold_only_what_may_repeat(spark, monkeypatch):
+    rng = random.Random(21)
+    junk = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = junk(600)
+    # a passage of 100 to 140 bytes between other text, with periods of a range's width, and with an edit anywhere
+    rows = [(0, base)]
+    rows += [(i, junk(rng.randint(0, 90)) + base[k : k + rng.randint(100, 140)] + junk(rng.randint(0, 90))) for i, k in ((i, rng.randint(0, 460)) for i in range(1, 40))]
+    period, long = junk(17), junk(34)
+    rows += [(40, period * 12), (41, junk(30) + period * 9 + junk(20)), (42, long * 7), (43, long[5:] + long * 4), (44, "a" * 130)]
+    rows += [(45 + j, base[:j] + "#" + base[j + 1 :]) for j in range(120, 480, 45)]
+    sizes = []
+    real = suffix_dedup._cut
+
+    def recorded(blocks, wanted):
+        out = real(blocks, wanted)
+        sizes.extend(len(r["data"]) for r in out.select("data").collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_cut", recorded)
+    for hot in (2048, 4):
+        got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(docs_of(spark, rows), hot_contexts=hot).collect()}
+        assert got == kept_by_brute_force(rows)
+    assert sizes and max(sizes) <= 168 and sum(x < 130 for x in sizes) > len(sizes) / 2
+
+
 def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
     rng = random.Random(9)
     junk = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
