@@ -161,15 +161,20 @@ def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     at a place of the order, and at its end.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(256 + 2 * least, text.dtype)]).astype(np.uint64)
+    # characters that occur, in order, by as few bits as they need; as many as fit in one number
+    code = np.cumsum(np.bincount(text, minlength=1) > 0) - 1 + (text.min(initial=1) > 0)
+    bits = max(1, int(code[-1]).bit_length())
+    depth = 64 // bits
+    padded = np.concatenate([code[text], np.zeros(64, np.int64)]).astype(np.uint64)
     rank = np.zeros(n, np.uint64)
-    for j in range(7):  # 9 bits each: 7 characters in one number
-        rank = (rank << np.uint64(9)) | padded[j : j + n]
-    depth = 7
+    for j in range(depth):
+        rank = (rank << np.uint64(bits)) | padded[j : j + n]
     order = np.argsort(rank)
-    seed, seeded = np.append(True, text[order][1:] != text[order][:-1]), 1
+    first = text[order]
+    seed, seeded = np.append(True, first[1:] != first[:-1]), 1
     while depth < least:
-        new = np.append(True, rank[order][1:] != rank[order][:-1])
+        ordered = rank[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
         seed, seeded = new, depth  # these places stay when the order is refined
         number = np.zeros(n + depth, np.int64)
         number[order] = np.cumsum(new)
@@ -186,7 +191,8 @@ def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     leads = np.empty(n, np.int32)
     leads[back] = np.arange(n, dtype=np.int32)
     following = np.full(n, n, np.int32)  # the next row with the same character before it
-    same = before[back][1:] == before[back][:-1]
+    character = before[back]
+    same = character[1:] == character[:-1]
     following[back[:-1][same]] = back[1:][same]
     edge = np.append(seed, True)
     waiting = np.flatnonzero(before != 0)
@@ -205,26 +211,25 @@ def boundaries(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _block_spans(contexts: list[tuple[int, int, int, bytes]], least: int) -> list[tuple[int, int, int, int]]:
     """Covered spans (doc, tie, start, end) of contexts (doc, tie, start, bytes)."""
-    parts, owner = [], []
-    for i, (_, _, _, data) in enumerate(contexts):
-        parts += [np.frombuffer(data, np.uint8).astype(np.uint16) + np.uint16(1), np.zeros(1, np.uint16)]
-        owner.append(len(data) + 1)
-    text = np.concatenate(parts)
-    lengths = np.array(owner)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    lengths = np.array([len(c[3]) + 1 for c in contexts])
+    text = np.frombuffer(b"".join(x for c in contexts for x in (c[3], b"\0")), np.uint8).astype(np.uint16) + np.uint16(1)
+    starts = np.cumsum(lengths) - lengths
+    text[starts + lengths - 1] = 0
     of = np.repeat(np.arange(len(contexts)), lengths)
     inside = np.arange(len(text)) - starts[of]
     order, edge = boundaries(text, least)
     group = np.cumsum(edge[:-1])
-    whole = inside[order] + least <= lengths[of[order]] - 1
+    whole = (inside + least <= lengths[of] - 1)[order]
     row, group = order[whole], group[whole]
     doc, tie, start = (np.array([c[k] for c in contexts], np.int64) for k in range(3))
-    d, t, s = doc[of[row]], tie[of[row]], start[of[row]] + inside[row]
-    by = np.lexsort((s, t, d, group))
-    row, group, d, t, s = row[by], group[by], d[by], t[by], s[by]
-    new = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(group) else np.zeros(0, np.int64)
-    later = (d != d[head]) | (t != t[head]) | (s != s[head])
+    # a number for each document, in their order, and the string's place in it
+    by = np.lexsort((tie, doc))
+    new = np.append(False, (doc[by][1:] != doc[by][:-1]) | (tie[by][1:] != tie[by][:-1]))
+    document = np.empty(len(contexts), np.int64)
+    document[by] = np.cumsum(new)
+    at = (document * (int((start + lengths).max()) + 1) + start)[of[row]] + inside[row]
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    later = at != np.repeat(np.minimum.reduceat(at, heads) if len(heads) else at, np.diff(np.append(heads, len(at))))
     found = np.zeros(len(text), bool)
     found[row[later]] = True
     out = []
