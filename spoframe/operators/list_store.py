@@ -42,25 +42,30 @@ def list_chunks(
     chunk_values: int = CHUNK_VALUES,
     short: list[str] | tuple[str, ...] = (),
     tasks: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``(s, p, chunk, values, counts)`` of the given predicates (default: all); values are sorted and distinct.
 
     ``short``: predicates of which no subject has more than ``chunk_values`` rows.
     ``tasks``: the width of the shuffle that builds the lists (default: as the session says).
+    ``buckets``: the triples are a table with so many buckets by subject, and the lists
+    lie by subject as well: short ones are built where their rows lie, long ones, which
+    are cut over all tasks, are dealt back once they are chunks.
     """
     if chunk_values < 1:
         raise ValueError("chunk_values must be positive")
     rows = triples if predicates is None else only_predicates(triples, predicates)
+    back = lambda lists: lists if buckets is None else lists.repartition(buckets, "s")
     if not short:
-        return _long_lists(rows.select("s", "p", "o"), chunk_values, tasks)
+        return back(_long_lists(rows.select("s", "p", "o"), chunk_values, tasks))
     known = only_predicates(rows, list(short)).select("s", "p", F.lit(0).cast("bigint").alias("chunk"), "o")
-    whole = _gathered(_dealt(known, tasks, "s", "p"))
+    whole = _gathered(_dealt(known, tasks, "s", "p") if buckets is None else known)
     if predicates is not None and set(predicates) <= set(short):
         return whole
     others = rows.where(~F.col("p").isin(list(short)))
     if predicates is not None:
         others = only_predicates(triples, [p for p in predicates if p not in set(short)])
-    return whole.unionByName(_long_lists(others.select("s", "p", "o"), chunk_values, tasks))
+    return whole.unionByName(back(_long_lists(others.select("s", "p", "o"), chunk_values, tasks)))
 
 
 def _dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:

@@ -45,7 +45,7 @@ def single_valued_predicates(triples: DataFrame) -> DataFrame:
     return predicate_catalogue(triples).where("is_complex = 0").select("p")
 
 
-def predicate_stats(triples: DataFrame, tasks: int | None = None) -> DataFrame:
+def predicate_stats(triples: DataFrame, tasks: int | None = None, in_place: bool = False) -> DataFrame:
     """``(p, size, distinct_subjects, distinct_objects, max_multiplicity, is_complex)``.
 
     ``size`` counts rows (duplicates included), the distinct counts are exact,
@@ -53,8 +53,12 @@ def predicate_stats(triples: DataFrame, tasks: int | None = None) -> DataFrame:
 
     The counts of a task are held in memory before they are shuffled.  With
     ``tasks`` the triples are first dealt into so many, for scans whose tasks are
-    large; a hot subject or object is spread over them.
+    large; a hot subject or object is spread over them.  With ``in_place`` the triples
+    are a table bucketed by subject: subjects are counted where they lie, in a scan
+    of their own, and only the distinct objects of a scan task are shuffled.
     """
+    if in_place:
+        return _stats_in_place(triples)
     if tasks is not None:
         triples = triples.select("s", "p", "o").repartition(tasks, "s", "o")
     sides = F.array(
@@ -75,6 +79,25 @@ def predicate_stats(triples: DataFrame, tasks: int | None = None) -> DataFrame:
     )
 
 
+def _stats_in_place(triples: DataFrame) -> DataFrame:
+    """:func:`predicate_stats` of triples that lie by subject."""
+    none = F.lit(None).cast("bigint")
+    n = F.count(F.lit(1)).alias("n")
+    subjects = triples.groupBy("p", "s").agg(n).select("p", "n", none.alias("objects"))
+    objects = triples.select("p", "o").distinct().groupBy("p").agg(n).select("p", none.alias("n"), F.col("n").alias("objects"))
+    return (
+        subjects.unionByName(objects)
+        .groupBy("p")
+        .agg(
+            F.sum("n").alias("size"),
+            F.count("n").alias("distinct_subjects"),
+            F.sum("objects").alias("distinct_objects"),
+            F.max("n").alias("max_multiplicity"),
+        )
+        .withColumn("is_complex", F.col("size") > F.col("distinct_subjects"))
+    )
+
+
 def graph_stats(triples: DataFrame, stats: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Whole-graph statistics, one row: ``size, distinct_subjects, predicates``.
 

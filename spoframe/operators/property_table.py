@@ -75,10 +75,11 @@ def grouped_properties(triples: DataFrame, predicates: list[str], tasks: int | N
 
 
 def property_table(
-    triples: DataFrame, columns: list[PTColumn], tasks: int | None = None, ranged: bool = False
+    triples: DataFrame, columns: list[PTColumn], tasks: int | None = None, ranged: bool = False, in_place: bool = False
 ) -> DataFrame:
     """E6 + B14: the wide table ``(s, <column>...)``.
 
+    ``in_place``: the triples lie by subject (bucketed tables) and are not dealt again.
     A single-valued column of a subject that has more values holds the largest.
     """
     rows = only_predicates(triples, [c.p for c in columns]).select("s", "p", "o")
@@ -89,7 +90,7 @@ def property_table(
         (F.when(F.size(f"__c{i}") > 0, F.col(f"__c{i}")) if c.is_list else F.col(f"__c{i}")).alias(c.column)
         for i, c in enumerate(columns)
     ]
-    return by_subject(rows, tasks, ranged).groupBy("s").agg(*cells).select("s", *shown)
+    return (rows if in_place else by_subject(rows, tasks, ranged)).groupBy("s").agg(*cells).select("s", *shown)
 
 
 def properties_array(triples: DataFrame, predicates: list[str], tasks: int | None = None) -> DataFrame:

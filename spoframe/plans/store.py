@@ -19,7 +19,7 @@ from spoframe.operators.property_table import (
     plan_columns,
     property_table,
 )
-from spoframe.session import load_session, shared_dir, task_count
+from spoframe.session import bucket_session, load_session, load_settings, shared_dir, task_count
 from spoframe.sources.layouts import (
     complete_triples,
     only_predicates,
@@ -190,27 +190,35 @@ def last_manifest(spark: SparkSession, base: str) -> dict | None:
 
 
 def property_rows(
-    vp: DataFrame, lists: DataFrame, cols: list[PTColumn], tasks: int | None = None, ranged: bool = False
-) -> DataFrame:
+    vp: DataFrame, lists: DataFrame, cols: list[PTColumn], tasks: int | None = None, ranged: bool = False,
+    in_place: bool = False,
+) -> DataFrame:
     """The stored property table: a value for each single-valued predicate, the number of values for each other one.
 
     No cell grows with a subject's number of values; those are in ``lists``.
+    ``in_place``: both tables are bucketed by subject, so no row is dealt.
     """
     single = [c.p for c in cols if not c.is_list]
     rows = only_predicates(vp, single).select("s", "p", "o")
     sizes = list_sizes(lists).select("s", "p", F.col("n").cast("string").alias("o"))
-    table = property_table(rows.unionByName(sizes), [PTColumn(c.p, c.column, False) for c in cols], tasks, ranged)
+    plain = lambda kept: [PTColumn(c.p, c.column, False) for c in kept]
+    if in_place and 0 < len(single) < len(cols):  # a union would be dealt; a join of buckets is not
+        values = property_table(rows, plain(c for c in cols if not c.is_list), in_place=True)
+        table = values.join(property_table(sizes, plain(c for c in cols if c.is_list), in_place=True), "s", "full")
+    else:
+        table = property_table(rows.unionByName(sizes), plain(cols), tasks, ranged)
     counts = {c.column: F.col(quoted(c.column)).cast("bigint") for c in cols if c.is_list}
     return table.select("s", *[counts.get(c.column, F.col(quoted(c.column))).alias(c.column) for c in cols])
 
 
 def _lists_of(
-    vp: DataFrame, stats: DataFrame, cols: list[PTColumn], chunk_values: int, tasks: int | None = None
-) -> DataFrame:
+    vp: DataFrame, stats: DataFrame, cols: list[PTColumn], chunk_values: int, tasks: int | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
     """The chunked lists of the multi-valued columns; the statistics say which of them have long ones."""
     listed = [c.p for c in cols if c.is_list]
     short = stats.where((F.col("max_multiplicity") <= chunk_values) & F.col("p").isin(listed)).select("p").collect()
-    return list_chunks(vp, listed, chunk_values, short=sorted(r["p"] for r in short), tasks=tasks)
+    return list_chunks(vp, listed, chunk_values, short=sorted(r["p"] for r in short), tasks=tasks, buckets=buckets)
 
 
 def write_property_layout(
@@ -259,7 +267,8 @@ def load_store(
     seen = Observation()
     null = F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull()
     counted = triples.observe(seen, F.count(F.when(~null, 1)).alias("triples"), F.count(F.when(null, 1)).alias("null"))
-    write_vp(counted, os.path.join(folder, "vp"))
+    with load_settings(spark):
+        write_vp(counted, os.path.join(folder, "vp"))
     # what follows holds counts and lists in memory: in small tasks
     own = load_session(spark, seen.get["triples"])
     vp = read_vp(own, os.path.join(folder, "vp"))
@@ -303,30 +312,37 @@ def load_tables(
     scan task, which is the default (8 at least).  A subject with very many rows makes its bucket large; the
     layouts of :func:`load_store` split it.  The tables lie in the warehouse, or
     in the folder ``location``.
+
+    The triples are dealt into the buckets once.  Statistics, lists and property
+    table are made bucket by bucket from the table that this writes: only the
+    distinct objects of a scan task, and lists too long for a chunk, are shuffled.
     """
     spark = triples.sparkSession
     where = "" if location is None else " LOCATION '" + location.replace("\\", "\\\\").replace("'", "\\'") + "'"
     spark.sql(f"CREATE DATABASE {quoted(database)}{where}")
 
-    def save(df: DataFrame, name: str, by_subject: bool = True, parts: tuple[str, ...] = ()) -> DataFrame:
-        table = f"{quoted(database)}.{quoted(name)}"
-        # dealt as the buckets are, so that a task writes one file a bucket and predicate
-        writer = (df.repartition(buckets, "s") if by_subject else df).write.format("parquet")
+    def save(df: DataFrame, name: str, by_subject: bool = True, parts: tuple[str, ...] = ()) -> None:
+        writer = df.write.format("parquet")
         if parts:
             writer = writer.partitionBy(*parts)
-        if by_subject:
+        if by_subject:  # the rows lie as the buckets do, so that a task writes one file a bucket and predicate
             writer = writer.bucketBy(buckets, "s").sortBy("s")
-        writer.saveAsTable(table)
-        return spark.table(table)
+        writer.saveAsTable(f"{quoted(database)}.{quoted(name)}")
 
     rows = complete_triples(triples).select("s", "o", "p", predicate_id("p").alias("pid"))
-    tasks = task_count(rows.count())
-    buckets = max(8, tasks) if buckets is None else buckets
-    vp = save(rows, "triples", parts=("pid",))
-    stats = save(predicate_stats(vp, tasks), "stats", by_subject=False)
+    with load_settings(spark):
+        total = rows.count()
+        tasks = task_count(total)
+        buckets = max(8, tasks) if buckets is None else buckets
+        save(rows.repartition(buckets, "s"), "triples", parts=("pid",))
+    own = bucket_session(spark, total)
+    table = lambda name: own.table(f"{quoted(database)}.{quoted(name)}")
+    vp = table("triples")
+    save(predicate_stats(vp, in_place=True), "stats", by_subject=False)
+    stats = table("stats")
     cols = plan_columns(stats, predicates)
     save(with_columns(catalogue_from_stats(stats), [c.p for c in cols]), "catalogue", by_subject=False)
-    chunks = _lists_of(vp, stats, cols, chunk_values, tasks)
-    lists = save(chunks.withColumn("pid", predicate_id("p")), "lists", parts=("pid",))
-    save(property_rows(vp, lists, cols, tasks), "property_table")
+    chunks = _lists_of(vp, stats, cols, chunk_values, tasks, buckets)
+    save(chunks.withColumn("pid", predicate_id("p")), "lists", parts=("pid",))
+    save(property_rows(vp, table("lists"), cols, in_place=True), "property_table")
     return TripleStore.open_database(spark, database)

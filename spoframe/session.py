@@ -6,6 +6,8 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,6 +73,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 TASK_ROWS = 1_000_000
 #: Bytes of stored triples in a scan task of a load: about as many rows.
 SCAN_BYTES = 8 << 20
+#: With it, a job's shuffle files go when the job ends; else they stay until the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def task_count(rows: int) -> int:
@@ -93,9 +97,39 @@ def load_session(spark: SparkSession, rows: int) -> SparkSession:
     own.conf.set("spark.sql.shuffle.partitions", max(width, task_count(rows)))
     own.conf.set("spark.sql.files.maxPartitionBytes", SCAN_BYTES)
     own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", 4 * SCAN_BYTES)
+    own.conf.set(FREED, True)
     return own
 
 
+def bucket_session(spark: SparkSession, rows: int) -> SparkSession:
+    """:func:`load_session` for a load of bucketed tables, whose files are many: a scan task is a bucket or about its size."""
+    own = load_session(spark, rows)
+    own.conf.set("spark.sql.sources.bucketing.enabled", True)
+    own.conf.set("spark.sql.files.openCostInBytes", SCAN_BYTES >> 7)
+    return own
+
+
+@contextmanager
+def load_settings(spark: SparkSession) -> Iterator[None]:
+    """The caller's session for the first job of a load, which reads the caller's DataFrame.
+
+    Its scan tasks are small, so that none writes more to a shuffle than it can hold,
+    and its shuffle files go when it ends.  The settings are as before after the block.
+    """
+    set_before = dict(spark.conf.getAll.items())
+    keys = {"spark.sql.files.maxPartitionBytes": SCAN_BYTES, FREED: True}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key in keys:
+            if key in set_before:
+                spark.conf.set(key, set_before[key])
+            else:
+                spark.conf.unset(key)
+
+
 class Scratch:
     """A folder of intermediates in the shared folder that goes when its ``with`` block ends.
 
