@@ -46,7 +46,7 @@ from spoframe.plans import (
     tagged_union,
     write_all,
 )
-from spoframe.session import application_id, fresh_path, task_count, written
+from spoframe.session import Scratch, application_id, fresh_path, task_count, written
 from spoframe.sources import (
     predicate as P,
     read_property_table,
@@ -56,6 +56,7 @@ from spoframe.sources import (
     read_vp,
     scan_vp,
     triples_from_tables,
+    write_lines,
     write_property_table,
     write_result,
     write_stats,
@@ -414,11 +415,12 @@ def q_batch_shared_scans(spark, sf_dir):
 
 def q_load_accounting(spark, sf_dir):
     """Triples and the lines of all documents as one text: rows loaded and lines rejected, from the manifest."""
-    path = fresh_path(spark, "triples-tsv")
-    write_triples(_triples(spark, sf_dir), path)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
-    docs.select(F.explode(F.split("text", "\n")).alias("value")).write.mode("append").option("lineSep", "\n").text(path)
-    store = load_text(spark, path, fresh_path(spark, "store"), with_property_table=False)
+    with Scratch(spark) as scratch:  # the text is several times the tables': it is compressed, and goes when it is loaded
+        path = scratch.place("triples-tsv")
+        write_triples(_triples(spark, sf_dir), path, compression="gzip")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+        write_lines(docs.select(F.explode(F.split("text", "\n")).alias("value")), path, "append", "gzip")
+        store = load_text(spark, path, fresh_path(spark, "store"), with_property_table=False)
     counts = {k: store.manifest[k] for k in ("triples", "null_rows", "rejected_lines")}
     return spark.createDataFrame([counts], "triples long, null_rows long, rejected_lines long")
 

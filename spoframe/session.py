@@ -148,6 +148,11 @@ class Scratch:
         self.tables += 1
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def place(self, name: str) -> str:
+        """A path in this folder for what the caller writes."""
+        self.tables += 1
+        return os.path.join(self.path, f"{name}-{uuid.uuid4().hex}")
+
     def close(self) -> None:
         if self.tables:
             delete_path(self.spark, self.path)

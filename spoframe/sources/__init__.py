@@ -22,7 +22,7 @@ from spoframe.sources.layouts import (
     write_vp,
 )
 from spoframe.sources.tables import predicate, triples_from_tables
-from spoframe.sources.text import read_triples, write_triples
+from spoframe.sources.text import read_triples, write_lines, write_triples
 
 __all__ = [
     "only_predicates",
@@ -40,6 +40,7 @@ __all__ = [
     "subject_files",
     "triples_from_tables",
     "write_catalogue",
+    "write_lines",
     "write_lists",
     "write_property_table",
     "write_result",

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRIPLE_SCHEMA = "s string, p string, o string"
+#: Lines of one compressed file, which only one task can read.
+FILE_LINES = 500_000
 
 
 class TripleText(NamedTuple):
@@ -44,8 +46,21 @@ def read_triples(spark: SparkSession, path: str) -> TripleText:
     return TripleText(lines.where("ok").select("s", "p", "o"), lines.where("NOT ok").select("line"))
 
 
-def write_triples(triples: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write ``(s, p, o)`` as tab-separated text lines.
+def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    """Write the one string column of ``lines`` as text lines that end at ``\\n``.
+
+    With a ``compression`` (``gzip``, ...) a task writes a file for every ``FILE_LINES``
+    lines, so that readers can share them: a compressed file is not split.  The text is
+    read once or so, so it is compressed quickly rather than well.
+    """
+    options = {"lineSep": "\n", "compression": compression}
+    if compression != "none":
+        options |= {"maxRecordsPerFile": FILE_LINES, "zlib.compress.level": "BEST_SPEED"}
+    lines.write.mode(mode).options(**options).text(path)
+
+
+def write_triples(triples: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    """Write ``(s, p, o)`` as tab-separated text lines (``compression``: see :func:`write_lines`).
 
     Values holding a tab or a newline cannot be represented in this format;
     the writer refuses them, and NULLs, instead of writing lines that read back wrong.
@@ -55,4 +70,4 @@ def write_triples(triples: DataFrame, path: str, mode: str = "errorifexists") ->
     line = F.when(null | bad, F.raise_error(F.lit("triple value is NULL or holds a tab or newline"))).otherwise(
         F.concat_ws("\t", "s", "p", "o")
     )
-    triples.select(line.alias("value")).write.mode(mode).option("lineSep", "\n").text(path)
+    write_lines(triples.select(line.alias("value")), path, mode, compression)
